@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, secrets
+from . import exact_dedup, licenses, lsh_forest, secrets
 from .common import table
 
 
@@ -14,9 +14,13 @@ def op6_secret_scan(spark, sf_dir):
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_lsh_forest(spark, sf_dir):
+    return lsh_forest.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_license_scan, op6_secret_scan, op9_exact_dedup)}
-ORACLES = {"op5_license_scan": licenses.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op5_license_scan, op6_secret_scan, op7_lsh_forest, op9_exact_dedup)}
+ORACLES = {"op7_lsh_forest": lsh_forest.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
