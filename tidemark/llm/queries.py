@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, lsh_forest, secrets
+from . import exact_dedup, licenses, lsh_forest, secrets, toxicity
 from .common import table
 
 
+def op1_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op5_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -22,5 +27,5 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_license_scan, op6_secret_scan, op7_lsh_forest, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op5_license_scan, op6_secret_scan, op7_lsh_forest, op9_exact_dedup)}
 ORACLES = {"op7_lsh_forest": lsh_forest.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
