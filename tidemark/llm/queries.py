@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, lsh_forest, secrets, toxicity
+from . import exact_dedup, gif, licenses, lsh_forest, packing, secrets, toxicity
 from .common import table
 
 
@@ -11,6 +11,12 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op2_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -27,5 +33,9 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_license_scan, op6_secret_scan, op7_lsh_forest, op9_exact_dedup)}
+def op10_gif(spark, sf_dir):
+    return gif.gif_columns(table(spark, sf_dir, "documents")).drop("frames")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op5_license_scan, op6_secret_scan, op7_lsh_forest, op9_exact_dedup, op10_gif)}
 ORACLES = {"op7_lsh_forest": lsh_forest.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
