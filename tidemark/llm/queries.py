@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, gif, licenses, lsh_forest, packing, secrets, toxicity
+from . import exact_dedup, gif, licenses, lsh_forest, packing, secrets, toxicity, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op7_lsh_forest(spark, sf_dir):
     return lsh_forest.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark, sf_dir):
+    return warc.archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_gif(spark, sf_dir):
     return gif.gif_columns(table(spark, sf_dir, "documents")).drop("frames")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op5_license_scan, op6_secret_scan, op7_lsh_forest, op9_exact_dedup, op10_gif)}
-ORACLES = {"op7_lsh_forest": lsh_forest.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op5_license_scan, op6_secret_scan, op7_lsh_forest, op8_warc, op9_exact_dedup, op10_gif)}
+ORACLES = {"op8_warc": warc.ORACLE_SQL, "op7_lsh_forest": lsh_forest.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}
