@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, gif, licenses, lsh_forest, packing, quality, secrets, toxicity, warc
+from . import exact_dedup, gif, licenses, lsh_forest, packing, quality, secrets, sentence_pieces, toxicity, warc
 from .common import table
 
 
@@ -24,6 +24,12 @@ def op3_ordinal_quality(spark, sf_dir):
     return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels"), F.expr(quality.GRADE), quality.GRADES))
 
 
+def op4_sentence_pieces(spark, sf_dir):
+    import public_tokenizers
+
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op5_license_scan(spark, sf_dir):
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -48,5 +54,5 @@ def op10_gif(spark, sf_dir):
     return gif.gif_columns(table(spark, sf_dir, "documents")).drop("frames")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_ordinal_quality, op5_license_scan, op6_secret_scan, op7_lsh_forest, op8_warc, op9_exact_dedup, op10_gif)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_ordinal_quality, op4_sentence_pieces, op5_license_scan, op6_secret_scan, op7_lsh_forest, op8_warc, op9_exact_dedup, op10_gif)}
 ORACLES = {"op8_warc": warc.ORACLE_SQL, "op7_lsh_forest": lsh_forest.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op6_secret_scan": secrets.ORACLE_SQL, "op9_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -320,3 +320,20 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(work, f"doc_id {kind.simpleString()}, score double, spans array<struct<start:int,end:int,probability:double>>")
     return scored.select("doc_id", (~training_row()).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+
+
+def without_toxic(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold; order and repeats stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        c, known = m["calibration"], Scores(m["weights"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                odds = np.array([c @ [1, *facts] for facts, _ in _read(part.column(text).to_pylist(), m, known)])
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))) < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
