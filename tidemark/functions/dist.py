@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def normal_cdf(x: Column) -> Column:
@@ -75,7 +76,7 @@ def beta_cdf(a: float, b: float, x: float) -> float:
     return 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_tail(value: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     """P(F > value); null where a value is missing or a degree of freedom isn't positive."""
     return pd.Series([None if np.isnan([v, a, b]).any() or a <= 0 or b <= 0 else beta_cdf(b / 2, a / 2, b / (b + a * max(v, 0.0)))
@@ -93,5 +94,10 @@ _ADF_LOW, _ADF_HIGH, _ADF_MAX, _ADF_MIN, _ADF_STAR = (2.1659, 1.4412, 0.038269),
 
 def adf_p(tau: Column) -> Column:
     """MacKinnon's approximate p-value of the Dickey-Fuller statistic with a constant."""
-    poly = lambda c: sum((x * F.pow(tau, F.lit(i)) for i, x in enumerate(c)), F.lit(0.0))
-    return F.when(tau > _ADF_MAX, 1.0).when(tau < _ADF_MIN, 0.0).when(tau <= _ADF_STAR, normal_cdf(poly(_ADF_LOW))).otherwise(normal_cdf(poly(_ADF_HIGH)))
+
+    def one(t: Column) -> Column:
+        poly = lambda c: sum((x * F.pow(t, F.lit(i)) for i, x in enumerate(c)), F.lit(0.0))
+        return F.when(t > _ADF_MAX, 1.0).when(t < _ADF_MIN, 0.0).when(t <= _ADF_STAR, normal_cdf(poly(_ADF_LOW))).otherwise(normal_cdf(poly(_ADF_HIGH)))
+
+    # As a lambda's variable the statistic is computed once, not once for each place that uses it.
+    return F.transform(F.array(tau), one)[0]

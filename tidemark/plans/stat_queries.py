@@ -1,5 +1,194 @@
-"""Queries."""
+"""Queries of the statistical operators (A)."""
 
-from tidemark.plans.base import registry
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import dist
+from tidemark.operators import features, regression, testing
+from tidemark.plans import tables as T
+from tidemark.plans.base import registry, rounded
 
 QUERIES, ORACLES, register = registry()
+_A = f"WITH {T.ANALYSIS}"
+
+#: (analysis, outcome, predictor)
+OLS_SPECS = [("intraday", "intraday_return", "intraday_sentiment_index"), ("overnight", "cc_return", "overnight_sentiment_index"), ("volatility", "parkinson_volatility", "overnight_sentiment_index")]
+FORWARD = [("intraday->return", "cc_return", "intraday_sentiment_index"), ("overnight->return", "cc_return", "overnight_sentiment_index"),
+           ("intraday->volatility", "parkinson_volatility", "intraday_sentiment_index"), ("overnight->volatility", "parkinson_volatility", "overnight_sentiment_index")]
+REVERSE = [("return->intraday", "intraday_sentiment_index", "cc_return"), ("return->overnight", "overnight_sentiment_index", "cc_return"),
+           ("volatility->intraday", "intraday_sentiment_index", "parkinson_volatility"), ("volatility->overnight", "overnight_sentiment_index", "parkinson_volatility")]
+
+
+def _long(pairs) -> str:
+    return ", long AS (" + " UNION ALL ".join(f"SELECT instrument, date, '{n}' AS analysis, CAST({y} AS DOUBLE) AS y, CAST({x} AS DOUBLE) AS x FROM analysis WHERE {y} IS NOT NULL AND {x} IS NOT NULL" for n, y, x in pairs) + ")"
+
+
+@register(f"{_A} SELECT instrument, count(*) AS n FROM analysis WHERE cc_return IS NOT NULL AND overnight_sentiment_index IS NOT NULL GROUP BY instrument")
+def a1_complete_sample(spark, d):
+    rows = regression.complete(T.analysis(spark, d), ["cc_return", "overnight_sentiment_index"])
+    return rows.groupBy("instrument").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DF0 = f"""{_A}, s AS (SELECT instrument, date, overnight_sentiment_index AS v FROM analysis WHERE overnight_sentiment_index IS NOT NULL),
+l AS (SELECT *, lag(v) OVER (PARTITION BY instrument ORDER BY date) AS y1 FROM s), g AS (SELECT instrument, count(*) AS n, count(y1) AS m, regr_slope(v - y1, y1) AS b, regr_sxx(v - y1, y1) AS sxx, regr_syy(v - y1, y1) AS syy FROM l GROUP BY instrument),
+tau AS (SELECT instrument, n, b / sqrt((syy - b * b * sxx) / (m - 2) / sxx) AS t FROM g)"""
+_LOW = "(2.1659 + 1.4412 * t + 0.038269 * t * t)"
+_HIGH = "(1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t)"
+_P = f"CASE WHEN t > 2.74 THEN 1 WHEN t < -18.83 THEN 0 WHEN t <= -1.61 THEN {dist.normal_cdf_sql(_LOW)} ELSE {dist.normal_cdf_sql(_HIGH)} END"
+
+
+@register(f"{_DF0} SELECT instrument, CASE WHEN {_P} < 0.05 THEN 'STATIONARY_5PCT' ELSE 'NONSTATIONARY_5PCT' END AS status, n, 0 AS lag, round(t, 6) AS statistic, round({_P}, 6) AS p_value FROM tau")
+def a3_a5_adf_lag0(spark, d):
+    return rounded(regression.adf(T.analysis(spark, d), ["instrument"], "overnight_sentiment_index", fixed=0), 6)
+
+
+@register()
+def a2_adf_aic(spark, d):
+    """All variables of all instruments, the lag by AIC."""
+    names = ["intraday_sentiment_index", "overnight_sentiment_index", "cc_return", "parkinson_volatility"]
+    rows = T.analysis(spark, d)
+    long = rows.select("instrument", "date", F.explode(F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select("instrument", "date", "x.*")
+    return rounded(regression.adf(long, ["instrument", "variable"], "value"), 6)
+
+
+@register()
+def a3_adf_fixed_lags(spark, d):
+    rows = T.analysis(spark, d)
+    out = [regression.adf(rows, ["instrument"], "overnight_sentiment_index", fixed=k) for k in (1, 2, 3)]
+    return rounded(out[0].union(out[1]).union(out[2]), 6)
+
+
+@register()
+def a4_adf_level_and_difference(spark, d):
+    rows = features.first_difference(T.analysis(spark, d), "overnight_sentiment_index")
+    long = rows.select("instrument", "date", F.explode(F.array(*[F.struct(F.lit(n).alias("form"), F.col(c).alias("value")) for n, c in (("level", "overnight_sentiment_index"), ("difference", "overnight_sentiment_index_diff"))])).alias("x")).select("instrument", "date", "x.*")
+    return rounded(regression.adf(long, ["instrument", "form"], "value"), 6)
+
+
+_HAC = """, b AS (SELECT analysis, instrument, count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, sum(x) AS sx, sum(x * x) AS sxx FROM long GROUP BY ALL),
+e AS (SELECT l.analysis, l.instrument, l.date, y - b.a - b.b * x AS g0, x * (y - b.a - b.b * x) AS g1 FROM long l JOIN b ON b.analysis = l.analysis AND b.instrument = l.instrument),
+k AS (SELECT *, lag(g0, 1) OVER w AS p1, lag(g0, 2) OVER w AS p2, lag(g0, 3) OVER w AS p3, lag(g1, 1) OVER w AS q1, lag(g1, 2) OVER w AS q2, lag(g1, 3) OVER w AS q3 FROM e WINDOW w AS (PARTITION BY analysis, instrument ORDER BY date)),
+m AS (SELECT analysis, instrument, sum(g0 * g0) + 2 * (0.75 * sum(g0 * p1) + 0.5 * sum(g0 * p2) + 0.25 * sum(g0 * p3)) AS m00,
+  sum(g0 * g1) + 0.75 * sum(g0 * q1 + g1 * p1) + 0.5 * sum(g0 * q2 + g1 * p2) + 0.25 * sum(g0 * q3 + g1 * p3) AS m01,
+  sum(g1 * g1) + 2 * (0.75 * sum(g1 * q1) + 0.5 * sum(g1 * q2) + 0.25 * sum(g1 * q3)) AS m11 FROM k GROUP BY ALL),
+z AS (SELECT b.*, sqrt((sx * sx * m00 - 2 * n * sx * m01 + CAST(n AS DOUBLE) * n * m11) / pow(n * sxx - sx * sx, 2)) AS se FROM b JOIN m ON m.analysis = b.analysis AND m.instrument = b.instrument)"""
+_NORMAL = f"2 * (1 - {dist.normal_cdf_sql('abs(b / se)')})"
+
+
+@register(f"{_A}{_long(OLS_SPECS)}{_HAC} SELECT instrument, analysis, 'OK' AS status, n, round(r2, 6) AS r2, round(b, 6) AS coef, round(se, 6) AS hac_se, round(b / se, 5) AS z, round({_NORMAL}, 5) AS p_value FROM z")
+def a6_a7_hac_specs(spark, d):
+    rows = regression.specs(T.analysis(spark, d), OLS_SPECS, ["instrument"], ["date"])
+    return rounded(regression.hac_ols(rows, ["instrument", "analysis"], "y", ["x"]), 6, z=5, p_value=5)
+
+
+@register()
+def a7_hac_with_controls(spark, d):
+    """The specs with the market's change as a control."""
+    rows = regression.specs(T.analysis(spark, d), OLS_SPECS, ["instrument"], ["date", "market_change"])
+    return rounded(regression.hac_ols(rows, ["instrument", "analysis"], "y", ["x", "market_change"]), 6)
+
+
+_GRANGER = """, g AS (SELECT *, lag(y) OVER w AS y1, lag(x) OVER w AS x1 FROM long WINDOW w AS (PARTITION BY analysis, instrument ORDER BY date)),
+s AS (SELECT analysis, instrument, count(*) AS n, count(y1) AS t, covar_pop(y, y1) AS cy1, covar_pop(y, x1) AS cx1, covar_pop(y1, x1) AS c11, var_pop(y) FILTER (WHERE y1 IS NOT NULL) AS vy, var_pop(y1) AS v1, var_pop(x1) AS vx FROM g GROUP BY ALL),
+q AS (SELECT *, t * (vy - cy1 * cy1 / v1) AS sr, t * (vy - (cy1 * cy1 * vx - 2 * cy1 * cx1 * c11 + cx1 * cx1 * v1) / (v1 * vx - c11 * c11)) AS su FROM s)
+SELECT instrument, analysis, 1 AS lag, 'OK' AS status, n, round((sr - su) / (su / (t - 3)), 5) AS statistic FROM q"""
+
+
+def _granger(spark, d, pairs, lag):
+    return regression.granger(regression.specs(T.analysis(spark, d), pairs, ["instrument"], ["date"]), ["instrument", "analysis"], "y", "x", max_lag=lag)
+
+
+@register(f"{_A}{_long(FORWARD)}{_GRANGER}")
+def a8_a9_granger_forward_lag1(spark, d):
+    return rounded(_granger(spark, d, FORWARD, 1).drop("p_value"), 5)
+
+
+@register(f"{_A}{_long(REVERSE)}{_GRANGER}")
+def a10_granger_reverse_lag1(spark, d):
+    return rounded(_granger(spark, d, REVERSE, 1).drop("p_value"), 5)
+
+
+@register()
+def a9_granger_all_lags(spark, d):
+    return rounded(_granger(spark, d, FORWARD + REVERSE, 3), 6)
+
+
+_Z = f"""WITH {T.RETURNS}, m AS (SELECT instrument, CAST(date_trunc('month', date) AS DATE) AS month, count(cc_return) AS n, avg(cc_return) / (stddev_samp(cc_return) / sqrt(count(cc_return))) AS z FROM featured GROUP BY ALL),
+p AS (SELECT instrument, month, z, CASE WHEN n >= 20 THEN 'OK' ELSE 'SKIP_TOO_FEW' END AS status, 2 * (1 - {dist.normal_cdf_sql("abs(z)")}) AS p FROM m WHERE z IS NOT NULL),
+k AS (SELECT *, count(*) OVER (PARTITION BY status) AS fam, row_number() OVER (PARTITION BY status ORDER BY p) AS k FROM p),
+a AS (SELECT *, CASE WHEN status = 'OK' THEN least(1, min(p * fam / k) OVER (PARTITION BY status ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) END AS p_bh, CASE WHEN status = 'OK' THEN least(1, p * fam) END AS p_bonferroni FROM k)"""
+
+
+def _adjusted(spark, d):
+    rows = features.price_features(T.bars(spark, d)).groupBy("instrument", F.trunc("date", "month").alias("month")).agg(F.count("cc_return").alias("n"), testing.t_statistic(F.col("cc_return")).alias("z")).filter("z IS NOT NULL")
+    status = F.when(F.col("n") >= 20, "OK").otherwise("SKIP_TOO_FEW")
+    return testing.adjust(rows.select("instrument", "month", "z", status.alias("status"), dist.two_sided_normal(F.col("z")).alias("p_value")))
+
+
+@register(f"{_Z} SELECT instrument, month, round(z, 6) AS z, status, round(p, 6) AS p_value, round(p_bh, 6) AS p_bh, round(p_bonferroni, 5) AS p_bonferroni, coalesce(p_bh <= 0.05, false) AS reject_bh, coalesce(p_bonferroni <= 0.05, false) AS reject_bonferroni FROM a")
+def a11_a12_adjusted(spark, d):
+    return rounded(_adjusted(spark, d), 6, p_bonferroni=5)
+
+
+@register(f"{_Z} SELECT status, count(p) AS tests, count(*) FILTER (WHERE p < 0.05) AS raw, count(*) FILTER (WHERE p_bh < 0.05) AS bh, count(*) FILTER (WHERE p_bonferroni < 0.05) AS bonferroni FROM a GROUP BY status")
+def a13_tallies(spark, d):
+    return testing.tallies(_adjusted(spark, d), by=["status"])
+
+
+@register(f"WITH {T.RETURNS} SELECT instrument, count(cc_return) AS n, round(avg(cc_return), 8) AS mean, round(avg(cc_return) / (stddev_samp(cc_return) / sqrt(count(cc_return))), 6) AS statistic FROM featured GROUP BY instrument")
+def a14_t_test(spark, d):
+    rows = features.price_features(T.bars(spark, d))
+    return rounded(testing.t_test(rows, ["instrument"], "cc_return").drop("p_value"), 8, statistic=6)
+
+
+_YEAR = f"WITH {T.SENTIMENT}, v AS (SELECT instrument, year(date) AS year, overnight_sentiment_index AS x FROM sentiment WHERE overnight_no_posts = 0)"
+
+
+def _yearly(spark, d):
+    return T.sentiment(spark, d).filter("overnight_no_posts = 0").select("instrument", F.year("date").cast("long").alias("year"), F.round("overnight_sentiment_index", 9).alias("x"))
+
+
+@register(f"""WITH {T.SENTIMENT}, v AS (SELECT instrument, year(date) AS year, round(overnight_sentiment_index, 9) AS x FROM sentiment WHERE overnight_no_posts = 0),
+r AS (SELECT *, count(*) OVER (PARTITION BY instrument, year, abs(x)) AS t, rank() OVER (PARTITION BY instrument, year ORDER BY abs(x)) AS k FROM v WHERE x <> 0),
+s AS (SELECT instrument, year, count(*) AS n, sum(CASE WHEN x > 0 THEN k + (t - 1) / 2 ELSE 0 END) AS w, sum(t * t - 1.0) AS ties FROM r GROUP BY ALL)
+SELECT instrument, year, n, CAST(w AS DOUBLE) AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM s WHERE n > 60""")
+def a15_wilcoxon(spark, d):
+    return rounded(testing.wilcoxon(_yearly(spark, d), ["instrument", "year"], "x").filter("n > 60").select("instrument", "year", "n", "w_plus", "z"), 6)
+
+
+_CHOOSE = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))"
+
+
+@register(f"""WITH {T.SENTIMENT}, v AS (SELECT instrument, year(date) AS year, round(overnight_sentiment_index, 9) AS x FROM sentiment WHERE overnight_no_posts = 0), s AS (SELECT instrument, year, count(*) FILTER (WHERE x <> 0) AS n, count(*) FILTER (WHERE x > 0) AS positive FROM v GROUP BY ALL),
+i AS (SELECT *, unnest(range(n + 1)) AS i FROM s) SELECT instrument, year, n, positive, round(least(1, sum({_CHOOSE}) FILTER (WHERE i >= positive)), 7) AS p_greater, round(least(1, 2 * least(sum({_CHOOSE}) FILTER (WHERE i >= positive), sum({_CHOOSE}) FILTER (WHERE i >= n - positive))), 7) AS p_two_sided FROM i GROUP BY ALL""")
+def a16_sign_test(spark, d):
+    return rounded(testing.sign_test(_yearly(spark, d), ["instrument", "year"], "x"), 7)
+
+
+@register(f"WITH {T.SENTIMENT}, v AS (SELECT instrument, year(date) AS year, round(overnight_sentiment_index, 9) AS x FROM sentiment WHERE overnight_no_posts = 0) SELECT instrument, year, count(*) AS n, count(*) FILTER (WHERE x < 0) AS negative, count(*) FILTER (WHERE x > 0) AS positive, count(*) FILTER (WHERE x = 0) AS zero, round(avg(CASE WHEN x < 0 THEN 1.0 ELSE 0 END), 7) AS negative_ratio, round(avg(x), 7) AS mean, round(quantile_cont(x, 0.5), 7) AS median, round(stddev_samp(x), 7) AS std FROM v GROUP BY ALL")
+def a17_bias_summary(spark, d):
+    return rounded(testing.bias_summary(_yearly(spark, d), ["instrument", "year"], "x").drop("p_sign", "p_wilcoxon"), 7)
+
+
+@register(f"WITH {T.RETURNS} SELECT instrument, date, round({dist.normal_cdf_sql('(cc_return * 10)')}, 7) AS p FROM featured WHERE cc_return IS NOT NULL")
+def a18_normal_cdf(spark, d):
+    rows = features.price_features(T.bars(spark, d)).filter("cc_return IS NOT NULL")
+    return rows.select("instrument", "date", F.round(dist.normal_cdf(F.col("cc_return") * 10), 7).alias("p"))
+
+
+@register()
+def a19_t_p_values(spark, d):
+    rows = features.price_features(T.bars(spark, d)).withColumn("month", F.trunc("date", "month"))
+    return rounded(testing.t_test(rows, ["instrument", "month"], "cc_return"), 6)
+
+
+@register(f"""{_A}, s AS (SELECT * FROM analysis WHERE cc_return IS NOT NULL AND overnight_sentiment_index IS NOT NULL AND market_change IS NOT NULL),
+m AS (SELECT instrument, count(*) AS n, avg(cc_return) AS my, avg(overnight_sentiment_index) AS m1, avg(market_change) AS m2, var_pop(cc_return) AS vy, var_pop(overnight_sentiment_index) AS v1, var_pop(market_change) AS v2,
+  covar_pop(cc_return, overnight_sentiment_index) AS c1, covar_pop(cc_return, market_change) AS c2, covar_pop(overnight_sentiment_index, market_change) AS c12 FROM s GROUP BY instrument),
+b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM m)
+SELECT instrument, n, round(my - b1 * m1 - b2 * m2, 7) AS b0, round(b1, 7) AS b1, round(b2, 7) AS b2, round(n * (vy - b1 * c1 - b2 * c2), 5) AS ssr, round((b1 * c1 + b2 * c2) / vy, 7) AS r2,
+  round(sqrt(n * (vy - b1 * c1 - b2 * c2) / (n - 3) * v2 / (v1 * v2 - c12 * c12) / n), 7) AS se1 FROM b""")
+def a20_ols(spark, d):
+    fit = regression.ols(T.analysis(spark, d), ["instrument"], "cc_return", ["overnight_sentiment_index", "market_change"])
+    return rounded(fit.select("instrument", "n", F.col("coef")[0].alias("b0"), F.col("coef")[1].alias("b1"), F.col("coef")[2].alias("b2"), "ssr", "r2", F.col("se")[1].alias("se1")), 7, ssr=5)
