@@ -1,5 +1,88 @@
-"""Queries."""
+"""Queries of the event study (E)."""
 
-from tidemark.plans.base import registry
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import events
+from tidemark.plans import tables as T
+from tidemark.plans.base import registry, rounded
 
 QUERIES, ORACLES, register = registry()
+SESSIONS = {"intraday": "intraday_sentiment_index", "overnight": "overnight_sentiment_index"}
+
+
+def _rows(spark, d):
+    """Analysis rows; sentiments rounded, so that values at a quantile compare alike in both engines."""
+    rows = T.analysis(spark, d)
+    return rows.withColumns({c: F.round(c, 9) for c in SESSIONS.values()})
+
+
+_P = f"""WITH {T.ANALYSIS}, placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY instrument ORDER BY date) - 1 AS INTEGER) AS position FROM analysis),
+long AS (SELECT instrument, date, position, 'intraday' AS session, round(intraday_sentiment_index, 9) AS sentiment FROM placed WHERE intraday_sentiment_index IS NOT NULL UNION ALL
+  SELECT instrument, date, position, 'overnight', round(overnight_sentiment_index, 9) FROM placed WHERE overnight_sentiment_index IS NOT NULL),
+ends AS (SELECT instrument, session, quantile_cont(sentiment, 0.05) AS low, quantile_cont(sentiment, 0.95) AS high FROM long GROUP BY ALL),
+tagged AS (SELECT l.*, CASE WHEN sentiment <= low THEN 'negative' ELSE 'positive' END AS direction, CASE WHEN sentiment <= low THEN -sentiment ELSE sentiment END AS extremeness, CASE WHEN sentiment <= low THEN low ELSE high END AS threshold
+  FROM long l JOIN ends e ON e.instrument = l.instrument AND e.session = l.session WHERE sentiment <= low OR sentiment >= high)"""
+_M = """, models AS (SELECT instrument, date, position, cc_return, market_change, regr_count(cc_return, market_change) OVER w AS k, regr_intercept(cc_return, market_change) OVER w AS alpha, regr_slope(cc_return, market_change) OVER w AS beta
+  FROM placed WINDOW w AS (PARTITION BY instrument ORDER BY date ROWS BETWEEN 65 PRECEDING AND 6 PRECEDING))"""
+#: Without selection: every candidate with a model is an event (the greedy choice depends on its order, which SQL can't fold).
+_R = f"""{_P}{_M}, ev AS (SELECT t.*, alpha, beta FROM tagged t JOIN models m ON m.instrument = t.instrument AND m.position = t.position WHERE k >= 30),
+ar AS (SELECT ev.instrument, ev.session, ev.direction, ev.date AS event_date, m.position - ev.position AS tau, m.cc_return - (ev.alpha + ev.beta * m.market_change) AS ar
+  FROM ev JOIN models m ON m.instrument = ev.instrument AND m.position BETWEEN ev.position - 5 AND ev.position + 5 WHERE m.cc_return IS NOT NULL AND m.market_change IS NOT NULL)"""
+
+
+@register(f"{_P} SELECT instrument, session, date, direction, round(extremeness, 7) AS extremeness, round(threshold, 7) AS threshold FROM tagged")
+def e1_e2_candidates(spark, d):
+    return rounded(events.candidates(_rows(spark, d), SESSIONS).select("instrument", "session", "date", "direction", "extremeness", "threshold"), 7)
+
+
+@register()
+def e3_e7_events(spark, d):
+    return rounded(events.events(_rows(spark, d), SESSIONS).select("event_id", "instrument", "session", "direction", "date", "sentiment", "threshold", "alpha", "beta", "estimation_n", "r_squared"), 6)
+
+
+@register(f"{_P}{_M} SELECT instrument, date, k AS estimation_n, round(CASE WHEN k >= 30 THEN alpha END, 6) AS alpha, round(CASE WHEN k >= 30 THEN beta END, 6) AS beta FROM models")
+def e4_e5_market_models(spark, d):
+    return rounded(events.market_models(_rows(spark, d)).select("instrument", "date", "estimation_n", "alpha", "beta"), 6)
+
+
+def _all_events(spark, d):
+    rows = _rows(spark, d)
+    models = events.market_models(rows).select("instrument", "position", "alpha", "beta").filter("alpha IS NOT NULL")
+    chosen = events.candidates(rows, SESSIONS).join(models, ["instrument", "position"])
+    return events.abnormal_returns(chosen.withColumn("event_id", F.concat_ws("_", "instrument", "session", "direction", "date")), rows)
+
+
+@register(f"{_R} SELECT instrument, session, direction, event_date, CAST(tau AS INTEGER) AS tau, round(ar, 6) AS abnormal_return FROM ar")
+def e6_abnormal_returns(spark, d):
+    return rounded(_all_events(spark, d).select("instrument", "session", "direction", "event_date", "tau", "abnormal_return"), 6)
+
+
+_CAR = f"""{_R}, w(session, first, last) AS (VALUES {", ".join(f"('{s}', {a}, {b})" for s, ws in events.WINDOWS.items() for a, b in ws)}),
+cars AS (SELECT instrument, ar.session, direction, event_date, first, last, sum(ar) AS car FROM ar JOIN w ON w.session = ar.session AND tau BETWEEN first AND last GROUP BY ALL HAVING count(*) = last - first + 1)"""
+
+
+@register(f"{_CAR} SELECT instrument, session, direction, event_date, first, last, round(car, 6) AS car FROM cars")
+def e8_car(spark, d):
+    out = events.car(_all_events(spark, d))
+    return rounded(out.select("instrument", "session", "direction", F.substring_index("event_id", "_", -1).cast("date").alias("event_date"), "first", "last", "car"), 6)
+
+
+@register(f"{_CAR} SELECT instrument, session, direction, first, last, count(*) AS n, round(avg(car), 6) AS mean, round(quantile_cont(car, 0.5), 6) AS median, round(stddev_samp(car), 6) AS std, round(avg(car) / (stddev_samp(car) / sqrt(count(*))), 5) AS t FROM cars GROUP BY ALL")
+def e9_car_summary(spark, d):
+    out = events.car_summary(events.car(_all_events(spark, d)))
+    return rounded(out.select("instrument", "session", "direction", "first", "last", "n", "mean", "median", "std", "t"), 6, t=5)
+
+
+@register()
+def e9_e11_significant(spark, d):
+    """The whole study over the selected events: windows significant before adjustment, with all p-values."""
+    rows = _rows(spark, d)
+    returns = events.abnormal_returns(events.events(rows, SESSIONS), rows)
+    return rounded(events.significant(events.car_summary(events.car(returns)), alpha=0.2), 6)
+
+
+@register(f"{_R} SELECT session, direction, CAST(tau AS INTEGER) AS tau, round(avg(ar), 6) AS mean_ar, count(*) AS n, round(sum(avg(ar)) OVER (PARTITION BY session, direction ORDER BY tau), 6) AS mean_car FROM ar GROUP BY session, direction, tau")
+def e10_average_path(spark, d):
+    return rounded(events.average_path(_all_events(spark, d), ["session", "direction"]), 6)
