@@ -1,5 +1,153 @@
-"""Queries."""
+"""Queries of the models and their comparison (M), and streaming over files (X)."""
 
-from tidemark.plans.base import registry
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import calendar, models
+from tidemark.plans import tables as T
+from tidemark.plans.base import registry, rounded
+from tidemark.plans.feature_queries import FEATURE_TABLE, feature_table
+from tidemark.sources.readers import metric_table
+from tidemark.streaming import streams
 
 QUERIES, ORACLES, register = registry()
+BASE = ["rolling_volatility_lag1", "rolling_volatility_lag2", "rolling_volatility_lag3", "cc_return_lag1", "market_change_lag1"]
+SENTIMENT = ["sentiment_overnight", "sentiment_intraday"]
+_T = f"WITH {FEATURE_TABLE}, placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY instrument ORDER BY date) - 1 AS INTEGER) AS position, count(*) OVER (PARTITION BY instrument) AS n_rows FROM table_rows), split AS (SELECT *, CASE WHEN position >= n_rows - 15 THEN 'holdout' WHEN position < 50 THEN 'train' ELSE 'validation' END AS part FROM placed)"
+#: Calibration on the validation rows, predictions of the holdout by two one-variable lines.
+_FIT = f"""{_T}, fits AS (SELECT instrument, regr_intercept(target_vol_pk, rolling_volatility_lag1) AS a1, regr_slope(target_vol_pk, rolling_volatility_lag1) AS b1,
+  regr_intercept(target_vol_pk, sentiment_intraday) AS a2, regr_slope(target_vol_pk, sentiment_intraday) AS b2 FROM split WHERE part = 'validation' GROUP BY instrument),
+pred AS (SELECT s.instrument, s.date, s.position, target_vol_pk AS actual, rolling_volatility_lag1 AS raw, a1 + b1 * rolling_volatility_lag1 AS base, a2 + b2 * sentiment_intraday AS sent,
+  pow(target_vol_pk - (a1 + b1 * rolling_volatility_lag1), 2) - pow(target_vol_pk - (a2 + b2 * sentiment_intraday), 2) AS d FROM split s JOIN fits f ON f.instrument = s.instrument WHERE part = 'holdout')"""
+
+
+def _split(spark, d):
+    return models.split(feature_table(spark, d))
+
+
+def _holdout(spark, d):
+    rows = models.calibrate(_split(spark, d), "target_vol_pk", ["rolling_volatility_lag1"], name="base")
+    rows = models.calibrate(rows, "target_vol_pk", ["sentiment_intraday"], name="sent")
+    return rows.filter("split = 'holdout'").select("instrument", "date", "position", F.col("target_vol_pk").alias("actual"), F.col("rolling_volatility_lag1").alias("raw"), "base", "sent")
+
+
+@register(f"{_T} SELECT instrument, date, position, part AS split FROM split")
+def m1_split(spark, d):
+    return _split(spark, d).select("instrument", "date", "position", "split")
+
+
+@register(f"{_T} SELECT instrument, date, round(CASE WHEN position >= 50 THEN regr_intercept(target_vol_pk, rolling_volatility_lag1) OVER w + regr_slope(target_vol_pk, rolling_volatility_lag1) OVER w * rolling_volatility_lag1 END, 6) AS prediction FROM split WINDOW w AS (PARTITION BY instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def m2_expanding_walk_forward(spark, d):
+    out = models.expanding_line(feature_table(spark, d), "target_vol_pk", "rolling_volatility_lag1")
+    return rounded(out.select("instrument", "date", "prediction"), 6)
+
+
+@register()
+def m3_garch_grid(spark, d):
+    out = models.garch_forecast(T.analysis(spark, d).select("instrument", "date", "cc_return"), last=60)
+    return rounded(out.select("instrument", "date", "alpha", "beta", "volatility"), 6)
+
+
+@register(f"{_FIT} SELECT instrument, date, round(actual, 7) AS actual, round(base, 7) AS base, round(sent, 7) AS sent FROM pred")
+def m5_calibrated_holdout(spark, d):
+    return rounded(_holdout(spark, d).select("instrument", "date", "actual", "base", "sent"), 7)
+
+
+@register()
+def m6_coefficient_p_values(spark, d):
+    out = models.calibrate(_split(spark, d), "target_vol_pk", ["rolling_volatility_lag1", "sentiment_intraday"], name="x")
+    return rounded(out.groupBy("instrument").agg(F.first("x_p").alias("p_value")), 6)
+
+
+@register()
+def m7_ridge(spark, d):
+    """Base features, and with both sentiments (M8), alpha chosen by folds in time order."""
+    rows = _split(spark, d)
+    base = models.ridge(rows, "target_vol_pk", BASE, name="ridge")
+    both = models.ridge(rows, "target_vol_pk", BASE + SENTIMENT, name="ridge_sentiment").select("instrument", "date", "ridge_sentiment", "ridge_sentiment_alpha")
+    out = base.filter("split = 'holdout'").join(both, ["instrument", "date"])
+    return rounded(out.select("instrument", "date", "target_vol_pk", "ridge", "ridge_alpha", "ridge_sentiment", "ridge_sentiment_alpha"), 6)
+
+
+def _cutoffs(rows, n):
+    last = rows.agg(F.max("date")).first()[0]
+    import datetime
+
+    return [last - datetime.timedelta(days=30 * k) for k in range(n, 0, -1)]
+
+
+@register()
+def m9_m10_boosted_trees(spark, d):
+    """Trees on the pooled panel: depth by two expanding folds, then refitted at two cutoffs."""
+    rows = feature_table(spark, d).select("instrument", "date", "target_vol_pk", *BASE, *SENTIMENT).cache()
+    cuts = _cutoffs(rows, 4)
+    best, _ = models.tune_trees(rows, "target_vol_pk", BASE, cuts[:3], [{"maxDepth": k, "maxIter": 5} for k in (2, 3)])
+    out = models.tree_walk_forward(rows, "target_vol_pk", BASE + SENTIMENT, cuts[2:], params=best)
+    return out.select("instrument", "date", F.round("prediction", 6).alias("prediction"))
+
+
+_ACC = "SELECT instrument, '{0}' AS model, round(sqrt(avg(pow(actual - {0}, 2))), 6) AS rmse, round(avg(abs(actual - {0})), 6) AS mae, count(*) AS n FROM pred GROUP BY instrument"
+
+
+@register(f"{_FIT} {' UNION ALL '.join(_ACC.format(m) for m in ('raw', 'base', 'sent'))}")
+def m11_accuracy(spark, d):
+    return rounded(models.accuracy(_holdout(spark, d), "actual", {m: m for m in ("raw", "base", "sent")}, ["instrument"]), 6)
+
+
+@register(f"{_FIT} SELECT instrument, count(*) AS n, round(avg(d), 7) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) AS statistic FROM pred GROUP BY instrument")
+def m12_diebold_mariano(spark, d):
+    return rounded(models.diebold_mariano(_holdout(spark, d), "actual", "base", "sent", ["instrument"]).drop("p_value"), 7, statistic=5)
+
+
+_LRV = """, c AS (SELECT instrument, position, d, d - avg(d) OVER (PARTITION BY instrument) AS c FROM pred), lagged AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(c, 3) OVER w AS c3, lag(c, 4) OVER w AS c4 FROM c WINDOW w AS (PARTITION BY instrument ORDER BY position)),
+v AS (SELECT instrument, count(*) AS n, avg(d) AS mean, greatest((sum(c * c) + 2 * (0.8 * sum(c * c1) + 0.6 * sum(c * c2) + 0.4 * sum(c * c3) + 0.2 * sum(c * c4))) / count(*), 1e-12) AS variance FROM lagged GROUP BY instrument)"""
+
+
+@register(f"{_FIT}{_LRV} SELECT instrument, n, round(mean, 7) AS mean, round(mean / sqrt(variance / n), 5) AS statistic FROM v")
+def m13_m14_dm_hac(spark, d):
+    return rounded(models.dm_hac(_holdout(spark, d), "actual", "base", "sent", ["instrument"], "position", 4).drop("p_value"), 7, statistic=5)
+
+
+@register()
+def m14_m17_comparisons(spark, d):
+    """The fixed comparisons with their p-values."""
+    rows, out = _holdout(spark, d), None
+    for name, one, two in (("raw vs sent", "raw", "sent"), ("base vs sent", "base", "sent"), ("raw vs base", "raw", "base")):
+        part = models.dm_hac(rows, "actual", one, two, ["instrument"], "position", 1).withColumn("comparison", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 6)
+
+
+@register(f"""{_FIT}, s AS (SELECT position - min(position) OVER (PARTITION BY instrument) AS k, CASE WHEN stddev_samp(d) OVER (PARTITION BY instrument) > 0 THEN d / stddev_samp(d) OVER (PARTITION BY instrument) ELSE 0 END AS s FROM pred),
+y AS (SELECT k, avg(s) AS d FROM s GROUP BY k), c AS (SELECT k, d, d - avg(d) OVER () AS c FROM y), lagged AS (SELECT *, lag(c) OVER (ORDER BY k) AS c1 FROM c)
+SELECT count(*) AS n, round(avg(d), 6) AS mean, count(*) FILTER (WHERE d <> 0) AS used, count(*) FILTER (WHERE d > 0) AS positive, round(avg(d) / sqrt(greatest((sum(c * c) + sum(c * c1)) / count(*), 1e-12) / count(*)), 5) AS statistic FROM lagged""")
+def m15_pooled_by_date(spark, d):
+    """Holdout days are numbered from the end of each instrument's series, as their dates differ in these tables."""
+    from pyspark.sql import Window
+
+    rows = _holdout(spark, d).withColumn("day", F.col("position") - F.min("position").over(Window.partitionBy("instrument")))
+    return rounded(models.pooled_by_date(rows, "actual", "base", "sent", "day", 1).drop("p_value", "p_sign"), 6, statistic=5)
+
+
+_WIDE = f"{_FIT}, a AS ({' UNION ALL '.join(_ACC.format(m) for m in ('raw', 'base', 'sent'))}) SELECT instrument, 'pk' AS target, 'rmse' AS metric, " + ", ".join(f"round(max(CASE WHEN model = '{m}' THEN rmse END), 4) AS {m}" for m in ("raw", "base", "sent")) + " FROM a GROUP BY instrument"
+
+
+@register(_WIDE)
+def m16_comparison_table(spark, d):
+    out = rounded(models.accuracy(_holdout(spark, d), "actual", {m: m for m in ("raw", "base", "sent")}, ["instrument"]), 6)
+    long = out.select("instrument", F.lit("pk").alias("target"), "model", F.lit("rmse").alias("metric"), F.col("rmse").alias("value"))
+    return metric_table(long, ["raw", "base", "sent"])
+
+
+@register("SELECT event_id, event_type AS instrument FROM events")
+def x1_stream_accumulate(spark, d):
+    """Every event twice through a stream of files; each id comes out once."""
+    return streams.run_once(spark, d, "events", lambda s: streams.accumulate_once(s.unionByName(s), ["event_id"], "ts").select("event_id", F.col("event_type").alias("instrument")))
+
+
+@register(f"WITH {T.POSTS}, {T.CALENDAR}, {T.SESSIONS.split(T.CALENDAR + ',', 1)[1]} SELECT instrument, session_date AS date, session, round(avg(score), 7) AS sentiment_index, count(*) AS item_count FROM assigned WHERE session_date IS NOT NULL GROUP BY ALL")
+def x2_x3_stream_session_index(spark, d):
+    """Posts as a stream into running sums by date and session; the last batch re-reads posts that a provisional day had taken."""
+    days = calendar.with_provisional(calendar.trading_calendar(T.calendar(spark, d)), T.posts(spark, d)).select("instrument", "date")
+    return rounded(streams.session_index(spark, d, days), 7)
