@@ -1,0 +1,35 @@
+"""The corpus pipeline against a brute-force version."""
+
+
+
+import pytest
+from pyspark.sql import functions as F
+
+from .test_operators import BASE, brute_components, make, rows_of, toxic_data
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def test_stages(spark, tmp_path):
+    data = toxic_data(200)
+    extra = [(1000, BASE), (1001, BASE + " "), (1002, BASE.replace("beta2", "omega", 1)), (1003, "key secret=abcdefgh99 end"), (1004, None), (1005, "")]
+    docs = make(spark, [(i, t) for i, t, _ in data] + extra).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, m) for i, _, m in data], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "secret scans", "packing"]
+    clean = stages["toxicity"](spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    left = {r["doc_id"] for r in rows_of(clean)}
+    assert {1000, 1001, 1002, 1003, 1004, 1005} <= left and sum(m for i, _, m in data if i in left) <= 3 and len(left) >= 150
+    unique = stages["exact dedup"](spark, clean, str(tmp_path))
+    ids = {r["doc_id"] for r in rows_of(unique)}
+    assert 1001 in ids and 1000 not in ids and 1004 in ids and 1005 not in ids  # the longer original stays; of two empty texts the smaller id
+    single = stages["near dedup"](spark, unique, str(tmp_path))
+    rows = [(r["doc_id"], r["text"]) for r in rows_of(unique)]
+    assert {r["doc_id"] for r in rows_of(single)} == {i for i, (_, c) in brute_components(rows).items() if c == i}
+    redacted = stages["secret scans"](spark, single, str(tmp_path))
+    assert redacted.filter("doc_id = 1003").first().text == "key [assign] end" and redacted.count() == single.count()
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in rows_of(whole.select("doc_id").distinct())} == {r["doc_id"] for r in rows_of(redacted)}
+    assert whole.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
