@@ -4,7 +4,8 @@ Texts with equal shingle sets are one class. Each class representative stands in
 run of its MinHash values. Neighbours in an order that share at least DEPTH leading values are candidates: where few
 representatives share a prefix all of them meet, in dense regions the neighbours are those with the longest common
 prefix, so the depth follows the density. A packed two-bit copy of the signature drops hopeless candidates. Candidates
-are confirmed on full shingle sets, the best ones of each representative first, then all that still join two components.
+are confirmed on full shingle sets, the best ones of each representative first, then all that still join two components;
+with these go the members of dense regions and the regions' best-linked members (hubs), if their components differ.
 
 A pair at the threshold meets in one tree with probability 0.85**4 = 0.52, so it misses all 24 with 2e-8; the packed
 signature loses 4 in a million pairs at the threshold.
@@ -24,10 +25,14 @@ from .common import settle
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
-TREES, DEPTH, LONGEST = 24, 4, 8
+TREES, DEPTH, LONGEST = 24, 4, 12
 HASHES = TREES * DEPTH
+#: Columns of the values after the prefix, two in each.
+_NEXT = [f"s{i}" for i in range((LONGEST - DEPTH) // 2)]
 #: Next neighbours in a sorted order that share the prefix.
 NEIGHBOURS = 5
+#: Hubs of a dense region, which all its members meet besides their neighbours.
+HUBS = 8
 #: Of 96 two-bit values of a pair at the threshold 85.2 agree; 4.5 standard deviations less.
 LEAST_AGREE = 71
 _FACTORS = np.random.default_rng(20240229).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,12 +109,25 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(DEPTH):
                 key = (key ^ v[:, i]) * _P
                 key ^= key >> np.uint64(31)
-            later = [(v[:, i] << np.uint64(32) | v[:, i + 1]).view(np.int64) for i in (DEPTH, DEPTH + 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, later), *map(pa.array, packed), ids], names=["key", "s1", "s2", "k1", "k2", "k3", "rep"])
+            later = [(v[:, i] << np.uint64(32) | v[:, i + 1]).view(np.int64) for i in range(DEPTH, LONGEST, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, later), *map(pa.array, packed), ids], names=["key", *_NEXT, "k1", "k2", "k3", "rep"])
+
+
+_FOUND = "key long, a long, b long, agree int, k1 long, k2 long, k3 long"
+
+
+def _agreeing(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of 96 two-bit values, how many agree."""
+    agree = np.full(len(x[0]), 96)
+    for a, b in zip(x, y):
+        d = (a ^ b).view(np.uint64)
+        agree -= np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    return agree
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs from rows in sorted order; the last rows of a batch are carried over to the next."""
+    """Candidate pairs (a, b, agree) from rows in sorted order, the last rows of a batch carried over to the next; and each
+    row (key, a, packed signature; b is null) of a dense region, that is one with more rows than are compared with each other."""
     tail: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -119,21 +137,30 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = 0 if tail is None else len(tail[0])
         key, rep = cols[0], cols[4]
         n = len(key)
-        out_a, out_b, out_n = [], [], []
+        found = []
         for step in range(1, min(NEIGHBOURS, n - 1) + 1):
             # Only pairs whose later row is new.
             i = np.flatnonzero(key[max(old, step) - step : n - step] == key[max(old, step) :]) + max(old, step) - step
-            agree = np.full(len(i), 96)
-            for k in cols[1:4]:
-                x = (k[i] ^ k[i + step]).view(np.uint64)
-                agree -= np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+            agree = _agreeing(tuple(k[i] for k in cols[1:4]), tuple(k[i + step] for k in cols[1:4]))
             near = (agree >= LEAST_AGREE) & (rep[i] != rep[i + step])
-            i = i[near]
-            out_a.append(np.minimum(rep[i], rep[i + step]))
-            out_b.append(np.maximum(rep[i], rep[i + step]))
-            out_n.append(agree[near])
-        if out_a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)] + [pa.array(np.concatenate(out_n).astype(np.int32))], names=["a", "b", "agree"])
+            i, agree = i[near], agree[near]
+            found.append((np.minimum(rep[i], rep[i + step]), np.maximum(rep[i], rep[i + step]), agree))
+        if n > NEIGHBOURS:
+            # A row and the one NEIGHBOURS before it in one region: all rows between belong to a dense region.
+            far = np.flatnonzero(key[NEIGHBOURS:] == key[:-NEIGHBOURS])
+            inside = np.zeros(n + 1, np.int64)
+            np.add.at(inside, far, 1)
+            np.add.at(inside, far + NEIGHBOURS + 1, -1)
+            dense = np.flatnonzero(np.cumsum(inside)[:n] > 0)
+        else:
+            dense = np.zeros(0, np.int64)
+        a, b, agree = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        pairs, members = len(a), len(dense)
+        none = lambda m: pa.nulls(m, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([none(pairs), pa.array(key[dense])]), pa.array(np.concatenate([a, rep[dense]])), pa.concat_arrays([pa.array(b), none(members)]),
+             pa.concat_arrays([pa.array(agree.astype(np.int32)), pa.nulls(members, pa.int32())]), *[pa.concat_arrays([none(pairs), pa.array(k[dense])]) for k in cols[1:4]]],
+            names=["key", "a", "b", "agree", "k1", "k2", "k3"])
         tail = [x[-NEIGHBOURS:] for x in cols]
 
 
@@ -151,6 +178,24 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
+def _hub_pairs(members: DataFrame, links: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs of every member of a dense region and the region's hubs in other components.
+
+    Hubs are the members with the most confirmed links, one of each of HUBS shares of the region (a map-side maximum): in a
+    crowd of near copies the copy with the fewest changes, which a much changed copy may be near to and to no other."""
+    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+    component = held.select(F.col("node").alias("rep"), "component")
+    known = members.join(degree, "rep", "left").join(component, "rep", "left").withColumns({"component": F.coalesce("component", "rep"), "degree": F.coalesce("degree", F.lit(0))})
+    best = F.struct("degree", (-F.col("rep")).alias("first"), "rep", "component", "k1", "k2", "k3")
+    hubs = known.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("share")).agg(F.max(best).alias("hub")).select("key", "hub")
+    agree = F.lit(96)
+    for k in ("k1", "k2", "k3"):
+        d = F.col(k).bitwiseXOR(F.col(f"hub.{k}"))
+        agree = agree - F.bit_count((d.bitwiseOR(F.shiftrightunsigned(d, 1))).bitwiseAND(F.lit(0x5555555555555555)))
+    met = known.join(hubs, "key").filter((F.col("component") != F.col("hub.component")) & (agree >= LEAST_AGREE))
+    return met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
+
+
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that full shingle sets confirm. Texts are joined to pairs by id; a class has a bounded number of candidates."""
     left = texts.select(F.col("_id").alias("a"), F.col("_text").alias("text_a"))
@@ -170,10 +215,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     described = settle(rows.mapInArrow(_describe, "doc_id long, n_shingles long, digest binary, signature binary"), "signatures")
     used = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = settle(used.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "classes")
-    forest = classes.select("rep", "signature").mapInArrow(_plant, "key long, s1 long, s2 long, k1 long, k2 long, k3 long, rep long")
-    order = ["key", "s1", "s2", "rep"]
-    found = forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "a long, b long, agree int")
-    pairs = settle(found.groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
+    forest = classes.select("rep", "signature").mapInArrow(_plant, ", ".join(f"{c} long" for c in ("key", *_NEXT, "k1", "k2", "k3", "rep")))
+    order = ["key", *_NEXT, "rep"]
+    found = settle(forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND), "neighbours")
+    pairs = settle(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
+    members = found.filter("b IS NULL").select("key", F.col("a").alias("rep"), "k1", "k2", "k3").distinct()
     texts = rows.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
     # An id that occurs with several texts stands for each of them; its pairs are confirmed for every combination.
     either = pairs.select("a", "b", "agree", F.col("a").alias("of"), F.col("b").alias("other")).union(pairs.select("a", "b", "agree", F.col("b"), F.col("a")))
@@ -187,7 +233,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for side in ("a", "b"):
         named = held.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         pairs = pairs.join(named, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    rest = settle(_links(pairs.filter("ca <> cb").select("a", "b"), texts), "links")
+    open_pairs = pairs.filter("ca <> cb").select("a", "b").union(_hub_pairs(members, links, held)).distinct()
+    rest = settle(_links(open_pairs, texts), "links")
     if not rest.isEmpty():
         more = rest.select("a", "b").union(held.select("node", "component"))
         held = components(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
