@@ -174,6 +174,20 @@ def test_near_dedup(spark):
     assert lsh_forest.near_dedup(make(spark, [])).count() == 0
 
 
+def test_near_dedup_of_a_crowd(spark):
+    """Copies of one text with more and more changes: the most changed ones are near to the least changed ones only."""
+    r = random.Random(17)
+    words = [r.choice(WORDS) + str(r.randrange(60)) for _ in range(150)]
+    rows = []
+    for i in range(120):
+        changed = list(words)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 2, 2])):
+            changed[r.randrange(len(changed))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(changed)))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows_of(lsh_forest.near_dedup(make(spark, rows)))}
+    assert got == brute_components(rows)
+
+
 def test_chain_is_forward_backward():
     rng = np.random.default_rng(1)
     lengths = rng.integers(0, 150, 8)
@@ -238,6 +252,8 @@ def test_quality(spark):
     means = [np.mean([e for _, e, g in held if g == k]) for k in range(3)]
     assert means[0] < means[1] < means[2]
     assert by[900]["tail_probability"] == by[901]["tail_probability"]
+    untrained = quality.fit(make(spark, []), labels, F.expr(quality.GRADE), quality.GRADES)
+    assert quality.score(docs, untrained).count() == 304 and quality.score(make(spark, []), untrained).count() == 0
 
 
 def test_fill_is_best():
