@@ -113,7 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, n_grades: int, sample
 
     graded = labels.select("doc_id", grade.cast("int").alias("grade"))
     rows = sampled(docs, graded, "grade", dict.fromkeys(range(n_grades), sample))
-    row = rows.coalesce(1).mapInArrow(work, "weights binary, thresholds binary").first()
+    row = rows.repartition(1).mapInArrow(work, "weights binary, thresholds binary").first()
+    if row is None:  # Spark runs no task where there are no training rows
+        return train([], [], n_grades)
     return {k: np.frombuffer(bytes(row[k])) for k in ("weights", "thresholds")}
 
 

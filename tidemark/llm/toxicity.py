@@ -289,7 +289,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         parts = [m["weights"].tobytes(), np.array([m["bias"], *m["moves"].ravel(), *m["calibration"]]).tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([p], pa.binary()) for p in parts], names=["weights", "rest"])
 
-    row = sampled(docs, labels, "toxic", SAMPLE).coalesce(1).mapInArrow(work, "weights binary, rest binary").first()
+    row = sampled(docs, labels, "toxic", SAMPLE).repartition(1).mapInArrow(work, "weights binary, rest binary").first()
+    if row is None:  # Spark runs no task where there are no training rows
+        return train([], [])
     rest = np.frombuffer(bytes(row.rest))
     return {"weights": np.frombuffer(bytes(row.weights), np.float32), "bias": rest[0], "moves": rest[1:5].reshape(2, 2), "calibration": rest[5:8]}
 
