@@ -10,6 +10,7 @@ next rows, so only the last bins of a partition have slack, nothing is shuffled
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,39 +22,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY, POOL = 2048, 6000
+#: The vocabulary's own pattern over lower-case text (contractions, runs of letters, digits, runs of others), and what keeps a
+#: text from being cut by it here: characters past Latin Extended-A, those that Python's classes or lower() see in another way,
+#: and the marks of special tokens.
+_LETTERS = "a-zªµºß-öø-\u017f"
+_WORDS = re.compile(rf"[{_LETTERS}]+|\d|'(?:[stmd]|re|ve|ll)|[^\s0-9{_LETTERS}]+").findall
+_FOREIGN = re.compile("[\x1c-\x1f\x85\xa0²³¹¼½¾İ\u0180-\U0010ffff]|<\\|").search
 
 
 class Encoder(dict):
-    """Ids (little-endian unsigned 32-bit) by white-space chunk, kept between texts; bounded.
+    """Ids (little-endian unsigned 32-bit) by word, kept between texts; bounded.
 
-    The vocabulary's own splitting never joins characters across white space, so the ids of a text are those of its chunks.
+    The vocabulary lower-cases a text and cuts it into words (contractions, runs of letters, single digits, runs of
+    others) that are encoded one by one. Texts of Latin characters are cut here by the same pattern, so that each
+    distinct word is encoded once; new words are encoded many at a time, and as each ends in an end-of-word id, there the
+    ids are cut. Other texts are cut at white space only, which no id spans, and the library does the rest.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 700_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        (self.mark,) = self.tokenizer.encode("\x01", add_special_tokens=False).ids
+        self.tokenizer, self.most, self.chunks = Tokenizer.from_file(path), most, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            data, edges = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            self.update((w, data[edges[i] : edges[i + 1]]) for i, w in enumerate(part))
+
+    def _other(self, text: str) -> bytes:
+        known, out = self.chunks, []
+        for c in text.encode("utf-8", "surrogatepass").split():
+            if (ids := known.get(c)) is None:
+                known[c] = ids = np.array(self.tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self) > self.most:
             self.clear()
-        missing = sorted(set().union(*split).difference(self))
-        plain = [c for c in missing if b"\x01" not in c]
-        for at in range(0, len(plain), 200):
-            # Many at once, with a character between them whose id no other chunk can hold.
-            part = plain[at : at + 200]
-            (found,) = self.tokenizer.encode_batch_fast([" \x01 ".join([c.decode("utf-8", "replace") for c in part])], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            data, cuts = ids.tobytes(), np.flatnonzero(ids == self.mark)
-            edges = [0, *(4 * (cuts + 1)).tolist(), 4 * len(ids) + 4]
-            self.update((c, data[edges[i] : edges[i + 1] - 4]) for i, c in enumerate(part))
-        for c in set(missing).difference(plain):
-            self[c] = np.array(self.tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+        if len(self.chunks) > self.most:
+            self.chunks.clear()
+        split = [None if _FOREIGN(t) else _WORDS(t.lower()) for t in texts]
+        coded = [None if words is None else list(map(self.get, words)) for words in split]
+        missing: set[str] = set()
+        for words, ids in zip(split, coded):
+            if ids and None in ids:
+                missing.update([w for w, i in zip(words, ids) if i is None])
+        self._learn(sorted(missing))
+        out = []
+        for t, words, ids in zip(texts, split, coded):
+            if words is None:
+                out.append(self._other(t))
+            else:
+                out.append(b"".join([self[w] if i is None else i for w, i in zip(words, ids)]))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
