@@ -92,21 +92,21 @@ def lzw_decode(data: bytes, bits: int) -> bytes:
         control = np.flatnonzero((codes == clear) | (codes == clear + 1))
         n = int(control[0]) if len(control) else len(codes)
         stretch = codes[:n].tolist()
-        if last is None and stretch:
-            last = table[stretch.pop(0)]
-            out.append(last)
-        growing = 4096 - len(table)
+        growing = 4096 - len(table) + (last is None)
+        add = table.append
         for c in stretch[:growing]:
+            if last is None:
+                last = table[c]
+                continue
             try:
                 entry = table[c]
             except IndexError:  # the entry that this very code completes
                 entry = last + last[:1]
-            table.append(last + entry[:1])
-            out.append(entry)
+            add(last + entry[:1])
             last = entry
-        for c in stretch[growing:]:
-            last = table[c]
-            out.append(last)
+        if stretch[growing:]:
+            last = table[stretch[-1]]
+        out.append(b"".join(map(table.__getitem__, stretch)))
         if len(control):
             at = int(where[n] + size[n])
             if codes[n] == clear + 1:
@@ -188,10 +188,13 @@ def decode(data: bytes) -> list[Frame]:
                 pixels = pixels[np.argsort(rows)]
             saved = canvas.copy() if disposal == 3 else None
             colour = np.concatenate([palette, np.zeros((256 - len(palette), 3), np.uint8)])[pixels]
-            shown = np.ones(pixels.shape, bool) if transparent is None else pixels != transparent
             area = canvas[top : top + h, left : left + w]
-            shown = shown[: area.shape[0], : area.shape[1]]
-            area[shown] = np.concatenate([colour, np.full((h, w, 1), 255, np.uint8)], axis=2)[: area.shape[0], : area.shape[1]][shown]
+            colour = colour[: area.shape[0], : area.shape[1]]
+            if transparent is None:
+                area[..., :3], area[..., 3] = colour, 255
+            else:
+                shown = pixels[: area.shape[0], : area.shape[1]] != transparent
+                area[shown, :3], area[shown, 3] = colour[shown], 255
             frames.append(Frame(canvas.copy(), (left, top, w, h), pixels, delay))
             if disposal == 2:
                 canvas[top : top + h, left : left + w] = 0
