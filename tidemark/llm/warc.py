@@ -36,8 +36,8 @@ LEAST_REVISIT = 100
 _LIMIT = re.compile(r"\s")
 
 
-def _member(data: bytes) -> bytes:
-    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+def _member(data: bytes, level: int = 3) -> bytes:
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
 
 
@@ -190,8 +190,10 @@ def _bounded(rows: Iterator[tuple], types: list[tuple[str, pa.DataType]], most:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held), types)], names=[n for n, _ in types])
 
 
-def arc_records(archives: DataFrame) -> DataFrame:
-    """One row per ARC record: page, digest and length of its payload, and the record itself (header line fields and content, compressed)."""
+def arc_records(archives: DataFrame, contents: bool = True) -> DataFrame:
+    """One row per ARC record: page, digest and length of its payload, and the record itself (header line fields and content, compressed).
+
+    Without ``contents`` they are null: what only counts digests needn't compress them."""
     types = [("page", pa.int64()), ("digest", pa.string()), ("n", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("content", pa.binary())]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -200,7 +202,7 @@ def arc_records(archives: DataFrame) -> DataFrame:
                 for header, content in read_arc(data.as_py()):
                     own, body = split_http(content)
                     page = own.get("x-page-id")
-                    yield len(content), int(page) if page else None, hashlib.sha256(body).hexdigest(), len(body), header["URL"], header["IP-address"], header["Archive-date"], _member(content)
+                    yield len(content), int(page) if page else None, hashlib.sha256(body).hexdigest(), len(body), header["URL"], header["IP-address"], header["Archive-date"], _member(content, 1) if contents else None
 
     return archives.select("data").mapInArrow(lambda b: _bounded(each(b), types, 4 << 20), "page long, digest string, n long, url string, ip string, date string, content binary")
 
@@ -208,7 +210,7 @@ def arc_records(archives: DataFrame) -> DataFrame:
 def convert(archives: DataFrame) -> DataFrame:
     """WARC archives (data) of ARC archives. Equal payloads of at least LEAST_REVISIT bytes: the smallest page is the response."""
     records = arc_records(archives)
-    first = records.filter(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("copies"))
+    first = arc_records(archives, contents=False).filter(F.col("n") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("copies"))
     first = settle(first.filter("copies > 1"), "first-pages").select("digest", "first")
     again = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     decided = records.join(first, "digest", "left").withColumn("first", F.when(again, F.col("first")))
