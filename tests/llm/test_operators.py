@@ -188,6 +188,25 @@ def test_near_dedup_of_a_crowd(spark):
     assert got == brute_components(rows)
 
 
+def test_near_dedup_of_many_pairs_with_one_template(spark):
+    """Documents with a similarity of 80 %, 300 clusters of two among them; many rows tie on all values of a tree."""
+    template = [f"t{i}" for i in range(93)]
+    rows, want = [], {}
+    for i in range(10_000):
+        own = [f"o{i}w{k}" for k in range(11)]
+        rows.append((2 * i, " ".join(template + own)))
+        want[2 * i] = 2 * i
+        if i < 300:  # 8 of its shingles are others
+            rows.append((2 * i + 1, " ".join(template + own[:3] + [f"x{i}"] + own[4:8] + [f"y{i}"] + own[9:])))
+            want[2 * i + 1] = 2 * i
+    sets = {i: lsh_forest.shingle_hashes(t) for i, t in rows}
+    share = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    # Documents of different clusters have the 89 shingles of the template in common and no others.
+    assert all(share(2 * i, 2 * i + 1) >= 0.85 for i in range(300)) and {len(x) for x in sets.values()} == {100} and 89 / (100 + 100 - 89) < 0.85
+    got = {x["doc_id"]: x["component_id"] for x in rows_of(lsh_forest.near_dedup(make(spark, rows)))}
+    assert got == want
+
+
 def test_chain_is_forward_backward():
     rng = np.random.default_rng(1)
     lengths = rng.integers(0, 150, 8)
