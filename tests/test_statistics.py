@@ -1,6 +1,7 @@
 import datetime as dt
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -135,6 +136,16 @@ def test_walk_forward_equals_refit(spark):
         assert abs(got[i] - (start + slope * x[i])) < 1e-8
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_garch_query_forecasts_every_row(spark):
+    from tidemark.plans import model_queries, tables
+
+    d = "/root/testdata/sf0.001"
+    rows = {r.instrument: r.n for r in tables.analysis(spark, d).filter("cc_return IS NOT NULL").groupBy("instrument").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {r.instrument: r.n for r in model_queries.m3_garch_grid(spark, d).groupBy("instrument").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {k: n - models.MIN_TRAIN for k, n in rows.items() if n > models.MIN_TRAIN} and max(got.values()) > 60
+
+
 def test_garch_recursion(spark):
     r = RNG.normal(0, 0.02, 80)
     out = models.garch_forecast(series(spark, {"cc_return": r}), every=10).orderBy("date").collect()

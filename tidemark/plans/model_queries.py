@@ -45,7 +45,7 @@ def m2_expanding_walk_forward(spark, d):
 
 @register()
 def m3_garch_grid(spark, d):
-    out = models.garch_forecast(T.analysis(spark, d).select("instrument", "date", "cc_return"), last=60)
+    out = models.garch_forecast(T.analysis(spark, d).select("instrument", "date", "cc_return"))
     return rounded(out.select("instrument", "date", "alpha", "beta", "volatility"), 6)
 
 
