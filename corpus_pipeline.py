@@ -14,15 +14,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def _one_each(docs: DataFrame, key: str) -> DataFrame:
+    """One row of each ``key``: the longest text, then the least by digests of the text and of the whole row; rows equal in all are one."""
+    text = text_or_empty()
+    row = F.struct(*[F.sha2(text, 256).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("text").isNull().alias("_none"))
+    ranked = docs.withColumn("_rank", F.struct((-F.length(text)).alias("size"), F.sha2(text, 256).alias("text"), F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias("row")))
+    best = ranked.groupBy(F.col(key).alias("_of")).agg(F.min("_rank").alias("_best"))
+    return ranked.join(best, (F.col(key) == F.col("_of")) & (F.col("_rank") == F.col("_best")), "left_semi").dropDuplicates([key]).drop("_rank")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are equal but for white space, the one that exact dedup keeps."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256"))
+    """Of documents that are equal but for white space, the one that exact dedup keeps: one row of each group, also where ids are null or repeated."""
+    kept = exact_dedup.exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha256")).agg(F.count(F.lit(1)).alias("_times"))
     marked = docs.withColumn("_own", exact_dedup.digest(text_or_empty()))
-    return marked.join(kept, (F.col("_own") == F.col("_sha256")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").drop("_own")
+    left = marked.join(kept, (F.col("_own") == F.col("_kept_sha256")) & F.col("doc_id").eqNullSafe(F.col("_kept_id"))).drop("_kept_id", "_kept_sha256")
+    repeated = _one_each(left.filter("_times > 1").drop("_times"), "_own")
+    return left.filter("_times = 1").drop("_times").unionByName(repeated).drop("_own")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies. An id with several texts stays or goes as a whole."""
+    """One document of each component of near copies. An id with several texts stays or goes as a whole; null ids are linked with nothing and stay."""
     kept = lsh_forest.near_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 

@@ -115,6 +115,8 @@ def test_redact(spark):
     assert got.columns == docs.columns
     assert sorted((r["doc_id"], r["text"] or "", r["n_chars"]) for r in rows_of(got) if r["text"]) == [(1, "a [assign] b", 12), (1, "a [assign] b", 12), (3, "clean", 5)]
     assert got.count() == 4
+    nameless = secrets.redact(make(spark, [(None, "a secret=abcdefgh1 b"), (None, "clean"), (None, None)]))
+    assert sorted(r["text"] or "" for r in rows_of(nameless)) == ["", "a [assign] b", "clean"]
 
 
 def test_licenses(spark):

@@ -10,6 +10,15 @@ from .test_operators import BASE, brute_components, make, rows_of, toxic_data
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
+def test_copies_of_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "same text")] * 5 + [(None, "same  text")] + [(7, "other")] * 3 + [(8, "other")] + [(None, None), (None, ""), (9, "alone")]
+    docs = make(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    got = dict(corpus_pipeline.STAGES)["exact dedup"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    left = [(r["doc_id"], r["text"] or "") for r in rows_of(got)]
+    assert sorted(left, key=str) == sorted([(None, "same  text"), (7, "other"), (None, ""), (9, "alone")], key=str)
+
+
 def test_stages(spark, tmp_path):
     data = toxic_data(200)
     extra = [(1000, BASE), (1001, BASE + " "), (1002, BASE.replace("beta2", "omega", 1)), (1003, "key secret=abcdefgh99 end"), (1004, None), (1005, "")]

@@ -146,11 +146,11 @@ def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """``docs`` with every span replaced by ``[kind]`` (overlapping spans by one), n_chars recounted; all rows and columns stay."""
+    """``docs`` with every span replaced by ``[kind]`` (overlapping spans by one), n_chars recounted; all rows and columns stay, those with a null id too."""
     new = update_ledger(docs, ledger)
     held = findings(docs.select("doc_id", "text"), new if ledger is None else new.unionByName(ledger)).filter(F.size("found") > 0)
     cuts = held.groupBy("path", "blob").agg(F.first("found").alias("found")).select(F.col("path").alias("_path"), F.col("blob").alias("_blob"), F.col("found").alias("_found"))
-    joined = docs.withColumn("_key", F.sha2(text_or_empty(), 256)).join(cuts, (F.col("doc_id") == F.col("_path")) & (F.col("_key") == F.col("_blob")), "left")
+    joined = docs.withColumn("_key", F.sha2(text_or_empty(), 256)).join(cuts, F.col("doc_id").eqNullSafe(F.col("_path")) & (F.col("_key") == F.col("_blob")), "left")
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
