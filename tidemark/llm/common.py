@@ -28,12 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that nothing reads any more; other tables are left alone."""
+    for t in tables:
+        path = getattr(t, "settled_at", None)
+        if path:
+            jvm, session = t.sparkSession._jvm, t.sparkSession._jsparkSession
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(session.sessionState().newHadoopConf()).delete(place, True)
 
 
 def ascii_lower(text: Column) -> Column:

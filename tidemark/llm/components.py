@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -27,12 +27,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         near = _with_least(large)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = settle(small, "edges")
+        last, edges = edges, settle(small, "edges")
+        discard(last)
         after = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if after == before:
             # A fixed point of both stars: every node points at the least of its component.
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
+            own = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            named = settle(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own), "components")
+            discard(edges)
+            return named
         before = after
     raise RuntimeError("components did not settle")

@@ -7,12 +7,13 @@ prefix, so the depth follows the density. A packed two-bit copy of the signature
 are confirmed on full shingle sets, the best ones of each representative first, then all that still join two components;
 with these go the members of dense regions and the regions' best-linked members (hubs), if their components differ.
 
-Neighbours and hubs bound what a member of a dense region meets, so all such members then take an exact pass: a pair at
-the threshold shares one of the rarest 15 % of each one's shingles, and an equality join on these, with filters on
+Neighbours and hubs bound what a member of a dense region meets, so all such members then take an exact pass, as do the
+members of regions that an end of a sorted range cuts: a pair at the threshold shares one of the rarest 8 % of the
+smaller set's shingles that is one of the rarest 15 % of the larger one's, and an equality join on these, with filters on
 lengths and places, finds every pair that still joins two components.
 
-A pair at the threshold meets in one tree with probability 0.85**4 = 0.52, so it misses all 24 with 2e-8; the packed
-signature loses 4 in a million pairs at the threshold.
+What remains is the chance of MinHash itself: a pair at the threshold meets in one tree with probability 0.85**4 = 0.52,
+so it misses all 24 with 2e-8, and the packed signature drops a pair at the threshold with 8e-9.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -38,8 +39,10 @@ _NEXT = [f"s{i}" for i in range((LONGEST - DEPTH) // 2)]
 NEIGHBOURS = 5
 #: Hubs of a dense region, which all its members meet besides their neighbours.
 HUBS = 8
-#: Of 96 two-bit values of a pair at the threshold 85.2 agree; 4.5 standard deviations less.
-LEAST_AGREE = 71
+#: Of 96 two-bit values of a pair at the threshold 85.2 agree; fewer than this with 8e-9 (binomial).
+LEAST_AGREE = 65
+#: Pairs with a hub are tried from here on (a standard deviation below the mean at the threshold); the exact pass has the rest.
+LIKELY = 82
 #: Counters of shingles, by the low bits of their hashes.
 COUNTERS = 1 << 20
 _FACTORS = np.random.default_rng(20240229).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -134,8 +137,10 @@ def _agreeing(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarra
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs (a, b, agree) from rows in sorted order, the last rows of a batch carried over to the next; and each
-    row (key, a, packed signature; b is null) of a dense region, that is one with more rows than are compared with each other."""
+    row (key, a, packed signature; b is null) of a dense region, that is one with more rows than are compared with each
+    other, or of the first and the last region of the range, which its ends may cut."""
     tail: list[np.ndarray] | None = None
+    opening = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -144,6 +149,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = 0 if tail is None else len(tail[0])
         key, rep = cols[0], cols[4]
         n = len(key)
+        opening = key[0] if opening is None else opening
         found = []
         for step in range(1, min(NEIGHBOURS, n - 1) + 1):
             # Only pairs whose later row is new.
@@ -152,23 +158,30 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = (agree >= LEAST_AGREE) & (rep[i] != rep[i + step])
             i, agree = i[near], agree[near]
             found.append((np.minimum(rep[i], rep[i + step]), np.maximum(rep[i], rep[i + step]), agree))
+        member = key == opening
         if n > NEIGHBOURS:
             # A row and the one NEIGHBOURS before it in one region: all rows between belong to a dense region.
             far = np.flatnonzero(key[NEIGHBOURS:] == key[:-NEIGHBOURS])
             inside = np.zeros(n + 1, np.int64)
             np.add.at(inside, far, 1)
             np.add.at(inside, far + NEIGHBOURS + 1, -1)
-            dense = np.flatnonzero(np.cumsum(inside)[:n] > 0)
-        else:
-            dense = np.zeros(0, np.int64)
-        a, b, agree = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-        pairs, members = len(a), len(dense)
-        none = lambda m: pa.nulls(m, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([none(pairs), pa.array(key[dense])]), pa.array(np.concatenate([a, rep[dense]])), pa.concat_arrays([pa.array(b), none(members)]),
-             pa.concat_arrays([pa.array(agree.astype(np.int32)), pa.nulls(members, pa.int32())]), *[pa.concat_arrays([none(pairs), pa.array(k[dense])]) for k in cols[1:4]]],
-            names=["key", "a", "b", "agree", "k1", "k2", "k3"])
+            member |= np.cumsum(inside)[:n] > 0
+        dense = np.flatnonzero(member)
+        yield _rows([np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)], [c[dense] for c in cols])
         tail = [x[-NEIGHBOURS:] for x in cols]
+    if tail is not None:
+        closing = tail[0] == tail[0][-1]
+        yield _rows([np.zeros(0, np.int64)] * 3, [c[closing] for c in tail])
+
+
+def _rows(pairs: list[np.ndarray], members: list[np.ndarray]) -> pa.RecordBatch:
+    """A batch of _FOUND: pairs (a, b, agree), then members (key, k1, k2, k3, rep)."""
+    (a, b, agree), (key, k1, k2, k3, rep) = pairs, members
+    none = lambda m: pa.nulls(m, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [pa.concat_arrays([none(len(a)), pa.array(key)]), pa.array(np.concatenate([a, rep])), pa.concat_arrays([pa.array(b), none(len(rep))]),
+         pa.concat_arrays([pa.array(agree.astype(np.int32)), pa.nulls(len(rep), pa.int32())]), *[pa.concat_arrays([none(len(a)), pa.array(k)]) for k in (k1, k2, k3)]],
+        names=["key", "a", "b", "agree", "k1", "k2", "k3"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,21 +199,24 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hub_pairs(members: DataFrame, links: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs of every member of a dense region and the region's hubs in other components.
+    """Pairs of every member of a dense region and the two likeliest hubs of its regions that are in other components.
 
     Hubs are the members with the most confirmed links, one of each of HUBS shares of the region (a map-side maximum): in a
-    crowd of near copies the copy with the fewest changes, which a much changed copy may be near to and to no other."""
+    crowd of near copies the copy with the fewest changes, which a much changed copy may be near to and to no other. They
+    only save work: what they leave apart the exact pass joins."""
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
     component = held.select(F.col("node").alias("rep"), "component")
     known = members.join(degree, "rep", "left").join(component, "rep", "left").withColumns({"component": F.coalesce("component", "rep"), "degree": F.coalesce("degree", F.lit(0))})
     best = F.struct("degree", (-F.col("rep")).alias("first"), "rep", "component", "k1", "k2", "k3")
-    hubs = known.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("share")).agg(F.max(best).alias("hub")).select("key", "hub")
+    hubs = known.filter("degree > 1").groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("share")).agg(F.max(best).alias("hub")).select("key", "hub")
     agree = F.lit(96)
     for k in ("k1", "k2", "k3"):
         d = F.col(k).bitwiseXOR(F.col(f"hub.{k}"))
         agree = agree - F.bit_count((d.bitwiseOR(F.shiftrightunsigned(d, 1))).bitwiseAND(F.lit(0x5555555555555555)))
-    met = known.join(hubs, "key").filter((F.col("component") != F.col("hub.component")) & (agree >= LEAST_AGREE))
-    return met.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"))
+    met = known.join(hubs, "key").filter(F.col("component") != F.col("hub.component")).select("rep", F.struct((-agree).alias("apart"), F.col("hub.rep").alias("hub")).alias("h"))
+    # As a set by member: at most TREES * HUBS of them.
+    best = met.filter(-F.col("h.apart") >= LIKELY).groupBy("rep").agg(F.slice(F.array_sort(F.collect_set("h")), 1, 2).alias("h")).select("rep", F.explode("h.hub").alias("hub"))
+    return best.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
 
 
 def _counters(hashes: np.ndarray) -> np.ndarray:
@@ -218,59 +234,71 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rarest(often, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per representative and each of its rarest shingles: the shingle, the id, its component, the size of its set and
-    how many shingles stand from here on (reach). Any total order of shingles is right, the rarest first only saves work."""
+    """A row per representative and each of its rarest shingles: the shingle, the id, its component, the size of its set, how
+    many shingles stand from here on (reach), and whether the shingle is one of the fewer that the smaller set of a pair
+    needs (lesser). Any total order of shingles is right, the rarest first only saves work."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            rows = [[np.zeros(0, np.int64)] for _ in range(5)]
+            rows = [[np.zeros(0, np.int64)] for _ in range(6)]
             for rep, component, text in zip(*(part.column(c).to_pylist() for c in ("rep", "component", "_text"))):
                 h = shingle_hashes(text)
                 n = len(h)
                 # A set that holds PERCENT of the union holds as much of either set, so the first common shingle is one of these.
                 first = h[np.lexsort((h, often.value[_counters(h)]))[: n - (PERCENT * n + 99) // 100 + 1]] if n else h
-                whole = np.ones(len(first), np.int64)
-                for column, values in zip(rows, (first.view(np.int64), whole * rep, whole * component, whole * n, n - np.arange(len(first)))):
+                whole, place = np.ones(len(first), np.int64), np.arange(len(first))
+                # With a set at least as large it shares 2 * PERCENT / (100 + PERCENT) of its own.
+                lesser = (place <= n - -(-2 * PERCENT * n // (100 + PERCENT))).astype(np.int64)
+                for column, values in zip(rows, (first.view(np.int64), whole * rep, whole * component, whole * n, n - place, lesser)):
                     column.append(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["shingle", "rep", "component", "n", "reach"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=["shingle", "rep", "component", "n", "reach", "lesser"])
 
 
-def _exact_pairs(members: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
+def _exact_pairs(dense: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
     """All pairs (a, b; ca, cb: their components) of dense members in different components that can reach the threshold.
 
-    Two sets share at most the reach of their first common shingle. Components meet first, by their least set and greatest
-    reach under each shingle, so that a crowd that is one component is one row and not the square of its members."""
-    spark = members.sparkSession
-    own = members.select("rep").distinct().join(held.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    own = settle(own, "dense")
+    Two sets share at most the reach of their first common shingle. The smaller set of a pair brings its few rarest
+    shingles, so that a template that many texts share meets nothing but texts that are near to it. Components meet first,
+    by their least set and greatest reach under each shingle: a crowd that is one component is one row and not the square
+    of its members."""
+    spark = dense.sparkSession
+    own = dense.join(held.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    own = settle(own, "own")
     crowd = texts.join(own, F.col("_id") == F.col("rep"))
     counts = crowd.select("_text").mapInArrow(_tally, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
     often = np.zeros(COUNTERS, np.int64)
     often[np.asarray(counts.column("counter"))] = np.asarray(counts.column("n"))
-    rarest = partial(_rarest, spark.sparkContext.broadcast(often))
-    rows = settle(crowd.select("rep", "component", "_text").mapInArrow(rarest, "shingle long, rep long, component long, n long, reach long"), "rarest")
-    groups = rows.groupBy("shingle", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"))
+    shared = spark.sparkContext.broadcast(often)
+    rows = settle(crowd.select("rep", "component", "_text").mapInArrow(partial(_rarest, shared), "shingle long, rep long, component long, n long, reach long, lesser long"), "rarest")
+    shared.unpersist()
+    groups = rows.groupBy("shingle", "component", "lesser").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"))
     groups = settle(groups, "groups")
-    side = lambda df, x: df.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "shingle"])
+    side = lambda df, x: df.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in ("shingle", "lesser")])
     both = 100 + PERCENT
-    met = side(groups, "a").join(side(groups, "b"), "shingle").filter(
-        (F.col("component_a") < F.col("component_b")) & (100 * F.col("most_a") >= PERCENT * F.col("least_b")) & (100 * F.col("most_b") >= PERCENT * F.col("least_a"))
+    met = side(groups.filter("lesser = 1"), "a").join(side(groups, "b"), "shingle").filter(
+        (F.col("component_a") != F.col("component_b")) & (F.col("least_a") <= F.col("most_b")) & (100 * F.col("most_a") >= PERCENT * F.col("least_b"))
         & (both * F.least("reach_a", "reach_b") >= PERCENT * (F.col("least_a") + F.col("least_b")))
-    ).select("shingle", "component_a", "component_b")
-    pairs = met.join(side(rows, "a"), ["shingle", "component_a"]).join(side(rows, "b"), ["shingle", "component_b"]).filter(
-        (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (both * F.least("reach_a", "reach_b") >= PERCENT * (F.col("n_a") + F.col("n_b")))
+    ).select("shingle", "component_a", "component_b").distinct()
+    pairs = met.join(side(rows.filter("lesser = 1"), "a"), ["shingle", "component_a"]).join(side(rows, "b"), ["shingle", "component_b"]).filter(
+        (F.col("n_a") <= F.col("n_b")) & (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (both * F.least("reach_a", "reach_b") >= PERCENT * (F.col("n_a") + F.col("n_b")))
     )
     swap = F.col("rep_a") > F.col("rep_b")
-    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), F.when(swap, F.col("component_b")).otherwise(F.col("component_a")).alias("ca"),
-                        F.when(swap, F.col("component_a")).otherwise(F.col("component_b")).alias("cb")).distinct()
+    out = pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), F.when(swap, F.col("component_b")).otherwise(F.col("component_a")).alias("ca"),
+                       F.when(swap, F.col("component_a")).otherwise(F.col("component_b")).alias("cb")).distinct()
+    out = settle(out, "exact")
+    discard(own, rows, groups)
+    return out
 
 
 def _joined(held: DataFrame, links: DataFrame) -> DataFrame:
     """Components (node, component) with further links (a, b)."""
     if links.isEmpty():
+        discard(links)
         return held
     more = links.select("a", "b").union(held.select("node", "component"))
-    return components(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    out = components(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    discard(links, held)
+    return out
 
 
 def _apart(pairs: DataFrame, held: DataFrame) -> DataFrame:
@@ -281,14 +309,16 @@ def _apart(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return pairs.filter("ca <> cb")
 
 
-def _exact_pass(members: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
+def _exact_pass(dense: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
     """Components with the links that dense members miss: one pair of each two components first, then all that are still apart."""
-    if members.isEmpty():
+    if dense.isEmpty():
         return held
-    pairs = settle(_exact_pairs(members, held, texts), "exact")
+    pairs = _exact_pairs(dense, held, texts)
     first = pairs.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
     held = _joined(held, settle(_links(first, texts), "links"))
-    return _joined(held, settle(_links(_apart(pairs.select("a", "b"), held).select("a", "b"), texts), "links"))
+    held = _joined(held, settle(_links(_apart(pairs.select("a", "b"), held).select("a", "b"), texts), "links"))
+    discard(pairs)
+    return held
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -325,9 +355,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     links = settle(_links(first, texts), "links")
     held = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    open_pairs = _apart(pairs, held).select("a", "b").union(_hub_pairs(members, links, held)).distinct()
+    # Pairs of two members of dense regions are left to the exact pass.
+    dense = settle(members.select("rep").distinct(), "dense")
+    marked = pairs.select("a", "b")
+    for end in ("a", "b"):
+        marked = marked.join(dense.select(F.col("rep").alias(end), F.lit(True).alias(f"in_{end}")), end, "left")
+    sparse = marked.filter("in_a IS NULL OR in_b IS NULL").select("a", "b")
+    open_pairs = _apart(sparse, held).select("a", "b").union(_hub_pairs(members, links, held)).distinct()
     held = _joined(held, settle(_links(open_pairs, texts), "links"))
-    held = _exact_pass(members, held, texts)
+    discard(links, pairs)
+    held = _exact_pass(dense, held, texts)
+    discard(found, dense)
     named = classes.select("digest", "rep").join(held.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("component"))
     on = (F.col("digest") == F.col("_digest")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
