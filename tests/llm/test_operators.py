@@ -109,6 +109,29 @@ def test_ledger_is_incremental(spark):
     assert found == {(1, 1), (3, 1), (4, 0)}
 
 
+def test_stored_ledger(spark, tmp_path):
+    """One row for each blob, rule and version, though rows repeat; a second run has nothing to scan and reports the same."""
+    path = f"{tmp_path}/ledger"
+    docs = make(spark, [(1, "secret=abcdefgh1"), (1, "secret=abcdefgh1"), (2, "secret=abcdefgh1"), (3, None), (4, ""), (None, "x")])
+    assert secrets.read_ledger(spark, path) is None
+    first = rows_of(secrets.secret_scan(docs, path))
+    ledger = secrets.read_ledger(spark, path)
+    assert ledger.count() == 3 * len(secrets.RULES) == ledger.select("blob", "rule", "version").distinct().count()
+    assert secrets.unseen(secrets.address(docs), ledger).count() == 0
+    second = rows_of(secrets.secret_scan(docs, path))
+    assert secrets.read_ledger(spark, path).count() == ledger.count() and sorted(map(str, first)) == sorted(map(str, second)) and len(first) == 6
+    more = secrets.secret_scan(make(spark, [(9, "secret=abcdefgh1"), (10, "token=freshfresh")]), path)
+    assert {(r["doc_id"], r["n_assign"]) for r in rows_of(more)} == {(9, 1), (10, 1)}
+    assert secrets.read_ledger(spark, path).count() == 4 * len(secrets.RULES)
+
+
+def test_first_scan_shuffles_no_text(spark):
+    docs = make(spark, [(i, f"secret=abcdefgh{i}") for i in range(20)])
+    plan = secrets.scan(secrets.unseen(secrets.address(docs), None), secrets.RULES)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "Join" not in plan
+
+
 def test_redact(spark):
     docs = make(spark, [(1, "a secret=abcdefgh1 b"), (1, "a secret=abcdefgh1 b"), (2, None), (3, "clean")])
     got = secrets.redact(docs)
@@ -209,6 +232,38 @@ def test_near_dedup_of_many_pairs_with_one_template(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("n", [3_000, 6_000])
+def test_near_dedup_of_pairs_with_two_own_shingles_in_common(spark, n):
+    """A template of 94 words, then ten own words, of which the texts of a pair share the last two: 92/108 within a pair, 90/110 otherwise."""
+    template = [f"t{i}" for i in range(94)]
+    rows = []
+    for i in range(n):
+        # Six words before the shared ones differ, so that exactly two shingles beside the template's are common.
+        own = [f"o{i}w{k}" for k in range(4)] + [f"p{i // 2}w{k}" for k in range(6)]
+        rows.append((i, " ".join(template + own)))
+    sets = [lsh_forest.shingle_hashes(t) for _, t in rows[:4]]
+    share = lambda a, b: (len(np.intersect1d(a, b)), len(np.union1d(a, b)))
+    assert share(sets[0], sets[1]) == (92, 108) and share(sets[1], sets[2]) == (90, 110)
+    got = {x["doc_id"]: x["component_id"] for x in rows_of(lsh_forest.near_dedup(make(spark, rows)))}
+    assert got == {i: i // 2 * 2 for i in range(n)}
+
+
+def test_regions_at_the_ends_of_a_range_are_members():
+    """Rows of the first and last region go to the exact pass, as their other rows may stand in another range."""
+    import pyarrow as pa
+
+    key = np.array([1, 1, 2, 2, 3, 3, 3], np.int64)
+    columns = [key, *[np.zeros(7, np.int64)] * 3, np.arange(7, dtype=np.int64)]
+    for cut in ([7], [1, 6], [3, 3, 1]):
+        at, batches = 0, []
+        for n in cut:
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c[at : at + n]) for c in columns], names=["key", "k1", "k2", "k3", "rep"]))
+            at += n
+        out = [r for b in lsh_forest._neighbours(iter(batches)) for r in b.to_pylist()]
+        assert {r["a"] for r in out if r["b"] is None} == {0, 1, 4, 5, 6}
+        assert {(r["a"], r["b"]) for r in out if r["b"] is not None} == {(0, 1), (2, 3), (4, 5), (5, 6), (4, 6)}
+
+
 def test_chain_is_forward_backward():
     rng = np.random.default_rng(1)
     lengths = rng.integers(0, 150, 8)
@@ -234,6 +289,32 @@ def test_chain_is_forward_backward():
     assert np.allclose(moves, total)
 
 
+def plain_score(text, model):
+    """The score of one text by loops over its tokens: features, forward and backward messages, calibration."""
+    tokens = (text or "").split()
+    weights, (one, most, many) = model["weights"], model["calibration"]
+    top, total = -12.0, 0.0
+    if tokens:
+        emit = []
+        for k, t in enumerate(tokens):
+            e = model["bias"] + sum(float(weights[x]) for x in toxicity.slots(t)[0])
+            e += float(weights[toxicity.slots(tokens[k - 1])[1]]) if k else 0.0
+            e += float(weights[toxicity.slots(tokens[k + 1])[2]]) if k + 1 < len(tokens) else 0.0
+            emit.append(min(max(e, -30), 30))
+        m = np.exp(model["moves"])
+        a, b = [np.array([1, np.exp(emit[0])])], [np.ones(2)]
+        for e in emit[1:]:
+            x = (a[-1] @ m) * np.array([1, np.exp(e)])
+            a.append(x / x.sum())
+        for e in emit[:0:-1]:
+            x = m @ (b[-1] * np.array([1, np.exp(e)]))
+            b.append(x / x.sum())
+        p = [(x * y)[1] / (x * y).sum() for x, y in zip(a, b[::-1])]
+        p_top = min(max(max(p), 6e-6), 1 - 6e-6)
+        top, total = np.log(p_top / (1 - p_top)), np.log1p(sum(p))
+    return 1 / (1 + np.exp(-(one + most * top + many * total)))
+
+
 def test_toxicity(spark):
     data = toxic_data()
     docs = make(spark, [(i, t) for i, t, _ in data] + [(900, None), (901, ""), (902, LONG + " idiot moron scum trash idiot"), (None, "idiot")])
@@ -242,6 +323,8 @@ def test_toxicity(spark):
     got = rows_of(toxicity.score(docs, model))
     assert len(got) == len(data) + 4 and all(0 <= r["score"] <= 1 for r in got)
     by = {r["doc_id"]: r for r in got}
+    texts = {i: t for i, t, _ in data} | {900: None, 901: "", 902: LONG + " idiot moron scum trash idiot"}
+    assert all(abs(by[i]["score"] - plain_score(t, model)) < 1e-9 for i, t in texts.items())
     held = [(by[i]["predicted"], m) for i, _, m in data if zlib.crc32(str(i).encode()) % 3 == 1]
     assert all(by[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _, _ in data)
     assert np.mean([p == m for p, m in held]) >= 0.95

@@ -1,8 +1,9 @@
 """Secret scans with an incremental blob ledger (DataFrame functions only).
 
 Every version of every path is content-addressed by the SHA-256 of its text. The ledger holds one row per blob, rule
-and rule version that has been scanned, with the spans found. A run scans only blobs with pairs that the ledger lacks,
-one copy of each blob, and joins the findings back to all paths.
+and rule version that has been scanned, with the spans found; it is a folder of Parquet files that runs append to. A run
+scans only blobs with pairs that the ledger lacks and joins the findings back to all paths. A run without a ledger scans
+every row where it stands, copies too: that shuffles digests and spans, while picking one copy would shuffle all texts.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, text_or_empty
+from .common import settle, shared_path, text_or_empty
 
 LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
 
@@ -68,16 +69,18 @@ def spans_of(text: Column, rule: Rule) -> Column:
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Ledger rows of all unseen pairs. blobs: blob, text and due, an array of "rule:version" that are still unseen."""
+    """Ledger rows of all unseen pairs, one for each. blobs: blob, text and due, an array of "rule:version" that are still
+    unseen; rows of one blob are scanned where they stand and meet only by what was found in them."""
     text, low = F.col("text"), F.col("low")
-    rows = []
+    found = []
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     for rule in rules:
         hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in rule.needles], F.lit(not rule.needles)) & text.rlike(rule.pattern)
-        due = F.array_contains("due", f"{rule.name}:{rule.version}")
-        none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-        rows.append(F.when(due, F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.version).alias("version"), F.when(hit, spans_of(text, rule)).otherwise(none).alias("spans"))))
-    each = blobs.withColumn("low", F.lower("text")).select("blob", F.filter(F.array(*rows), lambda x: x.isNotNull()).alias("found"))
-    return each.select("blob", F.explode("found").alias("f")).select("blob", "f.rule", "f.version", "f.spans")
+        found.append(F.when(F.array_contains("due", f"{rule.name}:{rule.version}"), F.when(hit, spans_of(text, rule)).otherwise(none)))
+    each = blobs.withColumn("low", F.lower("text")).select("blob", F.array(*found).alias("found"))
+    once = each.groupBy("blob").agg(F.any_value("found").alias("found")).select("blob", F.posexplode("found").alias("place", "spans")).filter(F.col("spans").isNotNull())
+    known = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
+    return once.withColumn("r", F.element_at(known, F.col("place") + 1)).select("blob", "r.rule", "r.version", "spans")
 
 
 def address(paths: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,25 +89,45 @@ def address(paths: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return paths.select(F.col(id_col).alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
 
 
-def update_ledger(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """New ledger rows (LEDGER) for blobs and rule versions that ``ledger`` lacks; written to the shared folder.
+def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of versions (path, blob, text) to scan, with ``due``, the pairs "rule:version" of their blob that the ledger lacks.
 
-    One row of each unseen blob is scanned: texts meet by digest only among rows of unseen blobs; the digest of the
-    hottest blob is combined map-side before the shuffle. Null and empty texts are the empty blob.
-    """
-    versions = address(paths, id_col, text_col)
+    Without a ledger every row is due and stays where it is: no text is shuffled. With one, digests alone meet the ledger
+    and one path of each unseen blob is picked (several rows where path and text are repeated)."""
     wanted = F.array(*[F.lit(f"{r.name}:{r.version}") for r in rules])
-    blobs = versions.groupBy("blob").agg(F.min("path").alias("path"))
     if ledger is None:
-        todo = blobs.withColumn("due", wanted)
-    else:
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", F.col("version").cast("string"))).alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("due", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))))
-        todo = todo.filter(F.size("due") > 0)
-    picked = todo.select(F.col("blob").alias("_blob"), F.col("path").alias("_path"), "due")
-    # A path may hold several blobs (its history), so both columns pick the one row of each unseen blob.
-    chosen = versions.join(picked, (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")))
-    return settle(scan(chosen, rules), "ledger")
+        return versions.withColumn("due", wanted)
+    blobs = versions.groupBy("blob").agg(F.min("path").alias("path"))
+    seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", F.col("version").cast("string"))).alias("seen"))
+    todo = blobs.join(seen, "blob", "left").withColumn("due", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))))
+    picked = todo.filter(F.size("due") > 0).select(F.col("blob").alias("_blob"), F.col("path").alias("_path"), "due")
+    # A path may hold several blobs (its history), so both columns pick the rows.
+    return versions.join(picked, (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path"))).drop("_blob", "_path")
+
+
+def update_ledger(paths: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """New ledger rows (LEDGER) for blobs and rule versions that ``ledger`` lacks, one for each; written to the shared folder.
+
+    Null and empty texts are the empty blob.
+    """
+    return settle(scan(unseen(address(paths, id_col, text_col), ledger, rules), rules), "ledger")
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger stored at ``path``; None where nothing has been stored yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+    return spark.read.schema(LEDGER).parquet(path) if known else None
+
+
+def extend_ledger(paths: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scan what the ledger stored at ``path`` lacks, append it there, and return the whole ledger.
+
+    Only pairs of blob and rule version that it lacks are scanned and written, so it keeps one row for each pair; files of
+    a failed attempt aren't part of it, as Spark commits an append as a whole. One run at a time may extend a ledger."""
+    spark = paths.sparkSession
+    scan(unseen(address(paths, id_col, text_col), read_ledger(spark, path), rules), rules).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
 
 
 def findings(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,23 +157,27 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
-def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Scan ``documents`` against the ledger so far, then report on every row.
+def secret_scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """Scan ``documents`` against the ledger stored at the path ``ledger`` (extended by the run; a new one in the shared folder
+    if it is None), then report on every row.
 
     Null text counts as empty; empty texts have no spans. Rows with a null id are reported with a null doc_id. Repeated
-    rows are each reported; their blob is scanned once. An empty table gives an empty result. Columns other than doc_id
-    and text are ignored. Texts of any length are scanned whole.
+    rows are each reported. An empty table gives an empty result. Columns other than doc_id and text are ignored. Texts of
+    any length are scanned whole.
     """
-    new = update_ledger(docs, ledger)
-    return digests(findings(docs, new if ledger is None else new.unionByName(ledger)))
+    return digests(findings(docs, extend_ledger(docs, ledger or shared_path(docs.sparkSession, "ledger"))))
+
 
+def redact(docs: DataFrame, ledger: str | None = None) -> DataFrame:
+    """``docs`` with every span replaced by ``[kind]`` (overlapping spans by one), n_chars recounted.
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """``docs`` with every span replaced by ``[kind]`` (overlapping spans by one), n_chars recounted; all rows and columns stay, those with a null id too."""
-    new = update_ledger(docs, ledger)
-    held = findings(docs.select("doc_id", "text"), new if ledger is None else new.unionByName(ledger)).filter(F.size("found") > 0)
-    cuts = held.groupBy("path", "blob").agg(F.first("found").alias("found")).select(F.col("path").alias("_path"), F.col("blob").alias("_blob"), F.col("found").alias("_found"))
-    joined = docs.withColumn("_key", F.sha2(text_or_empty(), 256)).join(cuts, F.col("doc_id").eqNullSafe(F.col("_path")) & (F.col("_key") == F.col("_blob")), "left")
+    All rows stay, repeated ones and those with null ids too; null texts stay null. All columns stay, whatever their
+    names. An empty table gives an empty result."""
+    held = findings(docs.select("doc_id", "text"), extend_ledger(docs, ledger or shared_path(docs.sparkSession, "ledger")))
+    # As a text's spans follow from the text, rows meet them by digest alone.
+    cuts = held.filter(F.size("found") > 0).groupBy("blob").agg(F.any_value("found").alias("found"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.sha2(text_or_empty(), 256).alias("key"))
+    joined = rows.join(cuts, F.col("key") == F.col("blob"), "left")
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -159,12 +186,12 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
         kept = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], kept, F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("_found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2147483647))))
-    out = joined.withColumn("text", F.when(F.col("_found").isNull(), text).otherwise(clean)).drop("_key", "_path", "_blob", "_found")
+    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2147483647))))
+    out = joined.select("row", F.when(F.col("found").isNull(), text).otherwise(clean).alias("clean"))
+    changed = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("clean").isNull(), F.col("row.n_chars")).otherwise(F.length("clean")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""
