@@ -407,6 +407,10 @@ def test_sentence_pieces(spark):
     path = tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     rows = TEXTS + [(50, "  two  spaces\n\nlines "), (51, "a" * 700), (52, "x_y-z " * 50 + "\x00\x01")]
+    r = random.Random(8)
+    for i in range(60, 130):  # long words without spaces, of letters, any characters, or parts of pieces
+        source = ["abcdefghijklmnopqrstuvwxyz", "aA0_-/=é日🎉\x00\n\t ", ["ing", "the", "er", "tion", "_", "0x", "ab"]][i % 3]
+        rows.append((i, "".join(r.choice(source) for _ in range(r.choice([1, 17, 100, 129, 1000, 5000])))))
     coded = sentence_pieces.encode(make(spark, rows), path)
     got = {r["doc_id"]: r for r in rows_of(coded)}
     for i, t in rows:
@@ -429,15 +433,42 @@ def test_viterbi_is_best():
     for _ in range(200):
         w = "".join(RNG.choice("abc") for _ in range(RNG.randint(1, 9)))
         codes = np.array([list(map(ord, w))], np.uint64)
-        sizes = model.viterbi(codes, model.spans(codes))[0]
+        tokens = model.viterbi(codes, model.spans(codes))[0]
         at, total = 0, 0.0
-        for n in sizes[sizes > 0]:
-            piece = w[at : at + n]
-            total += scores[names.index(piece)] if piece in names else worst
-            at += n
+        for t in tokens[tokens >= 0]:
+            piece = names[t] if t < len(names) else chr(t - len(names) - 1)
+            assert w[at : at + len(piece)] == piece
+            total += scores[t] if t < len(names) else worst
+            at += len(piece)
         assert at == len(w) and abs(total - best(w)) < 1e-9
 
 
+def merged(word, model):
+    """Widths of the tokens of a BPE word, by merging the best pair, the leftmost of equals, until none is left."""
+    parts = list(word)
+    while True:
+        options = [(-model.scores[model.index[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in model.index]
+        if not options:
+            return [len(x) for x in parts]
+        i = min(options)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_viterbi_follows_merges():
+    """Vocabularies of any pieces and ranks, tied ones and unreachable pieces too; words of all lengths in one call, so some are padded."""
+    r = random.Random(12)
+    for _ in range(25):
+        pieces = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(r.randint(2, 25))} | set("ab"))
+        model = sentence_pieces.Pieces(pieces, [-float(r.randrange(20)) for _ in pieces], bpe=True)
+        words = ["".join(r.choice("abcd") for _ in range(r.choice([1, 2, 3, 5, 8, 13, 33, 35, 61, 300]))) for _ in range(60)]
+        for word, ids in zip(words, model.segment(words)):
+            at, want = 0, []
+            for n in merged(word, model):
+                want.append(model.index.get(word[at : at + n], model.unknown))
+                at += n
+            assert np.frombuffer(ids, "<u4").tolist() == want, (word, pieces)
+
+
 def test_gif_round_trip(spark):
     got = {r["doc_id"]: r for r in rows_of(gif.gif_columns(make(spark), keep_media=True)) if r["doc_id"] is not None}
     for i, t in TEXTS:

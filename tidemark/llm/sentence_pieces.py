@@ -1,16 +1,19 @@
 """SentencePiece encoding and decoding in batched numpy.
 
-Distinct words of many texts are grouped by length; the words of a group advance together. Rolling hashes of all their
-substrings probe the sorted keys of the pieces, which gives a table of the pieces that lie over each span. For unigram
-models a Viterbi pass over that table takes, end by end, the vectorised maximum over starts and stores backpointers.
-A BPE model's scores are merge ranks, whose sum says nothing: its words are merged instead, one merge of every word at
-a time, each the vectorised maximum over the pieces that two neighbouring tokens make (the leftmost of equals). That is
-what the model's own library does, and the ids agree with it.
+Distinct words of many texts are grouped by length; the words of a group advance together, end by end. Rolling hashes of
+all their substrings probe the sorted keys of the pieces, which gives the pieces that end at each place. A Viterbi pass
+takes, over the pieces that end there, the vectorised maximum of what came before plus the piece's own value, and stores
+backpointers.
+
+For unigram models the value is the piece's score. A BPE model's scores are merge ranks, whose sum says nothing: there a
+piece is worth 0 if it may follow the last piece of the text before it and minus infinity if not. It may if merging the
+joined text of the two gives just these two: merges left of a place where two tokens part in the end are those of the left
+text alone, so a text's tokens are the chain of pieces of which each follows the one before, and exactly one piece at each
+place does. Which pairs may stand side by side is found by merging, once for each pair that occurs (a bounded table).
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections import defaultdict
@@ -23,11 +26,13 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_LONG = 128
+#: Places of the table of pairs, a power of two.
+PAIRS = 1 << 21
+_CODES = 0x110000
 
 
 class Pieces:
-    """The pieces of a model, their sorted keys, and the two ways to segment words."""
+    """The pieces of a model, their sorted keys, and the segmentation of words."""
 
     def __init__(self, pieces: list[str], scores: list[float], bpe: bool, byte_ids: list[int] | None = None, unknown: int = 0, special: frozenset[int] = frozenset()):
         self.pieces, self.scores, self.bpe, self.byte_ids, self.unknown, self.special = pieces, np.array(scores), bpe, byte_ids, unknown, special
@@ -44,6 +49,9 @@ class Pieces:
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have the same hash")
         self.index = {pieces[i]: i for i in usable}
+        #: The token before the first one; characters without a piece are tokens after it.
+        self.none = len(pieces)
+        self._pair, self._may = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         alone = {c for i in usable if len(pieces[i]) > 1 for c in pieces[i]}
         # No piece goes on past a word, so words are cut before a run of spaces, and around line ends if no piece holds one.
         self.cut = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+" if "\n" not in alone else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -84,25 +92,66 @@ class Pieces:
             found.append(np.where(self.keys[at] == keys, self.ids[at], -1))
         return found
 
-    def viterbi(self, codes: np.ndarray, table: list[np.ndarray]) -> np.ndarray:
-        """Token widths at their starts of the best-scoring segmentation; a character without a piece scores below all pieces."""
+    def viterbi(self, codes: np.ndarray, table: list[np.ndarray], sizes: np.ndarray | None = None) -> np.ndarray:
+        """Tokens at their starts, -1 elsewhere: a piece's id, or ``none`` + 1 + its code for a character that isn't a piece.
+
+        ``sizes``: the words' lengths where rows are padded at their ends."""
         n, length = codes.shape
+        most, every = len(table), np.arange(n)
         worst = (self.scores.min() if len(self.scores) else 0) - 10
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((n, length + 1), np.int64)
+        ending = np.full((length + 1, most, n), -1, np.int64)
+        for w, p in enumerate(table, 1):
+            ending[w:, w - 1] = p.T
+        alone = ending[1:, 0]
+        alone[alone < 0] = (codes.T.astype(np.int64) + self.none + 1)[alone < 0]
+        best, last, back = np.full((length + 1, n), -np.inf), np.full((length + 1, n), self.none), np.zeros((length + 1, n), np.int64)
+        best[0] = 0
         for end in range(1, length + 1):
-            widths = range(1, min(self.longest, end) + 1)
-            options = np.stack([best[:, end - w] + np.where((p := table[w - 1][:, end - w]) >= 0, self.scores[p], worst if w == 1 else -np.inf) for w in widths])
-            back[:, end] = options.argmax(axis=0) + 1
-            best[:, end] = options.max(axis=0)
-        sizes, end, rows = np.zeros((n, length), np.int64), np.full(n, length), np.arange(n)
-        while (live := end > 0).any():
-            w = back[rows, end]
-            start = end - w
-            sizes[rows[live], start[live]] = w[live]
-            end = np.where(live, start, 0)
-        return sizes
+            pieces = ending[end, : min(most, end)]
+            width, row = np.nonzero(pieces >= 0)
+            piece, before = pieces[width, row], end - 1 - width
+            if self.bpe:
+                value = np.where(self.follows(last[before, row], piece), 0.0, -np.inf)
+            else:
+                value = np.where(piece < self.none, self.scores[np.minimum(piece, self.none - 1)], worst)
+            options = np.full(pieces.shape, -np.inf)
+            options[width, row] = best[before, row] + value
+            chosen = options.argmax(axis=0)
+            best[end], back[end], last[end] = options[chosen, every], chosen + 1, pieces[chosen, every]
+        tokens, end = np.full((n, length), -1, np.int64), np.full(n, length) if sizes is None else np.array(sizes)
+        row = every[end > 0]
+        while len(row):
+            start = end[row] - back[end[row], row]
+            tokens[row, start] = last[end[row], row]
+            end[row] = start
+            row = row[start > 0]
+        return tokens
+
+    def follows(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether each piece may stand after the token before it (``none``: at the start of a word)."""
+        key = before * (self.none + 1 + _CODES) + piece
+        place = (key.view(np.uint64) * _MIX >> np.uint64(43)).view(np.int64)
+        found = self._may[place]
+        new = np.flatnonzero(self._pair[place] != key)
+        if len(new):
+            keys, first, of = np.unique(key[new], return_index=True, return_inverse=True)
+            may = self._side_by_side(before[new[first]], piece[new[first]])
+            found[new] = may[of]
+            self._pair[place[new[first]]], self._may[place[new[first]]] = keys, may
+        return found
+
+    def _side_by_side(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        name = lambda t: "" if t == self.none else self.pieces[t] if t < self.none else chr(t - self.none - 1)
+        out, groups = np.zeros(len(before), bool), defaultdict(list)
+        for i, (a, b) in enumerate(zip(map(name, before.tolist()), map(name, piece.tolist()))):
+            if not a or a + b not in self.index:  # two neighbours that make a piece would merge
+                groups[len(a + b)].append((i, a + b, len(a)))
+        for length, rows in groups.items():
+            codes = np.array([list(map(ord, text)) for _, text, _ in rows], np.uint64)
+            sizes, cut = self.merge(codes, self.spans(codes)), np.array([k for _, _, k in rows])
+            every = np.arange(len(rows))
+            out[[i for i, _, _ in rows]] = (sizes[every, cut] == length - cut) & ((cut == 0) | (sizes[every, 0] == cut))
+        return out
 
     def merge(self, codes: np.ndarray, table: list[np.ndarray]) -> np.ndarray:
         """Token widths at their starts after all merges, the best piece first and the leftmost of equals."""
@@ -129,59 +178,39 @@ class Pieces:
             sizes[active, follow] = 0
         return sizes
 
-    def _merge_long(self, word: str) -> list[str]:
-        """Merges of one long word with a heap, so that its cost follows its length."""
-        parts, left, right = list(word), list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))
-        heap: list[tuple] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and right[i] < len(word) and (p := self.index.get(parts[i] + parts[right[i]])) is not None:
-                heapq.heappush(heap, (-self.scores[p], i, parts[i], parts[right[i]]))
-
-        for i in range(len(word) - 1):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            if parts[i] != a or right[i] >= len(word) or parts[right[i]] != b:
-                continue
-            j = right[i]
-            parts[i], parts[j], right[i] = a + b, "", right[j]
-            if right[j] < len(word):
-                left[right[j]] = i
-            offer(left[i])
-            offer(i)
-        return [p for p in parts if p]
-
-    def _ids(self, word: str, widths: list[int]) -> list[int]:
-        out, at = [], 0
-        for w in widths:
-            piece = word[at : at + w]
-            at += w
-            if (i := self.index.get(piece)) is not None:
-                out.append(i)
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(self.unknown)
+    def _coded(self, tokens: np.ndarray) -> list[bytes]:
+        """Ids (little-endian unsigned 32-bit) of each row of tokens; characters without a piece as their bytes, or unknown."""
+        real = tokens >= 0
+        flat, ends = tokens[real], np.cumsum(real.sum(axis=1)) * 4
+        odd = real & (tokens > self.none)
+        coded = flat.astype("<u4").tobytes()
+        out = [coded[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        for i in np.flatnonzero(odd.any(axis=1)):
+            ids = []
+            for t in tokens[i, real[i]].tolist():
+                if t < self.none:
+                    ids.append(t)
+                elif self.byte_ids:
+                    ids += [self.byte_ids[b] for b in chr(t - self.none - 1).encode("utf-8", "surrogatepass")]
+                else:
+                    ids.append(self.unknown)
+            out[i] = np.array(ids, "<u4").tobytes()
         return out
 
-    def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; words of equal length are segmented together."""
-        groups, out = defaultdict(list), [[]] * len(words)
+    def segment(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; words of equal length go together, longer ones padded by an eighth at most."""
+        groups, out = defaultdict(list), [b""] * len(words)
         for i, w in enumerate(words):
-            groups[len(w)].append(i)
+            step = 1 << max(len(w).bit_length() - 4, 0)
+            groups[-(-len(w) // step) * step].append(i)
         for length, rows in groups.items():
-            if self.bpe and length > _LONG:
-                for i in rows:
-                    out[i] = self._ids(words[i], [len(p) for p in self._merge_long(words[i])])
-                continue
-            for at in range(0, len(rows), max(1, 200_000 // length)):
-                part = rows[at : at + max(1, 200_000 // length)]
-                codes = np.array([list(map(ord, words[i])) for i in part], np.uint64)
-                table = self.spans(codes)
-                sizes = (self.merge if self.bpe else self.viterbi)(codes, table)
-                for i, s in zip(part, sizes.tolist()):
-                    out[i] = self._ids(words[i], [w for w in s if w])
+            for at in range(0, len(rows), max(1, 400_000 // max(length, 1))):
+                part = rows[at : at + max(1, 400_000 // max(length, 1))]
+                sizes = np.array([len(words[i]) for i in part])
+                codes = np.frombuffer("".join(words[i].ljust(length, "\0") for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(part), length)
+                tokens = self.viterbi(codes, self.spans(codes), sizes)
+                for i, ids in zip(part, self._coded(tokens)):
+                    out[i] = ids
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -206,7 +235,7 @@ class Encoder(dict):
         if len(self) > self.most:
             self.clear()
         missing = sorted(set().union(*split).difference(self))
-        self.update((w, np.array(i, "<u4").tobytes()) for w, i in zip(missing, self.pieces.segment(missing)))
+        self.update(zip(missing, self.pieces.segment(missing)))
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
