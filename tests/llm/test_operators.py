@@ -469,17 +469,73 @@ def test_viterbi_follows_merges():
             assert np.frombuffer(ids, "<u4").tolist() == want, (word, pieces)
 
 
-def test_gif_round_trip(spark):
-    got = {r["doc_id"]: r for r in rows_of(gif.gif_columns(make(spark), keep_media=True)) if r["doc_id"] is not None}
-    for i, t in TEXTS:
+def plain_gif(data):
+    """Frames (delay, left, top, width, height, pixels as rows of RGB) by a plain reader: bits one by one, pixels one by one."""
+    width, height, packed = data[6] | data[7] << 8, data[8] | data[9] << 8, data[10]
+    n = 2 << (packed & 7)
+    palette = [tuple(data[13 + 3 * i : 16 + 3 * i]) for i in range(n)]
+    at, out, screen, control = 13 + 3 * n, [], [[(0, 0, 0)] * width for _ in range(height)], (0, 0, None)
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            flags, delay, index = data[at + 3], data[at + 4] | data[at + 5] << 8, data[at + 6]
+            control, at = (delay, flags >> 2 & 7, index if flags & 1 else None), at + 8
+            continue
+        left, top, w, h = (data[at + k] | data[at + k + 1] << 8 for k in (1, 3, 5, 7))
+        least, at, blocks = data[at + 10], at + 11, b""
+        while data[at]:
+            blocks, at = blocks + data[at + 1 : at + 1 + data[at]], at + 1 + data[at]
+        at += 1
+        bits = "".join(f"{byte:08b}"[::-1] for byte in blocks)
+        table, size, place, pixels, last = {}, least + 1, 0, [], None
+        while True:
+            code, place = int(bits[place : place + size][::-1], 2), place + size
+            if code == 1 << least:
+                table, size, last = {i: (i,) for i in range(1 << least)}, least + 1, None
+                continue
+            if code == (1 << least) + 1:
+                break
+            entry = table[code] if code in table else last + last[:1]
+            if last is not None and len(table) + 2 < 4096:
+                table[len(table) + 2] = last + entry[:1]
+                if len(table) + 2 == 1 << size and size < 12:
+                    size += 1
+            pixels, last = pixels + list(entry), entry
+        delay, disposal, clear = control
+        assert disposal in (0, 1)
+        for k, p in enumerate(pixels):
+            if p != clear:
+                screen[top + k // w][left + k % w] = palette[p]
+        out.append((delay, left, top, w, h, [row[left : left + w] for row in screen[top : top + h]]))
+    return out
+
+
+def test_gif_columns(spark):
+    rows = TEXTS + [(70, "a" * 20_000), (71, ("same line of text\n" * 2000)), (72, "".join(chr(RNG.randrange(32, 400)) for _ in range(15_000)))]
+    got = {r["doc_id"]: r for r in rows_of(gif.gif_columns(make(spark, rows), keep_media=True)) if r["doc_id"] is not None}
+    assert any(r["media"].count(b"\x21\xf9\x04\x05") for r in got.values())  # transparent pixels over the frame before
+    for i, t in rows:
         if i is None:
             continue
         raw = (t or "").encode()
         want = raw + b" " * (-len(raw) % 192 if raw else 192)
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(want)) and r["payload_sha256"] == hashlib.sha256(want).hexdigest()
-        assert r["tail_crc32"] == zlib.crc32(want[-16:]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
+        assert r["tail_crc32"] == zlib.crc32(want[-16:]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and r["media_bytes"] == len(r["media"])
         assert sum(sum(f["histogram"]) for f in r["frames"]) == len(want)
+        if i == 8:
+            continue  # 150 kB are too many for the plain reader
+        shown, total, clock, red = plain_gif(bytes(r["media"])), [0] * 64, 0, b""
+        assert len(shown) == len(r["frames"])
+        for (delay, _, _, w, h, pixels), f in zip(shown, r["frames"]):
+            counts = [0] * 64
+            for row in pixels:
+                for x, y, z in row:
+                    counts[x // 64 * 16 + y // 64 * 4 + z // 64] += 1
+            red += bytes(x for row in pixels for x, _, _ in row)
+            assert (f["at_cs"], f["delay_cs"], f["width"], f["height"], list(f["histogram"])) == (clock, delay, w, h, counts)
+            clock, total = clock + delay, [a + b for a, b in zip(total, counts)]
+        assert red == want
+        assert r["feature"] == f"frames={len(shown)};time_cs={clock};colours=" + ",".join(f"{k}:{n}" for k, n in enumerate(total) if n)
     assert gif.gif_columns(make(spark, [])).count() == 0
 
 

@@ -3,6 +3,10 @@
 decode() is a full reader of GIF87a and GIF89a: global and local palettes, interlacing, graphic control (delay, disposal
 0 to 3, transparent index) and LZW with deferred clears. encode() writes frames of palette indices. Code widths depend
 only on the place since the last clear code, so codes are packed and unpacked as arrays; the dictionary itself is a loop.
+
+A text is stored as an animation of its bytes: the palette holds the byte values that occur, red is the value and green and
+blue its kind of character; each frame leaves the one before in place (disposal 1) and draws only the pixels that change,
+the others are transparent. So the bytes come back only through palette, transparency and disposal.
 """
 
 from __future__ import annotations
@@ -32,41 +36,42 @@ _WIDTHS = {b: _widths(b, 8192) for b in range(2, 9)}
 
 
 def lzw_codes(data: bytes, bits: int = 8) -> list[list[int]]:
-    """Codes of data, one list for each stretch between clear codes; a stretch ends before the table is full."""
-    most, base = 4090 - (1 << bits), (1 << bits) + 2
+    """Codes of data times 256, one list for each stretch between clear codes; a stretch ends before the table is full."""
+    base, full = ((1 << bits) + 2) << 8, 4092 << 8
     stretches, codes, table, following = [], [], {}, base
     if not data:
         return [[]]
-    w = data[0]
-    get = table.get
+    # Codes are held times 256, so that a code and the next byte are one key.
+    w = data[0] << 8
+    get, add = table.get, codes.append
     for b in data[1:]:
-        key = w << 8 | b
-        v = get(key)
+        v = get(w | b)
         if v is not None:
             w = v
             continue
-        codes.append(w)
-        table[key] = following
-        following += 1
-        w = b
-        if len(codes) == most:
+        add(w)
+        table[w | b] = following
+        following += 256
+        w = b << 8
+        if following == full:
             stretches.append(codes)
             codes, following = [], base
+            add = codes.append
             table.clear()
-    codes.append(w)
+    add(w)
     stretches.append(codes)
     return stretches
 
 
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     clear, widths = 1 << bits, _WIDTHS[bits]
-    values, sizes = [clear], [np.array([bits + 1])]
+    values, sizes = [clear << 8], [np.array([bits + 1])]
     stretches = lzw_codes(data, bits)
     for i, codes in enumerate(stretches):
         values += codes
-        values.append(clear if i + 1 < len(stretches) else clear + 1)
+        values.append((clear if i + 1 < len(stretches) else clear + 1) << 8)
         sizes.append(widths[: len(codes) + 1])
-    value, size = np.array(values, np.int64), np.concatenate(sizes)
+    value, size = np.array(values, np.int64) >> 8, np.concatenate(sizes)
     at = np.cumsum(size) - size
     shifted, byte = value << (at & 7), at >> 3
     total = (int(at[-1] + size[-1]) + 7) // 8
@@ -92,12 +97,11 @@ def lzw_decode(data: bytes, bits: int) -> bytes:
         control = np.flatnonzero((codes == clear) | (codes == clear + 1))
         n = int(control[0]) if len(control) else len(codes)
         stretch = codes[:n].tolist()
-        growing = 4096 - len(table) + (last is None)
+        growing, opening = 4096 - len(table) + (last is None), 0
         add = table.append
-        for c in stretch[:growing]:
-            if last is None:
-                last = table[c]
-                continue
+        if last is None and stretch:
+            last, opening = table[stretch[0]], 1
+        for c in stretch[opening:growing]:
             try:
                 entry = table[c]
             except IndexError:  # the entry that this very code completes
@@ -128,14 +132,15 @@ class Frame:
 
 
 def encode(frames: list[np.ndarray], palette: np.ndarray, delay: int = DELAY, disposal: int = 1, transparent: int | None = None) -> bytes:
-    """A GIF89a file of index pictures with one palette of 256 colours (256 x 3)."""
+    """A GIF89a file of index pictures with one palette (n x 3) of 4, 8, ... or 256 colours."""
     height, width = max(f.shape[0] for f in frames), max(f.shape[1] for f in frames)
-    parts = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette.astype(np.uint8).tobytes()]
+    bits = len(palette).bit_length() - 1
+    parts = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF0 | bits - 1, 0, 0), palette.astype(np.uint8).tobytes()]
     for f in frames:
         parts.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | (transparent is not None), delay, transparent or 0, 0))
         parts.append(struct.pack("<BHHHHB", 0x2C, 0, 0, f.shape[1], f.shape[0], 0))
-        coded = lzw_encode(f.astype(np.uint8).tobytes())
-        parts.append(b"\x08" + b"".join(bytes((len(coded[i : i + 255]),)) + coded[i : i + 255] for i in range(0, len(coded), 255)) + b"\0")
+        coded = lzw_encode(f.astype(np.uint8).tobytes(), bits)
+        parts.append(bytes((bits,)) + b"".join(bytes((len(coded[i : i + 255]),)) + coded[i : i + 255] for i in range(0, len(coded), 255)) + b"\0")
     return b"".join(parts) + b";"
 
 
@@ -213,13 +218,31 @@ def histogram(frame: Frame) -> np.ndarray:
     return np.bincount((rgb[..., 0] * 16 + rgb[..., 1] * 4 + rgb[..., 2]).ravel(), minlength=64)
 
 
-GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
+def _colours() -> np.ndarray:
+    """A colour for each byte value: red the value, green whether it is a blank, letter, digit or other sign, blue whether it is a capital or not ASCII."""
+    value = np.arange(256)
+    small, capital, digit = ((value >= ord(a)) & (value <= ord(z)) for a, z in ("az", "AZ", "09"))
+    green = np.select([value <= 32, small | capital | (value > 127), digit], [0, 64, 128], 192)
+    return np.stack([value, green, np.select([capital, value > 127], [128, 192], 0)], axis=1).astype(np.uint8)
+
+
+COLOURS = _colours()
 
 
 def store(payload: bytes) -> bytes:
-    """A GIF that shows the bytes of payload (a positive multiple of WIDTH) as grey pixels, ROWS rows to a frame."""
-    pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    return encode([pixels[i : i + ROWS] for i in range(0, len(pixels), ROWS)], GREY)
+    """A GIF that shows the bytes of payload (a positive multiple of WIDTH), ROWS rows to a frame."""
+    data = np.frombuffer(payload, np.uint8)
+    values = np.flatnonzero(np.bincount(data, minlength=256))
+    more = len(data) > WIDTH * ROWS and len(values) < 256
+    bits = max(2, (len(values) + more - 1).bit_length())
+    palette, index = np.zeros((1 << bits, 3), np.uint8), np.zeros(256, np.uint8)
+    palette[: len(values)], index[values] = COLOURS[values], np.arange(len(values))
+    pixels = index[data].reshape(-1, WIDTH)
+    frames = [pixels[:ROWS]]
+    for i in range(ROWS, len(pixels), ROWS):
+        own = pixels[i : i + ROWS]
+        frames.append(np.where(own == pixels[i - ROWS : i - ROWS + len(own)], np.uint8(len(values)), own) if more else own)
+    return encode(frames, palette, transparent=len(values) if more else None)
 
 
 def load(frames: list[Frame]) -> bytes:
@@ -229,26 +252,36 @@ def load(frames: list[Frame]) -> bytes:
 
 SCHEMA = (
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "frames array<struct<at_cs:long,delay_cs:int,width:int,height:int,histogram:array<long>>>"
+    "frames array<struct<at_cs:long,delay_cs:int,width:int,height:int,histogram:array<int>>>"
 )
+_FIELDS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+_TYPES = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
 
-def describe(text: str | None) -> tuple[dict, bytes]:
+def describe(text: str | None) -> tuple[tuple, np.ndarray, np.ndarray, bytes]:
+    """The values of _FIELDS, a row of at_cs, delay_cs, width and height for each frame, the frames' histograms, and the file."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     media = store(raw + b" " * (-len(raw) % WIDTH if raw else WIDTH))
     frames = decode(media)
     back = load(frames)
-    counts = [histogram(f) for f in frames]
-    total, at, rows = sum(counts), 0, []
-    for f, c in zip(frames, counts):
-        rows.append({"at_cs": at, "delay_cs": f.delay, "width": f.box[2], "height": f.box[3], "histogram": c.tolist()})
-        at += f.delay
+    counts = np.stack([histogram(f) for f in frames])
+    facts = np.array([(0, f.delay, f.box[2], f.box[3]) for f in frames])
+    facts[1:, 0] = np.cumsum(facts[:-1, 1])
+    total = counts.sum(axis=0)
     seen = ",".join(f"{i}:{total[i]}" for i in np.flatnonzero(total))
-    return {
-        "n_bytes": len(raw), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-16:]),
-        "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-        "feature": f"frames={len(frames)};time_cs={at};colours={seen}", "frames": rows,
-    }, media
+    feature = f"frames={len(frames)};time_cs={facts[:, 1].sum()};colours={seen}"
+    values = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature)
+    return values, facts, counts, media
+
+
+def _frames(facts: list[np.ndarray], counts: list[np.ndarray]) -> pa.Array:
+    """The column of frames: a list for each row."""
+    flat, histograms = np.concatenate(facts), np.concatenate(counts).astype(np.int32)
+    ends = pa.array(np.arange(0, histograms.size + 1, 64), pa.int32())
+    each = pa.StructArray.from_arrays(
+        [pa.array(flat[:, 0]), *(pa.array(flat[:, i].astype(np.int32)) for i in (1, 2, 3)), pa.ListArray.from_arrays(ends, pa.array(histograms.ravel()))],
+        names=["at_cs", "delay_cs", "width", "height", "histogram"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, facts)]), pa.int32()), each)
 
 
 def gif_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
@@ -260,17 +293,13 @@ def gif_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frame = pa.struct([("at_cs", pa.int64()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))])
-        fields = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
-                  ("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.list_(frame))] + [("media", pa.binary())] * keep_media
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = []
-                for text in part.column(1):
-                    row, media = describe(text.as_py())
-                    rows.append(row | ({"media": media} if keep_media else {}))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[n] for r in rows], t) for n, t in fields]], names=["doc_id", *[n for n, _ in fields]])
+                values, facts, counts, media = zip(*(describe(t.as_py()) for t in part.column(1)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*values), _TYPES)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, _frames(facts, counts), *[pa.array(media, pa.binary())] * keep_media],
+                                                 names=["doc_id", *_FIELDS, "frames", *["media"] * keep_media])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(work, f"doc_id {kind.simpleString()}, {SCHEMA}" + ", media binary" * keep_media)

@@ -51,7 +51,7 @@ def op9_exact_dedup(spark, sf_dir):
 
 
 def op10_gif(spark, sf_dir):
-    return gif.gif_columns(table(spark, sf_dir, "documents")).drop("frames")
+    return gif.gif_columns(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_ordinal_quality, op4_sentence_pieces, op5_license_scan, op6_secret_scan, op7_lsh_forest, op8_warc, op9_exact_dedup, op10_gif)}
