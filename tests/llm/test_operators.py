@@ -158,6 +158,10 @@ def test_licenses(spark):
         assert (r["first_word"], r["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
     assert got[14]["labels"] == "apache,apache-2.0,mit" and got[32]["labels"] == "mit" and got[33]["labels"] == "" and got[34]["n_base"] == 500
     assert licenses.license_scan(make(spark, [])).count() == 0
+    every = rows_of(licenses.license_scan(make(spark, rows + [(35, "All rights reserved.\n" * 5), (34, "MIT license " * 500)])))
+    assert sorted(r["doc_id"] or 0 for r in every) == sorted([i or 0 for i, _ in rows] + [34, 35])
+    (repeated,) = [r for r in every if r["doc_id"] == 35]
+    assert repeated["labels"] == "proprietary" and repeated["spans"] == ",".join(f"proprietary:{k}:{k + 3}" for k in (0, 12, 3, 6, 9)) and repeated["score"] == 1
 
 
 def brute_components(rows):
@@ -339,6 +343,44 @@ def test_toxicity(spark):
     assert toxicity.score(docs, empty).count() == len(got)
 
 
+def test_ordinal_slopes():
+    """Likelihood and slopes against a plain likelihood and differences of it."""
+    rng = np.random.default_rng(3)
+    score, grades, thresholds = rng.normal(0, 2, 40), rng.integers(0, 4, 40), np.array([-1.3, 0.2, 0.9])
+
+    def losses(s, t):
+        cut = [-np.inf, *t, np.inf]
+        below = lambda x, c: 1 / (1 + np.exp(-(c - x)))
+        return np.array([-np.log(below(x, cut[g + 1]) - below(x, cut[g])) for x, g in zip(s, grades)])
+
+    likely, by_score, by_threshold = quality.slopes(score, grades, thresholds)
+    assert np.allclose(-np.log(likely), losses(score, thresholds))
+    assert np.allclose(by_score, (losses(score + 1e-6, thresholds) - losses(score - 1e-6, thresholds)) / 2e-6, atol=1e-6)
+    for k, e in enumerate(np.eye(3) * 1e-6):
+        assert abs(by_threshold[k] - (losses(score, thresholds + e) - losses(score, thresholds - e)).sum() / 2e-6) < 1e-5
+
+
+def plain_grade(text, model):
+    """Expected grade and tail probability of one text, its features counted token by token."""
+    import xxhash
+
+    tokens = (text or "").split()
+    lines = [x for x in (text or "").split("\n") if x.strip()]
+    n, share = max(len(tokens), 1), {}
+    for t in tokens:
+        shape = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in t)
+        shape = "".join(c for c, before in zip(shape, "\n" + shape) if c != before)
+        for f in ("w" + " ".join(re.findall(r"[^\W_]+", t.lower())), "s" + shape):
+            slot = xxhash.xxh32_intdigest(f) % quality.DIMS
+            share[slot] = share.get(slot, 0) + 1 / n
+    step = lambda v, steps: len([s for s in steps if v >= s])
+    facts = [f"length{step(len(tokens), (1, 5, 10, 20, 50, 100, 200, 500, 1000, 5000))}", f"top{step(max([tokens.count(t) for t in set(tokens)], default=0) / n, (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8))}",
+             f"distinct{step(len(set(tokens)) / n, (0.05, 0.1, 0.2, 0.4, 0.6, 0.8))}", f"lines{step(len(set(lines)) / max(len(lines), 1), (0.1, 0.3, 0.5, 0.7, 0.9, 1))}"]
+    total = sum(v**0.5 * model["weights"][k] for k, v in share.items()) + sum(0.5 * model["weights"][xxhash.xxh32_intdigest(f) % quality.DIMS] for f in facts)
+    over = [1 / (1 + np.exp(t - total)) for t in model["thresholds"]]
+    return sum(over), over[0]
+
+
 def test_quality(spark):
     r = random.Random(2)
     data = []
@@ -348,8 +390,12 @@ def test_quality(spark):
         data.append((i, " ".join(w + ("%%%" if g == 0 else "") for w in words) + (" idiot moron" if g == 1 else ""), g))
     docs = make(spark, [(i, t) for i, t, _ in data] + [(900, None), (901, ""), (902, LONG), (None, "x")])
     labels = spark.createDataFrame([(i, 0 if g == 0 else 1, 1 if g == 1 else 0) for i, _, g in data], "doc_id long, quality int, toxic int")
-    got = rows_of(quality.score(docs, quality.fit(docs, labels, F.expr(quality.GRADE), quality.GRADES)))
+    model = quality.fit(docs, labels, F.expr(quality.GRADE), quality.GRADES)
+    got = rows_of(quality.score(docs, model))
     by = {x["doc_id"]: x for x in got}
+    assert (np.diff(model["thresholds"]) > 0).all()
+    for i, t in [(i, t) for i, t, _ in data[:60]] + [(900, None), (901, ""), (902, LONG)]:
+        assert np.allclose((by[i]["expected_grade"], by[i]["tail_probability"]), plain_grade(t, model), atol=1e-9)
     assert len(got) == 304
     held = [(by[i]["kept"], by[i]["expected_grade"], g) for i, _, g in data if by[i]["held_out"]]
     assert np.mean([k == (g > 0) for k, _, g in held]) >= 0.95

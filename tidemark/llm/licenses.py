@@ -53,13 +53,14 @@ def template_grams(spark: SparkSession, phrases=PHRASES, notices=NOTICES, k: int
 def votes(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document version and template diagonal: n_words, mask of template positions, first and last word.
 
-    A document version is an id and a hash of its text; one further row per version (template null) carries n_words.
+    A document version is an id and a hash of its text; one further row per version (template null) carries n_words and
+    how many rows of docs it stands for (copies).
     The words stay in the row that they were split in: only hits leave the stage, combined before the shuffle.
     """
     text = text_or_empty(text_col)
     words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("version"), F.filter(F.split(ascii_lower(text), NON_WORD), lambda w: w != "").alias("words"))
     # Position -1 stands for the document itself.
-    each = words.select("*", F.explode_outer(F.sequence(F.lit(-1), F.size("words") - K)).alias("i"))
+    each = words.select("*", F.explode_outer(F.sequence(F.lit(-1), F.greatest(F.size("words") - K, F.lit(-1)))).alias("i"))
     said = [F.when(F.col("i") < 0, _DOC).otherwise(F.try_element_at("words", F.col("i") + 1 + j)) for j in range(K)]
     each = each.select("doc_id", "version", F.size("words").alias("n_words"), "i", *[w.alias(f"w{j}") for j, w in enumerate(said)])
     each = each.withColumn("hash", F.xxhash64(*[f"w{j}" for j in range(K)]))
@@ -71,34 +72,37 @@ def votes(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_co
     diagonal = F.when(F.col("template").isNotNull(), F.col("i") - F.col("at"))
     return hits.groupBy("doc_id", "version", "template", diagonal.alias("diagonal")).agg(
         F.max("n_words").alias("n_words"), F.bit_or(F.when(F.col("template").isNotNull(), F.expr("shiftleft(1L, at)"))).alias("mask"),
-        F.min("i").alias("first"), (F.max("i") + K).alias("end"),
-        F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("grams").alias("grams"),
+        F.min("i").alias("first"), (F.max("i") + K).alias("end"), F.count_if(F.col("template").isNull()).alias("copies"),
     )
 
 
 def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, coverage: float = COVERAGE, band: int = BAND) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans; one row per id and text.
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans; one row for each row of docs.
 
-    Null text counts as empty (no words). Rows repeated with equal id and text give one row; an id with two texts gives
-    two. Null ids are kept. An empty table gives an empty result. Columns other than doc_id and text are ignored. score is
-    the largest coverage of a template (1 for a phrase), 0 without any hit; spans lists the verified merged spans as
-    label:first:end in words.
+    Null text counts as empty (no words). Rows repeated with equal id and text are scanned as one and each get the result.
+    Null ids are kept. An empty table gives an empty result. Columns other than doc_id and text are ignored. score is the
+    largest coverage of a template (1 for a phrase), 0 without any hit; spans lists the verified merged spans as
+    label:first:end in words. A diagonal that covers enough of its template by itself is a span of its own.
     """
     spark = docs.sparkSession
     found = votes(docs, template_grams(spark, phrases, notices))
+    known = [(*p, True) for p in phrases] + [(*x, False) for x in notices]
+    of = lambda k, values: F.element_at(F.array(*map(F.lit, values)), F.col(k) + 1)
+    found = found.withColumns({"exact": of("template", [x for _, _, x in known]), "grams": of("template", [len(t.split(" ")) - K + 1 for t, _, _ in known])})
     full = F.bit_count("mask") == F.col("grams")
     places = F.col("exact") & full
     near = Window.partitionBy("doc_id", "version", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(near) > band).cast("int")
+    alone = ~F.col("exact") & (F.bit_count("mask") / F.col("grams") >= coverage)
+    apart = ((F.col("diagonal") - F.lag("diagonal").over(near) > band) | F.col("alone") | F.lag("alone").over(near)).cast("int")
     merged = (
-        found.withColumn("block", F.sum(F.coalesce(apart, F.lit(0))).over(near))
+        found.withColumn("alone", alone).withColumn("block", F.sum(F.coalesce(apart, F.lit(0))).over(near))
         .groupBy("doc_id", "version", "template", "block")
         .agg(
-            F.max("n_words").alias("n_words"), F.first("label").alias("label"), F.first("exact").alias("exact"), F.first("grams").alias("grams"),
-            F.bit_or("mask").alias("mask"), F.min("first").alias("first"), F.max("end").alias("end"),
+            F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.bit_or("mask").alias("mask"), F.min("first").alias("first"), F.max("end").alias("end"),
             F.count_if(places).alias("n_base"), F.min(F.when(places, F.col("diagonal"))).alias("first_word"), F.max(F.when(places, F.col("diagonal"))).alias("last_word"),
         )
     )
+    merged = merged.withColumns({"label": of("template", [x for _, x, _ in known]), "exact": of("template", [x for _, _, x in known]), "grams": of("template", [len(t.split(" ")) - K + 1 for t, _, _ in known])})
     share = F.bit_count("mask") / F.col("grams")
     notice = ~F.col("exact") & (share >= coverage) & (F.col("end") - F.col("first") <= 2 * (F.col("grams") + K - 1))
     base = F.col("n_base") > 0
@@ -110,8 +114,9 @@ def license_scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, coverage: fl
         F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels"),
         F.round(F.coalesce(F.max(F.when(F.col("exact"), F.when(base, 1.0).otherwise(0.0)).otherwise(share)), F.lit(0.0)), 9).alias("score"),
         F.array_join(F.array_sort(F.collect_set(F.when(notice, F.concat_ws(":", "label", F.col("first").cast("string"), F.col("end").cast("string"))))), ",").alias("spans"),
+        F.max("copies").alias("copies"),
     )
-    return result.drop("version")
+    return result.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("version", "copies", "copy")
 
 
 def _oracle() -> str:
@@ -130,7 +135,8 @@ p AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 1)) AS i FROM d),
 h AS (SELECT doc_id, template, label, exact, grams, pos, i, i - pos AS diagonal FROM p JOIN g ON g.gram = p.ws[p.i + 1] || ' ' || p.ws[p.i + 2]),
 v AS (SELECT doc_id, template, label, exact, grams, diagonal, count(DISTINCT pos) AS n, min(i) AS a, max(i) + 2 AS e, list(DISTINCT pos) AS ats
       FROM h GROUP BY ALL),
-b AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {BAND} THEN 1 ELSE 0 END AS apart FROM v),
+u AS (SELECT *, NOT exact AND n / grams >= {COVERAGE} AS alone FROM v),
+b AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER x > {BAND} OR alone OR lag(alone) OVER x THEN 1 ELSE 0 END AS apart FROM u WINDOW x AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 k AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS block FROM b),
 m AS (SELECT doc_id, template, label, exact, grams, block, len(list_distinct(flatten(list(ats)))) AS n, min(a) AS a, max(e) AS e,
         count(*) FILTER (WHERE exact AND n = grams) AS n_base,

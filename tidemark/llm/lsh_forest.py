@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import discard, settle
 from .components import components
+from .shingles import P as _P
+from .shingles import shingle_hashes
 
-SHINGLE, PERCENT = 5, 85
+PERCENT = 85
 TREES, DEPTH, LONGEST = 24, 4, 12
 HASHES = TREES * DEPTH
 #: Columns of the values after the prefix, two in each.
@@ -46,41 +48,6 @@ LIKELY = 82
 #: Counters of shingles, by the low bits of their hashes.
 COUNTERS = 1 << 20
 _FACTORS = np.random.default_rng(20240229).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-class _Words(dict):
-    """64-bit hashes of words, kept between texts; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_words = _Words()
-
-
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles; of the whole sequence if it has fewer words; none without words.
-
-    Words are what [\\x20\\x09-\\x0D] separates, with A-Z in lower case, which is what bytes.lower() and bytes.split() do.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    width = min(SHINGLE, len(w))
-    h = np.full(len(w) - width + 1, width, np.uint64)
-    for i in range(width):
-        h = h * _P + w[i : len(w) - width + 1 + i]
-    h ^= h >> np.uint64(29)
-    h *= _Q
-    h ^= h >> np.uint64(32)
-    return np.unique(h)
-
-
 def signature(hashes: np.ndarray) -> np.ndarray:
     """HASHES MinHash values, 32 bits each."""
     least = np.full(HASHES, np.iinfo(np.uint64).max)

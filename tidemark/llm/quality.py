@@ -20,8 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import training_row
-from .toxicity import sampled
+from .common import sampled, training_row
 
 SAMPLE_ROWS, DIMS, EPOCHS = 1500, 1 << 16, 60
 _WORD = re.compile(r"[^\W_]+")
@@ -29,7 +28,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 def slots(token: str) -> tuple[int, int]:
     """Slots of a token's lower-case words and of its shape: letters as A or a, digits as 0, runs as one; other characters stay."""
-    shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64]))
+    shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token))
     return xxhash.xxh32_intdigest("w" + " ".join(_WORD.findall(token.lower()))) % DIMS, xxhash.xxh32_intdigest("s" + shape) % DIMS
 
 
@@ -71,6 +70,16 @@ def tails(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds[None], -30, 30)))
 
 
+def slopes(score: np.ndarray, grades: np.ndarray, thresholds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By row the probability of its grade and the slope of -log of it by the score; and the slope of their sum by each threshold."""
+    rows, n = np.arange(len(score)), len(thresholds) + 1
+    over = np.concatenate([np.ones((len(score), 1)), tails(score, thresholds), np.zeros((len(score), 1))], axis=1)
+    upper, lower = over[rows, grades], over[rows, grades + 1]
+    likely = np.maximum(upper - lower, 1e-9)
+    d_upper, d_lower = upper * (1 - upper) / likely, lower * (1 - lower) / likely
+    return likely, d_lower - d_upper, np.bincount(grades, d_upper, n)[1:] - np.bincount(grades, d_lower, n)[:-1]
+
+
 def train(texts: list[str], grades: list[int], n_grades: int) -> dict:
     """Weights and ordered thresholds by gradient steps on the likelihood of the grades; gaps between thresholds stay positive."""
     reader = Reader()
@@ -86,13 +95,7 @@ def train(texts: list[str], grades: list[int], n_grades: int) -> dict:
         gaps = np.exp(raw[1:])
         thresholds = raw[0] + np.concatenate([[0], np.cumsum(gaps)])
         s = np.bincount(owner, value * weights[where], len(rows))
-        over = np.concatenate([np.ones((len(s), 1)), tails(s, thresholds), np.zeros((len(s), 1))], axis=1)
-        upper, lower = over[np.arange(len(s)), y], over[np.arange(len(s)), y + 1]
-        likely = np.maximum(upper - lower, 1e-9)
-        # The slopes of -log(upper - lower) by the score, and by each threshold.
-        d_upper, d_lower = upper * (1 - upper) / likely, lower * (1 - lower) / likely
-        pull = -(d_upper - d_lower) / len(s)
-        by_threshold = np.bincount(y, d_upper / len(s), n_grades)[1:] - np.bincount(y, d_lower / len(s), n_grades)[:-1]
+        _, pull, by_threshold = (x / len(s) for x in slopes(s, y, thresholds))
         slope = np.bincount(where, value * pull[owner], DIMS) + 1e-5 * weights
         squares += slope * slope
         weights -= 0.4 * slope / np.sqrt(squares)

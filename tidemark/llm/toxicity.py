@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import training_row
+from .common import sampled, training_row
+from .shingles import shingle_hashes
 
 #: Most labelled rows that training takes of either label.
 SAMPLE = {0: 2000, 1: 1000}
@@ -153,8 +154,6 @@ def neighbours(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _distinct(texts: list[str], marks: list[int]) -> list[int]:
     """Indexes without copies and near copies: texts that share one of three least shingle hashes with an earlier text of the label."""
-    from .lsh_forest import shingle_hashes
-
     seen, kept = set(), []
     for i, t in enumerate(texts):
         h = shingle_hashes(t)
@@ -267,18 +266,6 @@ def _read(texts: list[str | None], model: dict, scores: Scores | None = None) ->
             yield (float(np.log(top / (1 - top))), float(np.log1p(own.sum()))), spans
 
 
-def sampled(docs: DataFrame, labels: DataFrame, mark: str, sample: dict[int, int]) -> DataFrame:
-    """text and mark of at most sample[mark] training rows of each mark, chosen by a hash of their ids; ids are broadcast (bounded by the sample)."""
-    known = labels.select("doc_id", F.col(mark).cast("int").alias("mark")).filter(training_row() & F.col("mark").isin(*sample))
-    known = known.groupBy("doc_id").agg(F.max("mark").alias("mark"))
-    chosen = None
-    for value, most in sample.items():
-        part = known.filter(F.col("mark") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id").select("text", "mark", F.xxhash64("doc_id", "text").alias("place"))
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Train on the sample in one task (its size is bounded by SAMPLE); the model comes back as about 1 MB."""
 
