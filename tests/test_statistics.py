@@ -65,7 +65,7 @@ def test_adf_and_granger(spark):
     _, b, e = lstsq(d[2:], [y[2:-1], d[1:-1], d[:-2]])
     a = np.column_stack([np.ones(len(d) - 2), y[2:-1], d[1:-1], d[:-2]])
     tau = b[1] / math.sqrt(np.linalg.inv(a.T @ a)[1, 1] * (e @ e) / (len(e) - 4))
-    got = regression.adf(df, ["instrument"], "y", fixed=2).first()
+    got = regression.adf_fixed(df, ["instrument"], "y", [2]).first()
     assert abs(got.statistic - tau) < 1e-8 and got.lag == 2
     aic = []
     for p in range(4):
@@ -180,6 +180,59 @@ def test_ridge_and_comparisons(spark):
     assert pooled.mean == 0 and pooled.n == 30
 
 
+def test_ridge_equals_brute_force(spark):
+    """Alpha by expanding folds over the validation rows, then the fit on all of them, by plain matrices."""
+    n = 120
+    x = RNG.normal(size=(n, 3)) * [1, 5, 0.1]
+    y = x @ [0.5, -0.1, 3.0] + RNG.normal(size=n)
+    df = models.split(series(spark, {"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
+    got = models.ridge(df, "y", ["a", "b", "c"]).orderBy("date").collect()
+    own = np.arange(50, n - 15)
+
+    def fit(rows, alpha):
+        mu, sd = x[rows].mean(axis=0), x[rows].std(axis=0)
+        z = (x[rows] - mu) / sd
+        beta = np.linalg.solve(z.T @ z + alpha * np.eye(3), z.T @ (y[rows] - y[rows].mean()))
+        return lambda at: y[rows].mean() + (x[at] - mu) / sd @ beta
+
+    folds = max(2, min(3, len(own) // 12))
+    size = len(own) // (folds + 1)
+    tests = [own[len(own) - (folds - j) * size :][:size] for j in range(folds)]
+    error = {a: np.mean([np.mean((y[t] - fit(np.arange(50, t[0]), a)(t)) ** 2) for t in tests]) for a in models.ALPHAS}
+    best = min(error, key=lambda a: (error[a], a))
+    assert got[0].prediction_alpha == best and np.allclose([r.prediction for r in got], fit(own, best)(np.arange(n)))
+
+
+def test_tree_search(spark):
+    """Folds of rows, distinct seeded draws, the least mean error; predictions are those of a fit to the earlier rows."""
+    n = 90
+    x = RNG.normal(size=n)
+    df = models.split(series(spark, {"x": x, "y": np.where(x > 0, 1.0, -1.0) + RNG.normal(size=n) * 0.05}))
+    folds = [r for r in models.row_folds(df).orderBy("fold", "position").collect()]
+    for k in range(1, 5):
+        test = [r.position for r in folds if r.fold == k and r.test]
+        assert test == list(range(75 - (5 - k) * 10, 75 - (4 - k) * 10)) and [r.position for r in folds if r.fold == k and not r.test] == list(range(test[0]))
+    grid = {"maxDepth": (1, 3), "maxIter": (1, 5), "subsamplingRate": (1.0,)}  # rows are sampled by their place in partitions
+    assert models.draw_parameters(3, grid=grid) == models.draw_parameters(3, grid=grid) and len({str(p) for p in models.draw_parameters(99, grid=grid)}) == 4
+    assert len(models.draw_parameters()) == 150
+    best, scored = models.tune_trees(df, "y", ["x"], models.draw_parameters(2, grid=grid))
+    assert len(scored) == 2 and min(e for _, e in scored) == dict((str(p), e) for p, e in scored)[str(best)]
+    cuts = [r.date for r in df.filter("position in (50, 70)").orderBy("date").collect()]
+    out = {r.position: r.prediction for r in models.tree_walk_forward(df, "y", ["x"], cuts, params=best).collect()}
+    own = {r.position: r.prediction for r in models._fit_trees(df.filter("position < 70"), df.filter("position >= 70"), "y", ["x"], "instrument", best).collect()}
+    assert sorted(out) == list(range(50, n)) and all(out[k] == own[k] for k in own)
+    assert np.mean([(out[k] > 0) == (x[k] > 0) for k in out]) > 0.9
+
+
+def test_large_binomial_tails(spark):
+    from tidemark.functions import dist
+
+    rows = spark.createDataFrame([(10, 0), (10, 11), (10, 7), (2_000_000, 1_001_000)], "n long, k long")
+    got = [r.p for r in rows.select(dist.binomial_tail(F.col("n"), F.col("k")).alias("p")).collect()]
+    assert got[:2] == [1.0, 0.0] and abs(got[2] - sum(math.comb(10, i) for i in range(7, 11)) / 1024) < 1e-14
+    assert abs(got[3] - 0.5 * math.erfc((1_000_999.5 - 1_000_000) / math.sqrt(500_000) / math.sqrt(2))) < 1e-4
+
+
 def test_histogram_edges(spark):
     from tidemark.operators.checks import histogram
 

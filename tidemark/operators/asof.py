@@ -26,15 +26,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], directi
     Of several right rows at one time one is taken, the largest by its columns.
     """
     if direction == "nearest":
-        both = [asof_join(left.withColumn("_row", F.struct(*left.columns)), right, on, by, d, allow_exact, tolerance, bucket) for d in ("backward", "forward")]
-        extra = [c for c in right.columns if c not in (*by, on)]
-        sides = [b.select("_row", F.struct(F.col("matched_on"), *extra).alias(n)) for b, n in zip(both, ("_b", "_f"))]
-        sides = [s.groupBy("_row").agg(F.max(n).alias(n), F.count(F.lit(1)).alias(f"_n{n}")) for s, n in zip(sides, ("_b", "_f"))]
-        joined = sides[0].join(sides[1].drop("_n_f"), "_row")
-        away = [F.abs(_seconds(F.col(f"_row.{on}")) - _seconds(F.col(f"{n}.matched_on"))) for n in ("_b", "_f")]
-        pick = F.when(away[1].isNull() | (away[0] <= away[1]), F.col("_b")).otherwise(F.col("_f"))
-        repeated = joined.withColumn("_m", pick).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n_b").cast("int"))))
-        return repeated.select(*[F.col("_row")[c].alias(c) for c in left.columns], F.col("_m.matched_on").alias("matched_on"), *[F.col("_m")[c].alias(c) for c in extra])
+        return _nearest(left, right, on, by, allow_exact, tolerance, bucket)
     forward = direction == "forward"
     extra = [c for c in right.columns if c not in (*by, on)]
     found = F.struct(F.col(on).alias("matched_on"), *extra)
@@ -65,14 +57,62 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], directi
     return out.select(*[F.col("_left")[c].alias(c) for c in left.columns], F.col("_match.matched_on").alias("matched_on"), *[F.col("_match")[c].alias(c) for c in extra])
 
 
+def _nearest(left: DataFrame, right: DataFrame, on: str, by: list[str], allow_exact: bool, tolerance: int | None, bucket: Column | None) -> DataFrame:
+    """The nearer of the last right row before and the first one after, the earlier of equals: one union and one sort, two frames over it."""
+    extra = [c for c in right.columns if c not in (*by, on)]
+    found = F.struct(F.col(on).alias("matched_on"), *extra)
+    rows = left.select(*by, F.col(on).alias("_on"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
+    # At equal times right rows stand before the left ones; where an equal time may not match, they are passed over below.
+    marks = right.select(*by, F.col(on).alias("_on"), F.lit(0).alias("_side"), found.alias("_found"))
+    both, keys = rows.unionByName(marks, allowMissingColumns=True), [*by]
+    if bucket is not None:
+        both, keys = both.withColumn("_bucket", bucket), [*by, "_bucket"]
+    order = [F.col("_on"), F.col("_side"), F.col("_found")]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    if allow_exact:
+        before = F.last("_found", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    else:  # an earlier time in micros or days: by range, which leaves equal times out
+        both = both.withColumn("_at", _order_number(F.col("_on")))
+        before = F.last("_found", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1))
+    # The largest of the right rows of the first later time, as before: later rows of one time stand in order, so the largest is the last of its time.
+    same = Window.partitionBy(*keys, "_on")
+    out = both.withColumn("_best", F.when(F.col("_found").isNotNull(), F.max("_found").over(same)))
+    after = F.first("_best", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    out = out.withColumns({"_b": before, "_f": after})
+    if bucket is not None:
+        known = F.col("_found").isNotNull()
+        ends = both.groupBy(*keys).agg(F.max_by("_found", F.struct(known, F.col("_on"), F.col("_found"))).alias("_last"), F.min(F.when(known, F.col("_on"))).alias("_first_on"))
+        heads = both.filter(known).groupBy(*keys, F.col("_on").alias("_first_on")).agg(F.max("_found").alias("_first"))
+        ends = ends.join(heads, [*keys, "_first_on"], "left")
+        along = Window.partitionBy(*by).orderBy("_bucket")
+        ends = ends.select(*keys, F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+        out = out.join(ends, keys, "left").withColumns({"_b": F.coalesce("_b", "_earlier"), "_f": F.coalesce("_f", "_later")})
+    away = [F.abs(_seconds(F.col("_on")) - _seconds(F.col(f"{n}.matched_on"))) for n in ("_b", "_f")]
+    match = F.when(away[1].isNull() | (away[0] <= away[1]), F.col("_b")).otherwise(F.col("_f"))
+    if tolerance is not None:
+        match = F.when(F.least(*away) <= tolerance, match)
+    out = out.filter(F.col("_left").isNotNull()).withColumn("_match", match)
+    return out.select(*[F.col("_left")[c].alias(c) for c in left.columns], F.col("_match.matched_on").alias("matched_on"), *[F.col("_match")[c].alias(c) for c in extra])
+
+
+def _order_number(x: Column) -> Column:
+    return F.unix_micros(x.cast("timestamp_ltz"))
+
+
 def _seconds(x: Column) -> Column:
     return F.unix_timestamp(x.cast("timestamp_ltz"))
 
 
 def replace_by_asof(df: DataFrame, right: DataFrame, columns: list[str], on: str, by: list[str], prefix: str = "embedded_") -> DataFrame:
-    """Own columns stay under a prefix, and the latest earlier right row's values take their names."""
+    """Own columns stay under a prefix, and the latest earlier right row's values take their names.
+
+    Rows without keys share one series: the as-of step runs over their distinct dates, and rows meet it by equality, which Spark spreads."""
     kept = df.withColumnsRenamed({c: f"{prefix}{c}" for c in columns if c in df.columns})
-    return asof_join(kept, right, on, by, allow_exact=False)
+    days = asof_join(kept.select(*by, on).distinct(), right, on, by, allow_exact=False)
+    same = F.col(f"_l.{on}").eqNullSafe(F.col(f"_r.{on}"))
+    for c in by:
+        same = same & F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}"))
+    return kept.alias("_l").join(days.alias("_r"), same, "left").select("_l.*", *[F.col(f"_r.{c}") for c in days.columns if c not in (*by, on)])
 
 
 def contains_join(texts: DataFrame, names: DataFrame, columns: list[str], name: str = "name") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import dist
 from tidemark.operators import asof, features, testing
 
 #: Windows of days after the event by session.
@@ -43,13 +44,24 @@ def market_models(rows: DataFrame, by: str = "instrument", y: str = "cc_return",
     return features.position(rows, by).withColumns({"alpha": value(F.regr_intercept(y, x)), "beta": value(F.regr_slope(y, x)), "r_squared": value(F.regr_r2(y, x)), "estimation_n": n})
 
 
-def events(rows: DataFrame, sessions: dict[str, str], by: str = "instrument", spacing: int = 5) -> DataFrame:
-    """Selected events that have a market model, with event_id: instrument_session_direction_running number."""
+def own_market(rows: DataFrame, markets: dict[str, str], default: str, by: str = "instrument", name: str = "own_market") -> DataFrame:
+    """E5: the change of each instrument's market, by a table of instruments and the market columns that aren't the default."""
+    choice = F.col(default)
+    for instrument, column in markets.items():
+        choice = F.when(F.col(by) == instrument, F.col(column)).otherwise(choice)
+    return rows.withColumn(name, choice)
+
+
+def events(rows: DataFrame, sessions: dict[str, str], by: str = "instrument", spacing: int = 5, x: str = "market_change") -> DataFrame:
+    """Selected events that have a market model, with event_id: instrument_session_direction_number; the number runs over the whole
+    result by instrument, session and position. It is counted within each instrument and session, after the events of those before it."""
     chosen = select_events(candidates(rows, sessions, by), by, spacing)
-    models = market_models(rows, by).select(by, "position", "alpha", "beta", "r_squared", "estimation_n").filter("alpha IS NOT NULL")
+    models = market_models(rows, by, x=x).select(by, "position", "alpha", "beta", "r_squared", "estimation_n").filter("alpha IS NOT NULL")
     out = chosen.join(models, [by, "position"])
-    number = F.row_number().over(Window.partitionBy(by, "session", "direction").orderBy("position"))
-    return out.withColumn("event_id", F.concat_ws("_", by, "session", "direction", number.cast("string")))
+    before = Window.partitionBy(F.lit(0)).orderBy(by, "session").rowsBetween(Window.unboundedPreceding, -1)  # a row for each instrument and session
+    starts = out.groupBy(by, "session").agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    number = F.row_number().over(Window.partitionBy(by, "session").orderBy("position")) + F.col("_start")
+    return out.join(starts, [by, "session"]).withColumn("event_id", F.concat_ws("_", by, "session", "direction", number.cast("string"))).drop("_start")
 
 
 def abnormal_returns(chosen: DataFrame, rows: DataFrame, by: str = "instrument", y: str = "cc_return", x: str = "market_change", span: int = 5) -> DataFrame:
@@ -72,10 +84,11 @@ def car(returns: DataFrame, by: str = "instrument") -> DataFrame:
 def car_summary(cars: DataFrame, by: str = "instrument") -> DataFrame:
     """Per instrument, session, direction and window: n, mean, median, deviation, t-test, signed-rank test, and p adjusted over all rows."""
     keys = [by, "session", "direction", "first", "last"]
-    base = cars.groupBy(*keys).agg(F.percentile("car", F.lit(0.5)).alias("median"), F.stddev_samp("car").alias("std"))
-    t = testing.t_test(cars, keys, "car").withColumnRenamed("statistic", "t")
+    x = F.col("car")
+    base = cars.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), testing.t_statistic(x).alias("t"), F.percentile(x, F.lit(0.5)).alias("median"), F.stddev_samp(x).alias("std"))
+    base = base.withColumn("p_value", dist.t_two_sided(F.col("t"), F.col("n") - 1))
     signed = testing.wilcoxon(cars, keys, "car").select(*keys, F.col("p_two_sided").alias("p_wilcoxon"))
-    out = t.join(base, keys).join(signed, keys).withColumn("status", F.when(F.col("n") >= 2, "OK").otherwise("SKIP_TOO_FEW"))
+    out = base.join(signed, keys).withColumn("status", F.when(F.col("n") >= 2, "OK").otherwise("SKIP_TOO_FEW"))
     return testing.adjust(out)
 
 

@@ -88,17 +88,31 @@ def date_value(text: Column) -> Column:
     return F.to_date(F.try_to_timestamp(F.regexp_replace(F.trim(text.cast("string")), "[./]", "-"), F.lit("yyyy-MM-dd")))
 
 
+def require_dates(df: DataFrame, columns: list[str]) -> DataFrame:
+    """raises with the number of rows whose text in one of the columns isn't a date; null texts pass."""
+    bad = df.agg(*[F.count_if(F.col(c).isNotNull() & date_value(F.col(c)).isNull()).alias(c) for c in columns]).first().asDict()
+    if any(bad.values()):
+        raise ValueError(f"unreadable dates: { {c: n for c, n in bad.items() if n} }")
+    return df
+
+
 def position(df: DataFrame, by: str = "instrument") -> DataFrame:
     """0-based place in date order."""
     return df.withColumn("position", F.row_number().over(over(by)) - 1)
 
 
-FEATURES = ("rolling_volatility_lag1", "rolling_volatility_lag2", "rolling_volatility_lag3", "cc_return_lag1", "market_change_lag1", "target_vol_5d", "target_vol_pk")
+#: M8: the nine base features of the models, and those with the sentiments.
+BASE_FEATURES = ("rolling_volatility", "rolling_volatility_lag1", "rolling_volatility_lag2", "rolling_volatility_lag3", "cc_return_lag1", "vix_change", "vix_change_lag1", "market_change", "second_change")
+SENTIMENT_FEATURES = (*BASE_FEATURES, "sentiment_intraday", "sentiment_overnight")
+TARGETS = ("target_vol_5d", "target_vol_pk")
+#: Rows with a null in one of these go; the lags before the third follow from it, and the intraday sentiment may be null.
+COMPLETE = ("rolling_volatility_lag3", "vix_change_lag1", "market_change", "second_change", "sentiment_overnight", *TARGETS)
 
 
 def feature_table(bars: DataFrame, market: DataFrame, sentiment: DataFrame, by: str = "instrument") -> DataFrame:
-    """Lags of volatility and returns, the sentiments known before the target, next-row targets; complete cases only."""
-    rows = price_features(bars, by).join(market.select("date", "market_change"), "date", "left").join(sentiment, [by, "date"], "left")
-    rows = lags(rows, {"rolling_volatility": [1, 2, 3], "cc_return": [1], "market_change": [1]}, by)
+    """Lags of volatility, return and the volatility index's change, both markets' changes of the day, the sentiments known
+    before the target (the next day's overnight session), next-row targets; complete cases only."""
+    rows = price_features(bars, by).join(market.select("date", "market_change", "second_change", "vix_change"), "date", "left").join(sentiment, [by, "date"], "left")
+    rows = lags(rows, {"rolling_volatility": [1, 2, 3], "cc_return": [1], "vix_change": [1]}, by)
     rows = leads(rows, {"sentiment_overnight": "overnight_sentiment_index", "target_vol_5d": "rolling_volatility", "target_vol_pk": "parkinson_volatility"}, by)
-    return rows.withColumn("sentiment_intraday", F.col("intraday_sentiment_index")).na.drop(subset=list(FEATURES))
+    return rows.withColumn("sentiment_intraday", F.col("intraday_sentiment_index")).na.drop(subset=list(COMPLETE))

@@ -125,35 +125,80 @@ def ridge(df: DataFrame, y: str, xs: list[str], by: str = "instrument", alphas:
     return df.join(final, by, "left").withColumn(name, value).withColumnRenamed("_alpha", f"{name}_alpha").drop("_c")
 
 
-def tree_walk_forward(df: DataFrame, y: str, xs: list[str], cutoffs: list, by: str = "instrument", on: str = "date", params: dict | None = None, parallel: int = 4) -> DataFrame:
-    """Boosted trees on the pooled panel (the instrument is a feature), fitted anew at each cutoff date to earlier rows, predicting rows from it up to the next.
-
-    The loop runs over cutoffs, a few at a time; each fit is a Spark job over all instruments."""
+def _fit_trees(train: DataFrame, rows: DataFrame, y: str, xs: list[str], by: str, params: dict | None) -> DataFrame:
+    """rows with the prediction of trees fitted to train; the instrument is a feature."""
+    from pyspark.ml import Pipeline
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    rows = df.na.drop(subset=[y, *xs])
-    rows = StringIndexer(inputCol=by, outputCol="_instrument", handleInvalid="keep").fit(rows).transform(rows)
-    rows = VectorAssembler(inputCols=["_instrument", *xs], outputCol="_features").transform(rows)
     settings = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, "maxBins": 64} | (params or {})
+    steps = [StringIndexer(inputCol=by, outputCol="_instrument", handleInvalid="keep"), VectorAssembler(inputCols=["_instrument", *xs], outputCol="_features"), GBTRegressor(featuresCol="_features", labelCol=y, **settings)]
+    known = [y, *xs]
+    return Pipeline(stages=steps).fit(train.na.drop(subset=known)).transform(rows.na.drop(subset=known)).drop("_features", "_instrument")
+
+
+def tree_walk_forward(df: DataFrame, y: str, xs: list[str], cutoffs: list, by: str = "instrument", on: str = "date", params: dict | None = None, parallel: int = 4) -> DataFrame:
+    """Boosted trees on the pooled panel, fitted anew at each cutoff date to earlier rows, predicting rows from it up to the next.
+
+    The loop runs over cutoffs, a few at a time; each fit is a Spark job over all instruments."""
 
     def one(span: tuple) -> DataFrame:
         start, end = span
-        model = GBTRegressor(featuresCol="_features", labelCol=y, **settings).fit(rows.filter(F.col(on) < F.lit(start)))
-        own = rows.filter(F.col(on) >= F.lit(start))
-        return model.transform(own if end is None else own.filter(F.col(on) < F.lit(end)))
+        own = df.filter(F.col(on) >= F.lit(start))
+        return _fit_trees(df.filter(F.col(on) < F.lit(start)), own if end is None else own.filter(F.col(on) < F.lit(end)), y, xs, by, params)
 
     with ThreadPoolExecutor(parallel) as pool:
         parts = list(pool.map(one, zip(cutoffs, [*cutoffs[1:], None])))
-    return reduce(DataFrame.unionByName, parts).drop("_features", "_instrument")
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: The parameters that the search draws from (the third-party penalty on weights has no counterpart in Spark's trees).
+TREE_GRID = {
+    "maxDepth": (2, 3, 4), "maxIter": (50, 100, 150, 200), "stepSize": (0.01, 0.03, 0.05, 0.1, 0.15), "subsamplingRate": (0.6, 0.7, 0.8, 0.9, 1.0),
+    "featureSubsetStrategy": ("0.6", "0.7", "0.8", "1.0"), "minInstancesPerNode": (1, 3, 5),
+}
+
+
+def draw_parameters(n: int = 150, seed: int = 42, grid: dict[str, tuple] = TREE_GRID) -> list[dict]:
+    """M9: n different combinations of the grid, drawn at random; all of them if there are fewer."""
+    import random
 
+    sizes = [len(v) for v in grid.values()]
+    total = int(np.prod(sizes))
+    out = []
+    for k in random.Random(seed).sample(range(total), min(n, total)):
+        chosen = {}
+        for (name, values), size in zip(grid.items(), sizes):
+            chosen[name], k = values[k % size], k // size
+        out.append(chosen)
+    return out
+
+
+def row_folds(df: DataFrame, by: str = "instrument", on: str = "date", folds: int = 4, size: int = 10) -> DataFrame:
+    """M9: the rows before the holdout once for each fold they belong to: fold (1 to ``folds``) and test. A fold tests ``size`` rows of each
+    instrument, the last fold the last ones, and is trained on all rows before them."""
+    back = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(on))) - 1
+    rows = df.filter("split <> 'holdout'").withColumn("_back", back).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
+    later = (folds - F.col("fold")) * size
+    return rows.filter(F.col("_back") >= later).withColumn("test", F.col("_back") < later + size).drop("_back")
+
+
+def tune_trees(df: DataFrame, y: str, xs: list[str], grid: list[dict], by: str = "instrument", on: str = "date", folds: int = 4, size: int = 10, parallel: int = 4) -> tuple[dict, list[tuple[dict, float]]]:
+    """M9: the parameters of the least root mean squared error, the mean over the folds; a few fits at a time, each a Spark job over all instruments."""
+    from tidemark.sources.shared import discard, settle
+
+    cut = settle(row_folds(df, by, on, folds, size), "folds")
 
-def tune_trees(df: DataFrame, y: str, xs: list[str], cutoffs: list, grid: list[dict], by: str = "instrument", on: str = "date") -> tuple[dict, list[tuple[dict, float]]]:
-    """M9: the parameters of the least root mean squared error over expanding folds; cutoffs are the folds' first dates and their end."""
-    scored = []
-    for params in grid:
-        out = tree_walk_forward(df.filter(F.col(on) < F.lit(cutoffs[-1])), y, xs, cutoffs[:-1], by, on, params)
-        scored.append((params, out.agg(F.sqrt(F.avg(F.pow(F.col(y) - F.col("prediction"), F.lit(2))))).first()[0]))
+    def one(job: tuple) -> float:
+        params, fold = job
+        own = cut.filter(F.col("fold") == fold)
+        out = _fit_trees(own.filter("NOT test"), own.filter("test"), y, xs, by, params)
+        return out.agg(F.sqrt(F.avg(F.pow(F.col(y) - F.col("prediction"), F.lit(2))))).first()[0]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        errors = list(pool.map(one, [(p, f) for p in grid for f in range(1, folds + 1)]))
+    discard(cut)
+    scored = [(p, sum(errors[i * folds : (i + 1) * folds]) / folds) for i, p in enumerate(grid)]
     return min(scored, key=lambda s: s[1])[0], scored
 
 
@@ -196,6 +241,15 @@ def dm_hac(df: DataFrame, actual: str, one: str, two: str, by: list[str], order:
     return v.withColumn("statistic", t).withColumn("p_value", dist.t_two_sided(F.col("statistic"), F.col("n") - 1)).drop("variance")
 
 
+def dm_hac_all(df: DataFrame, actual: str, comparisons: dict[str, tuple[str, str]], by: list[str], order: str, max_lag: int) -> DataFrame:
+    """The Diebold-Mariano test of several pairs of models, a row for each key and comparison: comparisons are rows of one job."""
+    each = F.array(*[F.struct(F.lit(n).alias("comparison"), loss_difference(actual, one, two).alias("_d")) for n, (one, two) in comparisons.items()])
+    long = df.select(*by, order, F.explode(each).alias("_x")).select(*by, order, "_x.*")
+    v = long_run_variance(long, "_d", [*by, "comparison"], order, max_lag)
+    t = F.col("mean") / F.sqrt(F.col("variance") / F.col("n"))
+    return v.withColumn("statistic", t).withColumn("p_value", dist.t_two_sided(F.col("statistic"), F.col("n") - 1)).drop("variance")
+
+
 def pooled_by_date(df: DataFrame, actual: str, one: str, two: str, order: str, max_lag: int, by: str = "instrument") -> DataFrame:
     """Differences scaled by each instrument's deviation (0 without spread), averaged by date: HAC t-test and sign test over dates."""
     rows = df.withColumn("_d", loss_difference(actual, one, two))

@@ -112,32 +112,51 @@ def hac_ols(df: DataFrame, by: list[str], y: str, xs: list[str], order: str = "d
                       F.when(ok, z).alias("z"), F.when(ok, dist.two_sided_normal(z)).alias("p_value"))
 
 
-def adf(df: DataFrame, by: list[str], value: str, order: str = "date", max_lag: int = 3, fixed: int | None = None, least: int = 20, alpha: float = 0.05) -> DataFrame:
-    """A2, A3: Dickey-Fuller test with a constant; the lag is ``fixed`` or has the least AIC on the sample that all lags share, and is fitted
-    again on its own longer sample. status, n, lag, statistic, p_value."""
+def _adf_moments(df: DataFrame, by: list[str], value: str, order: str, max_lag: int, lags: list[int], common: bool) -> DataFrame:
+    """One row per key: rows, whether the value is constant, and the fit of each lag on its own sample (o0, o1, ...) and, if asked for, on the
+    sample that all lags share (c0, c1, ...)."""
     rows = complete(df, [value])
     w = Window.partitionBy(*by).orderBy(order)
     rows = rows.withColumn("_y1", F.lag(value).over(w)).withColumn("_d", F.col(value) - F.col("_y1"))
     rows = rows.withColumns({f"_d{i}": F.lag("_d", i).over(w) for i in range(1, max_lag + 1)})
     xs = ["_y1", *[f"_d{i}" for i in range(1, max_lag + 1)]]
     known = lambda p: F.col(f"_d{p}" if p else "_d").isNotNull()
-    samples = {"common": moments("_d", xs, known(max_lag))} | {f"own{p}": moments("_d", xs[: p + 1], known(p)) for p in range(max_lag + 1)}
-    aggs = [F.struct(*m).alias(n) for n, m in samples.items()]
-    flat = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), (F.min(value) == F.max(value)).alias("constant"), *aggs)
+    samples = {f"own{p}": moments("_d", xs[: p + 1], known(p)) for p in lags} | ({"common": moments("_d", xs, known(max_lag))} if common else {})
+    flat = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), (F.min(value) == F.max(value)).alias("constant"), *[F.struct(*m).alias(n) for n, m in samples.items()])
     fit = lambda s, p: fitted(F.col(f"{s}.n"), F.col(f"{s}.mean"), F.col(f"{s}.cov"), F.lit(p + 1))
-    lags = range(max_lag + 1) if fixed is None else [fixed]
-    flat = flat.withColumns({f"c{p}": fit("common", p) for p in lags} | {f"o{p}": fit(f"own{p}", p) for p in lags})
-    aic = lambda p: F.when(F.col(f"c{p}.ssr") > 0, F.col(f"c{p}.n") * F.ln(F.col(f"c{p}.ssr") / F.col(f"c{p}.n")) + 2.0 * (p + 2))
-    best = F.array_min(F.array(*[F.when(aic(p).isNotNull(), F.struct(aic(p).alias("aic"), F.lit(p).alias("lag"))) for p in lags]))["lag"]
-    flat = flat.withColumn("lag", best)
-    own = F.coalesce(*[F.when(F.col("lag") == p, F.col(f"o{p}")) for p in lags])
-    flat = flat.withColumn("own", own)
-    tau = F.col("own.coef")[1] / F.col("own.se")[1]
+    return flat.withColumns({f"o{p}": fit(f"own{p}", p) for p in lags} | ({f"c{p}": fit("common", p) for p in lags} if common else {}))
+
+
+def _adf_result(by: list[str], own: Column, lag: Column, least: int, alpha: float) -> list[Column]:
+    tau = own["coef"][1] / own["se"][1]
     ok = (F.col("rows") >= least) & ~F.col("constant")
     p_value = dist.adf_p(tau)
     status = (F.when(F.col("rows") < least, "SKIP_TOO_FEW").when(F.col("constant"), "SKIP_CONSTANT").when(tau.isNull(), "ERROR")
               .when(p_value < alpha, "STATIONARY_5PCT").otherwise("NONSTATIONARY_5PCT"))
-    return flat.select(*by, status.alias("status"), F.col("rows").alias("n"), F.when(ok, F.col("lag")).alias("lag"), F.when(ok, tau).alias("statistic"), F.when(ok, p_value).alias("p_value"))
+    return [*map(F.col, by), status.alias("status"), F.col("rows").alias("n"), F.when(ok, lag).alias("lag"), F.when(ok, tau).alias("statistic"), F.when(ok, p_value).alias("p_value")]
+
+
+def adf(df: DataFrame, by: list[str], value: str, order: str = "date", max_lag: int = 3, least: int = 20, alpha: float = 0.05) -> DataFrame:
+    """A2: Dickey-Fuller test with a constant; the lag has the least AIC on the sample that all lags share, and is fitted again on its own longer
+    sample. status, n, lag, statistic, p_value."""
+    lags = list(range(max_lag + 1))
+    flat = _adf_moments(df, by, value, order, max_lag, lags, True)
+    aic = lambda p: F.when(F.col(f"c{p}.ssr") > 0, F.col(f"c{p}.n") * F.ln(F.col(f"c{p}.ssr") / F.col(f"c{p}.n")) + 2.0 * (p + 2))
+    best = F.array_min(F.array(*[F.when(aic(p).isNotNull(), F.struct(aic(p).alias("aic"), F.lit(p).alias("lag"))) for p in lags]))["lag"]
+    flat = flat.withColumn("lag", best).withColumn("own", F.coalesce(*[F.when(F.col("lag") == p, F.col(f"o{p}")) for p in lags]))
+    return flat.select(*_adf_result(by, F.col("own"), F.col("lag"), least, alpha))
+
+
+def adf_fixed(df: DataFrame, by: list[str], value: str, lags: list[int], order: str = "date", least: int = 20, alpha: float = 0.05) -> DataFrame:
+    """A3: the test at each of the given lags, a row for each; one pass and one aggregate for all of them."""
+    flat = _adf_moments(df, by, value, order, max(lags), lags, False)
+    each = flat.withColumn("f", F.explode(F.array(*[F.struct(F.lit(p).alias("lag"), F.col(f"o{p}").alias("own")) for p in lags])))
+    return each.select(*_adf_result(by, F.col("f.own"), F.col("f.lag"), least, alpha))
+
+
+def present(df: DataFrame, controls: list[str]) -> list[str]:
+    """Those of the controls that the rows have."""
+    return [c for c in controls if c in df.columns]
 
 
 def granger(df: DataFrame, by: list[str], outcome: str, cause: str, order: str = "date", max_lag: int = 3, least: int = 25) -> DataFrame:

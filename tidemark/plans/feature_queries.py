@@ -65,22 +65,25 @@ def f12_previous_known(spark, d):
 
 
 _TABLE = f"""{T.ANALYSIS.replace("analysis AS (", "analysis_rows AS (")}, b AS (
-  SELECT f.instrument, f.date, f.cc_return, f.rolling_volatility, f.parkinson_volatility, c.market_change, s.intraday_sentiment_index, s.overnight_sentiment_index
+  SELECT f.instrument, f.date, f.cc_return, f.rolling_volatility, f.parkinson_volatility, c.market_change, c.second_change, c.vix_change, s.intraday_sentiment_index,
+         CASE WHEN s.overnight_no_posts = 0 THEN s.overnight_sentiment_index END AS overnight_sentiment_index
   FROM featured f LEFT JOIN change c ON c.date = f.date LEFT JOIN sentiment s ON s.instrument = f.instrument AND s.date = f.date),
 l AS (SELECT *, lag(rolling_volatility, 1) OVER w AS rolling_volatility_lag1, lag(rolling_volatility, 2) OVER w AS rolling_volatility_lag2, lag(rolling_volatility, 3) OVER w AS rolling_volatility_lag3,
-  lag(cc_return) OVER w AS cc_return_lag1, lag(market_change) OVER w AS market_change_lag1, lead(overnight_sentiment_index) OVER w AS sentiment_overnight, intraday_sentiment_index AS sentiment_intraday,
+  lag(cc_return) OVER w AS cc_return_lag1, lag(vix_change) OVER w AS vix_change_lag1, lead(overnight_sentiment_index) OVER w AS sentiment_overnight, intraday_sentiment_index AS sentiment_intraday,
   lead(rolling_volatility) OVER w AS target_vol_5d, lead(parkinson_volatility) OVER w AS target_vol_pk FROM b WINDOW w AS (PARTITION BY instrument ORDER BY date)),
-table_rows AS (SELECT * FROM l WHERE rolling_volatility_lag1 IS NOT NULL AND rolling_volatility_lag2 IS NOT NULL AND rolling_volatility_lag3 IS NOT NULL AND cc_return_lag1 IS NOT NULL AND market_change_lag1 IS NOT NULL AND target_vol_5d IS NOT NULL AND target_vol_pk IS NOT NULL)"""
+table_rows AS (SELECT * FROM l WHERE rolling_volatility_lag3 IS NOT NULL AND vix_change_lag1 IS NOT NULL AND market_change IS NOT NULL AND second_change IS NOT NULL AND sentiment_overnight IS NOT NULL AND target_vol_5d IS NOT NULL AND target_vol_pk IS NOT NULL)"""
 FEATURE_TABLE = _TABLE
 
 
 def feature_table(spark, d):
-    return X.feature_table(T.bars(spark, d), T.market_change(spark, d), T.sentiment(spark, d))
+    """Days without overnight posts have no overnight index here, so complete cases leave out the days before them."""
+    sentiment = T.sentiment(spark, d).withColumn("overnight_sentiment_index", F.when(F.col("overnight_no_posts") == 0, F.col("overnight_sentiment_index")))
+    return X.feature_table(T.bars(spark, d), T.market_change(spark, d), sentiment)
 
 
-@register(f"WITH {_TABLE} SELECT instrument, date, {_rounds(*X.FEATURES, 'sentiment_overnight', 'sentiment_intraday')} FROM table_rows")
+@register(f"WITH {_TABLE} SELECT instrument, date, {_rounds(*X.SENTIMENT_FEATURES, *X.TARGETS)} FROM table_rows")
 def f13_f15_feature_table(spark, d):
-    return rounded(feature_table(spark, d).select("instrument", "date", *X.FEATURES, "sentiment_overnight", "sentiment_intraday"))
+    return rounded(feature_table(spark, d).select("instrument", "date", *X.SENTIMENT_FEATURES, *X.TARGETS))
 
 
 @register(f"WITH {T.SENTIMENT} SELECT instrument, date, round(overnight_sentiment_index - lag(overnight_sentiment_index) OVER (PARTITION BY instrument ORDER BY date), 8) AS overnight_sentiment_index_diff FROM sentiment")

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import calendar, models
+from tidemark.functions import dist
+from tidemark.operators import calendar, features, models
+from tidemark.plans import sql
 from tidemark.plans import tables as T
 from tidemark.plans.base import registry, rounded
 from tidemark.plans.feature_queries import FEATURE_TABLE, feature_table
 from tidemark.sources.readers import metric_table
+from tidemark.sources.shared import settle
 from tidemark.streaming import streams
 
 QUERIES, ORACLES, register = registry()
-BASE = ["rolling_volatility_lag1", "rolling_volatility_lag2", "rolling_volatility_lag3", "cc_return_lag1", "market_change_lag1"]
-SENTIMENT = ["sentiment_overnight", "sentiment_intraday"]
+BASE, WITH_SENTIMENT = list(features.BASE_FEATURES), list(features.SENTIMENT_FEATURES)
 _T = f"WITH {FEATURE_TABLE}, placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY instrument ORDER BY date) - 1 AS INTEGER) AS position, count(*) OVER (PARTITION BY instrument) AS n_rows FROM table_rows), split AS (SELECT *, CASE WHEN position >= n_rows - 15 THEN 'holdout' WHEN position < 50 THEN 'train' ELSE 'validation' END AS part FROM placed)"
 #: Calibration on the validation rows, predictions of the holdout by two one-variable lines.
 _FIT = f"""{_T}, fits AS (SELECT instrument, regr_intercept(target_vol_pk, rolling_volatility_lag1) AS a1, regr_slope(target_vol_pk, rolling_volatility_lag1) AS b1,
-  regr_intercept(target_vol_pk, sentiment_intraday) AS a2, regr_slope(target_vol_pk, sentiment_intraday) AS b2 FROM split WHERE part = 'validation' GROUP BY instrument),
-pred AS (SELECT s.instrument, s.date, s.position, target_vol_pk AS actual, rolling_volatility_lag1 AS raw, a1 + b1 * rolling_volatility_lag1 AS base, a2 + b2 * sentiment_intraday AS sent,
-  pow(target_vol_pk - (a1 + b1 * rolling_volatility_lag1), 2) - pow(target_vol_pk - (a2 + b2 * sentiment_intraday), 2) AS d FROM split s JOIN fits f ON f.instrument = s.instrument WHERE part = 'holdout')"""
+  regr_intercept(target_vol_pk, sentiment_overnight) AS a2, regr_slope(target_vol_pk, sentiment_overnight) AS b2 FROM split WHERE part = 'validation' GROUP BY instrument),
+pred AS (SELECT s.instrument, s.date, s.position, target_vol_pk AS actual, rolling_volatility_lag1 AS raw, a1 + b1 * rolling_volatility_lag1 AS base, a2 + b2 * sentiment_overnight AS sent,
+  pow(target_vol_pk - (a1 + b1 * rolling_volatility_lag1), 2) - pow(target_vol_pk - (a2 + b2 * sentiment_overnight), 2) AS d FROM split s JOIN fits f ON f.instrument = s.instrument WHERE part = 'holdout')"""
 
 
 def _split(spark, d):
@@ -28,7 +30,7 @@ def _split(spark, d):
 
 def _holdout(spark, d):
     rows = models.calibrate(_split(spark, d), "target_vol_pk", ["rolling_volatility_lag1"], name="base")
-    rows = models.calibrate(rows, "target_vol_pk", ["sentiment_intraday"], name="sent")
+    rows = models.calibrate(rows, "target_vol_pk", ["sentiment_overnight"], name="sent")
     return rows.filter("split = 'holdout'").select("instrument", "date", "position", F.col("target_vol_pk").alias("actual"), F.col("rolling_volatility_lag1").alias("raw"), "base", "sent")
 
 
@@ -43,7 +45,16 @@ def m2_expanding_walk_forward(spark, d):
     return rounded(out.select("instrument", "date", "prediction"), 6)
 
 
-@register()
+_GARCH = f"""WITH RECURSIVE {T.RETURNS}, r AS (SELECT instrument, date, cc_return * 100 AS r, row_number() OVER (PARTITION BY instrument ORDER BY date) - 1 AS p, count(*) OVER (PARTITION BY instrument) AS n FROM featured WHERE cc_return IS NOT NULL),
+folds AS (SELECT DISTINCT instrument, p - p % 20 + 10 AS start FROM r WHERE p >= 50 AND (p - 50) % 20 = 0 AND n > 50),
+known AS (SELECT f.instrument, start, avg(r) AS mean, var_pop(r) AS v FROM folds f JOIN r ON r.instrument = f.instrument AND r.p < start GROUP BY ALL),
+grid AS (SELECT a, b FROM (SELECT unnest([0.02, 0.05, 0.1, 0.15, 0.2]::DOUBLE[]) AS a), (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS b) WHERE a + b < 1),
+run AS (SELECT k.instrument, start, mean, v, a, b, CAST(0 AS BIGINT) AS p, v AS s, CAST(0 AS DOUBLE) AS l FROM known k, grid WHERE v > 0 UNION ALL
+  SELECT x.instrument, x.start, x.mean, x.v, x.a, x.b, x.p + 1, (1 - x.a - x.b) * x.v + x.a * (r - mean) * (r - mean) + x.b * x.s, x.l - ln(x.s) - (r - mean) * (r - mean) / x.s FROM run x JOIN r ON r.instrument = x.instrument AND r.p = x.p WHERE x.p < x.start + 20),
+best AS (SELECT instrument, start, arg_max(ROW(a, b), ROW(l, a, b)) AS g FROM run WHERE p = start GROUP BY ALL)"""
+
+
+@register(f"{_GARCH} SELECT r.instrument, r.date, round(x.a, 6) AS alpha, round(x.b, 6) AS beta, round(sqrt(x.s) / 100, 6) AS volatility FROM best JOIN run x ON x.instrument = best.instrument AND x.start = best.start AND ROW(x.a, x.b) = best.g JOIN r ON r.instrument = x.instrument AND r.p = x.p WHERE x.p >= x.start AND x.p < x.start + 20")
 def m3_garch_grid(spark, d):
     out = models.garch_forecast(T.analysis(spark, d).select("instrument", "date", "cc_return"))
     return rounded(out.select("instrument", "date", "alpha", "beta", "volatility"), 6)
@@ -54,9 +65,13 @@ def m5_calibrated_holdout(spark, d):
     return rounded(_holdout(spark, d).select("instrument", "date", "actual", "base", "sent"), 7)
 
 
-@register()
+_O, _LAST = sql.orthogonal("o", "(SELECT * FROM split WHERE part = 'validation')", "instrument", ["rolling_volatility_lag1", "sentiment_overnight"], "target_vol_pk")
+_M6 = f"{_O}, f AS (SELECT instrument, count(*) AS n, sum(y * q1) / sum(q1 * q1) / sqrt((sum(y * y) - {sql.explained(range(2))}) / (count(*) - 3) / sum(q1 * q1)) AS t FROM {_LAST} GROUP BY instrument)"
+
+
+@register(f"{_T}, {_M6} SELECT instrument, round({dist.t_two_sided_sql('t', '(n - 3)')}, 6) AS p_value FROM f")
 def m6_coefficient_p_values(spark, d):
-    out = models.calibrate(_split(spark, d), "target_vol_pk", ["rolling_volatility_lag1", "sentiment_intraday"], name="x")
+    out = models.calibrate(_split(spark, d), "target_vol_pk", ["rolling_volatility_lag1", "sentiment_overnight"], name="x")
     return rounded(out.groupBy("instrument").agg(F.first("x_p").alias("p_value")), 6)
 
 
@@ -65,26 +80,30 @@ def m7_ridge(spark, d):
     """Base features, and with both sentiments (M8), alpha chosen by folds in time order."""
     rows = _split(spark, d)
     base = models.ridge(rows, "target_vol_pk", BASE, name="ridge")
-    both = models.ridge(rows, "target_vol_pk", BASE + SENTIMENT, name="ridge_sentiment").select("instrument", "date", "ridge_sentiment", "ridge_sentiment_alpha")
+    both = models.ridge(rows, "target_vol_pk", WITH_SENTIMENT, name="ridge_sentiment").select("instrument", "date", "ridge_sentiment", "ridge_sentiment_alpha")
     out = base.filter("split = 'holdout'").join(both, ["instrument", "date"])
     return rounded(out.select("instrument", "date", "target_vol_pk", "ridge", "ridge_alpha", "ridge_sentiment", "ridge_sentiment_alpha"), 6)
 
 
-def _cutoffs(rows, n):
-    last = rows.agg(F.max("date")).first()[0]
-    import datetime
-
-    return [last - datetime.timedelta(days=30 * k) for k in range(n, 0, -1)]
+#: Draws of the search and numbers of trees in this query; the operator's defaults are the survey's 150 and 50 to 200.
+DRAWS, TREES = 2, (4, 8)
 
 
 @register()
 def m9_m10_boosted_trees(spark, d):
-    """Trees on the pooled panel: depth by two expanding folds, then refitted at two cutoffs."""
-    rows = feature_table(spark, d).select("instrument", "date", "target_vol_pk", *BASE, *SENTIMENT).cache()
-    cuts = _cutoffs(rows, 4)
-    best, _ = models.tune_trees(rows, "target_vol_pk", BASE, cuts[:3], [{"maxDepth": k, "maxIter": 5} for k in (2, 3)])
-    out = models.tree_walk_forward(rows, "target_vol_pk", BASE + SENTIMENT, cuts[2:], params=best)
-    return out.select("instrument", "date", F.round("prediction", 6).alias("prediction"))
+    """Base features and those with sentiment: parameters drawn at random and tried on four folds of rows before the holdout, then every row
+    from each instrument's 50th on predicted by a model of earlier dates, refitted each year."""
+    rows = models.split(feature_table(spark, d)).select("instrument", "date", "position", "rows", "split", "target_vol_pk", *WITH_SENTIMENT).na.fill(0.0, ["sentiment_intraday"])
+    rows = settle(rows, "tree-rows")
+    first = rows.filter(F.col("position") >= models.MIN_TRAIN).agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    cuts = [first.a, *[first.a.replace(year=y, month=1, day=1) for y in range(first.a.year + 1, first.b.year + 1)]]
+    out = None
+    for name, xs in (("base", BASE), ("sentiment", WITH_SENTIMENT)):
+        best, _ = models.tune_trees(rows, "target_vol_pk", xs, models.draw_parameters(DRAWS, grid=models.TREE_GRID | {"maxIter": TREES}))
+        part = models.tree_walk_forward(rows, "target_vol_pk", xs, cuts, params=best).filter(F.col("position") >= models.MIN_TRAIN)
+        part = part.select("instrument", "date", F.lit(name).alias("features"), F.round("prediction", 6).alias("prediction"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _ACC = "SELECT instrument, '{0}' AS model, round(sqrt(avg(pow(actual - {0}, 2))), 6) AS rmse, round(avg(abs(actual - {0})), 6) AS mae, count(*) AS n FROM pred GROUP BY instrument"
@@ -95,39 +114,46 @@ def m11_accuracy(spark, d):
     return rounded(models.accuracy(_holdout(spark, d), "actual", {m: m for m in ("raw", "base", "sent")}, ["instrument"]), 6)
 
 
-@register(f"{_FIT} SELECT instrument, count(*) AS n, round(avg(d), 7) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) AS statistic FROM pred GROUP BY instrument")
+@register(f"{_FIT} SELECT instrument, n, round(mean, 7) AS mean, round(t, 5) AS statistic, round({dist.t_two_sided_sql('t', '(n - 1)')}, 6) AS p_value FROM (SELECT instrument, count(*) AS n, avg(d) AS mean, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM pred GROUP BY instrument)")
 def m12_diebold_mariano(spark, d):
-    return rounded(models.diebold_mariano(_holdout(spark, d), "actual", "base", "sent", ["instrument"]).drop("p_value"), 7, statistic=5)
+    return rounded(models.diebold_mariano(_holdout(spark, d), "actual", "base", "sent", ["instrument"]), 7, statistic=5, p_value=6)
 
 
 _LRV = """, c AS (SELECT instrument, position, d, d - avg(d) OVER (PARTITION BY instrument) AS c FROM pred), lagged AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(c, 3) OVER w AS c3, lag(c, 4) OVER w AS c4 FROM c WINDOW w AS (PARTITION BY instrument ORDER BY position)),
 v AS (SELECT instrument, count(*) AS n, avg(d) AS mean, greatest((sum(c * c) + 2 * (0.8 * sum(c * c1) + 0.6 * sum(c * c2) + 0.4 * sum(c * c3) + 0.2 * sum(c * c4))) / count(*), 1e-12) AS variance FROM lagged GROUP BY instrument)"""
 
 
-@register(f"{_FIT}{_LRV} SELECT instrument, n, round(mean, 7) AS mean, round(mean / sqrt(variance / n), 5) AS statistic FROM v")
+@register(f"{_FIT}{_LRV} SELECT instrument, n, round(mean, 7) AS mean, round(t, 5) AS statistic, round({dist.t_two_sided_sql('t', '(n - 1)')}, 6) AS p_value FROM (SELECT *, mean / sqrt(variance / n) AS t FROM v)")
 def m13_m14_dm_hac(spark, d):
-    return rounded(models.dm_hac(_holdout(spark, d), "actual", "base", "sent", ["instrument"], "position", 4).drop("p_value"), 7, statistic=5)
+    return rounded(models.dm_hac(_holdout(spark, d), "actual", "base", "sent", ["instrument"], "position", 4), 7, statistic=5, p_value=6)
 
 
-@register()
+COMPARISONS = {"raw vs sent": ("raw", "sent"), "base vs sent": ("base", "sent"), "raw vs base": ("raw", "base")}
+_EACH = ", x AS (" + " UNION ALL ".join(f"SELECT instrument, position, '{n}' AS comparison, pow(actual - {a}, 2) - pow(actual - {b}, 2) AS d FROM pred" for n, (a, b) in COMPARISONS.items()) + ")"
+_M17 = f"""{_EACH}, c AS (SELECT instrument, comparison, position, d, d - avg(d) OVER (PARTITION BY instrument, comparison) AS c FROM x), lagged AS (SELECT *, lag(c) OVER (PARTITION BY instrument, comparison ORDER BY position) AS c1 FROM c),
+v AS (SELECT instrument, comparison, count(*) AS n, avg(d) AS mean, avg(d) / sqrt(greatest((sum(c * c) + sum(c * c1)) / count(*), 1e-12) / count(*)) AS t FROM lagged GROUP BY ALL)"""
+
+
+@register(f"{_FIT}{_M17} SELECT instrument, comparison, n, round(mean, 6) AS mean, round(t, 5) AS statistic, round({dist.t_two_sided_sql('t', '(n - 1)')}, 6) AS p_value FROM v")
 def m14_m17_comparisons(spark, d):
     """The fixed comparisons with their p-values."""
-    rows, out = _holdout(spark, d), None
-    for name, one, two in (("raw vs sent", "raw", "sent"), ("base vs sent", "base", "sent"), ("raw vs base", "raw", "base")):
-        part = models.dm_hac(rows, "actual", one, two, ["instrument"], "position", 1).withColumn("comparison", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return rounded(out, 6)
+    return rounded(models.dm_hac_all(_holdout(spark, d), "actual", COMPARISONS, ["instrument"], "position", 1), 6, statistic=5)
+
+
+_SIGN = "exp(lgamma(used + 1) - lgamma(i + 1) - lgamma(used - i + 1) - used * ln(2))"
 
 
 @register(f"""{_FIT}, s AS (SELECT position - min(position) OVER (PARTITION BY instrument) AS k, CASE WHEN stddev_samp(d) OVER (PARTITION BY instrument) > 0 THEN d / stddev_samp(d) OVER (PARTITION BY instrument) ELSE 0 END AS s FROM pred),
-y AS (SELECT k, avg(s) AS d FROM s GROUP BY k), c AS (SELECT k, d, d - avg(d) OVER () AS c FROM y), lagged AS (SELECT *, lag(c) OVER (ORDER BY k) AS c1 FROM c)
-SELECT count(*) AS n, round(avg(d), 6) AS mean, count(*) FILTER (WHERE d <> 0) AS used, count(*) FILTER (WHERE d > 0) AS positive, round(avg(d) / sqrt(greatest((sum(c * c) + sum(c * c1)) / count(*), 1e-12) / count(*)), 5) AS statistic FROM lagged""")
+y AS (SELECT k, avg(s) AS d FROM s GROUP BY k), c AS (SELECT k, d, d - avg(d) OVER () AS c FROM y), lagged AS (SELECT *, lag(c) OVER (ORDER BY k) AS c1 FROM c),
+p AS (SELECT count(*) AS n, avg(d) AS mean, count(*) FILTER (WHERE d <> 0) AS used, count(*) FILTER (WHERE d > 0) AS positive, avg(d) / sqrt(greatest((sum(c * c) + sum(c * c1)) / count(*), 1e-12) / count(*)) AS t FROM lagged),
+i AS (SELECT *, unnest(range(used + 1)) AS i FROM p), tail AS (SELECT least(1, 2 * least(sum({_SIGN}) FILTER (WHERE i >= positive), sum({_SIGN}) FILTER (WHERE i >= used - positive))) AS p_sign FROM i)
+SELECT n, round(mean, 6) AS mean, used, positive, round(t, 5) AS statistic, round({dist.t_two_sided_sql("t", "(n - 1)")}, 6) AS p_value, round(p_sign, 6) AS p_sign FROM p, tail""")
 def m15_pooled_by_date(spark, d):
     """Holdout days are numbered from the end of each instrument's series, as their dates differ in these tables."""
     from pyspark.sql import Window
 
     rows = _holdout(spark, d).withColumn("day", F.col("position") - F.min("position").over(Window.partitionBy("instrument")))
-    return rounded(models.pooled_by_date(rows, "actual", "base", "sent", "day", 1).drop("p_value", "p_sign"), 6, statistic=5)
+    return rounded(models.pooled_by_date(rows, "actual", "base", "sent", "day", 1), 6, statistic=5)
 
 
 _WIDE = f"{_FIT}, a AS ({' UNION ALL '.join(_ACC.format(m) for m in ('raw', 'base', 'sent'))}) SELECT instrument, 'pk' AS target, 'rmse' AS metric, " + ", ".join(f"round(max(CASE WHEN model = '{m}' THEN rmse END), 4) AS {m}" for m in ("raw", "base", "sent")) + " FROM a GROUP BY instrument"
@@ -146,8 +172,26 @@ def x1_stream_accumulate(spark, d):
     return streams.run_once(spark, d, "events", lambda s: streams.accumulate_once(s.unionByName(s), ["event_id"], "ts").select("event_id", F.col("event_type").alias("instrument")))
 
 
+_FULL = T.POSTS + ", days AS (SELECT DISTINCT event_type AS instrument, CAST(ts AS DATE) AS date FROM events WHERE dayofweek(ts) NOT IN (0, 6)), calendar AS (SELECT * FROM days)," + T.SESSIONS.split(T.CALENDAR + ",", 1)[1]
+
+
+_READ = "SELECT instrument, session_date AS date, session, round(avg(score), 7) AS sentiment_index, count(*) AS item_count FROM assigned WHERE session_date IS NOT NULL GROUP BY ALL"
+
+
+@register(f"SELECT 1 AS reading, * FROM (WITH {T.SESSIONS} {_READ}) UNION ALL SELECT 2, * FROM (WITH {_FULL} {_READ})")
+def x3_changed_calendar(spark, d):
+    """The sums of one stream read under a calendar without its last day, whose posts a provisional day takes, and again when that day has come."""
+    sums, posts = streams.daily_sums(spark, d), T.posts(spark, d)
+    later = posts.select("instrument", F.to_date("ts").alias("date")).distinct().filter(~F.dayofweek("date").isin(1, 7))
+    out = None
+    for reading, days in enumerate((calendar.trading_calendar(T.calendar(spark, d)), later), 1):
+        part = streams.attribute(sums, calendar.with_provisional(days, posts).select("instrument", "date")).withColumn("reading", F.lit(reading))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 7)
+
+
 @register(f"WITH {T.POSTS}, {T.CALENDAR}, {T.SESSIONS.split(T.CALENDAR + ',', 1)[1]} SELECT instrument, session_date AS date, session, round(avg(score), 7) AS sentiment_index, count(*) AS item_count FROM assigned WHERE session_date IS NOT NULL GROUP BY ALL")
 def x2_x3_stream_session_index(spark, d):
-    """Posts as a stream into running sums by date and session; the last batch re-reads posts that a provisional day had taken."""
+    """Posts as a stream into sums by day and part of the day, attributed by the calendar at reading time."""
     days = calendar.with_provisional(calendar.trading_calendar(T.calendar(spark, d)), T.posts(spark, d)).select("instrument", "date")
     return rounded(streams.session_index(spark, d, days), 7)

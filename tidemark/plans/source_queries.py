@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -23,18 +24,31 @@ def s1_s5_s7_s19_csv(spark, d):
     return readers.read_csv(spark, out, _ORDERS, {"종목코드": "code", "날짜": "date"})
 
 
-@register("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE lang = 'en'")
+@register("SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def s2_encodings(spark, d):
-    """English texts as CSV files in three encodings in one folder; each file is read in the first that fits."""
+    """All texts as CSV files in three encodings in one folder; each file is read in the first that fits. The letters of a Korean label tell
+    the encodings apart; texts are written as base64, since no Korean encoding has all their letters."""
     out = shared_folder(spark)
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    rows = T.read(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.col("text"))
+    rows = T.read(spark, d, "documents").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("text"), F.lit("가나다").alias("label"))
     for k, encoding in enumerate(readers.ENCODINGS):
-        part = rows.filter((F.col("doc_id") % 3 == k) & (F.col("text").isNotNull()))
-        part.withColumn("text", F.base64(F.encode("text", "UTF-8"))).withColumn("label", F.lit("가나다")).write.option("header", True).option("encoding", encoding).csv(f"{out}/e{k}")
+        rows.filter(F.pmod("doc_id", F.lit(3)) == k).write.option("header", True).option("encoding", encoding).csv(f"{out}/e{k}")
     schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("label", StringType())])
-    got = readers.read_csv_any(spark, f"{out}/*", schema).filter("label = '가나다'")
-    return got.select("doc_id", F.md5(F.decode(F.unbase64("text"), "UTF-8")).alias("text_md5"))
+    got = readers.read_csv_any(spark, f"{out}/*", schema, multi_line=True)  # base64 breaks its lines
+    return got.select("doc_id", F.when(F.col("label") == "가나다", F.md5(F.decode(F.unbase64("text"), "UTF-8"))).alias("text_md5"))
+
+
+@register("SELECT *, row_number() OVER (ORDER BY instrument, date) AS place FROM (SELECT l_returnflag AS instrument, CAST(l_shipdate AS DATE) AS date, count(*) AS n FROM lineitem GROUP BY ALL)")
+def k7_sorted_sink(spark, d):
+    """Daily counts written in the order of instrument and date; the place of each row follows from its file and its place there."""
+    out = shared_folder(spark)
+    rows = T.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("instrument"), F.to_date("l_shipdate").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    readers.write_csv(rows, out, order=["instrument", "date"])
+    schema = StructType([StructField("instrument", StringType()), StructField("date", DateType()), StructField("n", LongType())])
+    raw = spark.read.option("header", True).schema(schema).csv(out)
+    # The files are small result tables: one window numbers the rows as they stand.
+    stood = raw.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return stood.select("instrument", "date", "n", F.row_number().over(Window.orderBy("file", "at")).cast("long").alias("place"))
 
 
 @register("SELECT c_custkey, c_name FROM customer")

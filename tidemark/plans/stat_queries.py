@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import dist
-from tidemark.operators import features, regression, testing
+from tidemark.operators import events, features, regression, testing
+from tidemark.plans import sql
 from tidemark.plans import tables as T
 from tidemark.plans.base import registry, rounded
 
@@ -33,33 +34,34 @@ def a1_complete_sample(spark, d):
 _DF0 = f"""{_A}, s AS (SELECT instrument, date, overnight_sentiment_index AS v FROM analysis WHERE overnight_sentiment_index IS NOT NULL),
 l AS (SELECT *, lag(v) OVER (PARTITION BY instrument ORDER BY date) AS y1 FROM s), g AS (SELECT instrument, count(*) AS n, count(y1) AS m, regr_slope(v - y1, y1) AS b, regr_sxx(v - y1, y1) AS sxx, regr_syy(v - y1, y1) AS syy FROM l GROUP BY instrument),
 tau AS (SELECT instrument, n, b / sqrt((syy - b * b * sxx) / (m - 2) / sxx) AS t FROM g)"""
-_LOW = "(2.1659 + 1.4412 * t + 0.038269 * t * t)"
-_HIGH = "(1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t)"
-_P = f"CASE WHEN t > 2.74 THEN 1 WHEN t < -18.83 THEN 0 WHEN t <= -1.61 THEN {dist.normal_cdf_sql(_LOW)} ELSE {dist.normal_cdf_sql(_HIGH)} END"
+@register(f"{_DF0} SELECT instrument, {sql.ADF_STATUS} AS status, n, 0 AS lag, round(t, 6) AS statistic, round({sql.ADF_P}, 6) AS p_value FROM tau")
+def a3_a5_adf_lag0(spark, d):
+    return rounded(regression.adf_fixed(T.analysis(spark, d), ["instrument"], "overnight_sentiment_index", [0]), 6)
 
 
-@register(f"{_DF0} SELECT instrument, CASE WHEN {_P} < 0.05 THEN 'STATIONARY_5PCT' ELSE 'NONSTATIONARY_5PCT' END AS status, n, 0 AS lag, round(t, 6) AS statistic, round({_P}, 6) AS p_value FROM tau")
-def a3_a5_adf_lag0(spark, d):
-    return rounded(regression.adf(T.analysis(spark, d), ["instrument"], "overnight_sentiment_index", fixed=0), 6)
+_ADF_ROW = f"{sql.ADF_STATUS} AS status, n, lag, round(t, 6) AS statistic, round({sql.ADF_P}, 6) AS p_value FROM tests"
+_VARIABLES = ["intraday_sentiment_index", "overnight_sentiment_index", "cc_return", "parkinson_volatility"]
+_BY_VARIABLE = ", s AS (" + " UNION ALL ".join(f"SELECT instrument || '/{n}' AS k, date, CAST({n} AS DOUBLE) AS v FROM analysis WHERE {n} IS NOT NULL" for n in _VARIABLES) + ")"
 
 
-@register()
+@register(f"{_A}{_BY_VARIABLE}, {sql.adf('s', 'k')} SELECT split_part(k, '/', 1) AS instrument, split_part(k, '/', 2) AS variable, {_ADF_ROW}")
 def a2_adf_aic(spark, d):
     """All variables of all instruments, the lag by AIC."""
-    names = ["intraday_sentiment_index", "overnight_sentiment_index", "cc_return", "parkinson_volatility"]
     rows = T.analysis(spark, d)
-    long = rows.select("instrument", "date", F.explode(F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select("instrument", "date", "x.*")
+    long = rows.select("instrument", "date", F.explode(F.array(*[F.struct(F.lit(n).alias("variable"), F.col(n).cast("double").alias("value")) for n in _VARIABLES])).alias("x")).select("instrument", "date", "x.*")
     return rounded(regression.adf(long, ["instrument", "variable"], "value"), 6)
 
 
-@register()
+@register(f"{_A}, s AS (SELECT instrument, date, overnight_sentiment_index AS v FROM analysis WHERE overnight_sentiment_index IS NOT NULL), {sql.adf('s', 'instrument', range(1, 4), pick=False)} SELECT instrument, {_ADF_ROW}")
 def a3_adf_fixed_lags(spark, d):
-    rows = T.analysis(spark, d)
-    out = [regression.adf(rows, ["instrument"], "overnight_sentiment_index", fixed=k) for k in (1, 2, 3)]
-    return rounded(out[0].union(out[1]).union(out[2]), 6)
+    return rounded(regression.adf_fixed(T.analysis(spark, d), ["instrument"], "overnight_sentiment_index", [1, 2, 3]), 6)
+
+
+_FORMS = """, l AS (SELECT instrument, date, overnight_sentiment_index AS v, overnight_sentiment_index - lag(overnight_sentiment_index) OVER (PARTITION BY instrument ORDER BY date) AS d FROM analysis),
+s AS (SELECT instrument || '/level' AS k, date, v FROM l WHERE v IS NOT NULL UNION ALL SELECT instrument || '/difference', date, d FROM l WHERE d IS NOT NULL)"""
 
 
-@register()
+@register(f"{_A}{_FORMS}, {sql.adf('s', 'k')} SELECT split_part(k, '/', 1) AS instrument, split_part(k, '/', 2) AS form, {_ADF_ROW}")
 def a4_adf_level_and_difference(spark, d):
     rows = features.first_difference(T.analysis(spark, d), "overnight_sentiment_index")
     long = rows.select("instrument", "date", F.explode(F.array(*[F.struct(F.lit(n).alias("form"), F.col(c).alias("value")) for n, c in (("level", "overnight_sentiment_index"), ("difference", "overnight_sentiment_index_diff"))])).alias("x")).select("instrument", "date", "x.*")
@@ -82,36 +84,50 @@ def a6_a7_hac_specs(spark, d):
     return rounded(regression.hac_ols(rows, ["instrument", "analysis"], "y", ["x"]), 6, z=5, p_value=5)
 
 
-@register()
+#: The controls in their order; the rows may lack some of them.
+CONTROLS = ["own_market", "vix_change", "foreign_change"]
+_OWN = "CASE instrument WHEN 'R' THEN second_change ELSE market_change END"
+_WITH_CONTROLS = ", long AS (" + " UNION ALL ".join(f"SELECT instrument || '/{n}' AS k, date, CAST({y} AS DOUBLE) AS y, CAST({x} AS DOUBLE) AS x, {_OWN} AS own_market, vix_change FROM analysis WHERE {y} IS NOT NULL AND {x} IS NOT NULL AND {_OWN} IS NOT NULL AND vix_change IS NOT NULL" for n, y, x in OLS_SPECS) + ")"
+_ORTHOGONAL, _LAST = sql.orthogonal("o", "long", "k", ["own_market", "vix_change", "x"], "y", "date")
+#: The error of the last regressor's coefficient from that regressor less what the others explain of it.
+_SANDWICH = f"""{_ORTHOGONAL}, b AS (SELECT k, count(*) AS n, sum(y * q0) / sum(q0 * q0) AS b0, sum(y * q1) / sum(q1 * q1) AS b1, sum(y * q2) / sum(q2 * q2) AS b2, sum(q2 * q2) AS s2, {sql.explained(range(3))} / sum(y * y) AS r2 FROM {_LAST} GROUP BY k),
+e AS (SELECT o.k, o.date, o.q2 * (o.y - b0 * o.q0 - b1 * o.q1 - b2 * o.q2) AS g FROM {_LAST} o JOIN b USING (k)),
+h AS (SELECT *, lag(g, 1) OVER w AS g1, lag(g, 2) OVER w AS g2, lag(g, 3) OVER w AS g3 FROM e WINDOW w AS (PARTITION BY k ORDER BY date)),
+z AS (SELECT b.*, b2 AS b, sqrt(m) / s2 AS se FROM b JOIN (SELECT k, sum(g * g) + 2 * (0.75 * sum(g * g1) + 0.5 * sum(g * g2) + 0.25 * sum(g * g3)) AS m FROM h GROUP BY k) USING (k))"""
+
+
+@register(f"{_A}{_WITH_CONTROLS}, {_SANDWICH} SELECT split_part(k, '/', 1) AS instrument, split_part(k, '/', 2) AS analysis, 'OK' AS status, n, round(r2, 6) AS r2, round(b, 6) AS coef, round(se, 6) AS hac_se, round(b / se, 5) AS z, round({_NORMAL}, 5) AS p_value FROM z")
 def a7_hac_with_controls(spark, d):
-    """The specs with the market's change as a control."""
-    rows = regression.specs(T.analysis(spark, d), OLS_SPECS, ["instrument"], ["date", "market_change"])
-    return rounded(regression.hac_ols(rows, ["instrument", "analysis"], "y", ["x", "market_change"]), 6)
+    """The specs with the controls that are there: each instrument's own market and the volatility index, but no foreign index."""
+    rows = events.own_market(T.analysis(spark, d), {"R": "second_change"}, "market_change")
+    controls = regression.present(rows, CONTROLS)
+    long = regression.specs(rows, OLS_SPECS, ["instrument"], ["date", *controls])
+    return rounded(regression.hac_ols(long, ["instrument", "analysis"], "y", ["x", *controls]), 6, z=5, p_value=5)
 
 
-_GRANGER = """, g AS (SELECT *, lag(y) OVER w AS y1, lag(x) OVER w AS x1 FROM long WINDOW w AS (PARTITION BY analysis, instrument ORDER BY date)),
-s AS (SELECT analysis, instrument, count(*) AS n, count(y1) AS t, covar_pop(y, y1) AS cy1, covar_pop(y, x1) AS cx1, covar_pop(y1, x1) AS c11, var_pop(y) FILTER (WHERE y1 IS NOT NULL) AS vy, var_pop(y1) AS v1, var_pop(x1) AS vx FROM g GROUP BY ALL),
-q AS (SELECT *, t * (vy - cy1 * cy1 / v1) AS sr, t * (vy - (cy1 * cy1 * vx - 2 * cy1 * cx1 * c11 + cx1 * cx1 * v1) / (v1 * vx - c11 * c11)) AS su FROM s)
-SELECT instrument, analysis, 1 AS lag, 'OK' AS status, n, round((sr - su) / (su / (t - 3)), 5) AS statistic FROM q"""
+def _granger_sql(pairs, lags: range) -> str:
+    keyed = _long(pairs).replace("SELECT instrument, date, '", "SELECT instrument || '/").replace("' AS analysis", "' AS k, date")
+    return f"{_A}{keyed}, {sql.granger('long', 'k', lags)} SELECT split_part(k, '/', 1) AS instrument, split_part(k, '/', 2) AS analysis, lag, 'OK' AS status, n, round(f, 5) AS statistic, round({dist.f_tail_sql('f', 'lag', 'free')}, 6) AS p_value FROM f"
 
 
 def _granger(spark, d, pairs, lag):
-    return regression.granger(regression.specs(T.analysis(spark, d), pairs, ["instrument"], ["date"]), ["instrument", "analysis"], "y", "x", max_lag=lag)
+    rows = regression.specs(T.analysis(spark, d), pairs, ["instrument"], ["date"])
+    return rounded(regression.granger(rows, ["instrument", "analysis"], "y", "x", max_lag=lag), 6, statistic=5)
 
 
-@register(f"{_A}{_long(FORWARD)}{_GRANGER}")
+@register(_granger_sql(FORWARD, range(1, 2)))
 def a8_a9_granger_forward_lag1(spark, d):
-    return rounded(_granger(spark, d, FORWARD, 1).drop("p_value"), 5)
+    return _granger(spark, d, FORWARD, 1)
 
 
-@register(f"{_A}{_long(REVERSE)}{_GRANGER}")
+@register(_granger_sql(REVERSE, range(1, 2)))
 def a10_granger_reverse_lag1(spark, d):
-    return rounded(_granger(spark, d, REVERSE, 1).drop("p_value"), 5)
+    return _granger(spark, d, REVERSE, 1)
 
 
-@register()
+@register(_granger_sql(FORWARD + REVERSE, range(1, 4)))
 def a9_granger_all_lags(spark, d):
-    return rounded(_granger(spark, d, FORWARD + REVERSE, 3), 6)
+    return _granger(spark, d, FORWARD + REVERSE, 3)
 
 
 _Z = f"""WITH {T.RETURNS}, m AS (SELECT instrument, CAST(date_trunc('month', date) AS DATE) AS month, count(cc_return) AS n, avg(cc_return) / (stddev_samp(cc_return) / sqrt(count(cc_return))) AS z FROM featured GROUP BY ALL),
@@ -136,10 +152,10 @@ def a13_tallies(spark, d):
     return testing.tallies(_adjusted(spark, d), by=["status"])
 
 
-@register(f"WITH {T.RETURNS} SELECT instrument, count(cc_return) AS n, round(avg(cc_return), 8) AS mean, round(avg(cc_return) / (stddev_samp(cc_return) / sqrt(count(cc_return))), 6) AS statistic FROM featured GROUP BY instrument")
+@register(f"WITH {T.RETURNS} SELECT instrument, n, round(mean, 8) AS mean, round(t, 6) AS statistic, round({dist.t_two_sided_sql('t', '(n - 1)')}, 6) AS p_value FROM (SELECT instrument, count(cc_return) AS n, avg(cc_return) AS mean, avg(cc_return) / (stddev_samp(cc_return) / sqrt(count(cc_return))) AS t FROM featured GROUP BY instrument)")
 def a14_t_test(spark, d):
     rows = features.price_features(T.bars(spark, d))
-    return rounded(testing.t_test(rows, ["instrument"], "cc_return").drop("p_value"), 8, statistic=6)
+    return rounded(testing.t_test(rows, ["instrument"], "cc_return"), 8, statistic=6, p_value=6)
 
 
 _YEAR = f"WITH {T.SENTIMENT}, v AS (SELECT instrument, year(date) AS year, overnight_sentiment_index AS x FROM sentiment WHERE overnight_no_posts = 0)"
@@ -149,12 +165,12 @@ def _yearly(spark, d):
     return T.sentiment(spark, d).filter("overnight_no_posts = 0").select("instrument", F.year("date").cast("long").alias("year"), F.round("overnight_sentiment_index", 9).alias("x"))
 
 
-@register(f"""WITH {T.SENTIMENT}, v AS (SELECT instrument, year(date) AS year, round(overnight_sentiment_index, 9) AS x FROM sentiment WHERE overnight_no_posts = 0),
-r AS (SELECT *, count(*) OVER (PARTITION BY instrument, year, abs(x)) AS t, rank() OVER (PARTITION BY instrument, year ORDER BY abs(x)) AS k FROM v WHERE x <> 0),
-s AS (SELECT instrument, year, count(*) AS n, sum(CASE WHEN x > 0 THEN k + (t - 1) / 2 ELSE 0 END) AS w, sum(t * t - 1.0) AS ties FROM r GROUP BY ALL)
-SELECT instrument, year, n, CAST(w AS DOUBLE) AS w_plus, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM s WHERE n > 60""")
+_YEARLY = f"WITH RECURSIVE {T.SENTIMENT}, v AS (SELECT instrument, year(date) AS year, round(overnight_sentiment_index, 9) AS x FROM sentiment WHERE overnight_no_posts = 0), {sql.wilcoxon('v', 'instrument, year', 'x')}"
+
+
+@register(f"{_YEARLY} SELECT instrument, year, w_n AS n, CAST(w_plus AS DOUBLE) AS w_plus, round(z, 6) AS z, round(p_wilcoxon, 6) AS p_two_sided, round(p_less, 6) AS p_less FROM signed")
 def a15_wilcoxon(spark, d):
-    return rounded(testing.wilcoxon(_yearly(spark, d), ["instrument", "year"], "x").filter("n > 60").select("instrument", "year", "n", "w_plus", "z"), 6)
+    return rounded(testing.wilcoxon(_yearly(spark, d), ["instrument", "year"], "x"), 6)
 
 
 _CHOOSE = "exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))"
@@ -166,9 +182,11 @@ def a16_sign_test(spark, d):
     return rounded(testing.sign_test(_yearly(spark, d), ["instrument", "year"], "x"), 7)
 
 
-@register(f"WITH {T.SENTIMENT}, v AS (SELECT instrument, year(date) AS year, round(overnight_sentiment_index, 9) AS x FROM sentiment WHERE overnight_no_posts = 0) SELECT instrument, year, count(*) AS n, count(*) FILTER (WHERE x < 0) AS negative, count(*) FILTER (WHERE x > 0) AS positive, count(*) FILTER (WHERE x = 0) AS zero, round(avg(CASE WHEN x < 0 THEN 1.0 ELSE 0 END), 7) AS negative_ratio, round(avg(x), 7) AS mean, round(quantile_cont(x, 0.5), 7) AS median, round(stddev_samp(x), 7) AS std FROM v GROUP BY ALL")
+@register(f"""{_YEARLY}, base AS (SELECT instrument, year, count(*) AS n, count(*) FILTER (WHERE x < 0) AS negative, count(*) FILTER (WHERE x > 0) AS positive, count(*) FILTER (WHERE x = 0) AS zero, round(avg(CASE WHEN x < 0 THEN 1.0 ELSE 0 END), 7) AS negative_ratio, round(avg(x), 7) AS mean, round(quantile_cont(x, 0.5), 7) AS median, round(stddev_samp(x), 7) AS std FROM v GROUP BY ALL),
+i AS (SELECT *, unnest(range(negative + positive + 1)) AS i FROM base), tail AS (SELECT instrument, year, least(1, sum({_CHOOSE.replace("n + 1", "negative + positive + 1").replace("n - i", "negative + positive - i").replace("- n *", "- (negative + positive) *")}) FILTER (WHERE i >= negative)) AS p FROM i GROUP BY ALL)
+SELECT base.*, round(p, 7) AS p_sign, round(p_less, 6) AS p_wilcoxon FROM base JOIN tail USING (instrument, year) JOIN signed USING (instrument, year)""")
 def a17_bias_summary(spark, d):
-    return rounded(testing.bias_summary(_yearly(spark, d), ["instrument", "year"], "x").drop("p_sign", "p_wilcoxon"), 7)
+    return rounded(testing.bias_summary(_yearly(spark, d), ["instrument", "year"], "x"), 7, p_wilcoxon=6)
 
 
 @register(f"WITH {T.RETURNS} SELECT instrument, date, round({dist.normal_cdf_sql('(cc_return * 10)')}, 7) AS p FROM featured WHERE cc_return IS NOT NULL")
@@ -177,7 +195,7 @@ def a18_normal_cdf(spark, d):
     return rows.select("instrument", "date", F.round(dist.normal_cdf(F.col("cc_return") * 10), 7).alias("p"))
 
 
-@register()
+@register(f"WITH {T.RETURNS} SELECT instrument, month, n, round(mean, 6) AS mean, round(t, 6) AS statistic, round({dist.t_two_sided_sql('t', '(n - 1)')}, 6) AS p_value FROM (SELECT instrument, CAST(date_trunc('month', date) AS DATE) AS month, count(cc_return) AS n, avg(cc_return) AS mean, CASE WHEN count(cc_return) >= 2 THEN avg(cc_return) / (stddev_samp(cc_return) / sqrt(count(cc_return))) END AS t FROM featured GROUP BY ALL)")
 def a19_t_p_values(spark, d):
     rows = features.price_features(T.bars(spark, d)).withColumn("month", F.trunc("date", "month"))
     return rounded(testing.t_test(rows, ["instrument", "month"], "cc_return"), 6)

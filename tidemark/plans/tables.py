@@ -56,7 +56,8 @@ index AS (
   FROM full_calendar c LEFT JOIN means a ON a.instrument = c.instrument AND a.date = c.date AND a.session = 'intraday'
   LEFT JOIN means b ON b.instrument = c.instrument AND b.date = c.date AND b.session = 'overnight')"""
 
-_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+#: Order key, line number, part and supplier key as the digits of one number: a key of fixed width, which a hash aggregate can hold (a struct can't).
+_ORDER = "((CAST(l_orderkey AS DECIMAL(13, 0)) * 10 + CAST(l_linenumber AS DECIMAL(1, 0))) * 1000000000000BD + CAST(l_partkey AS DECIMAL(12, 0))) * 1000000000000BD + CAST(l_suppkey AS DECIMAL(12, 0))"
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,14 +66,17 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bars(read(spark, sf_dir, "lineitem"), [])
+    """Bars over all flags; with them the close of a second market (even line numbers; no row on some days) and the level of a volatility
+    index (the mean quantity)."""
+    even = F.col("l_linenumber") % 2 == 0
+    more = [F.max_by(F.when(even, F.col("l_extendedprice")), F.when(even, F.expr(_ORDER))).alias("second_close"), F.avg("l_quantity").alias("vix_close")]
+    return _bars(read(spark, sf_dir, "lineitem"), [], more)
 
 
-def _bars(rows: DataFrame, by: list[str]) -> DataFrame:
-    key = F.struct(*_ORDER)
+def _bars(rows: DataFrame, by: list[str], more: list | None = None) -> DataFrame:
     return rows.groupBy(*by, F.to_date("l_shipdate").alias("date")).agg(
-        F.min_by("l_extendedprice", key).alias("open"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"),
-        F.max_by("l_extendedprice", key).alias("close"), F.sum("l_quantity").alias("volume"))
+        F.min_by("l_extendedprice", F.expr(_ORDER)).alias("open"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"),
+        F.max_by("l_extendedprice", F.expr(_ORDER)).alias("close"), F.sum("l_quantity").alias("volume"), *(more or []))
 
 
 def _bars_sql(name: str, by: str) -> str:
@@ -84,8 +88,10 @@ def _bars_sql(name: str, by: str) -> str:
     )
 
 
-BARS, MARKET = _bars_sql("bars", "l_returnflag AS instrument"), _bars_sql("market", "")
-MARKET_CHANGE = f"{MARKET}, change AS (SELECT date, close, ln(close / lag(close) OVER (ORDER BY date)) AS market_change FROM market)"
+BARS = _bars_sql("bars", "l_returnflag AS instrument")
+_MORE = ", arg_max(l_extendedprice, ROW(l_orderkey, l_linenumber, l_partkey, l_suppkey)) FILTER (WHERE l_linenumber % 2 = 0) AS second_close, avg(l_quantity) AS vix_close FROM lineitem"
+MARKET = _bars_sql("market", "").replace(" FROM lineitem", _MORE)
+MARKET_CHANGE = f"{MARKET}, change AS (SELECT date, close, ln(close / lag(close) OVER w) AS market_change, ln(second_close / lag(second_close) OVER w) AS second_change, ln(vix_close / lag(vix_close) OVER w) AS vix_change FROM market WINDOW w AS (ORDER BY date))"
 
 
 def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +125,15 @@ FOREIGN = "abroad AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice
 
 
 def market_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.features import market_change as change
+    """date, market_close, market_change, second_change and vix_change; a day without a second close has no change, nor has the next (F8)."""
+    from pyspark.sql import Window
 
-    return change(market_bars(spark, sf_dir), "market").select("date", "market_close", "market_change")
+    from tidemark.operators.features import log_ratio
+
+    w = Window.partitionBy(F.lit(0)).orderBy("date")  # one row a day
+    rows = market_bars(spark, sf_dir)
+    change = lambda c: log_ratio(F.col(c), F.lag(c).over(w))
+    return rows.select("date", F.col("close").alias("market_close"), change("close").alias("market_change"), change("second_close").alias("second_change"), change("vix_close").alias("vix_change"))
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,5 +155,5 @@ ANALYSIS = f"""{RETURNS}, {SENTIMENT}, {MARKET_CHANGE},
 analysis AS (
   SELECT f.*, CASE WHEN intraday_no_posts = 0 THEN intraday_sentiment_index END AS intraday_sentiment_index,
          CASE WHEN overnight_no_posts = 0 THEN overnight_sentiment_index END AS overnight_sentiment_index,
-         intraday_item_count, overnight_item_count, intraday_no_posts, overnight_no_posts, market_change
+         intraday_item_count, overnight_item_count, intraday_no_posts, overnight_no_posts, market_change, second_change, vix_change
   FROM featured f LEFT JOIN sentiment s ON s.instrument = f.instrument AND s.date = f.date LEFT JOIN change c ON c.date = f.date)"""

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 ENCODINGS = ("UTF-8", "x-windows-949", "EUC-KR")
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, aliases: dict[str, str] | None = None, encoding: str = "UTF-8") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, aliases: dict[str, str] | None = None, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
     """Headered CSV as text, a byte-order mark dropped, headers renamed; with a schema its columns are cast, so ids keep their zeros.
 
-    Columns that a query doesn't use are pruned by Spark."""
-    raw = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
+    Columns that a query doesn't use are pruned by Spark. ``multi_line`` is for fields that hold line ends; it makes each file one task."""
+    raw = spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line).option("escape", '"').csv(path)
     raw = raw.toDF(*[c.removeprefix("﻿").strip() for c in raw.columns])
     raw = raw.withColumnsRenamed(aliases or {})
     if schema is None:
@@ -25,37 +26,42 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, a
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """Path and first fitting encoding of each file, by one job over their bytes."""
-    from pyspark.sql.types import StringType as S
-
-    @F.pandas_udf(S())
-    def fits(content):
-        def one(data: bytes) -> str | None:
-            for name, codec in zip(ENCODINGS, ("utf-8-sig", "cp949", "euc-kr")):
-                try:
-                    data.decode(codec)
-                except UnicodeDecodeError:
-                    continue
-                return name
-            return None
+@F.pandas_udf(StructType([StructField(n, BooleanType()) for n in ("utf_8", "windows_949", "euc_kr")]))
+def _decodes(line: pd.Series) -> pd.DataFrame:
+    """Which encodings the bytes of each line can be in."""
 
-        return content.map(one)
+    def fits(data: bytes, codec: str) -> bool:
+        try:
+            data.decode(codec)
+        except UnicodeDecodeError:
+            return False
+        return True
 
-    return spark.read.format("binaryFile").load(path).select("path", fits("content").alias("encoding"))
+    return pd.DataFrame({n: [fits(x, c) for x in line] for n, c in (("utf_8", "utf-8"), ("windows_949", "cp949"), ("euc_kr", "euc-kr"))})
 
 
-def read_csv_any(spark: SparkSession, path: str, schema: StructType | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Files of mixed encodings as one frame; raises where none fits. The driver sees one row per encoding, not per file."""
-    found = file_encodings(spark, path)
-    groups = {r.encoding: r.paths for r in found.groupBy("encoding").agg(F.collect_list("path").alias("paths")).collect()}
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """Path and first fitting encoding of each file. Lines are tested where they are read (no character's later bytes hold a line end), so
+    files of any size are split and none is held whole."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), _decodes(F.col("value").cast("binary")).alias("fits"))
+    found = lines.groupBy("path").agg(*[F.bool_and(f"fits.{c}").alias(c) for c in ("utf_8", "windows_949", "euc_kr")])
+    first = F.coalesce(*[F.when(F.col(c), n) for c, n in zip(("utf_8", "windows_949", "euc_kr"), ENCODINGS)])
+    return found.select("path", first.alias("encoding"))
+
+
+def read_csv_any(spark: SparkSession, path: str, schema: StructType | None = None, aliases: dict[str, str] | None = None, multi_line: bool = False) -> DataFrame:
+    """Files of mixed encodings as one frame; raises where none fits. The driver learns each file's path and encoding, as Spark's own index
+    of the files holds the paths. Encodings beyond Spark's list need spark.sql.legacy.javaCharsets, which is set for the session."""
+    groups: dict = {}
+    for r in file_encodings(spark, path).toLocalIterator():
+        groups.setdefault(r.encoding, []).append(r.path)
     if None in groups:
         raise ValueError(f"no known encoding: {groups[None]}")
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     out = None
     for encoding, paths in sorted(groups.items()):
-        raw = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).csv(paths)
-        raw = raw.toDF(*[c.removeprefix("﻿").strip() for c in raw.columns]).withColumnsRenamed(aliases or {})
+        raw = spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line).option("escape", '"').csv(paths)
+        raw = raw.toDF(*[c.removeprefix("\ufeff").strip() for c in raw.columns]).withColumnsRenamed(aliases or {})
         out = raw if out is None else out.unionByName(raw, allowMissingColumns=True)
     if schema is None:
         return out
@@ -80,8 +86,10 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-def write_csv(df: DataFrame, path: str, digits: int | None = None) -> None:
-    """Headered CSV; doubles rounded to significant digits on request."""
+def write_csv(df: DataFrame, path: str, digits: int | None = None, order: list[str] | None = None) -> None:
+    """Headered CSV; doubles rounded to significant digits, and the whole table in an order (files by ranges of it), on request."""
+    if order:
+        df = df.orderBy(*order)
     if digits is not None:
         df = df.select(*[F.format_string(f"%.{digits}g", c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import calendar
+from tidemark.sources.shared import shared_path
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; where that is unset (local mode, tests) a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-tidemark-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return shared_path(spark, "stream")
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +58,16 @@ def attribute(sums: DataFrame, days: DataFrame) -> DataFrame:
     return placed.groupBy("instrument", F.col("session_date").alias("date"), "session").agg((F.sum("total") / F.sum("n")).alias("sentiment_index"), F.sum("n").alias("item_count"))
 
 
-def session_index(spark: SparkSession, sf_dir: str, days: DataFrame) -> DataFrame:
-    """The events table as a stream of posts, summed batch by batch, attributed by the calendar at reading time."""
+def daily_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of posts, summed batch by batch."""
     out = shared_folder(spark)
     v = F.col("value")
     posts = file_stream(spark, sf_dir, "events").select(F.col("event_type").alias("instrument"), F.col("ts").cast("timestamp_ntz").alias("ts"), ((v - 100) / (v + 100)).alias("score"))
     step = lambda batch, number: write_daily_sums(batch, number, out)
     posts.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return attribute(spark.read.parquet(f"{out}/sums"), days)
+    return spark.read.parquet(f"{out}/sums")
+
+
+def session_index(spark: SparkSession, sf_dir: str, days: DataFrame) -> DataFrame:
+    """The stream's sums attributed by the calendar at reading time."""
+    return attribute(daily_sums(spark, sf_dir), days)
