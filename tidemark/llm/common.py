@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import discard, settle, shared_dir, shared_path  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: The characters of [\x20\x09-\x0D].
@@ -16,43 +15,6 @@ SPACES = " \t\n\v\f\r"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="spark-tidemark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path of the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.settled_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of settled tables that nothing reads any more; other tables are left alone."""
-    for t in tables:
-        path = getattr(t, "settled_at", None)
-        if path:
-            jvm, session = t.sparkSession._jvm, t.sparkSession._jsparkSession
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(session.sessionState().newHadoopConf()).delete(place, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; a translation of 26 characters, other letters stay."""
     return F.translate(text, UPPER, LOWER)
