@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, lsh_forest, packing, secrets, toxicity
@@ -42,9 +42,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table stays empty."""
     kept = exact_dedup.exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_own")).agg(F.count(F.lit(1)).alias("times"))
     rows = _rows_of(docs, id=F.col("doc_id"), own=exact_dedup.digest(text_or_empty()))
-    left = rows.join(kept, (F.col("own") == F.col("kept_own")) & F.col("id").eqNullSafe(F.col("kept_id"))).drop("kept_id", "kept_own")
-    repeated = _one_each(left.filter("times > 1"), ["own"])
-    return left.filter("times = 1").unionByName(repeated).select("row.*")
+    return _kept_once(rows, settle(kept, "kept"), (F.col("own") == F.col("kept_own")) & F.col("id").eqNullSafe(F.col("kept_id")), ["own"])
+
+
+def _kept_once(rows: DataFrame, kept: DataFrame, same: Column, keys: list[str], free: str = "false") -> DataFrame:
+    """The documents of the rows that ``kept`` names; where it names several rows (times), one of each of ``keys``, unless ``free`` holds.
+
+    Texts meet ``kept`` in one join; rows that several may claim take a second one, which is left out where there are none."""
+    several = kept.filter(f"times > 1 AND NOT ({free.replace('id', 'kept_id')})")
+    if several.isEmpty():
+        return rows.join(kept, same, "left_semi").select("row.*")
+    single = rows.join(kept.filter(f"times = 1 OR ({free.replace('id', 'kept_id')})"), same, "left_semi")
+    return single.unionByName(_one_each(rows.join(several, same, "left_semi"), keys)).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +61,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stays or goes as a whole; null ids are linked with nothing and stay. Null and empty texts are linked with nothing.
     Columns of any names stay; an empty table stays empty. Ids are integers."""
     kept = lsh_forest.near_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("times"))
-    rows = _rows_of(docs, id=F.col("doc_id").cast("long"))
-    left = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    repeated = _one_each(left.filter("times > 1 AND id IS NOT NULL").withColumn("own", F.sha2("text", 256)), ["id", "own"]).drop("own")
-    return left.filter("times = 1 OR id IS NULL").unionByName(repeated).select("row.*")
+    rows = _rows_of(docs, id=F.col("doc_id").cast("long")).withColumn("own", F.sha2("text", 256))
+    return _kept_once(rows, settle(kept, "kept"), F.col("id").eqNullSafe(F.col("kept_id")), ["id", "own"], "id IS NULL")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
