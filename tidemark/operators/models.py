@@ -44,6 +44,8 @@ def garch_forecast(df: DataFrame, value: str = "cc_return", by: str = "instrumen
     series = rows.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", (F.col(value) * 100).alias("r")))), lambda s: s["r"]).alias("_r"))
     start = F.lit(min_train) if last is None else F.greatest(F.lit(min_train), F.size("_r") - last)
     folds = series.filter(F.size("_r") > start).withColumn("_at", F.explode(F.sequence(start, F.size("_r") - 1, F.lit(every))))
+    # Few small rows with much to compute: dealt over a fixed number of tasks, which adaptive execution doesn't merge.
+    folds = folds.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by, "_at")
     past = F.slice("_r", 1, F.col("_at"))
     mean = F.aggregate(past, F.lit(0.0), lambda a, r: a + r) / F.col("_at")
     folds = folds.withColumn("_mean", mean)
