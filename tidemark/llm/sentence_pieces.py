@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Places of the table of pairs, a power of two.
-PAIRS = 1 << 21
+PAIRS = 1 << 20
 _CODES = 0x110000
+#: Characters that go through the passes together; their arrays stay near the processor.
+_CHUNK = 1 << 16
 
 
 class Pieces:
@@ -49,6 +51,7 @@ class Pieces:
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces have the same hash")
         self.index = {pieces[i]: i for i in usable}
+        self.rank = {pieces[i]: float(scores[i]) for i in usable}
         #: The token before the first one; characters without a piece are tokens after it.
         self.none = len(pieces)
         self._pair, self._may = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
@@ -99,17 +102,17 @@ class Pieces:
         n, length = codes.shape
         most, every = len(table), np.arange(n)
         worst = (self.scores.min() if len(self.scores) else 0) - 10
-        ending = np.full((length + 1, most, n), -1, np.int64)
+        ending = np.full((length + 1, most, n), -1, np.int32)
         for w, p in enumerate(table, 1):
             ending[w:, w - 1] = p.T
         alone = ending[1:, 0]
-        alone[alone < 0] = (codes.T.astype(np.int64) + self.none + 1)[alone < 0]
+        alone[alone < 0] = (codes.T.astype(np.int32) + self.none + 1)[alone < 0]
         best, last, back = np.full((length + 1, n), -np.inf), np.full((length + 1, n), self.none), np.zeros((length + 1, n), np.int64)
         best[0] = 0
         for end in range(1, length + 1):
             pieces = ending[end, : min(most, end)]
             width, row = np.nonzero(pieces >= 0)
-            piece, before = pieces[width, row], end - 1 - width
+            piece, before = pieces[width, row].astype(np.int64), end - 1 - width
             if self.bpe:
                 value = np.where(self.follows(last[before, row], piece), 0.0, -np.inf)
             else:
@@ -130,7 +133,7 @@ class Pieces:
     def follows(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each piece may stand after the token before it (``none``: at the start of a word)."""
         key = before * (self.none + 1 + _CODES) + piece
-        place = (key.view(np.uint64) * _MIX >> np.uint64(43)).view(np.int64)
+        place = (key.view(np.uint64) * _MIX >> np.uint64(44)).view(np.int64)
         found = self._may[place]
         new = np.flatnonzero(self._pair[place] != key)
         if len(new):
@@ -142,41 +145,23 @@ class Pieces:
 
     def _side_by_side(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         name = lambda t: "" if t == self.none else self.pieces[t] if t < self.none else chr(t - self.none - 1)
-        out, groups = np.zeros(len(before), bool), defaultdict(list)
-        for i, (a, b) in enumerate(zip(map(name, before.tolist()), map(name, piece.tolist()))):
-            if not a or a + b not in self.index:  # two neighbours that make a piece would merge
-                groups[len(a + b)].append((i, a + b, len(a)))
-        for length, rows in groups.items():
-            codes = np.array([list(map(ord, text)) for _, text, _ in rows], np.uint64)
-            sizes, cut = self.merge(codes, self.spans(codes)), np.array([k for _, _, k in rows])
-            every = np.arange(len(rows))
-            out[[i for i, _, _ in rows]] = (sizes[every, cut] == length - cut) & ((cut == 0) | (sizes[every, 0] == cut))
-        return out
-
-    def merge(self, codes: np.ndarray, table: list[np.ndarray]) -> np.ndarray:
-        """Token widths at their starts after all merges, the best piece first and the leftmost of equals."""
-        n, length = codes.shape
-        sizes = np.ones((n, length), np.int64)
-        wide = np.full((len(table) + 1, n, length), -1, np.int64)
-        for w, p in enumerate(table, 1):
-            wide[w, :, : p.shape[1]] = p
-        active, place = np.arange(n), np.arange(length)
-        while len(active):
-            s = sizes[active]
-            after = place + s
-            other = np.take_along_axis(s, np.minimum(after, length - 1), axis=1)
-            width = s + other
-            fits = (s > 0) & (after < length) & (width <= len(table))
-            piece = wide[np.where(fits, width, 0), active[:, None], place]
-            value = np.where(piece >= 0, self.scores[piece], -np.inf)
-            at = value.argmax(axis=1)
-            rows = np.arange(len(active))
-            some = value[rows, at] > -np.inf
-            active, at, rows = active[some], at[some], rows[some]
-            follow = after[rows, at]
-            sizes[active, at] = width[rows, at]
-            sizes[active, follow] = 0
-        return sizes
+        pairs = zip(map(name, before.tolist()), map(name, piece.tolist()))
+        # Two neighbours that make a piece would merge.
+        return np.array([(not a or a + b not in self.rank) and self.merged(a + b) == ([a, b] if a else [b]) for a, b in pairs], bool)
+
+    def merged(self, text: str) -> list[str]:
+        """The tokens of a short text by merging the best pair of neighbours, the leftmost of equals, until none is a piece."""
+        parts, rank = list(text), self.rank.get
+        values = [rank(a + b, -np.inf) for a, b in zip(parts, parts[1:])]
+        while values and (best := max(values)) > -np.inf:
+            at = values.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del values[at]
+            if at:
+                values[at - 1] = rank(parts[at - 1] + parts[at], -np.inf)
+            if at < len(values):
+                values[at] = rank(parts[at] + parts[at + 1], -np.inf)
+        return parts
 
     def _coded(self, tokens: np.ndarray) -> list[bytes]:
         """Ids (little-endian unsigned 32-bit) of each row of tokens; characters without a piece as their bytes, or unknown."""
@@ -204,8 +189,8 @@ class Pieces:
             step = 1 << max(len(w).bit_length() - 4, 0)
             groups[-(-len(w) // step) * step].append(i)
         for length, rows in groups.items():
-            for at in range(0, len(rows), max(1, 400_000 // max(length, 1))):
-                part = rows[at : at + max(1, 400_000 // max(length, 1))]
+            for at in range(0, len(rows), max(1, _CHUNK // max(length, 1))):
+                part = rows[at : at + max(1, _CHUNK // max(length, 1))]
                 sizes = np.array([len(words[i]) for i in part])
                 codes = np.frombuffer("".join(words[i].ljust(length, "\0") for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(part), length)
                 tokens = self.viterbi(codes, self.spans(codes), sizes)
@@ -234,7 +219,7 @@ class Encoder(dict):
         split = [[t] if self.pieces.whole else self.pieces.cut.findall(t) for t in marked]
         if len(self) > self.most:
             self.clear()
-        missing = sorted(set().union(*split).difference(self))
+        missing = list(set().union(*split).difference(self))
         self.update(zip(missing, self.pieces.segment(missing)))
         return [b"".join(map(self.__getitem__, words)) for words in split]
 
