@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidemark.functions import text as X
-from tidemark.operators import features
+from tidemark.operators import features, posts
 from tidemark.sources import pages, readers
 
 
@@ -67,6 +67,38 @@ def test_readers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "meta")).first().rows == 3
 
 
+def test_scan_reads_the_used_column_only(spark, tmp_path):
+    readers.write_csv(spark.createDataFrame([(1, "x"), (2, "y")], "date int, text string"), str(tmp_path / "t"))
+    plan = readers.read_csv(spark, str(tmp_path / "t")).select("date")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<date:string>" in plan
+
+
+def test_sorted_sink(spark, tmp_path):
+    rows = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "n int").repartition(7)
+    readers.write_csv(rows, str(tmp_path / "t"), order=["n"])
+    files = sorted((tmp_path / "t").glob("part-*.csv"))
+    assert [int(x) for f in files for x in f.read_text().split()[1:]] == list(range(101))
+
+
+def test_blocked_pages_raise(spark):
+    df = spark.createDataFrame([(2, False), (0, True)], "n int, none boolean")
+    status = pages.page_status(F.col("n"), F.col("none"))
+    assert pages.require_pages(df, status).count() == 2
+    with pytest.raises(ValueError, match="1 pages"):
+        pages.require_pages(df.union(spark.createDataFrame([(0, False)], df.schema)), status)
+
+
+def test_scorer_limit(spark):
+    import pandas as pd
+
+    def words():
+        return lambda texts: pd.DataFrame({"negative": 0.0, "neutral": 0.0, "positive": [float(len(t.split())) for t in texts]})
+
+    df = spark.createDataFrame([("a b  c d",), (" ",), ("a",), (None,)], "text string")
+    score = lambda **limit: [r.sentiment_score for r in posts.score_texts(df.coalesce(1), words, batch=3, **limit).collect()]
+    assert score() == [4.0, 1.0, 1.0, 1.0] and score(most_tokens=3) == [3.0, 1.0, 1.0, 1.0]
+
+
 def test_normalise(spark):
     df = spark.createDataFrame([(" 1,234.5 ", "2024/01/02"), ("x", "2024.13.01"), (None, None)], "n string, d string")
     got = [tuple(r) for r in df.select(features.numeric(F.col("n")), features.date_value(F.col("d"))).collect()]

@@ -101,11 +101,17 @@ def gap_summary(gaps: DataFrame, by: str = "instrument", value: str = "overnight
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean_sentiment"), F.stddev_samp(value).alias("std_sentiment"), F.avg(count).alias("mean_items"))
 
 
-def sample_posts(assigned: DataFrame, n: int, seed: int = 0, by: str = "instrument", key: str = "item_id") -> DataFrame:
-    """N posts of each instrument, date and session, chosen by a hash of key and seed (the same at every run)."""
+def window_size(least: int, most: int, seed: int = 0, date: str = "session_date", session: str = "session") -> Column:
+    """How many posts a date's session is to have, from least to most, drawn by a hash of both and the seed."""
+    drawn = F.md5(F.concat_ws(":", F.col(date).cast("string"), F.col(session), F.lit(str(seed))))
+    return F.lit(least) + F.conv(F.substring(drawn, 1, 7), 16, 10).cast("long") % (most - least + 1)
+
+
+def sample_posts(assigned: DataFrame, n: int | Column, seed: int = 0, by: str = "instrument", key: str = "item_id") -> DataFrame:
+    """N posts (such as ``window_size(3, 8)``) of each instrument, date and session, chosen by a hash of key and seed (the same at every run)."""
     order = [F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)]
     w = Window.partitionBy(by, "session_date", "session").orderBy(*order)
-    return assigned.filter(F.col("session_date").isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    return assigned.filter(F.col("session_date").isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= (n if isinstance(n, Column) else F.lit(n))).drop("_r")
 
 
 def id_rate(posts: DataFrame, by: str = "instrument", key: str = "item_id", ts: str = "ts") -> DataFrame:

@@ -39,13 +39,15 @@ def drop_missing_prices(df: DataFrame, columns: tuple[str, ...] = ("open", "high
 
 
 def qa_summary(df: DataFrame, by: str = "instrument") -> DataFrame:
-    """K3: one row per instrument in one pass."""
+    """K3: one row per instrument in one pass; where the filled sentiments are columns, also how many analysed rows still have none."""
     missing = F.col("close").isNull()
+    filled = [s for s in ("intraday", "overnight") if f"{s}_sentiment_index_ffill" in df.columns]
     return df.groupBy(by).agg(
         F.count(F.lit(1)).alias("input_rows"), F.count_if(~missing).alias("analysis_rows"), F.count_if(missing).alias("excluded_rows"),
         F.min(F.when(~missing, F.col("date"))).alias("first_date"), F.max(F.when(~missing, F.col("date"))).alias("last_date"),
         (F.count("date") - F.count_distinct("date")).alias("duplicate_dates"),
         F.count_if(F.col("intraday_no_posts") == 1).alias("intraday_no_post_days"), F.count_if(F.col("overnight_no_posts") == 1).alias("overnight_no_post_days"),
+        *[F.count_if(~missing & F.col(f"{s}_sentiment_index_ffill").isNull()).alias(f"{s}_missing_after_fill") for s in filled],
     )
 
 

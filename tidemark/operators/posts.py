@@ -41,10 +41,11 @@ def union_sources(sources: list[DataFrame], key: str = "item_id", ts: str = "ts"
     return keep_first(out.filter(F.trim(text) != ""), [key], ["_prio", ts, text]).drop("_prio")
 
 
-def score_texts(posts: DataFrame, score: Callable[[], Callable[[list[str]], pd.DataFrame]], text: str = "text", batch: int = 16) -> DataFrame:
+def score_texts(posts: DataFrame, score: Callable[[], Callable[[list[str]], pd.DataFrame]], text: str = "text", batch: int = 16, most_tokens: int | None = None) -> DataFrame:
     """Negative, neutral, positive and sentiment_score by a model that ``score()`` loads once in each task; blank texts are ".".
 
-    The model gets lists of at most ``batch`` texts and gives a frame of three probabilities.
+    The model gets lists of at most ``batch`` texts and gives a frame of three probabilities. A model with a limit (256 is usual) gets
+    the first ``most_tokens`` words of each text; without a limit it gets whole texts.
     """
     names = ["negative", "neutral", "positive"]
 
@@ -52,6 +53,8 @@ def score_texts(posts: DataFrame, score: Callable[[], Callable[[list[str]], pd.D
         model = score()
         for frame in frames:
             texts = [t if t and t.strip() else "." for t in frame[text]]
+            if most_tokens is not None:
+                texts = [" ".join(t.split(None, most_tokens)[:most_tokens]) for t in texts]
             parts = [model(texts[i : i + batch])[names] for i in range(0, len(texts), batch)]
             out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names, dtype=float)
             yield pd.concat([frame.reset_index(drop=True), out], axis=1)

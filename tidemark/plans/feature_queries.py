@@ -123,10 +123,11 @@ def k1_duplicate_keys(spark, d):
     return checks.duplicate_keys(rows, ["instrument", "month"])
 
 
-@register(f"WITH {T.BARS}, {T.SENTIMENT}, m AS (SELECT s.instrument, s.date, CASE WHEN b.volume > 60 THEN close END AS close, intraday_no_posts, overnight_no_posts FROM sentiment s LEFT JOIN bars b ON b.instrument = s.instrument AND b.date = s.date) SELECT instrument, count(*) AS input_rows, count(close) AS analysis_rows, count(*) - count(close) AS excluded_rows, min(date) FILTER (WHERE close IS NOT NULL) AS first_date, max(date) FILTER (WHERE close IS NOT NULL) AS last_date, count(date) - count(DISTINCT date) AS duplicate_dates, count(*) FILTER (WHERE intraday_no_posts = 1) AS intraday_no_post_days, count(*) FILTER (WHERE overnight_no_posts = 1) AS overnight_no_post_days FROM m GROUP BY instrument")
+@register(f"WITH {T.BARS}, {T.SENTIMENT}, m AS (SELECT s.instrument, s.date, CASE WHEN b.volume > 60 THEN close END AS close, intraday_no_posts, overnight_no_posts, min(s.date) FILTER (WHERE intraday_no_posts = 0) OVER w AS first_intraday, min(s.date) FILTER (WHERE overnight_no_posts = 0) OVER w AS first_overnight FROM sentiment s LEFT JOIN bars b ON b.instrument = s.instrument AND b.date = s.date WINDOW w AS (PARTITION BY s.instrument)) SELECT instrument, count(*) FILTER (WHERE close IS NOT NULL AND (first_intraday IS NULL OR date < first_intraday)) AS intraday_missing_after_fill, count(*) FILTER (WHERE close IS NOT NULL AND (first_overnight IS NULL OR date < first_overnight)) AS overnight_missing_after_fill, count(*) AS input_rows, count(close) AS analysis_rows, count(*) - count(close) AS excluded_rows, min(date) FILTER (WHERE close IS NOT NULL) AS first_date, max(date) FILTER (WHERE close IS NOT NULL) AS last_date, count(date) - count(DISTINCT date) AS duplicate_dates, count(*) FILTER (WHERE intraday_no_posts = 1) AS intraday_no_post_days, count(*) FILTER (WHERE overnight_no_posts = 1) AS overnight_no_post_days FROM m GROUP BY instrument")
 def k3_qa_summary(spark, d):
     bars = T.bars(spark, d).withColumn("close", F.when(F.col("volume") > 60, F.col("close")))
-    return checks.qa_summary(T.sentiment(spark, d).join(bars, ["instrument", "date"], "left"))
+    rows = X.forward_fill(X.mask_no_posts(T.sentiment(spark, d)), ["intraday_sentiment_index", "overnight_sentiment_index"])
+    return checks.qa_summary(rows.join(bars, ["instrument", "date"], "left"))
 
 
 @register(f"WITH {T.SENTIMENT}, l AS (SELECT instrument, 'intraday_sentiment_index' AS variable, intraday_sentiment_index AS v FROM sentiment UNION ALL SELECT instrument, 'overnight_sentiment_index', overnight_sentiment_index FROM sentiment) SELECT instrument, variable, count(v) AS n, round(avg(v), 7) AS mean, round(stddev_samp(v), 7) AS std, round(min(v), 7) AS min, round(max(v), 7) AS max, round(avg(CASE WHEN abs(v) < 0.0333 THEN 1.0 ELSE 0.0 END), 7) AS near_zero_share FROM l GROUP BY ALL")

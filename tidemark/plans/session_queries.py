@@ -88,9 +88,9 @@ def c11_gap_summary(spark, d):
     return rounded(calendar.gap_summary(calendar.holiday_gaps(_index(spark, d))))
 
 
-@register(f"WITH {T.SESSIONS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY instrument, session_date, session ORDER BY md5(item_id || ':0'), item_id) AS r FROM assigned WHERE session_date IS NOT NULL) SELECT instrument, item_id, session_date, session FROM ranked WHERE r <= 5")
+@register(f"WITH {T.SESSIONS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY instrument, session_date, session ORDER BY md5(item_id || ':0'), item_id) AS r FROM assigned WHERE session_date IS NOT NULL) SELECT instrument, item_id, session_date, session FROM ranked WHERE r <= 3 + CAST('0x' || substr(md5(CAST(session_date AS VARCHAR) || ':' || session || ':0'), 1, 7) AS BIGINT) % 6")
 def c12_stratified_sample(spark, d):
-    return calendar.sample_posts(_assigned(spark, d), 5).select("instrument", "item_id", "session_date", "session")
+    return calendar.sample_posts(_assigned(spark, d), calendar.window_size(3, 8)).select("instrument", "item_id", "session_date", "session")
 
 
 #: Every post that views, against the nearest purchase of the same user within an hour.

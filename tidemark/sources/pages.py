@@ -57,6 +57,14 @@ def page_status(items: Column, none_marker: Column) -> Column:
     return F.when(items > 0, "ok").when(none_marker, "end").otherwise("blocked")
 
 
+def require_pages(pages: DataFrame, status: Column) -> DataFrame:
+    """Raises with the number of blocked pages, so that a block doesn't pass for a day without items."""
+    blocked = pages.filter(status == "blocked").count()
+    if blocked:
+        raise ValueError(f"{blocked} pages have neither items nor a note that there are none")
+    return pages
+
+
 def any_timestamp(text: Column) -> Column:
     """Wall-clock times of yyyyMMddHHmm, yyyy.MM.dd HH:mm, yyyy.MM.dd, "Mon Jan 01 00:00:00 KST 2024", ISO with or without offset
     (the offset is dropped, the clock kept) and milliseconds since the epoch within a text; null otherwise."""
