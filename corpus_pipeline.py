@@ -46,13 +46,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _kept_once(rows: DataFrame, kept: DataFrame, same: Column, keys: list[str], free: str = "false") -> DataFrame:
-    """The documents of the rows that ``kept`` names; where it names several rows (times), one of each of ``keys``, unless ``free`` holds.
+    """The documents of the rows that ``kept`` names; where it names several rows (times), one of each of ``keys``, unless ``free``, a test on ``kept``, holds.
 
     Texts meet ``kept`` in one join; rows that several may claim take a second one, which is left out where there are none."""
-    several = kept.filter(f"times > 1 AND NOT ({free.replace('id', 'kept_id')})")
+    several = kept.filter(f"times > 1 AND NOT ({free})")
     if several.isEmpty():
         return rows.join(kept, same, "left_semi").select("row.*")
-    single = rows.join(kept.filter(f"times = 1 OR ({free.replace('id', 'kept_id')})"), same, "left_semi")
+    single = rows.join(kept.filter(f"times = 1 OR ({free})"), same, "left_semi")
     return single.unionByName(_one_each(rows.join(several, same, "left_semi"), keys)).select("row.*")
 
 
@@ -62,7 +62,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Columns of any names stay; an empty table stays empty. Ids are integers."""
     kept = lsh_forest.near_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("times"))
     rows = _rows_of(docs, id=F.col("doc_id").cast("long")).withColumn("own", F.sha2("text", 256))
-    return _kept_once(rows, settle(kept, "kept"), F.col("id").eqNullSafe(F.col("kept_id")), ["id", "own"], "id IS NULL")
+    return _kept_once(rows, settle(kept, "kept"), F.col("id").eqNullSafe(F.col("kept_id")), ["id", "own"], "kept_id IS NULL")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
