@@ -115,14 +115,6 @@ def replace_by_asof(df: DataFrame, right: DataFrame, columns: list[str], on: str
     return kept.alias("_l").join(days.alias("_r"), same, "left").select("_l.*", *[F.col(f"_r.{c}") for c in days.columns if c not in (*by, on)])
 
 
-def contains_join(texts: DataFrame, names: DataFrame, columns: list[str], name: str = "name") -> DataFrame:
-    """Each text with every name that one of its columns contains; the names are few and broadcast if Spark finds them small."""
-    test = F.lit(False)
-    for c in columns:
-        test = test | F.contains(F.coalesce(F.col(c), F.lit("")), F.col(name))
-    return texts.join(names, test)
-
-
 def offset_join(events: DataFrame, rows: DataFrame, by: list[str], position: str = "position", before: int = 5, after: int = 5) -> DataFrame:
     """Rows at positions position-before to position+after of each event, as an equality join over exploded offsets."""
     wanted = events.withColumn("tau", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("_at", F.col(position) + F.col("tau"))

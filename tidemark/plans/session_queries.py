@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, calendar, checks, posts
+from tidemark.operators import asof, calendar, checks, matching, posts
 from tidemark.plans import tables as T
 from tidemark.plans.base import registry, rounded
 
@@ -138,13 +138,7 @@ def j5_asof_forward(spark, d):
 def j6_contains_join(spark, d):
     part = T.read(spark, d, "part")
     names = part.select(F.explode(F.split("p_name", " ")).alias("name")).distinct()
-    return asof.contains_join(part, names, ["p_name", "p_type"]).select("p_partkey", F.col("name").alias("word"))
-
-
-@register("SELECT p_partkey, d.word FROM part JOIN (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part) d ON contains(p_name, d.word) OR contains(p_type, d.word)")
-def j6_contains_join_whole(spark, d):
-    """The same by its other name."""
-    return j6_contains_join(spark, d)
+    return matching.contains_join(part, names, ["p_name", "p_type"]).select("p_partkey", F.col("name").alias("word"))
 
 
 @register("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)")

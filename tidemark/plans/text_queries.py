@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import asof, posts
+from tidemark.operators import matching, posts
 from tidemark.plans import tables as T
 from tidemark.plans.base import registry, rounded
 from tidemark.sources import pages as P
@@ -106,7 +106,7 @@ _NAMES = [("apache", "A1"), ("gnu", "G1"), ("idiot", "I1"), ("password", "P1"),
 def t13_route_entities(spark, d):
     names = spark.createDataFrame(_NAMES, "name string, code string")
     rows = _docs(spark, d).select("doc_id", F.lower(F.substring("text", 1, 200)).alias("headline"), F.lower("text").alias("body"))
-    return asof.contains_join(rows, names, ["headline", "body"]).select("doc_id", "code")
+    return matching.contains_join(rows, names, ["headline", "body"]).select("doc_id", "code")
 
 
 @register("SELECT doc_id, md5(substr(coalesce(lang, '') || '. ' || coalesce(text, ''), 1, 500)) AS joined_md5, 'doc_' || doc_id AS item_id FROM documents")
