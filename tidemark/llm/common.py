@@ -9,6 +9,8 @@ from tidemark.sources.shared import discard, settle, shared_dir, shared_path  #
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: What a cache of words holds in a Python worker: bytes with what dictionaries add, and the length up to which words are kept.
+CACHE_BYTES, KEPT_LENGTH = 100_000_000, 64
 #: The characters of [\x20\x09-\x0D].
 SPACES = " \t\n\v\f\r"
 #: Word characters of the ASCII-aware word pattern: everything but ASCII non-alphanumerics and capitals.
@@ -24,6 +26,11 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def weight(word: str | bytes, *values: bytes) -> int:
+    """About the bytes that a cached word and its values take."""
+    return 160 + (4 if isinstance(word, str) and not word.isascii() else 1) * len(word) + sum(33 + len(v) for v in values)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import CACHE_BYTES, KEPT_LENGTH, weight
+
 CAPACITY, POOL = 2048, 6000
 #: The vocabulary's own pattern over lower-case text (contractions, runs of letters, digits, runs of others), and what keeps a
 #: text from being cut by it here: characters past Latin Extended-A, those that Python's classes or lower() see in another way,
@@ -39,12 +41,12 @@ class Encoder(dict):
     ids are cut. Other texts are cut at white space only, which no id spans, and the library does the rest.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = CACHE_BYTES):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.chunks = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.held, self.chunks = Tokenizer.from_file(path), most, 0, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -56,20 +58,24 @@ class Encoder(dict):
             ids = np.array(found.ids, "<u4")
             data, edges = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             self.update((w, data[edges[i] : edges[i + 1]]) for i, w in enumerate(part))
+        self.held += sum(weight(w, self[w]) for w in words)
 
     def _other(self, text: str) -> bytes:
         known, out = self.chunks, []
         for c in text.encode("utf-8", "surrogatepass").split():
             if (ids := known.get(c)) is None:
-                known[c] = ids = np.array(self.tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+                ids = np.array(self.tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+                if len(c) <= KEPT_LENGTH:
+                    known[c] = ids
+                    self.held += weight(c, ids)
             out.append(ids)
         return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > self.most:
+        if self.held > self.most:
             self.clear()
-        if len(self.chunks) > self.most:
             self.chunks.clear()
+            self.held = 0
         split = [None if _FOREIGN(t) else _WORDS(t.lower()) for t in texts]
         coded = [None if words is None else list(map(self.get, words)) for words in split]
         missing: set[str] = set()
@@ -83,6 +89,9 @@ class Encoder(dict):
                 out.append(self._other(t))
             else:
                 out.append(b"".join([self[w] if i is None else i for w, i in zip(words, ids)]))
+        for w in missing:
+            if len(w) > KEPT_LENGTH:
+                self.held -= weight(w, self.pop(w))
         return out
 
 

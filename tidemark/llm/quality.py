@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, training_row
+from .common import CACHE_BYTES, KEPT_LENGTH, sampled, training_row, weight
 
 SAMPLE_ROWS, DIMS, EPOCHS = 1500, 1 << 16, 60
 _WORD = re.compile(r"[^\W_]+")
@@ -37,12 +37,18 @@ def _step(value: float, steps: tuple[float, ...]) -> int:
 
 
 class Reader(dict):
-    """Slots by token, kept between texts; bounded."""
+    """Slots by token of up to KEPT_LENGTH characters, kept between texts up to CACHE_BYTES."""
+
+    held = 0
 
     def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) > 300_000:
-            self.clear()
-        self[token] = found = slots(token)
+        found = slots(token)
+        if len(token) <= KEPT_LENGTH:
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[token] = found
+            self.held += weight(token) + 120
         return found
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:

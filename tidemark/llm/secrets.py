@@ -46,26 +46,34 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 
+def running(values: Column, join) -> Column:
+    """join(earlier, own) over all elements up to each place, by doubling: n log n, where appending to an array costs n squared."""
+    steps = F.filter(F.array(*[F.lit(1 << i) for i in range(31)]), lambda k: k < F.size(values))
+    return F.aggregate(steps, values, lambda held, k: F.transform(held, lambda v, i: F.when(i >= k, join(F.get(held, i - k), v)).otherwise(v)))
+
+
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Code-point spans of the leftmost non-overlapping matches, end exclusive.
 
-    Splitting at the pattern gives the gaps between the matches, so that running lengths of gaps and matches are the offsets.
+    Splitting at the pattern gives the gaps between the matches, so that running sums of the lengths of gaps and matches are the offsets.
     """
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, rule.pattern, -1)
-    value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
-    steps = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("hit"), value.alias("value")),
-                        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["value"]).alias("value")))
-    empty = F.expr("struct(0 as at, cast(array() as array<struct<start:int,end:int>>) as spans)")
+    lengths = lambda texts: F.transform(texts, F.length)
+    value = lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group))) if rule.group else None
+    cut = F.struct(lengths(matches).alias("hit"), lengths(F.split(text, rule.pattern, -1)).alias("gap"), *([value.alias("value")] if rule.group else []))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["hit"]
-        found = F.when(x["value"] >= rule.least, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], found).alias("spans"))
+    def spans(x: Column) -> Column:
+        ends = running(F.zip_with(F.slice(x["gap"], 1, F.size(x["hit"])), x["hit"], lambda g, h: g + h), lambda a, b: a + b)
+        each = F.arrays_zip(ends.alias("end"), x["hit"].alias("hit"), (x["value"] if rule.group else x["hit"]).alias("value"))
+        return F.transform(F.filter(each, lambda s: s["value"] >= rule.least), lambda s: F.struct((s["end"] - s["hit"]).alias("start"), s["end"].alias("end")))
 
-    return F.aggregate(steps, empty, step, lambda acc: acc["spans"])
+    return bound(cut, spans)
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -179,14 +187,18 @@ def redact(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.sha2(text_or_empty(), 256).alias("key"))
     joined = rows.join(cuts, F.col("key") == F.col("blob"), "left")
     text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        kept = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], kept, F.lit("["), x["kind"], F.lit("]"))).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2147483647))))
+    def cleaned(x: Column) -> Column:
+        # What comes before a span that no earlier one reaches into, and its mark; characters are cut once, as places in UTF-8 texts are found from the start.
+        last = F.coalesce(F.element_at(x["reach"], -1), F.lit(0))
+        before = lambda i: F.when(i > 0, F.get(x["reach"], i - 1)).otherwise(0)
+        each = F.transform("found", lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), before(i).alias("at")))
+        part = lambda a, b: F.array_join(F.slice(x["chars"], a + 1, b - a), "")
+        pieces = F.transform(F.filter(each, lambda s: s["start"] >= s["at"]), lambda s: F.concat(part(s["at"], s["start"]), F.lit("["), s["kind"], F.lit("]")))
+        return F.array_join(F.concat(pieces, F.array(part(last, F.size(x["chars"])))), "")
+
+    reach = running(F.transform("found", lambda s: s["end"]), F.greatest)
+    clean = bound(F.struct(F.split(text, "").alias("chars"), reach.alias("reach")), cleaned)
     out = joined.select("row", F.when(F.col("found").isNull(), text).otherwise(clean).alias("clean"))
     changed = {"text": F.col("clean")}
     if "n_chars" in docs.columns:

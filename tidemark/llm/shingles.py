@@ -5,17 +5,25 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import CACHE_BYTES, KEPT_LENGTH, weight
+
 SHINGLE = 5
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Words(dict):
-    """64-bit hashes of words, kept between texts; bounded."""
+    """64-bit hashes of words of up to KEPT_LENGTH bytes, kept between texts up to CACHE_BYTES."""
+
+    held = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= KEPT_LENGTH:
+            if self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = value
+            self.held += weight(word)
         return value
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, training_row
+from .common import CACHE_BYTES, sampled, training_row, weight
 from .shingles import shingle_hashes
 
 #: Most labelled rows that training takes of either label.
@@ -53,11 +53,11 @@ def slots(token: str) -> tuple[list[int], int, int]:
 
 
 class Scores(dict):
-    """Row numbers by token, kept between texts; row i of own, before and after has the token's weights. Bounded between groups of texts."""
+    """Row numbers by token, kept between texts; row i of own, before and after has the token's weights. Bounded by bytes between groups of texts."""
 
-    def __init__(self, weights: np.ndarray, most: int = 400_000):
+    def __init__(self, weights: np.ndarray, most: int = CACHE_BYTES):
         super().__init__()
-        self.weights, self.most = weights.tolist(), most
+        self.weights, self.most, self.held = weights.tolist(), most, 0
         self.own, self.before, self.after = (np.zeros(1 << 16) for _ in range(3))
 
     def __missing__(self, token: str) -> int:
@@ -68,11 +68,13 @@ class Scores(dict):
         w = self.weights
         self.own[row], self.before[row], self.after[row] = sum([w[i] for i in own]), w[before], w[after]
         self[token] = row
+        self.held += weight(token) + 24
         return row
 
     def trim(self) -> None:
-        if len(self) > self.most:
+        if self.held > self.most:
             self.clear()
+            self.held = 0
 
 
 def chain(emit: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
