@@ -229,3 +229,85 @@ def test_scan_drops_candidates_before_the_last_dimension():
     rows, score = hard_negatives.scan(block, anchor, np.arange(4000), alive)
     assert seen[0] == 4000 and seen[-1] < 400 and np.array_equal(score, x[rows] @ anchor)
     assert set(np.argsort(-(x @ anchor))[:5]) <= set(rows)
+
+
+def test_pieces_of_texts_without_blanks(spark):
+    """Long runs go through windows: Han letters, random letters, one letter, marks, against the model's own library."""
+    import sentencepiece
+
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tidemark.llm import sentence_pieces
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    own, known, r = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.Encoder(path), random.Random(8)
+    runs = ["".join(r.choice(alphabet) for _ in range(n)) for alphabet in ("abcdefghijklmnopqrstuvwxyz", "etaoin", "ab", "a", "=", "-=", "的一是不了人我在有", "日本語\U0001f389é") for n in (255, 256, 257, 448, 449, 5000, 30_000)]
+    runs += ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(20_000)), "x" * 300 + " " + "ab" * 400 + "\n" + "é" * 700]
+    for text, ids in zip(runs, known.encode(runs)):
+        assert np.array_equal(np.frombuffer(ids, "<u4"), own.encode(text)), text[:20]
+    assert max(map(len, known)) <= 64
+
+
+def test_pairs_beside_each_other_equal_merging():
+    """The walk over both pieces' merges against merging the joined text, on random vocabularies with ties."""
+    from tidemark.llm.sentence_pieces import Pieces
+
+    r = random.Random(6)
+    for _ in range(40):
+        names = list({"".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(60)} | set("abc"))
+        p = Pieces(names, [float(-r.randrange(r.choice([5, 1000]))) for _ in names], True)
+        for _ in range(300):
+            a, b = r.choice(names), r.choice(names)
+            assert p.beside_each_other(a, b) == (p.merged(a + b) == [a, b]), (a, b)
+            assert p.beside_each_other("", b) == (p.merged(b) == [b])
+
+
+def test_word_caches_are_bounded_by_bytes(monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tidemark.llm import packing, quality, sentence_pieces, shingles
+
+    r = random.Random(3)
+    lines = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(400)) for _ in range(300)]
+    size = lambda cache: sum(4 * len(w) + 200 for w in cache)
+    for known in (packing.Encoder(tokenizers.path("word_bpe_49k.json"), 20_000), sentence_pieces.Encoder(tokenizers.path("piece_bpe_32k.model"), 20_000)):
+        first = known.encode(lines[:5])
+        for i in range(0, 300, 10):
+            known.encode(lines[i : i + 10] + [" ".join(f"w{i}x{j}" for j in range(20))])
+            assert size(known) + size(getattr(known, "chunks", ())) < 60_000
+        assert known.encode(lines[:5]) == first
+    for module in (shingles, quality):
+        monkeypatch.setattr(module, "CACHE_BYTES", 20_000)
+    words, reader = shingles._Words(), quality.Reader()
+    for i in range(2000):
+        for cache, w in ((words, b"%d" % i), (words, b"x" * 100_000 + b"%d" % i), (reader, f"w{i}"), (reader, "x" * 1000 + str(i))):
+            assert cache[w] == cache[w]
+        assert size(words) < 60_000 and size(reader) < 60_000
+
+
+def test_secrets_of_texts_with_many_hits(spark):
+    from tidemark.llm import secrets
+
+    unit, n = " secret=abcdefgh1 ", 100_000
+    docs = documents(spark, [(1, unit * n), (2, "é" + unit * 3 + "token:short AKIA" + "A" * 16 + " " + "0a" * 16)])
+    many, few = sorted(secrets.secret_scan(docs).collect(), key=lambda x: x["doc_id"])
+    assert many["n_assign"] == n and many["spans"] == ",".join(f"assign:{18 * i + 1}:{18 * i + 17}" for i in range(n))
+    assert few["spans"] == "assign:2:18,assign:20:36,assign:38:54,access:67:87,hex:88:120"
+    clean = {x["doc_id"]: x["text"] for x in secrets.redact(docs).collect()}
+    assert clean[1] == " [assign] " * n and clean[2] == "é" + " [assign] " * 3 + "token:short [access] [hex]"
+
+
+def test_redaction_of_overlapping_spans(spark):
+    """Against a plain walk over the spans."""
+    from tidemark.llm import secrets
+
+    r = random.Random(5)
+    parts = ["password=", "AKIA" + "Z" * 16, "0123456789abcdef" * 2, " ", "ghp_" + "a1" * 20, "é", "\n", "secret: 'abcdefgh' ", "xoxb-123456789012", "."]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 30)))) for i in range(200)]
+    docs = documents(spark, rows)
+    found = {x["doc_id"]: x["spans"] for x in secrets.secret_scan(docs).collect()}
+    for x in secrets.redact(docs).collect():
+        text, at, out = dict(rows)[x["doc_id"]], 0, ""
+        for kind, a, b in (s.split(":") for s in filter(None, found[x["doc_id"]].split(","))):
+            if int(a) >= at:
+                out += text[at : int(a)] + f"[{kind}]"
+            at = max(at, int(b))
+        assert x["text"] == out + text[at:] and x["n_chars"] == len(x["text"])

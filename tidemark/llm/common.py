@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection, Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +28,9 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def weight(word: str | bytes, *values: bytes) -> int:
-    """About the bytes that a cached word and its values take."""
-    return 160 + (4 if isinstance(word, str) and not word.isascii() else 1) * len(word) + sum(33 + len(v) for v in values)
+def weight(words: Collection[str | bytes], values: Iterable[bytes] = ()) -> int:
+    """About the bytes that cached words and their values take at most."""
+    return 200 * len(words) + 4 * sum(map(len, words)) + sum(map(len, values))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ _FOREIGN = re.compile("[\x1c-\x1f\x85\xa0²³¹¼½¾İ\u0180-\U0010ffff]|<\\|")
 
 
 class Encoder(dict):
-    """Ids (little-endian unsigned 32-bit) by word, kept between texts; bounded.
+    """Ids (little-endian unsigned 32-bit) by word, kept between texts up to CACHE_BYTES; words of more than KEPT_LENGTH characters are not.
 
     The vocabulary lower-cases a text and cuts it into words (contractions, runs of letters, single digits, runs of
     others) that are encoded one by one. Texts of Latin characters are cut here by the same pattern, so that each
@@ -58,7 +58,7 @@ class Encoder(dict):
             ids = np.array(found.ids, "<u4")
             data, edges = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             self.update((w, data[edges[i] : edges[i + 1]]) for i, w in enumerate(part))
-        self.held += sum(weight(w, self[w]) for w in words)
+        self.held += weight(words, map(self.__getitem__, words))
 
     def _other(self, text: str) -> bytes:
         known, out = self.chunks, []
@@ -67,7 +67,7 @@ class Encoder(dict):
                 ids = np.array(self.tokenizer.encode(c.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
                 if len(c) <= KEPT_LENGTH:
                     known[c] = ids
-                    self.held += weight(c, ids)
+                    self.held += weight([c], [ids])
             out.append(ids)
         return b"".join(out)
 
@@ -89,9 +89,8 @@ class Encoder(dict):
                 out.append(self._other(t))
             else:
                 out.append(b"".join([self[w] if i is None else i for w, i in zip(words, ids)]))
-        for w in missing:
-            if len(w) > KEPT_LENGTH:
-                self.held -= weight(w, self.pop(w))
+        for w in [w for w in missing if len(w) > KEPT_LENGTH]:
+            self.held -= weight([w], [self.pop(w)])
         return out
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_BYTES, KEPT_LENGTH, sampled, training_row, weight
+from .common import CACHE_BYTES, KEPT_LENGTH, sampled, training_row
 
 SAMPLE_ROWS, DIMS, EPOCHS = 1500, 1 << 16, 60
 _WORD = re.compile(r"[^\W_]+")
@@ -48,7 +48,7 @@ class Reader(dict):
                 self.clear()
                 self.held = 0
             self[token] = found
-            self.held += weight(token) + 120
+            self.held += 320 + 4 * len(token)
         return found
 
     def features(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:

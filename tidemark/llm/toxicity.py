@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_BYTES, sampled, training_row, weight
+from .common import CACHE_BYTES, sampled, training_row
 from .shingles import shingle_hashes
 
 #: Most labelled rows that training takes of either label.
@@ -68,7 +68,7 @@ class Scores(dict):
         w = self.weights
         self.own[row], self.before[row], self.after[row] = sum([w[i] for i in own]), w[before], w[after]
         self[token] = row
-        self.held += weight(token) + 24
+        self.held += 224 + 4 * len(token)
         return row
 
     def trim(self) -> None:
