@@ -311,3 +311,56 @@ def test_redaction_of_overlapping_spans(spark):
                 out += text[at : int(a)] + f"[{kind}]"
             at = max(at, int(b))
         assert x["text"] == out + text[at:] and x["n_chars"] == len(x["text"])
+
+
+def blocks(n, seed=1):
+    """Texts of 12 of 30 common blocks, every tenth with a copy of a few changed words."""
+    r = random.Random(seed)
+    common, rows = [" ".join(f"b{i}w{j}" for j in range(9)) for i in range(30)], []
+    for i in range(n):
+        rows.append(" ".join(common[k] for k in r.sample(range(30), 12)))
+        if i % 10 == 0:
+            w = rows[-1].split()
+            for _ in range(r.randint(1, 3)):
+                w[r.randrange(len(w))] = f"changed{r.randrange(10**6)}"
+            rows.append(" ".join(w))
+    return rows
+
+
+def linked(texts):
+    """Components over all pairs that share a rare shingle, which every link does."""
+    from collections import Counter, defaultdict
+
+    from tidemark.llm.lsh_forest import shingle_hashes
+
+    sets = [set(shingle_hashes(t).tolist()) for t in texts]
+    often, held, parent = Counter(h for s in sets for h in s), defaultdict(list), list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in enumerate(sets):
+        rare = sorted(s, key=lambda h: (often[h], h))[: len(s) * 15 // 100 + 1]
+        for j in {j for h in rare for j in held[h]}:
+            both = len(s & sets[j])
+            if 100 * both >= 85 * (len(s) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+        for h in rare:
+            held[h].append(i)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_dedup_of_common_blocks(spark, monkeypatch):
+    """Texts of common passages part in the deeper forest: none of them takes the exact pass, whose work grows with the square."""
+    from tidemark.llm import lsh_forest
+
+    texts, sent = blocks(3000), []
+    exact = lsh_forest._exact_pass
+    monkeypatch.setattr(lsh_forest, "_exact_pass", lambda dense, *a: (sent.append(dense.count()), exact(dense, *a))[1])
+    docs = documents(spark, list(enumerate(texts))).repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in lsh_forest.near_dedup(docs).collect()}
+    want = linked(texts)
+    assert sent[0] < 30 and len(set(want)) < len(texts) - 100 and [got[i] for i in range(len(texts))] == want

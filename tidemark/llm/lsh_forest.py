@@ -7,13 +7,17 @@ prefix, so the depth follows the density. A packed two-bit copy of the signature
 are confirmed on full shingle sets, the best ones of each representative first, then all that still join two components;
 with these go the members of dense regions and the regions' best-linked members (hubs), if their components differ.
 
-Neighbours and hubs bound what a member of a dense region meets, so all such members then take an exact pass, as do the
-members of regions that an end of a sorted range cuts: a pair at the threshold shares one of the rarest 8 % of the
-smaller set's shingles that is one of the rarest 15 % of the larger one's, and an equality join on these, with filters on
-lengths and places, finds every pair that still joins two components.
-
-What remains is the chance of MinHash itself: a pair at the threshold meets in one tree with probability 0.85**4 = 0.52,
-so it misses all 24 with 2e-8, and the packed signature drops a pair at the threshold with 8e-9.
+Neighbours and hubs bound what a member of a dense region meets, and so do the ends of a sorted range for the regions that
+they cut. Such a region is open if its members are in more than one component, and a member with more than OPEN open regions
+goes down to the next forest of FORESTS, of other hashes, with more trees and longer prefixes: texts that share common
+passages part there, so that what one meets doesn't grow with the corpus. Members that are left with more open regions than
+a forest allows are in crowds at full depth, and take an exact pass: a pair at the threshold shares one of the rarest 8 % of
+the smaller set's shingles that is one of the rarest 15 % of the larger one's, and an equality join on these, with filters
+on lengths and places, finds every pair that still joins two components.
+
+What remains is the chance of MinHash itself: a pair at the threshold meets in one tree with probability 0.85**4 = 0.52, so
+it misses all 24 with 2e-8 (22 with 9e-8, where two regions of either are open), all but 12 of the 64 trees of depth 8 with
+7e-8, and the packed signature drops it with 8e-9.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ from .shingles import shingle_hashes
 PERCENT = 85
 TREES, DEPTH, LONGEST = 24, 4, 12
 HASHES = TREES * DEPTH
+#: Open regions that a member may have: the other trees find its pairs.
+OPEN = 2
+#: Forests for members with more: trees, depth and the open regions allowed.
+FORESTS = ((64, 8, 12),)
 #: Columns of the values after the prefix, two in each.
 _NEXT = [f"s{i}" for i in range((LONGEST - DEPTH) // 2)]
 #: Next neighbours in a sorted order that share the prefix.
@@ -48,14 +56,31 @@ LIKELY = 82
 #: Counters of shingles, by the low bits of their hashes.
 COUNTERS = 1 << 20
 _FACTORS = np.random.default_rng(20240229).integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """HASHES MinHash values, 32 bits each."""
-    least = np.full(HASHES, np.iinfo(np.uint64).max)
+
+
+def signature(hashes: np.ndarray, factors: np.ndarray = _FACTORS) -> np.ndarray:
+    """MinHash values, 32 bits each, HASHES of them unless other factors are given."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 512):
-        np.minimum(least, (hashes[at : at + 512, None] * _FACTORS).min(axis=0), out=least)
+        np.minimum(least, (hashes[at : at + 512, None] * factors).min(axis=0), out=least)
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def _packed(s: np.ndarray) -> list[np.ndarray]:
+    """Two bits of each of the first 96 values of signatures (rows), 32 in a column."""
+    two = (s * np.uint64(0x9E3779B1)) >> np.uint64(17) & np.uint64(3)
+    return [np.bitwise_or.reduce(two[:, i * 32 : i * 32 + 32] << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1).view(np.int64) for i in range(3)]
+
+
+def _prefix(values: np.ndarray, tree: int) -> np.ndarray:
+    """Keys of the rows' values in a tree."""
+    key = np.full(len(values), tree + 1, np.uint64)
+    for i in range(values.shape[1]):
+        key = (key ^ values[:, i]) * _P
+        key ^= key >> np.uint64(31)
+    return key
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
@@ -77,19 +102,30 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, HASHES).astype(np.uint64)
-        two = (s * np.uint64(0x9E3779B1)) >> np.uint64(17) & np.uint64(3)
-        packed = [np.bitwise_or.reduce(two[:, i * 32 : i * 32 + 32] << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=1).view(np.int64) for i in range(3)]
+        packed = _packed(s)
         ids = batch.column(0)
         for tree in range(TREES):
             v = s[:, runs[tree]]
-            key = np.full(n, tree + 1, np.uint64)
-            for i in range(DEPTH):
-                key = (key ^ v[:, i]) * _P
-                key ^= key >> np.uint64(31)
+            key = _prefix(v[:, :DEPTH], tree)
             later = [(v[:, i] << np.uint64(32) | v[:, i + 1]).view(np.int64) for i in range(DEPTH, LONGEST, 2)]
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, later), *map(pa.array, packed), ids], names=["key", *_NEXT, "k1", "k2", "k3", "rep"])
 
 
+def _plant_deep(level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for a forest of FORESTS from texts; of hashes of its own, with a tree's next run for the values after the prefix."""
+    trees, depth, _ = FORESTS[level]
+    factors = np.random.default_rng(20240301 + level).integers(0, 2**63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            s = np.stack([signature(shingle_hashes(t), factors) for t in part.column(1).to_pylist()]).astype(np.uint64)
+            packed = _packed(s)
+            for tree in range(trees):
+                v = s[:, (np.arange(depth + 2) + tree * depth) % (trees * depth)]
+                later = (v[:, depth] << np.uint64(32) | v[:, depth + 1]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(_prefix(v[:, :depth], tree).view(np.int64)), pa.array(later), *map(pa.array, packed), part.column(0)], names=["key", "s0", "k1", "k2", "k3", "rep"])
+
+
 _FOUND = "key long, a long, b long, agree int, k1 long, k2 long, k3 long"
 
 
@@ -276,6 +312,33 @@ def _apart(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return pairs.filter("ca <> cb")
 
 
+def _still_open(members: DataFrame, held: DataFrame, most: int) -> DataFrame:
+    """rep of the members (key, rep) of more than ``most`` regions that hold several components."""
+    named = members.select("key", "rep").distinct().join(held.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+    return named.join(mixed, "key", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("rep")
+
+
+def _not_both(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which not both are marked (rep)."""
+    for end in ("a", "b"):
+        pairs = pairs.join(marked.select(F.col("rep").alias(end), F.lit(True).alias(f"in_{end}")), end, "left")
+    return pairs.filter("in_a IS NULL OR in_b IS NULL").select("a", "b")
+
+
+def _deeper(level: int, dense: DataFrame, held: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members that are left after a forest of FORESTS, and components with the links that it found."""
+    crowd = texts.join(dense, F.col("_id") == F.col("rep")).select("rep", "_text")
+    forest = crowd.mapInArrow(partial(_plant_deep, level), "key long, s0 long, k1 long, k2 long, k3 long, rep long")
+    order = ["key", "s0", "rep"]
+    found = settle(forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND), "deeper")
+    pairs = _apart(found.filter("b IS NOT NULL").select("a", "b").distinct(), held).select("a", "b")
+    held = _joined(held, settle(_links(pairs, texts), "links"))
+    left = settle(_still_open(found.filter("b IS NULL").select("key", F.col("a").alias("rep")), held, FORESTS[level][2]), "dense")
+    discard(found, dense)
+    return left, held
+
+
 def _exact_pass(dense: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
     """Components with the links that dense members miss: one pair of each two components first, then all that are still apart."""
     if dense.isEmpty():
@@ -322,17 +385,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     links = settle(_links(first, texts), "links")
     held = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # Pairs of two members of dense regions are left to the exact pass.
-    dense = settle(members.select("rep").distinct(), "dense")
-    marked = pairs.select("a", "b")
-    for end in ("a", "b"):
-        marked = marked.join(dense.select(F.col("rep").alias(end), F.lit(True).alias(f"in_{end}")), end, "left")
-    sparse = marked.filter("in_a IS NULL OR in_b IS NULL").select("a", "b")
-    open_pairs = _apart(sparse, held).select("a", "b").union(_hub_pairs(members, links, held)).distinct()
+    hubs = settle(_hub_pairs(members, links, held), "hubs")
+    discard(links)
+    members = members.select("key", "rep").distinct()
+    # Pairs of two members with many open regions are left to what follows; hub pairs close most of these regions.
+    left = settle(_still_open(members, held, OPEN), "dense")
+    open_pairs = _apart(_not_both(pairs, left), held).select("a", "b").union(hubs.select("a", "b")).distinct()
     held = _joined(held, settle(_links(open_pairs, texts), "links"))
-    discard(links, pairs)
-    held = _exact_pass(dense, held, texts)
-    discard(found, dense)
+    before, left = left, settle(_still_open(members, held, OPEN), "dense")
+    skipped = pairs.select("a", "b").join(_not_both(pairs, before), ["a", "b"], "left_anti")
+    held = _joined(held, settle(_links(_apart(_not_both(skipped, left), held).select("a", "b"), texts), "links"))
+    discard(pairs, hubs, before, found)
+    for level in range(len(FORESTS)):
+        if not left.isEmpty():
+            left, held = _deeper(level, left, held, texts)
+    held = _exact_pass(left, held, texts)
+    discard(left)
     named = classes.select("digest", "rep").join(held.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("component"))
     on = (F.col("digest") == F.col("_digest")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
