@@ -34,7 +34,7 @@ from .common import CACHE_BYTES, KEPT_LENGTH, weight
 SPACE = "▁"
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Places of the table of pairs, a power of two.
-PAIRS = 1 << 20
+PAIRS = 1 << 22
 _CODES = 0x110000
 #: Characters that go through the passes together; their arrays stay near the processor.
 _CHUNK = 1 << 16
@@ -152,7 +152,7 @@ class Pieces:
     def follows(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each piece may stand after the token before it (``none``: at the start of a word)."""
         key = before * (self.none + 1 + _CODES) + piece
-        place = (key.view(np.uint64) * _MIX >> np.uint64(44)).view(np.int64)
+        place = (key.view(np.uint64) * _MIX >> np.uint64(64 - PAIRS.bit_length() + 1)).view(np.int64)
         found = self._may[place]
         new = np.flatnonzero(self._pair[place] != key)
         if len(new):
@@ -322,17 +322,22 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the mark before the first word is dropped."""
-        if not hasattr(self, "_bytes"):
+        if not hasattr(self, "_spelled"):
             byte = {i: bytes((b,)) for b, i in enumerate(self.byte_ids or [])}
-            self._bytes = [byte.get(i, b"" if i in self.special else p.replace(SPACE, " ").encode("utf-8", "surrogatepass")) for i, p in enumerate(self.pieces)]
-        text = b"".join(map(self._bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+            spelled = [byte.get(i, b"" if i in self.special else p.replace(SPACE, " ").encode("utf-8", "surrogatepass")) for i, p in enumerate(self.pieces)]
+            self._spelled, self._sizes = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled])
+            self._starts = np.cumsum(self._sizes) - self._sizes
+        sizes = self._sizes[ids]
+        ends = np.cumsum(sizes)
+        flat = self._spelled[np.repeat(self._starts[ids] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        text = flat.tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
 class Encoder(dict):
     """Ids (little-endian unsigned 32-bit) by word of up to KEPT_LENGTH characters, kept between texts up to ``most`` bytes."""
 
-    def __init__(self, path: str, most: int = CACHE_BYTES):
+    def __init__(self, path: str, most: int = 2 * CACHE_BYTES):
         super().__init__()
         self.pieces, self.most, self.held = Pieces.load(path), most, 0
 
