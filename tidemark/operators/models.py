@@ -32,6 +32,26 @@ def expanding_line(df: DataFrame, y: str, x: str, by: str = "instrument", on: st
     return df.withColumn("prediction", F.when(place >= min_train, value))
 
 
+def expanding_ols(df: DataFrame, y: str, xs: list[str], by: str = "instrument", on: str = "date", min_train: int = MIN_TRAIN, name: str = "prediction") -> DataFrame:
+    """M2, M5: the prediction of every row from the ``min_train``-th on by least squares of y on a constant and xs over all earlier rows of its key.
+
+    Means and covariances run along the key's window (each row adds to mergeable moments, so no training rows are copied), and
+    every row solves its own small system. Incomplete rows teach nothing; the prediction is null for them, and where the
+    earlier rows don't determine the coefficients."""
+    from tidemark.operators.regression import fitted
+
+    w = Window.partitionBy(by).orderBy(on)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf")) for c in (y, *xs)])
+    cols = [F.when(known, F.col(c).cast("double")) for c in (y, *xs)]
+    half = {(i, j): F.covar_pop(a, b).over(before) for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j}
+    cov = F.array(*[half[min(i, j), max(i, j)] for i in range(len(cols)) for j in range(len(cols))])
+    rows = df.withColumns({"_n": F.count(cols[0]).over(before), "_mean": F.array(*[F.avg(c).over(before) for c in cols]), "_cov": cov, "_place": F.row_number().over(w) - 1})
+    rows = rows.withColumn("_fit", F.when(F.col("_place") >= min_train, fitted("_n", "_mean", "_cov", F.lit(len(xs)))))
+    value = reduce(lambda a, b: a + b, [F.col("_fit.coef")[i + 1] * F.col(x) for i, x in enumerate(xs)], F.col("_fit.coef")[0])
+    return rows.withColumn(name, value).drop("_n", "_mean", "_cov", "_place", "_fit")
+
+
 def garch_forecast(df: DataFrame, value: str = "cc_return", by: str = "instrument", on: str = "date", min_train: int = MIN_TRAIN, every: int = 20,
                    alphas: tuple[float, ...] = (0.02, 0.05, 0.1, 0.15, 0.2), betas: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9), last: int | None = None) -> DataFrame:
     """M3: one-step GARCH(1,1) volatility of every row from ``min_train`` on, by a grid of (alpha, beta) with variance targeting.
@@ -71,14 +91,16 @@ def garch_forecast(df: DataFrame, value: str = "cc_return", by: str = "instrumen
 
 
 def calibrate(df: DataFrame, y: str, xs: list[str], by: str = "instrument", name: str = "prediction") -> DataFrame:
-    """M5, M6: fit y on xs over the validation rows of each key, predict all rows; also the p-value of the last regressor."""
+    """M5, M6: fit y on xs over the validation rows of each key, predict all rows; also the p-value of the last regressor (``name``_p)
+    and of each (``name``_p_ and the regressor)."""
     from tidemark.operators.regression import ols
 
     fit = ols(df.filter("split = 'validation'"), [by], y, xs).select(by, F.col("coef").alias("_c"), F.col("se").alias("_s"), F.col("n").alias("_n"))
     value = reduce(lambda a, b: a + b, [F.col("_c")[i + 1] * F.col(x) for i, x in enumerate(xs)], F.col("_c")[0])
     k = len(xs)
-    p = dist.t_two_sided(F.try_divide(F.col("_c")[k], F.col("_s")[k]), F.col("_n") - k - 1)
-    return df.join(fit.withColumn("_p", p), by, "left").withColumns({name: value, f"{name}_p": F.col("_p")}).drop("_c", "_s", "_n", "_p")
+    p = {x: dist.t_two_sided(F.try_divide(F.col("_c")[i], F.col("_s")[i]), F.col("_n") - k - 1) for i, x in enumerate(xs, 1)}
+    own = fit.withColumns({f"{name}_p_{x}": p[x] for x in xs} | {f"{name}_p": p[xs[-1]]})
+    return df.join(own, by, "left").withColumn(name, value).drop("_c", "_s", "_n")
 
 
 @F.pandas_udf(ArrayType(DoubleType()))

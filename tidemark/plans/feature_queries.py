@@ -75,9 +75,9 @@ table_rows AS (SELECT * FROM l WHERE rolling_volatility_lag3 IS NOT NULL AND vix
 FEATURE_TABLE = _TABLE
 
 
-def feature_table(spark, d):
+def feature_table(spark, d, sentiment=None):
     """Days without overnight posts have no overnight index here, so complete cases leave out the days before them."""
-    sentiment = T.sentiment(spark, d).withColumn("overnight_sentiment_index", F.when(F.col("overnight_no_posts") == 0, F.col("overnight_sentiment_index")))
+    sentiment = (T.sentiment(spark, d) if sentiment is None else sentiment).withColumn("overnight_sentiment_index", F.when(F.col("overnight_no_posts") == 0, F.col("overnight_sentiment_index")))
     return X.feature_table(T.bars(spark, d), T.market_change(spark, d), sentiment)
 
 

@@ -166,6 +166,127 @@ def m16_comparison_table(spark, d):
     return metric_table(long, ["raw", "base", "sent"])
 
 
+def _two_regressors(y: str, a: str, b: str) -> str:
+    """The least-squares prediction from two regressors by running covariances."""
+    c = lambda u, v: f"covar_pop({u}, {v}) OVER w"
+    det = f"({c(a, a)} * {c(b, b)} - {c(a, b)} * {c(a, b)})"
+    one, two = f"({c(a, y)} * {c(b, b)} - {c(b, y)} * {c(a, b)}) / {det}", f"({c(b, y)} * {c(a, a)} - {c(a, y)} * {c(a, b)}) / {det}"
+    return f"avg({y}) OVER w + {one} * ({a} - avg({a}) OVER w) + {two} * ({b} - avg({b}) OVER w)"
+
+
+@register(f"{_T} SELECT instrument, date, round(CASE WHEN position >= 50 THEN {_two_regressors('target_vol_pk', 'rolling_volatility_lag1', 'sentiment_overnight')} END, 6) AS prediction FROM split WINDOW w AS (PARTITION BY instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def m2_expanding_two_regressors(spark, d):
+    """Every row from the 50th on by a line in lagged volatility and overnight sentiment through all earlier rows."""
+    out = models.expanding_ols(feature_table(spark, d), "target_vol_pk", ["rolling_volatility_lag1", "sentiment_overnight"])
+    return rounded(out.select("instrument", "date", "prediction"), 6)
+
+
+#: The chain of models: the volatility forecast over each instrument's rows, calibrated alone and with both sentiments, for both targets.
+_BOTH = _T.replace(T.SENTIMENT, T.BOTH_SENTIMENTS).replace("WITH ", "WITH RECURSIVE ", 1).replace("FROM table_rows)", "FROM table_rows WHERE sentiment_intraday IS NOT NULL)")
+_FORECAST = _GARCH.split(f"{T.RETURNS}, ")[1].replace("FROM featured WHERE cc_return IS NOT NULL", "FROM split WHERE cc_return IS NOT NULL")
+_GARCH_ROWS = f"""{_BOTH}, {_FORECAST}, forecast AS (SELECT r.instrument, r.date, sqrt(x.s) / 100 AS garch FROM best JOIN run x ON x.instrument = best.instrument AND x.start = best.start AND ROW(x.a, x.b) = best.g
+  JOIN r ON r.instrument = x.instrument AND r.p = x.p WHERE x.p >= x.start AND x.p < x.start + 20),
+chain AS (SELECT s.instrument, t.target, s.date, s.position, s.part, CASE t.target WHEN 'pk' THEN target_vol_pk ELSE target_vol_5d END AS actual, garch, sentiment_intraday, sentiment_overnight
+  FROM split s JOIN forecast f ON f.instrument = s.instrument AND f.date = s.date CROSS JOIN (VALUES ('pk'), ('5d')) t(target))"""
+_P1, _L1 = sql.predicted("pa", "chain", "instrument, target", "part = 'validation'", "actual", ["garch"], "base")
+_P2, _L2 = sql.predicted("pb", _L1, "instrument, target", "part = 'validation'", "actual", ["garch", "sentiment_intraday", "sentiment_overnight"], "sent")
+_CHAIN = f"{_GARCH_ROWS}, {_P1}, {_P2}, pred AS (SELECT instrument, target, date, position, actual, garch AS raw, base, sent FROM {_L2} WHERE part = 'holdout')"
+BOTH = ["garch", "sentiment_intraday", "sentiment_overnight"]
+
+
+def _chain_table(spark, d):
+    """Feature rows with both sentiments and a volatility forecast, placed and split."""
+    table = feature_table(spark, d, T.both_sentiments(spark, d)).na.drop(subset=["sentiment_intraday"])
+    rows = settle(models.split(table), "chain")
+    forecast = models.garch_forecast(rows.select("instrument", "date", "cc_return")).select("instrument", "date", F.col("volatility").alias("garch"))
+    return rows.join(forecast, ["instrument", "date"])
+
+
+def _targets(rows):
+    """A row for each target, and a key of instrument and target."""
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(c).alias("actual")) for t, c in (("pk", "target_vol_pk"), ("5d", "target_vol_5d"))]))
+    return rows.withColumn("_t", each).select("*", "_t.*").drop("_t").withColumn("key", F.concat_ws(":", "instrument", "target"))
+
+
+def _chain(spark, d):
+    rows = _targets(_chain_table(spark, d))
+    rows = models.calibrate(rows, "actual", ["garch"], by="key", name="base")
+    return models.calibrate(rows, "actual", BOTH, by="key", name="sent")
+
+
+def _chain_holdout(spark, d):
+    return _chain(spark, d).filter("split = 'holdout'").select("instrument", "target", "date", "position", "actual", F.col("garch").alias("raw"), "base", "sent")
+
+
+@register(f"{_CHAIN} SELECT instrument, target, date, round(actual, 6) AS actual, round(raw, 6) AS raw, round(base, 6) AS base, round(sent, 6) AS sent FROM pred")
+def m3_m5_chain(spark, d):
+    """The holdout by the forecast as it is, calibrated, and calibrated with both sentiments."""
+    return rounded(_chain_holdout(spark, d).drop("position"), 6)
+
+
+def _p_value(name: str, xs: list[str]) -> str:
+    text, last = sql.orthogonal(name, "(SELECT *, instrument || ':' || target AS key FROM chain WHERE part = 'validation')", "key", xs, "actual")
+    t = f"sum(y * q2) / sum(q2 * q2) / sqrt((sum(y * y) - {sql.explained(range(3))}) / (count(*) - 4) / sum(q2 * q2))"
+    return f"{text}, {name}_t AS (SELECT key, count(*) AS n, {t} AS t FROM {last} GROUP BY key)"
+
+
+_M6_BOTH = f"{_p_value('ou', ['garch', 'sentiment_intraday', 'sentiment_overnight'])}, {_p_value('oi', ['garch', 'sentiment_overnight', 'sentiment_intraday'])}"
+
+
+@register(f"{_GARCH_ROWS}, {_M6_BOTH} SELECT ou_t.key, round({dist.t_two_sided_sql('oi_t.t', '(oi_t.n - 4)')}, 5) AS p_intraday, round({dist.t_two_sided_sql('ou_t.t', '(ou_t.n - 4)')}, 5) AS p_overnight FROM ou_t JOIN oi_t ON oi_t.key = ou_t.key")
+def m6_chain_p_values(spark, d):
+    """P-values of both sentiments in the calibration, by instrument and target."""
+    out = _chain(spark, d).groupBy("key").agg(F.first("sent_p_sentiment_intraday").alias("p_intraday"), F.first("sent_p_sentiment_overnight").alias("p_overnight"))
+    return rounded(out, 5)
+
+
+_ACC2 = " UNION ALL ".join(f"SELECT instrument, target, '{m}' AS model, round(sqrt(avg(pow(actual - {m}, 2))), 6) AS rmse, round(avg(abs(actual - {m})), 6) AS mae, count(*) AS n FROM pred GROUP BY instrument, target" for m in ("raw", "base", "sent"))
+
+
+@register(f"{_CHAIN} {_ACC2}")
+def m11_chain_accuracy(spark, d):
+    return rounded(models.accuracy(_chain_holdout(spark, d), "actual", {m: m for m in ("raw", "base", "sent")}, ["instrument", "target"]), 6)
+
+
+#: Bartlett lags of each target: five-day volatilities overlap.
+LAGS = {"pk": 1, "5d": 4}
+_EACH2 = ", x AS (" + " UNION ALL ".join(f"SELECT instrument, target, position, '{n}' AS comparison, pow(actual - {a}, 2) - pow(actual - {b}, 2) AS d FROM pred" for n, (a, b) in COMPARISONS.items()) + ")"
+
+
+def _lagged(source: str, keys: str, order: str, d: str = "d") -> str:
+    """CTE v: n, mean and t of the long-run variance with the target's lags."""
+    c = ", ".join(f"lag(c, {i}) OVER (PARTITION BY {keys} ORDER BY {order}) AS c{i}" for i in range(1, 5))
+    var = lambda most: "(sum(c * c) + 2 * (" + " + ".join(f"{1 - i / (most + 1)!r} * coalesce(sum(c * c{i}), 0)" for i in range(1, most + 1)) + ")) / count(*)"
+    return (f"c AS (SELECT *, {d} - avg({d}) OVER (PARTITION BY {keys}) AS c FROM {source}), lagged AS (SELECT *, {c} FROM c), "
+            f"v AS (SELECT {keys}, count(*) AS n, avg({d}) AS mean, avg({d}) / sqrt(greatest(CASE WHEN target = 'pk' THEN {var(1)} ELSE {var(4)} END, 1e-12) / count(*)) AS t FROM lagged GROUP BY {keys})")
+
+
+@register(f"{_CHAIN}{_EACH2}, {_lagged('x', 'instrument, target, comparison', 'position')} SELECT instrument, target, comparison, n, round(mean, 7) AS mean, round(t, 4) AS statistic, round({dist.t_two_sided_sql('t', '(n - 1)')}, 5) AS p_value FROM v")
+def m12_m17_chain_comparisons(spark, d):
+    """Every pair of the chain's models for each instrument and target, with the target's lags."""
+    rows, out = _chain_holdout(spark, d), None
+    for target, lag in LAGS.items():
+        part = models.dm_hac_all(rows.filter(F.col("target") == target), "actual", COMPARISONS, ["instrument", "target"], "position", lag)
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 7, statistic=4, p_value=5)
+
+
+@register(f"""{_CHAIN}{_EACH2}, z AS (SELECT target, comparison, position - min(position) OVER (PARTITION BY instrument, target, comparison) AS k, CASE WHEN stddev_samp(d) OVER (PARTITION BY instrument, target, comparison) > 0 THEN d / stddev_samp(d) OVER (PARTITION BY instrument, target, comparison) ELSE 0 END AS s FROM x),
+y AS (SELECT target, comparison, k, avg(s) AS m FROM z GROUP BY ALL), {_lagged('y', 'target, comparison', 'k', 'm')}, u AS (SELECT target, comparison, count(*) FILTER (WHERE m <> 0) AS used, count(*) FILTER (WHERE m > 0) AS positive FROM y GROUP BY ALL)
+SELECT v.target, v.comparison, n, round(mean, 6) AS mean, used, positive, round(t, 4) AS statistic, round({dist.t_two_sided_sql('t', '(n - 1)')}, 5) AS p_value FROM v JOIN u ON u.target = v.target AND u.comparison = v.comparison""")
+def m15_chain_pooled(spark, d):
+    """Pooled over instruments by day of the holdout, for each target and pair of models."""
+    from pyspark.sql import Window
+
+    rows = _chain_holdout(spark, d).withColumn("day", F.col("position") - F.min("position").over(Window.partitionBy("instrument", "target")))
+    rows, out = settle(rows, "holdout"), None
+    for target, lag in LAGS.items():
+        for name, (one, two) in COMPARISONS.items():
+            part = models.pooled_by_date(rows.filter(F.col("target") == target), "actual", one, two, "day", lag).select(F.lit(target).alias("target"), F.lit(name).alias("comparison"), "*")
+            out = part if out is None else out.unionByName(part)
+    return rounded(out.drop("p_sign"), 6, statistic=4, p_value=5)
+
+
 @register("SELECT event_id, event_type AS instrument FROM events")
 def x1_stream_accumulate(spark, d):
     """Every event twice through a stream of files; each id comes out once."""

@@ -16,6 +16,20 @@ def orthogonal(name: str, source: str, by: str, columns: list[str], y: str, keep
     return ", ".join(steps), f"{name}{m - 1}"
 
 
+def predicted(name: str, source: str, by: str, fit: str, y: str, xs: list[str], out: str) -> tuple[str, str]:
+    """CTEs that add ``out``, the least-squares prediction of y on a constant and xs in all rows of each key, fitted to the rows where
+    ``fit`` holds, by making the columns orthogonal there; and the name of the last one."""
+    m, over = len(xs), f"FILTER (WHERE {fit}) OVER (PARTITION BY {by})"
+    own = [f"{out}_q{i}" for i in range(m)]
+    steps = [f"{name}0 AS (SELECT *, avg({y}) {over} AS {out}_m, {', '.join(f'{x} - avg({x}) {over} AS {q}' for x, q in zip(xs, own))} FROM {source})"]
+    for j in range(m - 1):
+        less = ", ".join(f"{own[i]} - sum({own[i]} * {own[j]}) {over} / sum({own[j]} * {own[j]}) {over} * {own[j]} AS {own[i]}" for i in range(j + 1, m))
+        steps.append(f"{name}{j + 1} AS (SELECT * REPLACE ({less}) FROM {name}{j})")
+    value = " + ".join(f"sum({q} * ({y} - {out}_m)) {over} / sum({q} * {q}) {over} * {q}" for q in own)
+    steps.append(f"{name}_all AS (SELECT * EXCLUDE ({out}_m, {', '.join(own)}), {out}_m + {value} AS {out} FROM {name}{m - 1})")
+    return ", ".join(steps), f"{name}_all"
+
+
 def explained(columns: range) -> str:
     """The sum of squares of y that some of the orthogonal columns explain, as aggregates."""
     return "(" + " + ".join(f"pow(sum(y * q{i}), 2) / sum(q{i} * q{i})" for i in columns) + ")"

@@ -116,6 +116,22 @@ def _sentiment_sql() -> str:
 SENTIMENT = _sentiment_sql()
 
 
+def both_sentiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sessions of each flag from discounts where both occur on most days: odd line numbers are intraday, even ones overnight."""
+    rows = read(spark, sf_dir, "lineitem")
+    parts = []
+    for name, rest in (("intraday", 1), ("overnight", 0)):
+        own = F.when(F.col("l_linenumber") % 2 == rest, F.col("l_discount") - 0.05)
+        parts += [F.avg(own).alias(f"{name}_sentiment_index"), F.count(own).alias(f"{name}_item_count"), (F.count(own) == 0).cast("int").alias(f"{name}_no_posts")]
+    return rows.groupBy(F.col("l_returnflag").alias("instrument"), F.to_date("l_shipdate").alias("date")).agg(*parts)
+
+
+BOTH_SENTIMENTS = "sentiment AS (SELECT l_returnflag AS instrument, CAST(l_shipdate AS DATE) AS date, " + ", ".join(
+    f"avg(l_discount - 0.05) FILTER (WHERE l_linenumber % 2 = {r}) AS {n}_sentiment_index, count(*) FILTER (WHERE l_linenumber % 2 = {r}) AS {n}_item_count, "
+    f"CASE WHEN count(*) FILTER (WHERE l_linenumber % 2 = {r}) = 0 THEN 1 ELSE 0 END AS {n}_no_posts" for n, r in (("intraday", 1), ("overnight", 0))
+) + " FROM lineitem GROUP BY ALL)"
+
+
 def foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A foreign index of another calendar: daily mean order price."""
     return read(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("vix_close"))
