@@ -14,6 +14,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from tidemark.functions import dist
 
 HOLDOUT, MIN_TRAIN = 15, 50
+#: Folds of a block of garch_forecast.
+GARCH_FOLDS = 256
 ALPHAS = tuple(float(a) for a in np.logspace(-3, 3, 13))
 
 
@@ -52,42 +54,81 @@ def expanding_ols(df: DataFrame, y: str, xs: list[str], by: str = "instrument",
     return rows.withColumn(name, value).drop("_n", "_mean", "_cov", "_place", "_fit")
 
 
+def _garch_run(r: np.ndarray, starts: np.ndarray, mean: np.ndarray, var: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log likelihood (up to constants) of r[:start] and the variance forecast of r[start], for folds (rows, starts ascending) and parameters (columns)."""
+    s, like = np.broadcast_to(var[:, None], a.shape).copy(), np.zeros(a.shape)
+    rest = (1 - a - b) * var[:, None]
+    for t in range(int(starts[-1])):
+        k = int(np.searchsorted(starts, t, side="right"))
+        e = ((r[t] - mean[k:]) ** 2)[:, None]
+        like[k:] -= np.log(s[k:]) + e / s[k:]
+        s[k:] = rest[k:] + a[k:] * e + b[k:] * s[k:]
+    return like, s
+
+
+def garch_paths(r: np.ndarray, starts: np.ndarray, every: int, grid: np.ndarray, rounds: int) -> list[tuple[int, float, float, float]]:
+    """(place, alpha, beta, volatility) of the ``every`` rows from each start on, with the parameters that are likeliest before it:
+    the best point of the grid (of equals the greatest), then ``rounds`` times the best of it and its eight neighbours at half the distance."""
+    mean = np.array([r[:k].mean() for k in starts])
+    var = np.array([r[:k].var() for k in starts])
+    ok = var > 0
+    starts, mean, var = starts[ok], mean[ok], var[ok]
+    if not len(starts):
+        return []
+    every_fold, point = np.arange(len(starts)), (len(starts), 1)
+    grid = grid[np.lexsort((-grid[:, 1], -grid[:, 0]))]
+    a, b = np.tile(grid[:, 0], point), np.tile(grid[:, 1], point)
+    like, s = _garch_run(r, starts, mean, var, a, b)
+    best = like.argmax(axis=1)
+    a, b, s = a[every_fold, best], b[every_fold, best], s[every_fold, best]
+    step = 0.05
+    for _ in range(rounds):
+        step /= 2
+        near = np.array([(0, 0), *[(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]]) * step
+        ta, tb = a[:, None] + near[:, 0], b[:, None] + near[:, 1]
+        bad = (ta < 1e-6) | (tb < 0) | (ta + tb > 1 - 1e-6)
+        ta, tb = np.where(bad, a[:, None], ta), np.where(bad, b[:, None], tb)
+        like, ts = _garch_run(r, starts, mean, var, ta, tb)
+        best = like.argmax(axis=1)
+        a, b, s = ta[every_fold, best], tb[every_fold, best], ts[every_fold, best]
+    out = []
+    for i, k in enumerate(starts.tolist()):
+        v = s[i]
+        for t in range(k, min(k + every, len(r))):
+            out.append((t, float(a[i]), float(b[i]), float(np.sqrt(v) / 100)))
+            v = (1 - a[i] - b[i]) * var[i] + a[i] * (r[t] - mean[i]) ** 2 + b[i] * v
+    return out
+
+
 def garch_forecast(df: DataFrame, value: str = "cc_return", by: str = "instrument", on: str = "date", min_train: int = MIN_TRAIN, every: int = 20,
-                   alphas: tuple[float, ...] = (0.02, 0.05, 0.1, 0.15, 0.2), betas: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9), last: int | None = None) -> DataFrame:
-    """M3: one-step GARCH(1,1) volatility of every row from ``min_train`` on, by a grid of (alpha, beta) with variance targeting.
+                   alphas: tuple[float, ...] = (0.02, 0.05, 0.1, 0.15, 0.2), betas: tuple[float, ...] = (0.5, 0.6, 0.7, 0.8, 0.9), last: int | None = None, rounds: int = 0) -> DataFrame:
+    """M3: one-step GARCH(1,1) volatility of every row from ``min_train`` on, with variance targeting.
 
-    Returns are taken times 100 around the mean of the rows before. Parameters are chosen anew every ``every`` rows (a fold) as the grid point of the
-    largest likelihood of the earlier rows; keys, folds and grid points are all independent rows. ``last`` forecasts only so many last rows.
+    Returns are taken times 100 around the mean of the rows before. Parameters are chosen anew every ``every`` rows (a fold): the grid point of the
+    largest likelihood of the earlier rows, then ``rounds`` refinements around it. ``last`` forecasts only so many last rows. A key's days are one group, of bounded
+    length like a window over it; blocks of its folds run through them side by side, keys and blocks being rows of one job.
     """
     w = Window.partitionBy(by).orderBy(on)
     rows = df.filter(F.col(value).isNotNull()).withColumns({"_p": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(by))})
-    series = rows.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", (F.col(value) * 100).alias("r")))), lambda s: s["r"]).alias("_r"))
-    start = F.lit(min_train) if last is None else F.greatest(F.lit(min_train), F.size("_r") - last)
-    folds = series.filter(F.size("_r") > start).withColumn("_at", F.explode(F.sequence(start, F.size("_r") - 1, F.lit(every))))
-    # Few small rows with much to compute: dealt over a fixed number of tasks, which adaptive execution doesn't merge.
-    folds = folds.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by, "_at")
-    past = F.slice("_r", 1, F.col("_at"))
-    mean = F.aggregate(past, F.lit(0.0), lambda a, r: a + r) / F.col("_at")
-    folds = folds.withColumn("_mean", mean)
-    var = F.aggregate(past, F.lit(0.0), lambda a, r: a + (r - F.col("_mean")) * (r - F.col("_mean"))) / F.col("_at")
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in alphas for b in betas if a + b < 1]))
-    each = folds.withColumn("_var", var).filter("_var > 0").withColumn("_g", grid)
-    a, b, v0 = F.col("_g.a"), F.col("_g.b"), F.col("_var")
-
-    def step(acc: Column, r: Column) -> Column:
-        e = r - F.col("_mean")
-        s = acc["s"]
-        return F.struct(((1 - a - b) * v0 + a * e * e + b * s).alias("s"), (acc["l"] - F.ln(s) - e * e / s).alias("l"))
-
-    state = F.struct(v0.alias("s"), F.lit(0.0).alias("l"))
-    fitted = each.withColumn("_f", F.aggregate(past, state, step))
-    best = fitted.groupBy(by, "_at").agg(F.max_by(F.struct("_g", "_mean", "_var", F.col("_f.s").alias("s")), F.struct(F.col("_f.l"), F.col("_g.a"), F.col("_g.b"))).alias("m"))
-    chosen = best.join(series, by).withColumn("_next", F.slice("_r", F.col("_at") + 1, F.lit(every)))
-    a, b = F.col("m._g.a"), F.col("m._g.b")
-    forward = F.aggregate("_next", F.struct(F.col("m.s").alias("s"), F.expr("cast(array() as array<double>)").alias("out")), lambda acc, r: F.struct(
-        ((1 - a - b) * F.col("m._var") + a * (r - F.col("m._mean")) * (r - F.col("m._mean")) + b * acc["s"]).alias("s"), F.array_append(acc["out"], F.sqrt(acc["s"]) / 100).alias("out")))["out"]
-    out = chosen.select(by, "_at", a.alias("alpha"), b.alias("beta"), F.posexplode(forward).alias("_i", "volatility"))
-    return out.withColumn("_p", F.col("_at") + F.col("_i")).drop("_at", "_i").join(rows, [by, "_p"]).drop("_p", "_n")
+    grid = np.array([(a, b) for a in alphas for b in betas if a + b < 1])
+    start = F.lit(min_train) if last is None else F.greatest(F.lit(min_train), F.col("_n") - last)
+    span = GARCH_FOLDS * every
+    blocks = F.when(F.col("_n") > start, F.sequence(F.lit(0), F.floor((F.col("_n") - 1 - start) / span).cast("int")))
+    # A block needs the days up to its end only.
+    each = rows.select(by, "_p", F.col(value).cast("double").alias("_r"), F.col("_n").cast("int").alias("_n"), start.cast("int").alias("_from"), F.explode(blocks).alias("_block"))
+    each = each.filter(F.col("_p") < F.col("_from") + (F.col("_block") + 1) * span)
+
+    def work(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_p")
+        first = int(own["_from"].iloc[0]) + int(own["_block"].iloc[0]) * span
+        starts = np.arange(first, min(first + span, int(own["_n"].iloc[0])), every)
+        found = pd.DataFrame(garch_paths(own["_r"].to_numpy() * 100, starts, every, grid, rounds), columns=["_p", "alpha", "beta", "volatility"])
+        found.insert(0, by, own[by].iloc[0])
+        return found.astype({"_p": "int32"})
+
+    kind = df.schema[by].dataType.simpleString()
+    out = each.groupBy(by, "_block").applyInPandas(work, f"{by} {kind}, _p int, alpha double, beta double, volatility double")
+    return out.join(rows, [by, "_p"]).drop("_p", "_n")
 
 
 def calibrate(df: DataFrame, y: str, xs: list[str], by: str = "instrument", name: str = "prediction") -> DataFrame:

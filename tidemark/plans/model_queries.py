@@ -60,6 +60,13 @@ def m3_garch_grid(spark, d):
     return rounded(out.select("instrument", "date", "alpha", "beta", "volatility"), 6)
 
 
+@register()
+def m3_garch_search(spark, d):
+    """Parameters searched anew before every row: the grid, then four refinements around its best point."""
+    out = models.garch_forecast(T.analysis(spark, d).select("instrument", "date", "cc_return"), every=1, rounds=4)
+    return rounded(out.select("instrument", "date", "alpha", "beta", "volatility"), 6)
+
+
 @register(f"{_FIT} SELECT instrument, date, round(actual, 7) AS actual, round(base, 7) AS base, round(sent, 7) AS sent FROM pred")
 def m5_calibrated_holdout(spark, d):
     return rounded(_holdout(spark, d).select("instrument", "date", "actual", "base", "sent"), 7)
