@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import dist
-from tidemark.operators import calendar, features, models
+from tidemark.operators import boosting, calendar, features, models
 from tidemark.plans import sql
 from tidemark.plans import tables as T
 from tidemark.plans.base import registry, rounded
@@ -294,6 +294,47 @@ def m15_chain_pooled(spark, d):
     return rounded(out.drop("p_sign"), 6, statistic=4, p_value=5)
 
 
+SETS = {"base": BASE, "sentiment": WITH_SENTIMENT}
+
+
+@register()
+def m9_m10_trees_by_instrument(spark, d):
+    """The whole search (150 draws on four folds, both feature sets) for each instrument, then every row from the 50th on by trees fitted to all
+    earlier rows, anew every 10 rows."""
+    rows = settle(models.split(feature_table(spark, d, T.both_sentiments(spark, d))).select("instrument", "date", "split", "target_vol_pk", *WITH_SENTIMENT), "trees")
+    best = boosting.best_draws(boosting.search(rows, "target_vol_pk", SETS))
+    out = boosting.walk_forward(rows, "target_vol_pk", SETS, settle(best, "draws"), every=10)
+    return rounded(out, 6)
+
+
+#: Draws of the search behind the comparison table, which is made for two targets.
+TABLE_DRAWS = 20
+SEVEN = ("garch", "garch_ols", "garch_ols_sentiment", "garch_ridge", "garch_ridge_sentiment", "trees", "trees_sentiment")
+
+
+def seven_models(spark, d):
+    """Holdout predictions of all seven models by instrument and target: the chain, ridge on the forecast with and without sentiments, and
+    trees fitted anew before every row."""
+    rows = settle(_targets(_chain_table(spark, d)), "seven")
+    out = models.calibrate(rows, "actual", ["garch"], by="key", name="garch_ols")
+    out = models.calibrate(out, "actual", BOTH, by="key", name="garch_ols_sentiment")
+    for name, xs in (("garch_ridge", ["garch"]), ("garch_ridge_sentiment", BOTH)):
+        fit = models.ridge(rows, "actual", xs, by="key", name=name).select("key", "date", name)
+        out = out.join(fit, ["key", "date"])
+    # The trees of a key see its rows only, so the key stands for the instrument.
+    best = settle(boosting.best_draws(boosting.search(rows, "actual", SETS, TABLE_DRAWS, by="key"), by="key"), "draws")
+    trees = boosting.walk_forward(rows, "actual", SETS, best, TABLE_DRAWS, by="key", last=models.HOLDOUT)
+    wide = trees.groupBy("key", "date").agg(F.max(F.when(F.col("features") == "base", F.col("prediction"))).alias("trees"), F.max(F.when(F.col("features") == "sentiment", F.col("prediction"))).alias("trees_sentiment"))
+    return out.filter("split = 'holdout'").join(wide, ["key", "date"]).select("instrument", "target", "date", "position", "actual", *SEVEN)
+
+
+@register()
+def m16_seven_models(spark, d):
+    """Root mean squared errors of the holdout: a row for each instrument and target, a column for each model."""
+    out = models.accuracy(seven_models(spark, d), "actual", {m: m for m in SEVEN}, ["instrument", "target"])
+    return metric_table(rounded(out, 6).select("instrument", "target", "model", F.lit("rmse").alias("metric"), F.col("rmse").alias("value")), list(SEVEN))
+
+
 @register("SELECT event_id, event_type AS instrument FROM events")
 def x1_stream_accumulate(spark, d):
     """Every event twice through a stream of files; each id comes out once."""
