@@ -123,7 +123,7 @@ def _plant_deep(level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             for tree in range(trees):
                 v = s[:, (np.arange(depth + 2) + tree * depth) % (trees * depth)]
                 later = (v[:, depth] << np.uint64(32) | v[:, depth + 1]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(_prefix(v[:, :depth], tree).view(np.int64)), pa.array(later), *map(pa.array, packed), part.column(0)], names=["key", "s0", "k1", "k2", "k3", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(_prefix(v[:, :depth], tree).view(np.int64)), pa.array(later), *map(pa.array, packed), part.column(0), part.column(2)], names=["key", "s0", "k1", "k2", "k3", "rep", "component"])
 
 
 _FOUND = "key long, a long, b long, agree int, k1 long, k2 long, k3 long"
@@ -147,7 +147,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [np.asarray(batch.column(c)) for c in ("key", "k1", "k2", "k3", "rep")]
+        # Rows of one component, where it is known, are no candidates.
+        now = [np.asarray(batch.column(c)) for c in ("key", "k1", "k2", "k3", "rep", "component" if "component" in batch.schema.names else "rep")]
         cols = now if tail is None else [np.concatenate(x) for x in zip(tail, now)]
         old = 0 if tail is None else len(tail[0])
         key, rep = cols[0], cols[4]
@@ -158,7 +159,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Only pairs whose later row is new.
             i = np.flatnonzero(key[max(old, step) - step : n - step] == key[max(old, step) :]) + max(old, step) - step
             agree = _agreeing(tuple(k[i] for k in cols[1:4]), tuple(k[i + step] for k in cols[1:4]))
-            near = (agree >= LEAST_AGREE) & (rep[i] != rep[i + step])
+            near = (agree >= LEAST_AGREE) & (cols[5][i] != cols[5][i + step])
             i, agree = i[near], agree[near]
             found.append((np.minimum(rep[i], rep[i + step]), np.maximum(rep[i], rep[i + step]), agree))
         member = key == opening
@@ -170,11 +171,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(inside, far + NEIGHBOURS + 1, -1)
             member |= np.cumsum(inside)[:n] > 0
         dense = np.flatnonzero(member)
-        yield _rows([np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)], [c[dense] for c in cols])
+        yield _rows([np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)], [c[dense] for c in cols[:5]])
         tail = [x[-NEIGHBOURS:] for x in cols]
     if tail is not None:
         closing = tail[0] == tail[0][-1]
-        yield _rows([np.zeros(0, np.int64)] * 3, [c[closing] for c in tail])
+        yield _rows([np.zeros(0, np.int64)] * 3, [c[closing] for c in tail[:5]])
 
 
 def _rows(pairs: list[np.ndarray], members: list[np.ndarray]) -> pa.RecordBatch:
@@ -319,17 +320,18 @@ def _still_open(members: DataFrame, held: DataFrame, most: int) -> DataFrame:
     return named.join(mixed, "key", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("rep")
 
 
-def _not_both(pairs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The pairs (a, b) of which not both are marked (rep)."""
+def _marked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b) and whether both ends are marked (rep)."""
     for end in ("a", "b"):
         pairs = pairs.join(marked.select(F.col("rep").alias(end), F.lit(True).alias(f"in_{end}")), end, "left")
-    return pairs.filter("in_a IS NULL OR in_b IS NULL").select("a", "b")
+    return pairs.select("a", "b", (F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("both"))
 
 
 def _deeper(level: int, dense: DataFrame, held: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members that are left after a forest of FORESTS, and components with the links that it found."""
-    crowd = texts.join(dense, F.col("_id") == F.col("rep")).select("rep", "_text")
-    forest = crowd.mapInArrow(partial(_plant_deep, level), "key long, s0 long, k1 long, k2 long, k3 long, rep long")
+    named = dense.join(held.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    crowd = texts.join(named, F.col("_id") == F.col("rep")).select("rep", "_text", "component")
+    forest = crowd.mapInArrow(partial(_plant_deep, level), "key long, s0 long, k1 long, k2 long, k3 long, rep long, component long")
     order = ["key", "s0", "rep"]
     found = settle(forest.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND), "deeper")
     pairs = _apart(found.filter("b IS NOT NULL").select("a", "b").distinct(), held).select("a", "b")
@@ -390,12 +392,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = members.select("key", "rep").distinct()
     # Pairs of two members with many open regions are left to what follows; hub pairs close most of these regions.
     left = settle(_still_open(members, held, OPEN), "dense")
-    open_pairs = _apart(_not_both(pairs, left), held).select("a", "b").union(hubs.select("a", "b")).distinct()
+    apart = settle(_marked(_apart(pairs, held).select("a", "b"), left), "apart")
+    open_pairs = apart.filter("NOT both").select("a", "b").union(hubs.select("a", "b")).distinct()
     held = _joined(held, settle(_links(open_pairs, texts), "links"))
-    before, left = left, settle(_still_open(members, held, OPEN), "dense")
-    skipped = pairs.select("a", "b").join(_not_both(pairs, before), ["a", "b"], "left_anti")
-    held = _joined(held, settle(_links(_apart(_not_both(skipped, left), held).select("a", "b"), texts), "links"))
-    discard(pairs, hubs, before, found)
+    discard(left)
+    left = settle(_still_open(members, held, OPEN), "dense")
+    skipped = _marked(_apart(apart.filter("both").select("a", "b"), held).select("a", "b"), left).filter("NOT both")
+    held = _joined(held, settle(_links(skipped.select("a", "b"), texts), "links"))
+    discard(pairs, hubs, apart, found)
     for level in range(len(FORESTS)):
         if not left.isEmpty():
             left, held = _deeper(level, left, held, texts)
