@@ -114,6 +114,23 @@ def sample_posts(assigned: DataFrame, n: int | Column, seed: int = 0, by: str =
     return assigned.filter(F.col("session_date").isNotNull()).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= (n if isinstance(n, Column) else F.lit(n))).drop("_r")
 
 
+#: Start and length of the two windows of a day in minutes; the overnight one goes on to the next morning.
+WINDOWS = {"intraday": (540, 390), "overnight": (930, 1050)}
+
+
+def target_times(days: DataFrame, least: int = 3, most: int = 8, seed: int = 0, by: str = "instrument", on: str = "date") -> DataFrame:
+    """By, on, session, k and target: from ``least`` to ``most`` times within each day's two windows, to the second.
+
+    How many and which follow from a hash of key, day, session and seed, so they are the same at every run and in every task."""
+    session = F.explode(F.array(*[F.struct(F.lit(n).alias("session"), F.lit(start * 60).alias("_start"), F.lit(length * 60).alias("_length")) for n, (start, length) in WINDOWS.items()]))
+    rows = days.select(by, on, session.alias("_w")).select(by, on, "_w.*")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), window_size(least, most, seed, on, "session").cast("int"))))
+    drawn = F.md5(F.concat_ws(":", F.col(by), F.col(on).cast("string"), F.col("session"), F.col("k").cast("string"), F.lit(str(seed))))
+    seconds = F.col("_start") + F.conv(F.substring(drawn, 1, 7), 16, 10).cast("long") % F.col("_length")
+    target = F.col(on).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    return rows.select(by, on, "session", "k", target.alias("target"))
+
+
 def id_rate(posts: DataFrame, by: str = "instrument", key: str = "item_id", ts: str = "ts") -> DataFrame:
     """C14: ids a day, between the first and the last post; null within one day."""
     days = F.datediff(F.max(F.to_date(ts)), F.min(F.to_date(ts)))

@@ -93,6 +93,25 @@ def c12_stratified_sample(spark, d):
     return calendar.sample_posts(_assigned(spark, d), calendar.window_size(3, 8)).select("instrument", "item_id", "session_date", "session")
 
 
+_DRAWN = "CAST('0x' || substr(md5({0}), 1, 7) AS BIGINT)"
+_TARGETS = f"""windows(session, s, n) AS (VALUES ('intraday', 32400, 23400), ('overnight', 55800, 63000)),
+drawn AS (SELECT instrument, date, session, s, n, CAST(unnest(range(1, 4 + {_DRAWN.format("CAST(date AS VARCHAR) || ':' || session || ':0'")} % 6)) AS INTEGER) AS k FROM calendar, windows),
+targets AS (SELECT instrument, date, session, k, CAST(date AS TIMESTAMP) + to_seconds(s + {_DRAWN.format("instrument || ':' || CAST(date AS VARCHAR) || ':' || session || ':' || k || ':0'")} % n) AS target FROM drawn),
+stood AS (SELECT instrument, ts, max(item_id) AS item_id FROM posts GROUP BY ALL),
+b AS (SELECT t.*, p.ts AS bt, p.item_id AS bi FROM targets t ASOF LEFT JOIN stood p ON p.instrument = t.instrument AND p.ts <= t.target),
+f AS (SELECT b.*, p.ts AS ft, p.item_id AS fi FROM b ASOF LEFT JOIN stood p ON p.instrument = b.instrument AND p.ts >= b.target),
+near AS (SELECT *, CASE WHEN epoch(target) - epoch(date_trunc('second', bt)) <= 3600 THEN epoch(target) - epoch(date_trunc('second', bt)) END AS bd, CASE WHEN epoch(date_trunc('second', ft)) - epoch(target) <= 3600 THEN epoch(date_trunc('second', ft)) - epoch(target) END AS fd FROM f)"""
+
+
+@register(f"WITH {T.POSTS}, {T.CALENDAR}, {_TARGETS} SELECT instrument, date, session, k, target, CASE WHEN fd IS NULL OR bd <= fd THEN CASE WHEN bd IS NOT NULL THEN bi END ELSE fi END AS item_id FROM near")
+def c12_target_times(spark, d):
+    """Random times in both windows of every day, each with the nearest post within an hour."""
+    targets = calendar.target_times(T.calendar(spark, d))
+    at = T.posts(spark, d).groupBy("instrument", "ts").agg(F.max("item_id").alias("item_id"))
+    out = asof.asof_join(targets, at.withColumnRenamed("ts", "target"), "target", ["instrument"], "nearest", tolerance=3600, bucket=F.trunc(F.col("_on").cast("date"), "week"))
+    return out.select("instrument", "date", "session", "k", "target", "item_id")
+
+
 #: Every post that views, against the nearest purchase of the same user within an hour.
 @register("""WITH v AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'), p AS (SELECT user_id, ts, max(event_id) AS purchase_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts),
 b AS (SELECT v.event_id, v.user_id, v.ts, p.ts AS at, p.purchase_id FROM v ASOF LEFT JOIN p ON p.user_id = v.user_id AND p.ts <= v.ts),

@@ -24,18 +24,20 @@ def s1_s5_s7_s19_csv(spark, d):
     return readers.read_csv(spark, out, _ORDERS, {"종목코드": "code", "날짜": "date"})
 
 
-@register("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+@register("SELECT doc_id, md5(text || ' 가나다') AS text_md5 FROM documents")
 def s2_encodings(spark, d):
-    """All texts as CSV files in three encodings in one folder; each file is read in the first that fits. The letters of a Korean label tell
-    the encodings apart; texts are written as base64, since no Korean encoding has all their letters."""
+    """All texts, with Korean letters at their ends, as CSV files in three encodings in one folder; each file is read in the first that fits.
+    Texts of letters that the Korean encodings hold are dealt over all three, the others are written in UTF-8."""
     out = shared_folder(spark)
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    rows = T.read(spark, d, "documents").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("text"), F.lit("가나다").alias("label"))
+    text = F.concat("text", F.lit(" 가나다"))
+    rows = T.read(spark, d, "documents").select("doc_id", text.alias("text"))
+    dealt = F.when(F.col("text").rlike(r"^[\x00-\x7F가-힣]*$"), F.pmod("doc_id", F.lit(3))).otherwise(0)
     for k, encoding in enumerate(readers.ENCODINGS):
-        rows.filter(F.pmod("doc_id", F.lit(3)) == k).write.option("header", True).option("encoding", encoding).csv(f"{out}/e{k}")
-    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("label", StringType())])
-    got = readers.read_csv_any(spark, f"{out}/*", schema, multi_line=True)  # base64 breaks its lines
-    return got.select("doc_id", F.when(F.col("label") == "가나다", F.md5(F.decode(F.unbase64("text"), "UTF-8"))).alias("text_md5"))
+        rows.filter(dealt == k).write.option("header", True).option("encoding", encoding).option("escape", '"').csv(f"{out}/e{k}")
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
+    # Texts hold line ends; several files of each encoding are read at once.
+    return readers.read_csv_any(spark, f"{out}/*", schema, multi_line=True).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @register("SELECT *, row_number() OVER (ORDER BY instrument, date) AS place FROM (SELECT l_returnflag AS instrument, CAST(l_shipdate AS DATE) AS date, count(*) AS n FROM lineitem GROUP BY ALL)")

@@ -31,15 +31,24 @@ def _docs(spark, d):
 
 @register(f"SELECT doc_id, md5({_clean('text')}) AS clean_md5, length({_clean('text')}) AS clean_length FROM documents")
 def t1_clean_text(spark, d):
-    """Without the squeeze of repeats, which SQL can't say without backreferences; t1_squeezed has it."""
+    """Without the squeeze of repeats; t1_squeezed has it."""
     c = X.clean_text(F.col("text"), X.LATIN, squeeze=False)
     return _docs(spark, d).select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).cast("long").alias("clean_length"))
 
 
-@register()
+#: As _CLEAN, between the URLs and the alphabet: of each run of a character three at most stay.
+_SQUEEZED = r"""WITH base AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), 'https?://[^\s\x{85}\p{Z}]+', ' ', 'g'), '') AS chars FROM documents),
+c AS (SELECT doc_id, unnest(chars) AS ch, generate_subscripts(chars, 1) AS i FROM base),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - row_number() OVER (PARTITION BY doc_id, ch ORDER BY i) AS run FROM c),
+k AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) AS t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ch, run ORDER BY i) AS place FROM r) WHERE place <= 3 GROUP BY doc_id),
+f AS (SELECT d.doc_id, trim(regexp_replace(regexp_replace(coalesce(t, ''), '[^가-힣a-zA-Z0-9\s\x{85}\p{Z}.,!?%()~\-À-ÖØ-öø-ÿ]', ' ', 'g'), '[\s\x{85}\p{Z}]+', ' ', 'g')) AS t FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id)
+SELECT doc_id, md5(t) AS clean_md5, length(t) AS clean_length FROM f"""
+
+
+@register(_SQUEEZED)
 def t1_squeezed(spark, d):
     c = X.clean_text(F.col("text"), X.LATIN)
-    return _docs(spark, d).select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).alias("clean_length"))
+    return _docs(spark, d).select("doc_id", F.md5(c).alias("clean_md5"), F.length(c).cast("long").alias("clean_length"))
 
 
 @register("SELECT page_id, md5(regexp_replace(html, '<[^>]+>', ' ', 'g')) AS stripped_md5 FROM pages")
@@ -182,11 +191,13 @@ def s9_flatten_comments(spark, d):
     return P.flatten_comments(rows, "json")
 
 
-@register("""SELECT event_id, CAST(event_id AS VARCHAR) AS nid, strftime(ts, '%Y.%m.%d %H:%M') AS date, event_type AS title, CAST(value AS VARCHAR) AS views FROM events WHERE event_id % 7 <> 0""")
+@register("""SELECT event_id, CAST(event_id AS VARCHAR) AS nid, strftime(ts, '%Y.%m.%d %H:%M') AS date, CASE WHEN event_id % 3 = 0 THEN event_type || ' of ' || user_id ELSE event_type END AS title, CAST(value AS VARCHAR) AS views FROM events WHERE event_id % 7 <> 0""")
 def s10_table_rows(spark, d):
-    """Events of an hour as one list page, with rows that lack a cell; the sound rows come back."""
+    """Events of an hour as one list page, with rows that lack a cell, links in the first cell, and whole titles in the attribute of
+    shortened links; the sound rows come back."""
     ok = F.col("event_id") % 7 != 0
-    cells = F.concat(F.lit("<tr><td>"), F.date_format("ts", "yyyy.MM.dd HH:mm"), F.lit('</td><td class="t"><a href="/read.nhn?code=1&amp;nid='), F.col("event_id"), F.lit('&amp;page=1"><b>'), F.col("event_type"), F.lit("</b></a></td><td>u"), F.col("user_id"),
+    named = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(' title="'), F.col("event_type"), F.lit(" of "), F.col("user_id"), F.lit('"'))).otherwise("")
+    cells = F.concat(F.lit('<tr><td><a href="/day?nid=0">'), F.date_format("ts", "yyyy.MM.dd HH:mm"), F.lit('</a></td><td class="t"><a href="/read.nhn?code=1&amp;nid='), F.col("event_id"), F.lit('&amp;page=1"'), named, F.lit("><b>"), F.col("event_type"), F.lit("</b></a></td><td>u"), F.col("user_id"),
                      F.lit("</td><td>"), F.col("value"), F.lit("</td><td>1</td>"), F.when(ok, F.lit("<td>0</td>")).otherwise(F.lit("")), F.lit("</tr>"))
     rows = T.read(spark, d, "events").select(F.date_trunc("hour", "ts").alias("h"), cells.alias("row"))
     pages = rows.groupBy("h").agg(F.concat(F.lit('<table class="type2">'), F.array_join(F.collect_list("row"), "\n"), F.lit("</table>")).alias("html")).drop("h")

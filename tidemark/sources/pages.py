@@ -28,13 +28,18 @@ def flatten_comments(docs: DataFrame, column: str) -> DataFrame:
 
 
 def table_rows(pages: DataFrame, html: str = "html", cells: int = 6) -> DataFrame:
-    """Rows of list tables that have exactly ``cells`` cells, a link with an nid parameter and a date."""
+    """Rows of list tables that have exactly ``cells`` cells, a date in the first and in the second a link with an nid parameter.
+
+    The title is the link's title attribute, where list pages keep what they shorten, or else its text."""
     row = F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1)))
     rows = pages.withColumn("_row", row).withColumn("_td", F.regexp_extract_all("_row", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), F.lit(1)))
-    rows = rows.filter(F.size("_td") == cells).withColumn("_href", F.regexp_replace(F.regexp_extract("_row", r'<a[^>]*href="([^"]*)"', 1), "&amp;", "&"))
+    rows = rows.filter(F.size("_td") == cells).withColumn("_a", F.regexp_extract(F.col("_td")[1], r"(?s)<a\s[^>]*>.*?</a>", 0))
+    rows = rows.withColumn("_href", F.regexp_replace(F.regexp_extract("_a", r'^<a[^>]*\shref="([^"]*)"', 1), "&amp;", "&"))
+    named = F.regexp_extract("_a", r'^<a[^>]*\stitle="([^"]*)"', 1)
+    title = F.when(named == "", F.trim(strip_tags(F.col("_a"), ""))).otherwise(named)
     nid = F.regexp_extract("_href", r"[?&]nid=([^&#]*)", 1)
     cell = lambda i: F.trim(strip_tags(F.col("_td")[i], ""))
-    out = rows.select(*[c for c in pages.columns if c != html], nid.alias("nid"), F.regexp_extract(cell(0), r"\d{4}\.\d{2}\.\d{2}(?: \d{2}:\d{2})?", 0).alias("date"), cell(1).alias("title"),
+    out = rows.select(*[c for c in pages.columns if c != html], nid.alias("nid"), F.regexp_extract(cell(0), r"\d{4}\.\d{2}\.\d{2}(?: \d{2}:\d{2})?", 0).alias("date"), title.alias("title"),
                       cell(2).alias("author"), cell(3).alias("views"), cell(4).alias("likes"), cell(5).alias("dislikes"), F.col("_href").alias("url"))
     return out.filter((F.col("nid") != "") & (F.col("date") != ""))
 
