@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import dist
-from tidemark.operators import events, features, regression, testing
+from tidemark.operators import events, features, large_groups, regression, testing
 from tidemark.plans import sql
 from tidemark.plans import tables as T
 from tidemark.plans.base import registry, rounded
@@ -210,3 +210,33 @@ SELECT instrument, n, round(my - b1 * m1 - b2 * m2, 7) AS b0, round(b1, 7) AS b1
 def a20_ols(spark, d):
     fit = regression.ols(T.analysis(spark, d), ["instrument"], "cc_return", ["overnight_sentiment_index", "market_change"])
     return rounded(fit.select("instrument", "n", F.col("coef")[0].alias("b0"), F.col("coef")[1].alias("b1"), F.col("coef")[2].alias("b2"), "ssr", "r2", F.col("se")[1].alias("se1")), 7, ssr=5)
+
+
+@register("""WITH g AS (SELECT l_returnflag AS instrument, l_extendedprice / 200000 AS p FROM lineitem), r AS (SELECT instrument, p, count(*) AS n FROM g GROUP BY ALL),
+q AS (SELECT *, p * sum(n) OVER (PARTITION BY instrument) / sum(n) OVER (PARTITION BY instrument ORDER BY p) AS q FROM r)
+SELECT instrument, round(p, 8) AS p, n, round(least(1, min(q) OVER (PARTITION BY instrument ORDER BY p DESC)), 8) AS p_bh FROM q""")
+def a11_large_groups(spark, d):
+    """The adjustment of many values a key, dealt by ranges of values."""
+    rows = T.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("instrument"), (F.col("l_extendedprice") / 200000).alias("p"))
+    return rounded(large_groups.adjusted_values(rows, ["instrument"], "p").withColumnRenamed("value", "p"))
+
+
+@register(f"""WITH g AS (SELECT l_returnflag AS instrument, l_extendedprice - 1000 * l_quantity AS d FROM lineitem WHERE l_extendedprice <> 1000 * l_quantity),
+r AS (SELECT *, rank() OVER (PARTITION BY instrument ORDER BY abs(d)) + (count(*) OVER (PARTITION BY instrument, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY instrument, abs(d)) AS t FROM g),
+s AS (SELECT instrument, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w, sum(CAST(t AS DOUBLE) * t - 1) AS ties, CAST(count(*) AS DOUBLE) AS c FROM r GROUP BY instrument),
+z AS (SELECT instrument, n, w, (w - c * (c + 1) / 4) / sqrt(c * (c + 1) * (2 * c + 1) / 24 - ties / 48) AS z FROM s)
+SELECT instrument, n, round(w, 2) AS w_plus, round(z, 6) AS z, round(2 * {dist.normal_cdf_sql('-abs(z)')}, 6) AS p_two_sided FROM z""")
+def a15_large_groups(spark, d):
+    """Signed ranks of many values a key."""
+    rows = T.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("instrument"), (F.col("l_extendedprice") - 1000 * F.col("l_quantity")).alias("d"))
+    return rounded(large_groups.signed_ranks(rows, ["instrument"], "d"), 6, w_plus=2)
+
+
+SHARES = (0.05, 0.25, 0.5, 0.95)
+
+
+@register("SELECT instrument, share, round(quantile, 6) AS quantile FROM (" + " UNION ALL ".join(f"SELECT l_returnflag AS instrument, CAST({s} AS DOUBLE) AS share, quantile_cont(l_extendedprice, {s}) AS quantile FROM lineitem GROUP BY ALL" for s in SHARES) + ")")
+def e1_a17_large_groups(spark, d):
+    """Exact quantiles of many values a key, by counts that narrow."""
+    rows = T.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("instrument"), "l_extendedprice")
+    return rounded(large_groups.quantiles(rows, ["instrument"], "l_extendedprice", list(SHARES)), 6)
