@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import asof, calendar, checks, matching, posts
 from tidemark.plans import tables as T
 from tidemark.plans.base import registry, rounded
+from tidemark.sources import keyed_store
+from tidemark.sources.shared import shared_path
 
 QUERIES, ORACLES, register = registry()
 
@@ -180,6 +182,17 @@ def s16_accumulate(spark, d):
     return posts.accumulate(events.filter("event_id % 3 <> 0"), new, ["event_id"]).select("event_id", "ts", "event_type")
 
 
+@register("""WITH o AS (SELECT event_id, event_type, ts, 0 AS prio FROM events WHERE event_id % 3 <> 0), n AS (SELECT event_id, event_type, ts + INTERVAL 1 HOUR, 1 FROM events WHERE event_id % 3 <> 1),
+b AS (SELECT * FROM o UNION ALL SELECT * FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prio, ts) AS k FROM b) SELECT event_id, ts, event_type FROM r WHERE k = 1""")
+def s16_keyed_store(spark, d):
+    """The same rows through a store of buckets: a first run, and a second one that adds what the store lacks."""
+    store = shared_path(spark, "store")
+    events = T.read(spark, d, "events").select("event_id", "event_type", "ts")
+    keyed_store.upsert(events.filter("event_id % 3 <> 0"), store, ["event_id"], ["ts"])
+    later = events.filter("event_id % 3 <> 1").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    return keyed_store.upsert(later, store, ["event_id"], ["ts"]).select("event_id", "ts", "event_type")
+
+
 @register("""WITH c AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events), a AS (SELECT u.user_id, CAST(x AS DATE) AS date FROM (SELECT DISTINCT user_id FROM events) u, range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) t(x))
 SELECT user_id, date FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = a.user_id AND c.date = a.date)""")
 def s17_uncovered_days(spark, d):
