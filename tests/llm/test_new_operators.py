@@ -364,3 +364,31 @@ def test_near_dedup_of_common_blocks(spark, monkeypatch):
     got = {x["doc_id"]: x["component_id"] for x in lsh_forest.near_dedup(docs).collect()}
     want = linked(texts)
     assert sent[0] < 30 and len(set(want)) < len(texts) - 100 and [got[i] for i in range(len(texts))] == want
+
+
+def test_packing_pads_little(spark):
+    """A sequence is as long as a power of two or padded to 2048; the padding is a small share of all ids."""
+    from collections import Counter
+
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tidemark.llm import packing
+
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choice(["tide", "mark", "of", "sand"]) for _ in range(int(2 ** r.uniform(0, 12.5))))) for i in range(400)]
+    sizes = Counter()
+    for x in packing.pack(documents(spark, rows).repartition(2), tokenizers.path("word_bpe_49k.json")).collect():
+        sizes[x["sequence_id"]] += x["length"]
+    total = sum(sizes.values())
+    padded = sum(n if n & (n - 1) == 0 else 2048 for n in sizes.values())
+    assert total > 200_000 and padded - total < 0.01 * total and len(sizes) <= total // 2048 + 30
+
+
+def test_archives_of_long_pages(spark):
+    from tidemark.llm import warc
+
+    html = "<p>" + "long é " * 300_000
+    pages = spark.createDataFrame([(7, "http://a.example/", html), (3, "http://b.example/", html), (1, "http://c.example/", None)], "page_id long, url string, html string")
+    got = {x["page_id"]: x for x in warc.archive_pages(pages).collect()}
+    data = html.encode()
+    assert got[7]["payload_bytes"] == got[3]["payload_bytes"] == len(data) and got[7]["payload_digest"] == hashlib.sha256(data).hexdigest()
+    assert (got[3]["record_type"], got[7]["record_type"], got[7]["refers_to"], got[1]["payload_bytes"]) == ("response", "revisit", 3, 0)

@@ -305,12 +305,15 @@ def _joined(held: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _apart(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """pairs with ca and cb, the components of a and b, where these differ."""
+def _apart(pairs: DataFrame, held: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """pairs with ca and cb, the components of a and b, where these differ; and ``both``, whether both are marked (rep)."""
+    named = held.select(F.col("node").alias("rep"), "component")
+    named = named.withColumn("in", F.lit(False)) if marked is None else named.join(marked.select("rep", F.lit(True).alias("in")), "rep", "full")
     for side in ("a", "b"):
-        named = held.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        pairs = pairs.join(named, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    return pairs.filter("ca <> cb")
+        own = named.select(F.col("rep").alias(side), F.col("component").alias(f"c{side}"), F.col("in").alias(f"in_{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    both = F.coalesce(F.col("in_a") & F.col("in_b"), F.lit(False))
+    return pairs.withColumn("both", both).drop("in_a", "in_b").filter("ca <> cb")
 
 
 def _still_open(members: DataFrame, held: DataFrame, most: int) -> DataFrame:
@@ -320,13 +323,6 @@ def _still_open(members: DataFrame, held: DataFrame, most: int) -> DataFrame:
     return named.join(mixed, "key", "left_semi").groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("rep")
 
 
-def _marked(pairs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The pairs (a, b) and whether both ends are marked (rep)."""
-    for end in ("a", "b"):
-        pairs = pairs.join(marked.select(F.col("rep").alias(end), F.lit(True).alias(f"in_{end}")), end, "left")
-    return pairs.select("a", "b", (F.col("in_a").isNotNull() & F.col("in_b").isNotNull()).alias("both"))
-
-
 def _deeper(level: int, dense: DataFrame, held: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members that are left after a forest of FORESTS, and components with the links that it found."""
     named = dense.join(held.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -387,19 +383,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     links = settle(_links(first, texts), "links")
     held = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    hubs = settle(_hub_pairs(members, links, held), "hubs")
+    # Hub pairs close most dense regions; pairs of two members with many open ones are left to what follows.
+    by_hubs = settle(_links(_hub_pairs(members, links, held).distinct(), texts), "links")
     discard(links)
-    members = members.select("key", "rep").distinct()
-    # Pairs of two members with many open regions are left to what follows; hub pairs close most of these regions.
-    left = settle(_still_open(members, held, OPEN), "dense")
-    apart = settle(_marked(_apart(pairs, held).select("a", "b"), left), "apart")
-    open_pairs = apart.filter("NOT both").select("a", "b").union(hubs.select("a", "b")).distinct()
-    held = _joined(held, settle(_links(open_pairs, texts), "links"))
-    discard(left)
-    left = settle(_still_open(members, held, OPEN), "dense")
-    skipped = _marked(_apart(apart.filter("both").select("a", "b"), held).select("a", "b"), left).filter("NOT both")
-    held = _joined(held, settle(_links(skipped.select("a", "b"), texts), "links"))
-    discard(pairs, hubs, apart, found)
+    held = _joined(held, by_hubs)
+    left = settle(_still_open(members.select("key", "rep").distinct(), held, OPEN), "dense")
+    held = _joined(held, settle(_links(_apart(pairs.select("a", "b"), held, left).filter("NOT both").select("a", "b"), texts), "links"))
+    discard(pairs, found)
     for level in range(len(FORESTS)):
         if not left.isEmpty():
             left, held = _deeper(level, left, held, texts)

@@ -252,7 +252,7 @@ def read_back(archives: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as ARC archives, convert them to WARC archives, read those back: one row per page.
 
-    Null html is an empty payload, a null url "-". Null page ids are kept; of equal payloads, rows with an id go before
+    Page ids are integers; pages of any length are written whole. Null html is an empty payload, a null url "-". Null page ids are kept; of equal payloads, rows with an id go before
     those without. Repeated rows of the response's id are responses too. An empty table gives an empty result; other
     columns are ignored. Both sets of archives are tables in the shared folder.
     """
