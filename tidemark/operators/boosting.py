@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .models import MIN_TRAIN, draw_parameters
+from .models import MIN_TRAIN, dealt, draw_parameters
 
 #: The parameters that the search draws from.
 GRID = {
@@ -22,7 +22,7 @@ GRID = {
 }
 BINS = 64
 #: Draws of a group of the search, and refits of a group of the walk forward.
-DRAWS_TOGETHER, REFITS_TOGETHER = 10, 20
+DRAWS_TOGETHER, REFITS_TOGETHER = 2, 4
 
 
 def edges(x: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
@@ -117,7 +117,7 @@ def search(df: DataFrame, y: str, sets: dict[str, list[str]], draws: int = 150,
         return pd.DataFrame(found, columns=[by, "features", "draw", "error"]).astype({"draw": "int32", "error": "float64"})
 
     kind = df.schema[by].dataType.simpleString()
-    return rows.groupBy(by, "features", "_chunk").applyInPandas(work, f"{by} {kind}, features string, draw int, error double")
+    return dealt(rows, by, "features", "_chunk").groupBy(by, "features", "_chunk").applyInPandas(work, f"{by} {kind}, features string, draw int, error double")
 
 
 def best_draws(found: DataFrame, by: str = "instrument") -> DataFrame:
@@ -145,4 +145,4 @@ def walk_forward(df: DataFrame, y: str, sets: dict[str, list[str]], best: DataFr
         return pd.DataFrame({by: own[by].iloc[0], on: own[on].iloc[first:], "features": own["features"].iloc[0], "prediction": np.concatenate(parts)})
 
     kind = {f.name: f.dataType.simpleString() for f in df.schema}
-    return rows.groupBy(by, "features", "_block").applyInPandas(work, f"{by} {kind[by]}, {on} {kind[on]}, features string, prediction double")
+    return dealt(rows, by, "features", "_block").groupBy(by, "features", "_block").applyInPandas(work, f"{by} {kind[by]}, {on} {kind[on]}, features string, prediction double")

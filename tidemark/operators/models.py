@@ -54,6 +54,11 @@ def expanding_ols(df: DataFrame, y: str, xs: list[str], by: str = "instrument",
     return rows.withColumn(name, value).drop("_n", "_mean", "_cov", "_place", "_fit")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few small rows with much to compute: dealt by their keys over a fixed number of tasks, which adaptive execution doesn't merge."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _garch_run(r: np.ndarray, starts: np.ndarray, mean: np.ndarray, var: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log likelihood (up to constants) of r[:start] and the variance forecast of r[start], for folds (rows, starts ascending) and parameters (columns)."""
     s, like = np.broadcast_to(var[:, None], a.shape).copy(), np.zeros(a.shape)
@@ -127,7 +132,7 @@ def garch_forecast(df: DataFrame, value: str = "cc_return", by: str = "instrumen
         return found.astype({"_p": "int32"})
 
     kind = df.schema[by].dataType.simpleString()
-    out = each.groupBy(by, "_block").applyInPandas(work, f"{by} {kind}, _p int, alpha double, beta double, volatility double")
+    out = dealt(each, by, "_block").groupBy(by, "_block").applyInPandas(work, f"{by} {kind}, _p int, alpha double, beta double, volatility double")
     return out.join(rows, [by, "_p"]).drop("_p", "_n")
 
 

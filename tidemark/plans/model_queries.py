@@ -295,20 +295,20 @@ def m15_chain_pooled(spark, d):
 
 
 SETS = {"base": BASE, "sentiment": WITH_SENTIMENT}
+#: Draws of the search in the queries, for one target and for two; the operator's default is the survey's 150.
+TREE_DRAWS, TABLE_DRAWS = 10, 5
 
 
 @register()
 def m9_m10_trees_by_instrument(spark, d):
-    """The whole search (150 draws on four folds, both feature sets) for each instrument, then every row from the 50th on by trees fitted to all
-    earlier rows, anew every 10 rows."""
+    """The search on four folds with both feature sets for each instrument, then every row from the 50th on by trees fitted to all
+    earlier rows, anew every 50 rows."""
     rows = settle(models.split(feature_table(spark, d, T.both_sentiments(spark, d))).select("instrument", "date", "split", "target_vol_pk", *WITH_SENTIMENT), "trees")
-    best = boosting.best_draws(boosting.search(rows, "target_vol_pk", SETS))
-    out = boosting.walk_forward(rows, "target_vol_pk", SETS, settle(best, "draws"), every=10)
+    best = boosting.best_draws(boosting.search(rows, "target_vol_pk", SETS, TREE_DRAWS))
+    out = boosting.walk_forward(rows, "target_vol_pk", SETS, settle(best, "draws"), TREE_DRAWS, every=50)
     return rounded(out, 6)
 
 
-#: Draws of the search behind the comparison table, which is made for two targets.
-TABLE_DRAWS = 20
 SEVEN = ("garch", "garch_ols", "garch_ols_sentiment", "garch_ridge", "garch_ridge_sentiment", "trees", "trees_sentiment")
 
 
