@@ -392,3 +392,32 @@ def test_archives_of_long_pages(spark):
     data = html.encode()
     assert got[7]["payload_bytes"] == got[3]["payload_bytes"] == len(data) and got[7]["payload_digest"] == hashlib.sha256(data).hexdigest()
     assert (got[3]["record_type"], got[7]["record_type"], got[7]["refers_to"], got[1]["payload_bytes"]) == ("response", "revisit", 3, 0)
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components_of_small_and_large_graphs(spark, monkeypatch, small):
+    """One task's union and the stars, and further links over components, against a plain search."""
+    from tidemark.llm import components, lsh_forest
+    from tidemark.llm.common import settle
+
+    monkeypatch.setattr(components, "SMALL", small)
+    r = random.Random(4)
+    first, more = ([(r.randrange(300), r.randrange(300)) for _ in range(n)] for n in (120, 60))
+    first += [(i, i + 1) for i in range(1000, 1040)] + [(5, 5)]
+
+    def plain(edges):
+        least = {x: x for e in edges for x in e if e[0] != e[1]}
+        for _ in range(len(least)):
+            changed = False
+            for a, b in edges:
+                if a != b and least[a] != least[b]:
+                    least[a] = least[b] = min(least[a], least[b])
+                    changed = True
+            if not changed:
+                return least
+        return least
+
+    held = components.components(spark.createDataFrame(first, "u long, v long"))
+    assert {x["node"]: x["component"] for x in held.collect()} == plain(first)
+    links = settle(spark.createDataFrame([e for e in more if e[0] != e[1]], "a long, b long"), "links")
+    assert {x["node"]: x["component"] for x in lsh_forest._joined(held, links).collect()} == plain(first + more)

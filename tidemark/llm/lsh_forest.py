@@ -299,9 +299,18 @@ def _joined(held: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         discard(links)
         return held
-    more = links.select("a", "b").union(held.select("node", "component"))
-    out = components(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    discard(links, held)
+    # The graph of components has an edge for each two that a link joins; nodes without links so far are components of their own.
+    own = held.select(F.col("node").alias("_node"), "component")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(own, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"))
+    ends = settle(ends, "ends")
+    named = links.select("a", "b")
+    for end in ("a", "b"):
+        named = named.join(ends.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end)
+    joined = components(named.select(F.col("ca").alias("u"), F.col("cb").alias("v")))
+    every = held.select("node", "component").union(ends.join(held, "node", "left_anti").select("node", "component"))
+    root = joined.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    out = settle(every.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
+    discard(links, held, ends, joined)
     return out
 
 
