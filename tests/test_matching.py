@@ -46,3 +46,24 @@ def test_no_nested_loop(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "SortMergeJoin" in plan
+
+
+def test_texts_are_never_broadcast(spark, tmp_path):
+    """A small file of repeated texts: Spark takes them for few, and their grams for as few."""
+    path = str(tmp_path / "texts")
+    spark.range(20_000).select("id", F.concat(F.lit("tide mark of sand "), F.col("id") % 7).alias("text")).coalesce(1).write.parquet(path)
+    texts = spark.read.parquet(path)
+    few = spark.createDataFrame([("mark", 1), ("sand 3", 2), ("rock", 3)], "name string, code int")
+    many = few.unionByName(spark.range(200).select(F.concat(F.lit("none "), "id").alias("name"), F.col("id").cast("int").alias("code")))
+    for names in (few, many):
+        out = matching.contains_join(texts, names, ["text"])
+        assert out.count() == 20_000 + sum(i % 7 == 3 for i in range(20_000))
+        plan = out._jdf.queryExecution().executedPlan().initialPlan().toString().split("\n")
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        for i, line in enumerate(plan):
+            if "BroadcastExchange" in line:
+                below = [x for x in plan[i + 1 :]]
+                end = next((j for j, x in enumerate(below) if depth(x) <= depth(line)), len(below))
+                # What is broadcast ends in an aggregate or in the names themselves.
+                top = next(x for x in below[:end] if any(k in x for k in ("Aggregate", "FileScan", "Scan ExistingRDD", "LocalTableScan", "Range", "Union")))
+                assert "FileScan" not in top, line

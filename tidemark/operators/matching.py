@@ -1,12 +1,18 @@
-"""Matching many names in many texts (J6, T13) by an index of q-grams."""
+"""Matching names in texts (J6, T13): a few in one pass over the texts, many by an index of q-grams."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of an indexed gram; names that are shorter are grams themselves.
 GRAM = 4
+#: Names tested directly: how many, of how many characters, in how many rows.
+DIRECT, NAME_LENGTH, ROWS = 128, 200, 1000
+#: Grams of all names that are broadcast.
+GRAMS = 200_000
 
 
 def _grams(text: Column, sizes: list[int]) -> Column:
@@ -22,29 +28,61 @@ def _grams(text: Column, sizes: list[int]) -> Column:
     return F.flatten(F.transform(F.array(chars), of))
 
 
-def contains_join(texts: DataFrame, names: DataFrame, columns: list[str], name: str = "name", gram: int = GRAM) -> DataFrame:
+def contains_join(texts: DataFrame, names: DataFrame, columns: list[str], name: str = "name", gram: int = GRAM, direct: int = DIRECT) -> DataFrame:
     """Each text with every row of ``names`` whose name one of its columns contains.
 
-    The texts' grams meet the names' grams by equality, once to count how many texts hold each and once with the rarest gram of
-    each name, and what meets is tested. Only hashes of texts and grams take part; whole texts meet the names found for their
-    hash at the end, where the test is made, so equal hashes do no harm. Null names match nothing, an empty name every text,
-    null texts count as empty. Repeated rows of either side are each matched. No side is broadcast unless Spark finds it small.
+    Up to ``direct`` names are tested in one pass over the texts, which are neither cut into grams nor shuffled; only the few
+    names are broadcast. More names are found by their grams (``_by_grams``). Null names match nothing, an empty name every
+    text, null texts count as empty. Repeated rows of either side are each matched.
+    """
+    each = names.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    # Of names that are too many or too long only so much reaches the driver.
+    few = each.select(F.substring("name", 1, NAME_LENGTH + 1).alias("name"), "n").limit(direct + 1).collect()
+    if len(few) > direct or sum(r.n for r in few) > ROWS or any(len(r.name) > NAME_LENGTH for r in few):
+        return _by_grams(texts, names, columns, name, gram)
+    known = F.array(*[F.lit(r.name) for r in few]).cast("array<string>")
+
+    def hits(cells: Column) -> Column:
+        return F.filter(known, lambda n: functools.reduce(Column.__or__, [F.contains(cells[f"c{i}"], n) for i in range(len(columns))]))
+
+    # A transform over an array of one binds the cells, so that each is made once and not once a name; an inner explode would test twice.
+    cells = F.struct(*[_cell(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    found = texts.withColumn("_name", F.explode_outer(F.flatten(F.transform(F.array(cells), hits)))).filter(F.col("_name").isNotNull())
+    return _columns(found, F.broadcast(names), F.col("_t._name") == F.col(f"_s.{name}"), texts, names)  # at most ROWS rows
+
+
+def _cell(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def _columns(left: DataFrame, right: DataFrame, test: Column, texts: DataFrame, names: DataFrame) -> DataFrame:
+    return left.alias("_t").join(right.alias("_s"), test).select(*[F.col(f"_t.`{c}`") for c in texts.columns], *[F.col(f"_s.`{c}`") for c in names.columns])
+
+
+def _by_grams(texts: DataFrame, names: DataFrame, columns: list[str], name: str, gram: int) -> DataFrame:
+    """The texts' grams meet the names' grams by equality, once to count how many texts hold each and once with the rarest gram
+    of each name, and what meets is tested. Only hashes of texts and grams take part; whole texts meet the names found for
+    their hash at the end, where the test is made, so equal hashes do no harm.
+
+    Spark guesses the size of exploded rows from the file's, which is too low by far; so texts and their grams are hinted to be
+    merged, never broadcast, and names are broadcast only where they were counted to be few.
     """
-    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    key = F.xxhash64(*[_cell(c) for c in columns])
     length = F.least(F.length("name"), F.lit(gram))
     known = names.filter(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
-    sizes = sorted(r.size for r in known.select(length.alias("size")).distinct().collect()) or [gram]  # at most gram + 1 numbers
-    found = F.array_distinct(F.concat(*[_grams(F.coalesce(F.col(c).cast("string"), F.lit("")), sizes) for c in columns]))
-    grams = texts.select(key.alias("_key"), found.alias("_grams")).select("_key", F.explode("_grams").alias("gram"))
+    counts = {r.size: r.n for r in known.groupBy(length.alias("size")).agg(F.sum(F.greatest(F.length("name"), F.lit(1))).alias("n")).collect()}  # at most gram + 1 numbers
+    sizes = sorted(counts) or [gram]
+    side = "broadcast" if sum(counts.values()) <= GRAMS else "merge"
+    found = F.array_distinct(F.concat(*[_grams(_cell(c), sizes) for c in columns]))
+    grams = texts.select(key.alias("_key"), found.alias("_grams")).select("_key", F.explode_outer("_grams").alias("gram"))
     own = F.coalesce(*[F.when(length == s, _grams(F.col("name"), [s])) for s in sizes])
     each = known.select("name", F.explode(F.array_distinct(own)).alias("gram"))
-    occurring = grams.join(each.select("gram").distinct(), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    occurring = grams.join(each.select("gram").distinct().hint(side), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # Of each name the gram that the fewest texts hold. A name with a gram that none holds occurs nowhere.
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")
-    index = each.join(occurring, "gram", "left").groupBy("name").agg(rarest).filter("rarest.n > 0").select("name", "rarest.gram")
-    candidates = grams.join(index, "gram").select("_key", F.col("name").alias("_name")).distinct()
-    kept = texts.withColumn("_key", key).join(candidates, "_key").drop("_key")
-    test = F.lit(False)
-    for c in columns:
-        test = test | F.contains(F.coalesce(F.col(c).cast("string"), F.lit("")), F.col("_name"))
-    return kept.filter(test).join(names.withColumn("_of", F.col(name)), F.col("_name") == F.col("_of")).drop("_name", "_of")
+    index = each.join(occurring.hint(side), "gram", "left").groupBy("name").agg(rarest).filter("rarest.n > 0").select("name", "rarest.gram")
+    candidates = grams.join(index.hint(side), "gram").select("_key", F.col("name").alias("_name")).distinct()
+    # Rows of names join before the texts, which are shuffled once.
+    wanted = candidates.join(names.withColumn("_of", F.col(name)).hint("merge"), F.col("_name") == F.col("_of")).drop("_of").hint("merge")
+    test = functools.reduce(Column.__or__, [F.contains(F.coalesce(F.col(f"_t.`{c}`").cast("string"), F.lit("")), F.col("_s._name")) for c in columns])
+    return _columns(texts.withColumn("_key", key), wanted, (F.col("_t._key") == F.col("_s._key")) & test, texts, names)
