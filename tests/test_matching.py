@@ -67,3 +67,16 @@ def test_texts_are_never_broadcast(spark, tmp_path):
                 # What is broadcast ends in an aggregate or in the names themselves.
                 top = next(x for x in below[:end] if any(k in x for k in ("Aggregate", "FileScan", "Scan ExistingRDD", "LocalTableScan", "Range", "Union")))
                 assert "FileScan" not in top, line
+
+
+def test_few_names_in_one_pass(spark):
+    """Texts are not cut into grams for a few names; both ways give the same rows."""
+    texts = [(1, None, None, None, 1), (2, "", "x", None, 1), (3, "a.c", "é🎉 name", None, 1), (None, "abcdef", "abc", None, 1), (None, "abcdef", "abc", None, 1)]
+    left = spark.createDataFrame(texts, "id long, a string, b string, gram string, n long")
+    for names in ([("", 1)], [("", 1), ("abcde", 2)], [(".", 3), ("abcde", 2), ("abcde", 4), ("🎉 n", 5)], [(None, 1)], [("none of them", 1)], []):
+        right = spark.createDataFrame(names, "name string, code int")
+        one, other = (matching.contains_join(left, right, ["a", "b"], direct=k) for k in (128, -1))
+        rows = lambda df: sorted(((r["id"], r["name"], r["code"]) for r in df.collect()), key=str)
+        assert rows(one) == rows(other) == plain(texts, names)
+        plan = one._jdf.queryExecution().optimizedPlan().toString()
+        assert "split(" not in plan and plan.count("Generate") <= 1
