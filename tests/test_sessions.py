@@ -93,3 +93,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert streamed == batch
     once = streams.run_once(spark, str(tmp_path), "events", lambda s: streams.accumulate_once(s.unionByName(s), ["event_id"]))
     assert once.count() == len(rows)
+
+
+@pytest.mark.parametrize("bucket", [None, "minute", "hour"])
+@pytest.mark.parametrize("exact", [True, False])
+def test_nearest_of_a_long_key(spark, bucket, exact):
+    """Equal times, several right rows of one time and buckets without right rows, against a plain search."""
+    import random
+
+    r = random.Random(5)
+    at = lambda m: TS("2024-01-01T10:00:00") + dt.timedelta(seconds=m)
+    marks = [(k, s, r.randrange(99)) for k in (1, 2) for s in [r.choice([r.randrange(300), r.randrange(9000, 9300)]) for _ in range(80)]]
+    points = [(i, r.choice([1, 2, 3]), r.choice([r.randrange(400), r.randrange(12000)])) for i in range(300)]
+    left = spark.createDataFrame([(i, k, at(s)) for i, k, s in points], "id int, k int, ts timestamp_ntz")
+    right = spark.createDataFrame([(k, at(s), v) for k, s, v in marks] + [(1, None, 5)], "k int, ts timestamp_ntz, v int")
+    out = asof.asof_join(left, right, "ts", ["k"], "nearest", allow_exact=exact, tolerance=2000, bucket=bucket and F.date_trunc(bucket, "_on"))
+    got = {x.id: (x.matched_on, x.v) for x in out.collect()}
+    for i, k, s in points:
+        near = [(abs(s - t), t, -v) for j, t, v in marks if j == k and abs(s - t) <= 2000 and (exact or s != t)]
+        want = min(near, default=None)
+        assert got[i] == ((None, None) if want is None else (at(want[1]), -want[2]))
+
+
+def test_no_frame_up_to_the_last_row(spark):
+    """Such a frame is summed up anew at each row, so a key's work would grow with the square of its rows."""
+    rows = spark.range(10).select(F.lit("a").alias("instrument"), F.col("id").cast("int").alias("item_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"))
+    other = rows.withColumnRenamed("item_id", "v")
+    days = rows.select("instrument", F.to_date("ts").alias("date")).distinct()
+    for out in (asof.asof_join(rows, other, "ts", ["instrument"], "nearest", bucket=F.date_trunc("hour", "_on")), asof.asof_join(rows, other, "ts", ["instrument"], "nearest", allow_exact=False), calendar.assign_session(rows, days)):
+        plan = out._jdf.queryExecution().analyzed().toString().lower()
+        assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan

@@ -58,34 +58,30 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], directi
 
 
 def _nearest(left: DataFrame, right: DataFrame, on: str, by: list[str], allow_exact: bool, tolerance: int | None, bucket: Column | None) -> DataFrame:
-    """The nearer of the last right row before and the first one after, the earlier of equals: one union and one sort, two frames over it."""
+    """The nearer of the last right row before and the first one after, the earlier of equals.
+
+    Both are carried along by frames from the first row to this one, once in the order of time and once against it, so the work is
+    linear in a key's rows; a frame up to the last row would be summed up anew at each row.
+    """
     extra = [c for c in right.columns if c not in (*by, on)]
     found = F.struct(F.col(on).alias("matched_on"), *extra)
     rows = left.select(*by, F.col(on).alias("_on"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"))
-    # At equal times right rows stand before the left ones; where an equal time may not match, they are passed over below.
-    marks = right.select(*by, F.col(on).alias("_on"), F.lit(0).alias("_side"), found.alias("_found"))
+    marks = right.filter(F.col(on).isNotNull()).select(*by, F.col(on).alias("_on"), F.lit(0).alias("_side"), found.alias("_found"))
     both, keys = rows.unionByName(marks, allowMissingColumns=True), [*by]
     if bucket is not None:
         both, keys = both.withColumn("_bucket", bucket), [*by, "_bucket"]
-    order = [F.col("_on"), F.col("_side"), F.col("_found")]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    if allow_exact:
-        before = F.last("_found", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    else:  # an earlier time in micros or days: by range, which leaves equal times out
-        both = both.withColumn("_at", _order_number(F.col("_on")))
-        before = F.last("_found", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1))
-    # The largest of the right rows of the first later time, as before: later rows of one time stand in order, so the largest is the last of its time.
-    same = Window.partitionBy(*keys, "_on")
-    out = both.withColumn("_best", F.when(F.col("_found").isNotNull(), F.max("_found").over(same)))
-    after = F.first("_best", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    out = out.withColumns({"_b": before, "_f": after})
+    # Right rows of an equal time stand before the left ones where they may match, else behind them; against the order of time behind
+    # them. Of several at one time the largest comes last and is carried.
+    first = F.col("_side") if allow_exact else F.col("_side").desc()
+    carried = lambda *order: F.last("_found", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order, F.col("_found")).rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumns({"_b": carried(F.col("_on"), first), "_f": carried(F.col("_on").desc(), F.col("_side").desc())})
     if bucket is not None:
         known = F.col("_found").isNotNull()
-        ends = both.groupBy(*keys).agg(F.max_by("_found", F.struct(known, F.col("_on"), F.col("_found"))).alias("_last"), F.min(F.when(known, F.col("_on"))).alias("_first_on"))
+        ends = both.groupBy(*keys).agg(F.max(F.when(known, F.struct("_on", "_found"))).alias("_last"), F.min(F.when(known, F.col("_on"))).alias("_first_on"))
         heads = both.filter(known).groupBy(*keys, F.col("_on").alias("_first_on")).agg(F.max("_found").alias("_first"))
         ends = ends.join(heads, [*keys, "_first_on"], "left")
-        along = Window.partitionBy(*by).orderBy("_bucket")
-        ends = ends.select(*keys, F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+        along = lambda name, order: F.last(name, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        ends = ends.select(*keys, along("_last", F.col("_bucket"))["_found"].alias("_earlier"), along("_first", F.col("_bucket").desc()).alias("_later"))
         out = out.join(ends, keys, "left").withColumns({"_b": F.coalesce("_b", "_earlier"), "_f": F.coalesce("_f", "_later")})
     away = [F.abs(_seconds(F.col("_on")) - _seconds(F.col(f"{n}.matched_on"))) for n in ("_b", "_f")]
     match = F.when(away[1].isNull() | (away[0] <= away[1]), F.col("_b")).otherwise(F.col("_f"))
@@ -95,10 +91,6 @@ def _nearest(left: DataFrame, right: DataFrame, on: str, by: list[str], allow_ex
     return out.select(*[F.col("_left")[c].alias(c) for c in left.columns], F.col("_match.matched_on").alias("matched_on"), *[F.col("_match")[c].alias(c) for c in extra])
 
 
-def _order_number(x: Column) -> Column:
-    return F.unix_micros(x.cast("timestamp_ltz"))
-
-
 def _seconds(x: Column) -> Column:
     return F.unix_timestamp(x.cast("timestamp_ltz"))
 

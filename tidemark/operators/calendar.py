@@ -32,9 +32,9 @@ def _day_map(posts: DataFrame, calendar: DataFrame, by: str) -> DataFrame:
     Windows run over distinct days, as many as instruments times days, not over posts.
     """
     days = posts.select(F.col(by), F.col("_day").alias("date"), F.lit(0).alias("_t")).distinct()
-    w = Window.partitionBy(by).orderBy(F.col("date"))
+    w = Window.partitionBy(by).orderBy(F.col("date").desc())  # against time, so that the frame grows by a row at each row
     both = days.unionByName(calendar.select(by, "date", F.lit(1).alias("_t"))).groupBy(by, "date").agg(F.max("_t").alias("trades"))
-    later = F.first(F.when(F.col("trades") == 1, F.col("date")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    later = F.last(F.when(F.col("trades") == 1, F.col("date")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return both.withColumn("next_date", later).select(F.col(by).alias("_by"), F.col("date").alias("_date"), "trades", "next_date")
 
 

@@ -110,7 +110,7 @@ def c12_target_times(spark, d):
     """Random times in both windows of every day, each with the nearest post within an hour."""
     targets = calendar.target_times(T.calendar(spark, d))
     at = T.posts(spark, d).groupBy("instrument", "ts").agg(F.max("item_id").alias("item_id"))
-    out = asof.asof_join(targets, at.withColumnRenamed("ts", "target"), "target", ["instrument"], "nearest", tolerance=3600, bucket=F.trunc(F.col("_on").cast("date"), "week"))
+    out = asof.asof_join(targets, at.withColumnRenamed("ts", "target"), "target", ["instrument"], "nearest", tolerance=3600, bucket=F.date_trunc("hour", "_on"))
     return out.select("instrument", "date", "session", "k", "target", "item_id")
 
 
