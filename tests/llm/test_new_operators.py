@@ -421,3 +421,43 @@ def test_components_of_small_and_large_graphs(spark, monkeypatch, small):
     assert {x["node"]: x["component"] for x in held.collect()} == plain(first)
     links = settle(spark.createDataFrame([e for e in more if e[0] != e[1]], "a long, b long"), "links")
     assert {x["node"]: x["component"] for x in lsh_forest._joined(held, links).collect()} == plain(first + more)
+
+
+def test_columns_are_encoded_like_texts():
+    """Parts that are new, known, rare, long and foreign, in slices and after the cache was dropped, against the library."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tidemark.llm import packing
+
+    path, r = tokenizers.path("word_bpe_49k.json"), random.Random(9)
+    some = ["tide", "Mark's", "d'été", "ßÀÿ§´", "x²", "12a3!!", "日本", "<|endoftext|>", "a" * 90, "­¡", "ſ", "l'ŒUVRE,", "a b"]
+    texts = [None, "", " \n", *[r.choice(["", " "]) + r.choice([" ", "\n\t"]).join(r.choice([*some, f"w{r.randrange(50)}"]) for _ in range(30)) for _ in range(40)]]
+    texts += [" ".join(r.choice(["tide", "éa", "of,", "x1"]) for _ in range(30)) for _ in range(20)]
+    plain, known = Tokenizer.from_file(path), packing.Encoder(path, 20_000)
+    for kind, most in ((pa.string(), 700), (pa.large_string(), 10**6), (pa.string(), 1)):
+        got = []
+        for part in packing.slices(pa.array(["cut off", *texts], kind).slice(1), most):
+            ids, ends = known.encode_column(part)
+            got += [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_last_bins_are_not_padded():
+    import zlib
+
+    from tidemark.llm import packing
+
+    r, pool, pieces = random.Random(3), packing.Pool(2048), {}
+    for i in range(40):
+        ids = r.randbytes(4 * r.randint(900, 2047))
+        pieces[i] = ids
+        pool.add((i, 0, len(ids) // 4, zlib.crc32(ids), len(ids) // 4, ids))
+    bins = list(pool.bins(0))
+    sizes = [sum(p[2] for p in b) for b in bins]
+    assert all(n & (n - 1) == 0 for n in sizes) and len(sizes) <= sum(sizes) // 2048 + 11 and pool.size == 0
+    for i, ids in pieces.items():
+        own = sorted((p for b in bins for p in b if p[0] == i), key=lambda p: p[1])
+        assert b"".join(p[5] for p in own) == ids and all(p[3] == zlib.crc32(p[5]) and len(p[5]) == 4 * p[2] for p in own)
+        assert [p[1] for p in own] == [sum(q[2] for q in own[:k]) for k in range(len(own))]

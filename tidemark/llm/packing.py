@@ -4,11 +4,13 @@ Documents are encoded and cut where a sequence is full; the rests, of 1 to 2047
 longest waiting rest and then the multiset of waiting lengths that fills the rest of the window best: a bitset holds the
 sums that can be reached, one shift for each power-of-two share of a length's count, and walking the shifts back gives
 the counts used. A partition is one stream: pieces wait in a pool of bounded size and what no bin takes waits for the
-next rows, so only the last bins of a partition have slack, nothing is shuffled and memory doesn't grow with the input.
+next rows; the last bins of a partition are filled by cutting and end in bins of powers of two. So no bin has slack, nothing is
+shuffled and memory doesn't grow with the input.
 """
 
 from __future__ import annotations
 
+import array
 import os
 import re
 import zlib
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +27,16 @@ from pyspark.sql import functions as F
 from .common import CACHE_BYTES, KEPT_LENGTH, weight
 
 CAPACITY, POOL = 2048, 6000
+#: Texts that are encoded at a time.
+SLICE_BYTES = 8 << 20
 #: The vocabulary's own pattern over lower-case text (contractions, runs of letters, digits, runs of others), and what keeps a
 #: text from being cut by it here: characters past Latin Extended-A, those that Python's classes or lower() see in another way,
 #: and the marks of special tokens.
 _LETTERS = "a-zªµºß-öø-\u017f"
 _WORDS = re.compile(rf"[{_LETTERS}]+|\d|'(?:[stmd]|re|ve|ll)|[^\s0-9{_LETTERS}]+").findall
+_WORDS_LINES = re.compile(rf"[{_LETTERS}]+|\d|'(?:[stmd]|re|ve|ll)|[^\s0-9{_LETTERS}]+|\n").findall
+#: The characters by which the vocabulary writes bytes that are not printable (others stand for themselves).
+_BYTES = dict(zip([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)], range(256, 512)))
 _FOREIGN = re.compile("[\x1c-\x1f\x85\xa0²³¹¼½¾İ\u0180-\U0010ffff]|<\\|").search
 
 
@@ -37,8 +45,10 @@ class Encoder(dict):
 
     The vocabulary lower-cases a text and cuts it into words (contractions, runs of letters, single digits, runs of
     others) that are encoded one by one. Texts of Latin characters are cut here by the same pattern, so that each
-    distinct word is encoded once; new words are encoded many at a time, and as each ends in an end-of-word id, there the
-    ids are cut. Other texts are cut at white space only, which no id spans, and the library does the rest.
+    distinct word is encoded once, by the vocabulary's model over the word's bytes as it writes them. Other texts are cut at white space only, which no id spans, and the library does the rest.
+
+    ``encode_column`` cuts a column of texts at white space, and only distinct parts that are new go through ``encode``; the ids
+    of the others are gathered.
     """
 
     def __init__(self, path: str, most: int = CACHE_BYTES):
@@ -46,18 +56,13 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.held, self.chunks = Tokenizer.from_file(path), most, 0, {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.tokenizer, self.most, self.held, self.chunks, self.parts = Tokenizer.from_file(path), most, 0, {}, {}
+        self.model = self.tokenizer.model
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 500):
-            part = words[at : at + 500]
-            (found,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            data, edges = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            self.update((w, data[edges[i] : edges[i + 1]]) for i, w in enumerate(part))
+        tokenize = self.model.tokenize
+        for w in words:
+            self[w] = array.array("I", [t.id for t in tokenize(w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(_BYTES))]).tobytes()
         self.held += weight(words, map(self.__getitem__, words))
 
     def _other(self, text: str) -> bytes:
@@ -75,6 +80,7 @@ class Encoder(dict):
         if self.held > self.most:
             self.clear()
             self.chunks.clear()
+            self.parts.clear()
             self.held = 0
         split = [None if _FOREIGN(t) else _WORDS(t.lower()) for t in texts]
         coded = [None if words is None else list(map(self.get, words)) for words in split]
@@ -94,6 +100,58 @@ class Encoder(dict):
         return out
 
 
+    def _parts(self, parts: list[bytes]) -> tuple[bytes, np.ndarray]:
+        """The ids of parts without white space, one after another, and how many bytes each part's take."""
+        if not parts:
+            return b"", np.zeros(0, np.int64)
+        text = b"\n".join(parts).decode("utf-8", "replace")
+        if _FOREIGN(text):
+            ids = self.encode(text.split("\n"))
+            return b"".join(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+        # All are cut in one pass, so no list is made for each part; line ends have no ids.
+        words = _WORDS_LINES(text.lower())
+        self["\n"] = b""
+        missing = set(words).difference(self)
+        self._learn(list(missing))
+        ids = list(map(self.__getitem__, words))
+        for w in [w for w in missing if len(w) > KEPT_LENGTH]:
+            self.held -= weight([w], [self.pop(w)])
+        at = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        lines = np.fromiter(map("\n".__eq__, words), bool, len(words))
+        return b"".join(ids), np.diff(at[lines], prepend=0, append=at[-1] if len(at) else 0)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (nulls are empty), one after another, and where each text's ids end."""
+        if self.held > self.most:
+            self.encode([])  # drops what is kept
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        which = coded.indices.to_numpy()
+        found = list(map(self.parts.get, names))
+        new = np.fromiter((ids is None for ids in found), bool, len(found))
+        data, sizes = [ids for ids in found if ids is not None], np.zeros(len(names), np.int64)
+        sizes[~new] = np.fromiter(map(len, data), np.int64, len(data))
+        fresh, sizes[new] = self._parts([n for n, ids in zip(names, found) if ids is None])
+        # First the known parts' ids, then the new ones'.
+        begins, old = np.zeros(len(names), np.int64), int(sizes[~new].sum())
+        begins[~new] = np.cumsum(sizes[~new]) - sizes[~new]
+        begins[new] = np.cumsum(sizes[new]) - sizes[new] + old
+        often = new & (np.bincount(which, minlength=len(names)) > 1)  # a part that occurs once here is mostly a rare one
+        for i, a, n in zip(np.flatnonzero(often).tolist(), (begins[often] - old).tolist(), sizes[often].tolist()):
+            if len(names[i]) <= KEPT_LENGTH:
+                self.parts[names[i]] = ids = fresh[a : a + n]
+                self.held += 200 + 4 * len(names[i]) + len(ids)
+        ids = np.frombuffer(b"".join([*data, fresh]), "<u4")
+        begins //= 4
+        counts = (sizes // 4)[which]
+        ends = np.cumsum(counts)
+        at = np.repeat(begins[which] - ends + counts, counts)
+        at += np.arange(len(at))
+        edges = lists.offsets.to_numpy()
+        return ids[at], np.concatenate(([0], ends))[edges[1:] - edges[0]]
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -103,6 +161,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The texts in runs of about so many bytes, one text at least."""
+    share = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
+    edges = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(texts)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield texts.slice(a, b - a)
+
+
 def fill(counts: np.ndarray, room: int) -> dict[int, int]:
     """Lengths and how many of each sum up to room or as near below it as can be; counts[n] pieces of length n wait."""
     reach, mask, steps = 1, (2 << room) - 1, []
@@ -135,6 +202,13 @@ class Pool:
         self.counts[piece[2]] += 1
         self.size += 1
 
+    def take(self, used: dict[int, int]) -> list[tuple]:
+        taken = [self.waiting[n].pop() for n, k in used.items() for _ in range(k)]
+        for n, k in used.items():
+            self.counts[n] -= k
+        self.size -= len(taken)
+        return taken
+
     def bins(self, keep: int) -> Iterator[list[tuple]]:
         while self.size > keep:
             longest = int(np.flatnonzero(self.counts)[-1])
@@ -142,15 +216,43 @@ class Pool:
             used = fill(self.counts, self.capacity - longest)
             self.counts[longest] += 1
             used[longest] += 1
+            if not keep and sum(n * k for n, k in used.items()) < self.capacity:
+                break
             # The same counts are used again as long as they last.
             for _ in range(min(int(self.counts[n]) // k for n, k in used.items())):
-                taken = [self.waiting[n].pop() for n, k in used.items() for _ in range(k)]
-                for n, k in used.items():
-                    self.counts[n] -= k
-                self.size -= len(taken)
-                yield taken
+                yield self.take(used)
                 if self.size <= keep:
                     break
+        if not keep:
+            yield from self.last_bins()
+
+    def last_bins(self) -> Iterator[list[tuple]]:
+        """What no full bin takes, longest first and cut where a bin is full; the ids left over fill bins of powers of two, so nothing is padded."""
+        left = [self.waiting[n].pop() for n in np.flatnonzero(self.counts)[::-1].tolist() for _ in range(int(self.counts[n]))]
+        self.counts[:], self.size = 0, 0
+        total, room, taken = sum(p[2] for p in left), 0, []
+        left.reverse()
+        while left:
+            if not room:
+                if taken:
+                    yield taken
+                room, taken = min(self.capacity, 1 << total.bit_length() - 1), []
+                total -= room
+            piece = left.pop()
+            if piece[2] > room:
+                piece, rest = cut(piece, room)
+                left.append(rest)
+            taken.append(piece)
+            room -= piece[2]
+        if taken:
+            yield taken
+
+
+def cut(piece: tuple, at: int) -> tuple[tuple, tuple]:
+    """The piece's first ids and the rest; a piece is key, start, length, crc32, ids of its document, ids."""
+    key, start, length, _, total, ids = piece
+    one, other = ids[: 4 * at], ids[4 * at :]
+    return (key, start, at, zlib.crc32(one), total, one), (key, start + at, length - at, zlib.crc32(other), total, other)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, pool: int = POOL, keep_ids: bool = False) -> DataFrame:
@@ -165,7 +267,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1,
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, waiting, sequence = encoder(path).encode, Pool(capacity), TaskContext.get().partitionId() << 32
+        encode, waiting, sequence = encoder(path).encode_column, Pool(capacity), TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         types: list = []
 
@@ -174,22 +276,27 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1,
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[f"c{i}" for i in range(len(types))])
 
+        def each(ids: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+            at = 0
+            for to in ends.tolist():
+                yield ids[at:to].tobytes() + end
+                at = to
+
         def place(pieces: list[tuple]) -> None:
             nonlocal sequence
             at = 0
             for p in pieces:
-                rows.append((*p, sequence, at))
+                rows.append((*(p if keep_ids else (*p[:5], None)), sequence, at))
                 at += p[2]
             sequence += 1
 
         for batch in batches:
             types = types or [batch.schema.field(0).type, *[pa.int64()] * 6, *[pa.list_(pa.int32())] * keep_ids]
-            parts = (batch.slice(at, 256) for at in range(0, batch.num_rows, 256))
-            for key, ids in ((k, i + end) for p in parts for k, i in zip(p.column(0).to_pylist(), encode([t or "" for t in p.column(1).to_pylist()]))):
+            for key, ids in zip(batch.column(0).to_pylist(), (i for part in slices(batch.column(1)) for i in each(*encode(part)))):
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
-                    piece = (key, start, len(part) // 4, zlib.crc32(part), total, part if keep_ids else None)
+                    piece = (key, start, len(part) // 4, zlib.crc32(part), total, part)
                     if piece[2] == capacity:
                         place([piece])
                     else:
