@@ -209,21 +209,21 @@ class Pool:
         self.size -= len(taken)
         return taken
 
-    def bins(self, keep: int) -> Iterator[list[tuple]]:
+    def bins(self, keep: int, cut_last: bool = True) -> Iterator[list[tuple]]:
         while self.size > keep:
             longest = int(np.flatnonzero(self.counts)[-1])
             self.counts[longest] -= 1
             used = fill(self.counts, self.capacity - longest)
             self.counts[longest] += 1
             used[longest] += 1
-            if not keep and sum(n * k for n, k in used.items()) < self.capacity:
+            if not keep and cut_last and sum(n * k for n, k in used.items()) < self.capacity:
                 break
             # The same counts are used again as long as they last.
             for _ in range(min(int(self.counts[n]) // k for n, k in used.items())):
                 yield self.take(used)
                 if self.size <= keep:
                     break
-        if not keep:
+        if not keep and cut_last:
             yield from self.last_bins()
 
     def last_bins(self) -> Iterator[list[tuple]]:
@@ -255,11 +255,12 @@ def cut(piece: tuple, at: int) -> tuple[tuple, tuple]:
     return (key, start, at, zlib.crc32(one), total, one), (key, start + at, length - at, zlib.crc32(other), total, other)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, pool: int = POOL, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, pool: int = POOL, keep_ids: bool = False, cut_last: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids): one row per piece.
 
     Null and empty texts are the end id alone. Repeated rows and null ids are packed like any other. An empty table gives
-    an empty result; other columns are ignored. A text of any length is encoded whole and cut at each ``capacity`` ids.
+    an empty result; other columns are ignored. A text of any length is encoded whole and cut at each ``capacity`` ids;
+    unless ``cut_last`` is false, the last bins of a partition are filled by further cuts and not padded.
     sequence_id is the partition number and a counter, so the rows of docs should be read in a fixed order (from files).
     """
     kind = docs.schema["doc_id"].dataType
@@ -306,7 +307,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1,
                         place(pieces)
                 if len(rows) > 5000:
                     yield out()
-        for pieces in waiting.bins(0):
+        for pieces in waiting.bins(0, cut_last):
             place(pieces)
         if rows:
             yield out()
