@@ -80,3 +80,31 @@ def test_few_names_in_one_pass(spark):
         assert rows(one) == rows(other) == plain(texts, names)
         plan = one._jdf.queryExecution().optimizedPlan().toString()
         assert "split(" not in plan and plan.count("Generate") <= 1
+
+
+def test_many_names_cut_no_strings(spark):
+    """More names than are tested directly: texts are not cut into strings by Spark, and only names' grams leave the tasks."""
+    texts = spark.range(300).select("id", F.concat(F.lit("tide mark é🎉 of sand "), "id").alias("text"))
+    names = spark.createDataFrame([(f"sand {i}", i) for i in range(200)] + [("é🎉", 200), ("none", 201), ("", 202)], "name string, code int")
+    out = matching.contains_join(texts, names, ["text"])
+    want = sum(f"sand {n}" in f"sand {i}" for n in range(200) for i in range(300)) + 2 * 300
+    assert out.count() == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "transform(" not in plan and "Generate" not in plan
+
+
+def test_bytes_that_are_not_utf8(spark):
+    """A name stands beside bytes that are no text."""
+    texts = spark.createDataFrame([(1, bytearray(b"\xe2\x82sand\xff")), (2, bytearray(b"\xffsan\xff"))], "id long, b binary").selectExpr("id", "cast(b AS string) AS text")
+    names = spark.createDataFrame([("sand", 1), ("rock", 2)], "name string, code int")
+    for direct in (128, -1):
+        assert [r.id for r in matching.contains_join(texts, names, ["text"], direct=direct).select("id").collect()] == [1]
+
+
+def test_hashes_of_pieces(monkeypatch):
+    """A long text's pieces overlap, so that no substring is lost."""
+    text = "tide mark é🎉 of sand".encode()
+    whole = {size: {int(x) for h in matching._hashes(text, size) for x in h} for size in range(6)}
+    assert [len(whole[size]) for size in range(6)] == [len({text.decode()[i : i + size] for i in range(21 - size)}) for size in range(6)]
+    monkeypatch.setattr(matching, "PIECE", 3)
+    assert whole == {size: {int(x) for h in matching._hashes(text, size) for x in h} for size in range(6)}

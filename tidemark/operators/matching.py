@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +16,51 @@ GRAM = 4
 DIRECT, NAME_LENGTH, ROWS = 128, 200, 1000
 #: Grams of all names that are broadcast.
 GRAMS = 200_000
+#: Characters or grams that a Python worker takes at once; factor of the grams' hash, an odd number of 64 bits.
+PIECE, FACTOR = 1 << 20, np.uint64(0x9E3779B97F4A7C15)
+#: All but the first 22 bits of a hash.
+SHIFT = np.uint64(42)
 
 
-def _grams(text: Column, sizes: list[int]) -> Column:
-    """The distinct substrings of the given sizes. The text is cut into characters once, since a substring of a UTF-8 text is found from its start."""
+def _hashes(cell: bytes, size: int, known: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Hashes of a text's substrings of ``size`` characters, of long texts piece by piece; each byte that is not UTF-8 counts as a character.
 
-    def of(chars: Column) -> Column:
-        n = F.size(chars)
-        parts = [F.transform(F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(*[F.get(chars, i + j) for j in range(size)])) for size in sizes if size]  # noqa: B023
-        return F.concat(*parts, *[F.array(F.lit(""))] * (0 in sizes))
+    ``known``: marks by a hash's first bits; only marked ones are returned.
+    """
+    chars = np.frombuffer(cell.decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), "<u4")
+    for start in range(0, max(len(chars) - size + 1, 0) if size else 1, PIECE):
+        part = chars[start : start + PIECE + size - 1].astype(np.uint64)
+        out = np.full(len(part) - size + 1 if size else 1, size, np.uint64)
+        for j in range(size):
+            out = out * FACTOR + part[j : j + len(out)]
+        out = (out ^ out >> np.uint64(32)) * FACTOR  # the last character reaches the first bits
+        yield np.unique(out if known is None else out[known[out >> SHIFT]])
+
+
+def _grams(rows: DataFrame, key: str, cells: list[Column], sizes: Column, known: np.ndarray | None = None) -> DataFrame:
+    """``key`` of each row with the distinct hashes of its cells' substrings of the given sizes; made in numpy, since Spark makes a string of each.
+
+    With ``known`` hashes, of the others only those are returned that share the first bits with one of them.
+    """
 
-    chars = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
-    # A transform over an array of one binds the characters.
-    return F.flatten(F.transform(F.array(chars), of))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = None
+        if known is not None:
+            marks = np.zeros(1 << 64 - int(SHIFT), bool)
+            marks[known.view(np.uint64) >> SHIFT] = True
+        for batch in batches:
+            row, grams, n = [], [], 0
+            for i in range(batch.num_rows):
+                own = [h for size in batch["sizes"][i].as_py() for c in batch.columns[2:] for h in _hashes(c[i].as_py(), size, marks)]
+                grams.append(np.unique(np.concatenate(own)) if len(own) > 1 else own[0] if own else np.empty(0, np.uint64))
+                row.append(np.full(len(grams[-1]), i))
+                n += len(grams[-1])
+                if n >= PIECE or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch[key].take(pa.array(np.concatenate(row))), pa.array(np.concatenate(grams).view(np.int64))], names=[key, "gram"])
+                    row, grams, n = [], [], 0
+
+    taken = rows.select(key, sizes.alias("sizes"), *[c.cast("binary").alias(f"c{i}") for i, c in enumerate(cells)])
+    return taken.mapInArrow(cut, f"{key} {dict(rows.dtypes)[key]}, gram bigint")
 
 
 def contains_join(texts: DataFrame, names: DataFrame, columns: list[str], name: str = "name", gram: int = GRAM, direct: int = DIRECT) -> DataFrame:
@@ -73,10 +108,10 @@ def _by_grams(texts: DataFrame, names: DataFrame, columns: list[str], name: str,
     counts = {r.size: r.n for r in known.groupBy(length.alias("size")).agg(F.sum(F.greatest(F.length("name"), F.lit(1))).alias("n")).collect()}  # at most gram + 1 numbers
     sizes = sorted(counts) or [gram]
     side = "broadcast" if sum(counts.values()) <= GRAMS else "merge"
-    found = F.array_distinct(F.concat(*[_grams(_cell(c), sizes) for c in columns]))
-    grams = texts.select(key.alias("_key"), found.alias("_grams")).select("_key", F.explode_outer("_grams").alias("gram"))
-    own = F.coalesce(*[F.when(length == s, _grams(F.col("name"), [s])) for s in sizes])
-    each = known.select("name", F.explode(F.array_distinct(own)).alias("gram"))
+    each = _grams(known, "name", [F.col("name")], F.array(length))
+    # Few grams (at most GRAMS numbers) are known to the tasks that cut texts, so that other grams never leave them.
+    marked = each.select("gram").distinct().toArrow()["gram"].to_numpy() if side == "broadcast" else None
+    grams = _grams(texts.withColumn("_key", key), "_key", [_cell(c) for c in columns], F.array(*map(F.lit, sizes)), marked)
     occurring = grams.join(each.select("gram").distinct().hint(side), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # Of each name the gram that the fewest texts hold. A name with a gram that none holds occurs nowhere.
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")
